@@ -1,0 +1 @@
+"""Streaming variants; the reference has no streaming operators."""
