@@ -1,44 +1,34 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the shared folder, and fixed-size filters that keep rows without partners out of shuffles."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import numpy as np
+from pyspark.broadcast import Broadcast
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources.shared import drop, new_path, shared_dir, stage
 
-_LOCAL: dict[str, str] = {}
+__all__ = ["drop", "new_path", "shared_dir", "stage", "key_filter", "passes"]
 
+MAX_BITS = 1 << 28
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, one machine), a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
 
+def key_filter(keys: DataFrame, column: str, bits: int) -> Broadcast:
+    """A bit for each key of a long column, at key modulo ``bits`` (a power of two, at most 2^28: 32 MB whatever the
+    input). Rows that pass may still have no partner, so an exact join must follow."""
+    bits = min(MAX_BITS, max(1 << 15, bits))
+    low = F.col(column).bitwiseAND(F.lit(bits - 1)).cast("long") + 1  # Spark's bitmap positions begin at 1
+    at = keys.where(F.col(column).isNotNull()).select(low.alias("at"))
+    at = at.select(F.bitmap_bucket_number("at").alias("bucket"), F.bitmap_bit_position("at").alias("bit"))
+    words = np.zeros(bits // 8, np.uint8)
+    for bucket, part in at.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("part")).collect():
+        base = (bucket - 1) * 4096
+        words[base : base + 4096] |= np.frombuffer(bytes(part), np.uint8)
+    return keys.sparkSession.sparkContext.broadcast((words, bits))
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-
-def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write a table once and read it back: cuts the lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete staged tables that no later step reads."""
-    for df in tables:
-        path = getattr(df, "_staged_at", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+def passes(filter_: Broadcast, keys: np.ndarray) -> np.ndarray:
+    words, bits = filter_.value
+    at = keys.astype(np.int64) & (bits - 1)
+    return (words[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
