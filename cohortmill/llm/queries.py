@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard, line_dedup, quality, token_counts, warc
+from . import chat, decontamination, jaccard, line_dedup, quality, sentence_spans, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,15 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lost = sentence_spans.span_dedup(table(spark, sf_dir, "documents"))
+    return lost.select("doc_id", "first_doc_ids", "n_sentences", "n_removed", "n_removed_words", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -39,7 +48,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op5_quality_rules, op6_line_dedup, op7_chat_formatting, op8_warc, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_substring_dedup, op4_decontamination, op5_quality_rules, op6_line_dedup, op7_chat_formatting, op8_warc, op9_token_counts)}
 
 SQL = {
     "op2_ngram_jaccard": r"""
