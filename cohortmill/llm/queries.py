@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, line_dedup, quality, sentence_spans, token_counts, warc
+from . import chat, decontamination, jaccard, line_dedup, lm_scoring, quality, sentence_spans, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -48,7 +52,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard, op3_substring_dedup, op4_decontamination, op5_quality_rules, op6_line_dedup, op7_chat_formatting, op8_warc, op9_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_ngram_jaccard, op3_substring_dedup, op4_decontamination, op5_quality_rules, op6_line_dedup, op7_chat_formatting, op8_warc, op9_token_counts)}
 
 SQL = {
     "op2_ngram_jaccard": r"""
