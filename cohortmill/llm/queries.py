@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, line_dedup, lm_scoring, quality, sentence_spans, token_counts, warc
+from . import chat, decontamination, jaccard, line_dedup, lm_scoring, mixing, quality, sentence_spans, token_counts, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +52,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_ngram_jaccard, op3_substring_dedup, op4_decontamination, op5_quality_rules, op6_line_dedup, op7_chat_formatting, op8_warc, op9_token_counts)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_ngram_jaccard, op3_substring_dedup, op4_decontamination, op5_quality_rules, op6_line_dedup, op7_chat_formatting, op8_warc, op9_token_counts, op10_mixing)}
 
 SQL = {
     "op2_ngram_jaccard": r"""
