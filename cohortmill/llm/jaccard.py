@@ -299,3 +299,12 @@ def _bits(n: int) -> int:
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: five-word shingles and a similarity of 0.8 unless told otherwise."""
     return JaccardJoin(docs, k, num, den).run()
+
+
+def drop_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents without all but the smallest doc_id of each component, and without repeated rows of a doc_id. Rows
+    with null doc_id stay. Other columns are kept."""
+    found = near_duplicates(docs, k, num, den)
+    losers = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct(), "copies")
+    kept = docs.hint("shuffle_merge").join(losers, docs["doc_id"] == losers["_lost"], "left_anti")
+    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
