@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,10 +76,10 @@ class Scheme:
         low = -(-num // (den - num))  # smaller sets link with equal ones only
         lows = [low]
         while lows[-1] < most:
-            lows.append(-(-lows[-1] * 3 // 2))
+            lows.append(-(-lows[-1] * 13 // 10))
         self.low = np.array(lows)
         self.differ = (self.low[1:] - 1) * (den - num) // num  # most tokens that a pair of a level differs in
-        self.parts = self.differ * 11 // 10 + 3
+        self.parts = self.differ * 21 // 20 + 2
 
     def keys(self, u: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the set, root key) of every root of every set."""
@@ -256,7 +257,7 @@ class JaccardJoin:
         placed = placed.select("k", "id", "comp", F.when(F.col("n") <= f // 2, pooled).otherwise(whole).alias("leaf"))
         ored = [F.bit_or(s).alias(s) for s in SIG]
         leaf = placed.hint("shuffle_merge").join(docs, "id").groupBy("k", "leaf").agg(
-            F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("extra").alias("extra"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), F.collect_list(F.struct("id", "comp")).alias("of"), *ored)
+            F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("extra").alias("extra"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), F.collect_list(F.struct("id", "comp", "size", *SIG)).alias("of"), *ored)
         leaves = leaf.groupBy("k").agg(F.count("*").alias("n"))
         leaf = stage(leaf.hint("shuffle_merge").join(leaves, "k").withColumn("branch", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("n") / f))).drop("n"), "leaves")
         branch = leaf.groupBy("k", "branch").agg(
@@ -268,13 +269,7 @@ class JaccardJoin:
         down = top.hint("shuffle_merge").join(x, (F.col("x.k") == top.k) & (F.col("x.branch") == top.bx))
         down = down.hint("shuffle_merge").join(y, (F.col("y.k") == top.k) & (F.col("y.branch") == top.by) & self.bounded("x", "y"))
         down = down.where("bx < by or x.leaf <= y.leaf").select(F.col("x.of").alias("ox"), F.col("y.of").alias("oy"))
-        pair = down.select(F.explode("ox").alias("p"), "oy").select("p", F.explode("oy").alias("q")).where("p.comp <> q.comp")
-        pair = pair.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
-        x, y = docs.alias("x"), docs.alias("y")
-        pair = pair.hint("shuffle_merge").join(x, F.col("a") == F.col("x.id")).hint("shuffle_merge").join(y, F.col("b") == F.col("y.id"))
-        lost = lambda p, q: sum((F.bit_count(F.col(f"{p}.{s}").bitwiseAND(F.bitwise_not(F.col(f"{q}.{s}")))) for s in SIG), F.lit(0))
-        most = F.least(F.col("x.size") - lost("x", "y"), F.col("y.size") - lost("y", "x"))
-        return pair.where(most * (self.num + self.den) >= self.num * (F.col("x.size") + F.col("y.size"))).select("a", "b")
+        return down.mapInArrow(_member_pairs(self.num, self.den), "a long, b long").distinct()
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row of documents."""
@@ -292,6 +287,40 @@ class JaccardJoin:
         return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _member_pairs(num: int, den: int, most: int = 500_000):
+    """The last level of the walk: pairs of members of two leaves whose own bitmaps allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            side = []
+            for c in ("ox", "oy"):
+                col = batch.column(c)
+                flat = col.flatten()
+                at = np.concatenate([[0], np.cumsum(pc.list_value_length(col).to_numpy())]).astype(np.int64)
+                field = lambda name: flat.field(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+                side.append((at, field("id"), field("comp"), field("size"), np.stack([field(s) for s in SIG], 1).view(np.uint64)))
+            (at, *x), (bt, *y) = side
+            pairs = np.concatenate([[0], np.cumsum(np.diff(at) * np.diff(bt))])
+            row = 0
+            while row < batch.num_rows:
+                to = max(row + 1, int(np.searchsorted(pairs, pairs[row] + most, "right")) - 1)
+                n = np.diff(pairs[row : to + 1])
+                who = np.repeat(np.arange(row, to), n)
+                at_pair = np.arange(n.sum()) - np.repeat(pairs[row:to] - pairs[row], n)
+                wide = np.diff(bt)[who]
+                i, j = at[who] + at_pair // wide, bt[who] + at_pair % wide
+                fit = (x[1][i] != y[1][j]) & (x[2][i] * num <= y[2][j] * den) & (y[2][j] * num <= x[2][i] * den)
+                i, j = i[fit], j[fit]
+                p, q = x[3][i], y[3][j]
+                most_common = np.minimum(x[2][i] - np.bitwise_count(p & ~q).sum(1).astype(np.int64), y[2][j] - np.bitwise_count(q & ~p).sum(1).astype(np.int64))
+                fit = most_common * (num + den) >= num * (x[2][i] + y[2][j])
+                found = np.unique(np.sort(np.stack([x[0][i[fit]], y[0][j[fit]]], 1), axis=1), axis=0)
+                yield _batch(a=pa.array(np.ascontiguousarray(found[:, 0])), b=pa.array(np.ascontiguousarray(found[:, 1])))
+                row = to
+
+    return run
+
+
 def _bits(n: int) -> int:
     return 1 << max(20, int(n).bit_length() + 1)
 
