@@ -5,7 +5,8 @@ doc_id; a batch merge-anti-joins the runs, adds its unseen keys as a new level-0
 into one of the next when ``fan_in`` of them exist. A line whose key belongs to another document goes.
 
 Defined cases: null or empty text is one empty line; null doc_id: the row passes unchanged and owns nothing; rows with
-the same doc_id count as one document; keys shorter than ``min_chars`` are never compared; extra columns pass through.
+the same doc_id count as one document; keys shorter than ``min_chars`` are never compared; extra columns pass through
+(n_lines and n_dropped are replaced).
 """
 
 from __future__ import annotations
@@ -73,10 +74,10 @@ class LineStore:
                 self.levels[n] = []
 
 
-def _rebuild(digest: bool):
+def _rebuild(digest: bool, mark: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, lost = b.column("text"), b.column("_lost")
+            texts, lost = b.column("text"), b.column(mark)
             kept_texts, n_lines, n_dropped, sums = [], [], [], []
             for i in range(b.num_rows):
                 text = texts[i].as_py()
@@ -95,7 +96,7 @@ def _rebuild(digest: bool):
                     kept_texts.append(text)
             new = {"n_lines": pa.array(n_lines, pa.int64()), "n_dropped": pa.array(n_dropped, pa.int64())}
             new |= {"kept_sha256": pa.array(sums, pa.string())} if digest else {"text": pa.array(kept_texts, pa.string())}
-            keep = [c for c in b.schema.names if c not in ("text", "_lost")]
+            keep = [c for c in b.schema.names if c not in ("text", mark)]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + list(new.values()), keep + list(new))
 
     return run
@@ -113,14 +114,15 @@ def line_dedup(docs: DataFrame, batches: int = 3, min_chars: int = 10, fan_in: i
                 keys = line_keys(docs.where(F.col("doc_id").between(a, b - 1)), min_chars)
                 one = store.add(keys)
                 losing = one if losing is None else losing.union(one)
-    docs = docs.drop("n_lines", "n_dropped", "_lost")
-    if digest:
-        docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text") if digest else docs.drop("n_lines", "n_dropped")
+    mark = "_lost"
+    while mark in docs.columns:
+        mark += "_"
     if losing is None:
-        joined = docs.withColumn("_lost", F.lit(None).cast("array<binary>"))
+        joined = docs.withColumn(mark, F.lit(None).cast("array<binary>"))
     else:
-        lost = losing.groupBy("doc_id").agg(F.collect_set("key").alias("_lost"))
+        lost = losing.groupBy("doc_id").agg(F.collect_set("key").alias(mark))
         joined = docs.hint("shuffle_merge").join(lost, "doc_id", "left")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", "_lost")]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("text", mark)]
     fields += ["n_lines long", "n_dropped long", "kept_sha256 string" if digest else "text string"]
-    return joined.mapInArrow(_rebuild(digest), ", ".join(fields))
+    return joined.mapInArrow(_rebuild(digest, mark), ", ".join(fields))
