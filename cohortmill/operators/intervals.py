@@ -79,3 +79,23 @@ def depth_bins(segments: DataFrame, keys: Sequence[str], width: int) -> DataFram
     b = segments.select(*keys, "start0", "end0", "depth", F.explode(F.sequence(F.floor(F.col("start0") / width), F.floor((F.col("end0") - 1) / width))).alias("bin"))
     part = F.least("end0", (F.col("bin") + 1) * width) - F.greatest("start0", F.col("bin") * width)
     return b.groupBy(*keys, "bin").agg(F.sum(part * F.col("depth")).alias("bases"))
+
+
+def lift(children: DataFrame, parents: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Children inside a parent, in the parent's own coordinates and strand: structs ``l`` (parent) and ``r`` (child), start, stop, strand."""
+    met = overlap_join(parents, children, keys).where("r.start0 >= l.start0 and r.end0 <= l.end0")
+    plus = F.col("l.strand") == "+"
+    start = F.when(plus, F.col("r.start0") - F.col("l.start0")).otherwise(F.col("l.end0") - F.col("r.end0"))
+    strand = F.when(F.col("l.strand") == F.col("r.strand"), "+").otherwise("-")
+    return met.select("l", "r", start.alias("start"), (start + F.col("r.end0") - F.col("r.start0")).alias("stop"), strand.alias("strand"))
+
+
+def depth_statistics(segments: DataFrame, loci: DataFrame, keys: Sequence[str], locus: str) -> DataFrame:
+    """Mean and population standard deviation of depth over each locus, uncovered bases counted as 0."""
+    met = overlap_join(loci, segments, keys)
+    part, depth = F.col("overlap"), F.col("r.depth")
+    sums = met.groupBy(F.col(f"l.{locus}").alias(locus)).agg(F.sum(part * depth).alias("s"), F.sum(part * depth * depth).alias("s2"))
+    out = loci.where("end0 > start0").hint("shuffle_merge").join(sums, locus, "left")
+    n = (F.col("end0") - F.col("start0")).cast("double")
+    mean = F.coalesce("s", F.lit(0)) / n
+    return out.select(locus, mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.coalesce("s2", F.lit(0)) / n - mean * mean)).alias("sd"))

@@ -90,3 +90,33 @@ def test_upsert_refuses_changed_rows(spark):
 def test_unions_need_equal_schemas(spark):
     with pytest.raises(ValueError):
         shape.union_strict(spark.range(1), spark.range(1).selectExpr("cast(id as int) id"))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_greedy_rounds_are_the_greedy_walk(spark, seed):
+    from cohortmill.operators import clustering
+
+    r = random.Random(seed)
+    nodes = list(range(40))
+    edges = [(r.randrange(35), r.randrange(35)) for _ in range(60)]
+    rank = {n: x for n, x in zip(nodes, r.sample(range(1000), 40))}
+    near = {n: {b for a, b in edges if a == n} | {a for a, b in edges if b == n} for n in nodes}
+    reps = []
+    for n in sorted(nodes, key=rank.get):
+        if not near[n] & set(reps):
+            reps.append(n)
+    df = spark.createDataFrame(list(rank.items()), "node int, rank int")
+    e = spark.createDataFrame(edges, "a int, b int")
+    out = clustering.greedy_representatives(df, e).cache()
+    assert {x.node for x in out.where("is_representative").collect()} == set(reps)
+    found = {x.node: (x.status, x.representatives) for x in clustering.memberships(out, e).collect()}
+    for n in nodes:
+        mine = sorted(map(str, near[n] & set(reps)))
+        assert found[n] == (("representative", str(n)) if n in reps else ("member" if len(mine) == 1 else "ambiguous", ";".join(mine)))
+
+
+def test_cigar_blocks(spark):
+    from cohortmill.functions import cigar
+
+    row = spark.createDataFrame([("3S4M2D5=1I6X7N2M1H",)], "c string").select(cigar.blocks("c", F.lit(100)).alias("b"), cigar.length_of(cigar.operations("c"), cigar.QUERY).alias("n")).first()
+    assert [(b.query0, b.ref0, b.n) for b in row.b] == [(3, 100, 4), (7, 106, 5), (13, 111, 6), (19, 124, 2)] and row.n == 21
