@@ -55,22 +55,28 @@ def detected(breadth_min):
     return V.detection_state(F.col("breadth"), F.col("value"), F.col("n_assigned"), F.col("n_ambiguous"), breadth_min)
 
 
-@query(with_views(f"SELECT donor, feature, {DETECT.format(b='0.75')} AS state FROM meas", "meas"))
+@query(with_views(f"SELECT donor, feature, {DETECT.format(b='0.5')} AS state FROM meas", "meas"))
 def detect_states(spark, d):
-    return view(spark, d, "meas").select("donor", "feature", detected(0.75).alias("state"))
+    return view(spark, d, "meas").select("donor", "feature", detected(0.5).alias("state"))
 
 
-@query(with_views(f"SELECT CAST(t AS DOUBLE) AS threshold, grp, {DETECT.format(b='t')} AS state, count(*) AS n FROM meas CROSS JOIN (VALUES (0.3), (0.5), (0.75)) x(t) GROUP BY 1, 2, 3", "meas"))
+@query(with_views(f"SELECT CAST(t AS DOUBLE) AS threshold, grp, {DETECT.format(b='t')} AS state, count(*) AS n FROM meas CROSS JOIN (VALUES (0.45), (0.5), (0.55)) x(t) GROUP BY 1, 2, 3", "meas"))
 def threshold_scan(spark, d):
-    each = view(spark, d, "meas").withColumn("threshold", F.explode(F.array(F.lit(0.3), F.lit(0.5), F.lit(0.75))))
+    each = view(spark, d, "meas").withColumn("threshold", F.explode(F.array(F.lit(0.45), F.lit(0.5), F.lit(0.55))))
     return each.groupBy("threshold", "grp", detected(F.col("threshold")).alias("state")).agg(F.count("*").alias("n"))
 
 
-@query(with_views("""SELECT d.donor, f.feature, CASE WHEN m.donor IS NULL THEN 'not_assessed' ELSE 'assessed' END AS status, m.value
- FROM (SELECT DISTINCT donor FROM meas) d CROSS JOIN (SELECT DISTINCT feature FROM meas) f LEFT JOIN meas m ON m.donor = d.donor AND m.feature = f.feature""", "meas"))
+CELLS = "cell AS (SELECT o_custkey, o_orderpriority, count(*) AS value FROM orders GROUP BY 1, 2)"
+
+
+def cells(spark, d):
+    return table(spark, d, "orders").groupBy("o_custkey", "o_orderpriority").agg(F.count("*").alias("value"))
+
+
+@query(f"""WITH {CELLS} SELECT d.o_custkey, f.o_orderpriority, CASE WHEN m.value IS NULL THEN 'not_assessed' ELSE 'assessed' END AS status, m.value
+ FROM (SELECT DISTINCT o_custkey FROM cell) d CROSS JOIN (SELECT DISTINCT o_orderpriority FROM cell) f LEFT JOIN cell m ON m.o_custkey = d.o_custkey AND m.o_orderpriority = f.o_orderpriority""")
 def rectangle(spark, d):
-    m = view(spark, d, "meas").select("donor", "feature", "value")
-    return shape.rectangle(m, ["donor"], ["feature"]).select("donor", "feature", "status", "value")
+    return shape.rectangle(cells(spark, d), ["o_custkey"], ["o_orderpriority"]).select("o_custkey", "o_orderpriority", "status", "value")
 
 
 @query(with_views("SELECT grp, feature, median(value) AS median_value, round(avg(value), 6) AS mean_value, min(value) AS low, max(value) AS high, count(*) AS n FROM meas GROUP BY 1, 2", "meas"))
@@ -79,13 +85,13 @@ def group_median(spark, d):
 
 
 def fisher_tables(spark, d):
-    hit = F.when(F.col("breadth") >= 0.75, 1).otherwise(0)
+    hit = F.when(F.col("breadth") >= 0.5, 1).otherwise(0)
     case = F.when(F.col("grp") == "case", 1).otherwise(0)
     return view(spark, d, "meas").groupBy("feature").agg(F.sum(hit * case).alias("a"), F.sum((1 - hit) * case).alias("b"), F.sum(hit * (1 - case)).alias("c"), F.sum((1 - hit) * (1 - case)).alias("d"))
 
 
-FISHER = """tab AS (SELECT feature, CAST(sum(CASE WHEN grp = 'case' AND breadth >= 0.75 THEN 1 ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE WHEN grp = 'case' AND breadth < 0.75 THEN 1 ELSE 0 END) AS BIGINT) AS b,
- CAST(sum(CASE WHEN grp <> 'case' AND breadth >= 0.75 THEN 1 ELSE 0 END) AS BIGINT) AS c, CAST(sum(CASE WHEN grp <> 'case' AND breadth < 0.75 THEN 1 ELSE 0 END) AS BIGINT) AS d FROM meas GROUP BY feature),
+FISHER = """tab AS (SELECT feature, CAST(sum(CASE WHEN grp = 'case' AND breadth >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE WHEN grp = 'case' AND breadth < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS b,
+ CAST(sum(CASE WHEN grp <> 'case' AND breadth >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS c, CAST(sum(CASE WHEN grp <> 'case' AND breadth < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS d FROM meas GROUP BY feature),
 xs AS (SELECT t.*, x, (factorial(CAST(a + b AS INTEGER)) / (factorial(CAST(x AS INTEGER)) * factorial(CAST(a + b - x AS INTEGER)))) * (factorial(CAST(c + d AS INTEGER)) / (factorial(CAST(a + c - x AS INTEGER)) * factorial(CAST(c + d - a - c + x AS INTEGER)))) AS w
  FROM tab t, range(0, 21) r(x) WHERE x <= a + b AND x <= a + c AND a + c - x <= c + d),
 fish AS (SELECT feature, a, b, c, d, sum(CASE WHEN w <= w0 THEN w END) / sum(w) AS p
@@ -193,9 +199,9 @@ def join_left_default(spark, d):
 
 
 @query("""SELECT coalesce(a.k, b.k) AS k, a.v AS left_value, b.v AS right_value, CASE WHEN b.k IS NULL THEN 'left_only' WHEN a.k IS NULL THEN 'right_only' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'equal' ELSE 'differs' END AS finding
- FROM (SELECT doc_id AS k, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS v FROM documents WHERE doc_id % 7 <> 0) a FULL OUTER JOIN (SELECT doc_id AS k, quality AS v FROM labels) b ON a.k = b.k""")
+ FROM (SELECT doc_id AS k, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS v FROM documents) a FULL OUTER JOIN (SELECT doc_id AS k, quality AS v FROM labels) b ON a.k = b.k""")
 def reconcile(spark, d):
-    a = table(spark, d, "documents").where("doc_id % 7 <> 0").select(F.col("doc_id").alias("k"), F.when(F.col("n_chars") > 1000, 1).otherwise(0).alias("v"))
+    a = table(spark, d, "documents").select(F.col("doc_id").alias("k"), F.when(F.col("n_chars") > 1000, 1).otherwise(0).alias("v"))
     return shape.reconcile(a, table(spark, d, "labels").select(F.col("doc_id").alias("k"), F.col("quality").alias("v")), "k", "v")
 
 
@@ -292,9 +298,9 @@ def dq_fd(spark, d):
     return checks.dependency_conflicts(table(spark, d, "part"), ["p_brand", "p_type"], "p_size")
 
 
-@query(with_views("SELECT r AS n_rows, c AS n_columns, n AS n_cells, r * c AS n_expected FROM (SELECT count(DISTINCT donor) AS r, count(DISTINCT feature) AS c, count(DISTINCT (donor, feature)) AS n FROM meas) WHERE n <> r * c", "meas"))
+@query(f"WITH {CELLS} SELECT r AS n_rows, c AS n_columns, n AS n_cells, r * c AS n_expected FROM (SELECT count(DISTINCT o_custkey) AS r, count(DISTINCT o_orderpriority) AS c, count(DISTINCT (o_custkey, o_orderpriority)) AS n FROM cell) WHERE n <> r * c")
 def dq_cardinality(spark, d):
-    return checks.incomplete_rectangle(view(spark, d, "meas"), ["donor"], ["feature"])
+    return checks.incomplete_rectangle(cells(spark, d), ["o_custkey"], ["o_orderpriority"])
 
 
 @query("SELECT doc_id, n_chars, length(text) AS recomputed FROM documents WHERE abs(n_chars - length(text)) > 0 OR (n_chars IS NULL) <> (text IS NULL)")

@@ -42,9 +42,9 @@ def neighborhood_topk(spark, d):
     return top.select("locus_id", "iv_id", F.col("rank").alias("place"))
 
 
-@query(with_views(f"SELECT x.locus_id AS a, y.locus_id AS b, {REL.format(a='x', b='y')} AS relation FROM loci x JOIN loci y ON x.contig = y.contig AND x.locus_id < y.locus_id AND x.caller <> y.caller WHERE x.locus_id % 4 = 0 AND y.locus_id % 4 = 0", "loci"))
+@query(with_views(f"SELECT x.locus_id AS a, y.locus_id AS b, {REL.format(a='x', b='y')} AS relation FROM loci x JOIN loci y ON x.contig = y.contig AND x.locus_id < y.locus_id AND x.caller <> y.caller", "loci"))
 def caller_pairs(spark, d):
-    loci = view(spark, d, "loci").where("locus_id % 4 = 0")
+    loci = view(spark, d, "loci")
     x, y = loci.alias("x"), loci.alias("y")
     both = x.join(y, (F.col("x.contig") == F.col("y.contig")) & (F.col("x.locus_id") < F.col("y.locus_id")) & (F.col("x.caller") != F.col("y.caller")))
     rel = S.relation(F.col("x.start0"), F.col("x.end0"), F.col("y.start0"), F.col("y.end0"))
@@ -189,9 +189,9 @@ def entropy(spark, d):
 CODE = S.standard_code()
 
 
-@query(with_views("SELECT doc_id, md5(coalesce(array_to_string(list_transform(range(0, CAST(floor(length(seq) / 3) AS BIGINT)), lambda i: map_extract(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in CODE.items()) + "}, seq[3 * i + 1:3 * i + 3])[1]), ''), '')) AS protein FROM seq WHERE doc_id % 5 = 0", "seq"))
+@query(with_views("SELECT doc_id, md5(coalesce(array_to_string(list_transform(range(0, CAST(floor(length(seq) / 3) AS BIGINT)), lambda i: map_extract(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in CODE.items()) + "}, seq[3 * i + 1:3 * i + 3])[1]), ''), '')) AS protein FROM seq", "seq"))
 def translate_cds(spark, d):
-    return view(spark, d, "seq").where("doc_id % 5 = 0").select("doc_id", F.md5(S.translate_codons("seq", CODE)).alias("protein"))
+    return view(spark, d, "seq").select("doc_id", F.md5(S.translate_codons("seq", CODE)).alias("protein"))
 
 
 @query(with_views("SELECT doc_id, seq_hash, row_number() OVER (PARTITION BY seq_hash ORDER BY doc_id) = 1 AS kept FROM (SELECT doc_id, md5(seq) AS seq_hash FROM seq)", "seq"))

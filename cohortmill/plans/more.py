@@ -105,12 +105,12 @@ def best_ref(spark, d):
     return evidence.best_reference(view(spark, d, "hit"), "gene_id", "model_id", "score", 30000)
 
 
-@query("""SELECT s_suppkey, b.p_brand FROM supplier CROSS JOIN (SELECT DISTINCT p_brand FROM part WHERE p_partkey % 400 = 7) b
- WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey % 400 = 7 AND part.p_brand = b.p_brand AND p_type NOT IN (SELECT p_type FROM lineitem JOIN part p2 ON l_partkey = p2.p_partkey WHERE l_suppkey = s_suppkey AND l_orderkey % 50 = 0))""")
+@query("""WITH need AS (SELECT DISTINCT p_brand, p_size FROM part), own AS (SELECT DISTINCT l_suppkey, p_size FROM lineitem JOIN part ON l_partkey = p_partkey)
+ SELECT l_suppkey, n.p_brand FROM own JOIN need n ON own.p_size = n.p_size GROUP BY 1, 2 HAVING count(*) = (SELECT count(*) FROM need m WHERE m.p_brand = n.p_brand)""")
 def rel_division(spark, d):
-    part, line = table(spark, d, "part"), table(spark, d, "lineitem").where("l_orderkey % 50 = 0")
-    owned = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("s_suppkey"), "p_type")
-    return shape.divides(owned, part.where("p_partkey % 400 = 7"), "s_suppkey", "p_type", "p_brand")
+    part, line = table(spark, d, "part"), table(spark, d, "lineitem")
+    owned = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "p_size")
+    return shape.divides(owned, part, "l_suppkey", "p_size", "p_brand")
 
 
 @query("SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS k FROM events")
@@ -143,11 +143,11 @@ def merge_guarded(spark, d):
 
 
 @query("""SELECT coalesce(o.c_custkey, n.c_custkey) AS c_custkey, coalesce(o.seg, n.seg) AS seg, CASE WHEN o.c_custkey IS NULL THEN 'added' WHEN n.c_custkey IS NULL OR o.seg IS NOT DISTINCT FROM n.seg THEN 'kept' ELSE 'refused' END AS action
- FROM (SELECT c_custkey, c_mktsegment AS seg FROM customer WHERE c_custkey % 3 <> 0) o FULL OUTER JOIN (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'NEW' ELSE c_mktsegment END AS seg FROM customer WHERE c_custkey % 2 = 0) n ON o.c_custkey = n.c_custkey""")
+ FROM (SELECT c_custkey, c_mktsegment AS seg FROM customer WHERE c_mktsegment <> 'BUILDING') o FULL OUTER JOIN (SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'NEW' ELSE c_mktsegment END AS seg FROM customer WHERE c_acctbal > 0) n ON o.c_custkey = n.c_custkey""")
 def upsert_guard(spark, d):
     c = table(spark, d, "customer")
-    old = c.where("c_custkey % 3 <> 0").select("c_custkey", F.col("c_mktsegment").alias("seg"))
-    new = c.where("c_custkey % 2 = 0").select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, "NEW").otherwise(F.col("c_mktsegment")).alias("seg"))
+    old = c.where("c_mktsegment <> 'BUILDING'").select("c_custkey", F.col("c_mktsegment").alias("seg"))
+    new = c.where("c_acctbal > 0").select("c_custkey", F.when(F.col("c_acctbal") > 5000, "NEW").otherwise(F.col("c_mktsegment")).alias("seg"))
     return shape.upsert(old, new, "c_custkey")
 
 

@@ -7,27 +7,25 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
-    "iv": """SELECT l_suppkey % 10 AS contig, l_orderkey * 10 + l_linenumber AS iv_id,
+    "iv": """SELECT l_suppkey AS contig, l_orderkey * 10 + l_linenumber AS iv_id,
        (l_partkey * 37 + l_linenumber * 101) % 100000 AS start0,
        (l_partkey * 37 + l_linenumber * 101) % 100000 + CAST(l_quantity AS BIGINT) * 20 AS end0,
        CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand
-FROM {lineitem} WHERE l_orderkey % 5 = 0""",
-    "loci": """SELECT p_partkey % 10 AS contig, p_partkey AS locus_id, (p_partkey * 53) % 100000 AS start0,
+FROM {lineitem}""",
+    "loci": """SELECT p_partkey % 1000 AS contig, p_partkey AS locus_id, (p_partkey * 53) % 100000 AS start0,
        (p_partkey * 53) % 100000 + p_size * 40 AS end0,
        CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand, p_brand AS caller
 FROM {part}""",
     "meas": """SELECT o_custkey % 10 AS donor, CASE WHEN o_custkey % 10 < 5 THEN 'case' ELSE 'control' END AS grp,
        p_brand AS feature, SUM(l_quantity) AS value, COUNT(*) AS n_assigned,
-       SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS n_ambiguous, MAX(l_discount) * 10 AS breadth
+       SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS n_ambiguous, round(AVG(l_discount) * 10, 6) AS breadth
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey
-WHERE l_orderkey % 97 = 3
 GROUP BY o_custkey % 10, CASE WHEN o_custkey % 10 < 5 THEN 'case' ELSE 'control' END, p_brand""",
     "aln": """SELECT CAST(floor(event_id / 2) AS BIGINT) AS qname, event_id % 2 + 1 AS mate, user_id % 20 AS ref,
        (event_id * 97) % 5000 AS pos, event_id % 50 AS mapq,
        CASE WHEN event_type = 'error' THEN 4 ELSE 0 END AS flag, value AS score
 FROM {events}""",
-    "edge": """SELECT DISTINCT concat('s', CAST(l_suppkey AS VARCHAR(20))) AS a, concat('p', CAST(l_partkey AS VARCHAR(20))) AS b
-FROM {lineitem} WHERE l_orderkey % 211 = 0""",
+    "edge": """SELECT concat('o', CAST(o_orderkey AS VARCHAR(20))) AS a, concat('c', CAST(o_custkey AS VARCHAR(20))) AS b FROM {orders}""",
     "truth": """SELECT d.doc_id AS unit_id, d.lang AS profile, CASE WHEN b.quality IS NULL THEN 'unknown' ELSE CAST(b.quality AS VARCHAR(9)) END AS truth,
        CASE WHEN d.n_chars >= 600 THEN 'detected' WHEN d.n_chars < 60 THEN 'not_resolvable' ELSE 'not_detected' END AS detection_status
 FROM {documents} d LEFT JOIN {labels} b ON d.doc_id = b.doc_id""",
