@@ -9,7 +9,9 @@ All texts go in; links (Jaccard of distinct word shingles at or above num/den) a
    equal part; (level of size, part, its content) names a root of a tree. Levels bound the size ranges that meet in a
    root. A set with too few non-empty parts for that argument also takes the roots of its prefix tokens. Roots that hold
    one star component only have no more links to give.
-4. *Trees.* Under each root left, leaf nodes of about ``fan_out`` classes hold the OR of their members' token bitmaps, the
+4. *Nearest.* In each leaf of a root left (see 5), every class is verified with the one its bitmap comes nearest to. Families
+   whose members link with some of each other, but not with one star, grow together here, again at linear cost.
+5. *Trees.* Under each root that still holds several components, leaf nodes of about ``fan_out`` classes hold the OR of their members' token bitmaps, the
    range of set sizes and the most tokens that share a bit; branch nodes hold the same over leaves. Pairs of nodes are
    walked from the branches down; a pair goes if its largest possible overlap (common bits plus shared-bit tokens, at
    most the smaller size) is too small for its smallest sizes, or if both lie in one component. What is left is bounded
@@ -219,8 +221,8 @@ class JaccardJoin:
         heads = bands.groupBy("band", "h").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").drop("z")
         return self.verify(bands.hint("shuffle_merge").join(heads, ["band", "h"]).select("a", F.col("rep").alias("b")))
 
-    def open_roots(self, classes: DataFrame, parts: DataFrame) -> DataFrame:
-        """(k, id, comp): the classes under each root that holds several components."""
+    def shared_roots(self, classes: DataFrame) -> DataFrame:
+        """(k, id): the classes under each root that several documents have."""
         schema = "k long, id long"
         keys = self.known.mapInArrow(_key_rows(self.k, self.scheme), schema)
         shared = keys.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("k")
@@ -228,11 +230,14 @@ class JaccardJoin:
         wanted = key_filter(shared, "k", _bits(16 * shared.count()))
         keys = self.known.mapInArrow(_key_rows(self.k, self.scheme, wanted), schema).distinct()
         keys = keys.hint("shuffle_merge").join(shared, "k", "left_semi")
-        names = classes.select(F.col("rep").alias("id")).hint("shuffle_merge").join(parts, F.col("id") == F.col("node"), "left")
-        names = names.select("id", F.coalesce("component", "id").alias("comp"))
-        members = stage(keys.hint("shuffle_merge").join(names, "id"), "members")
-        mixed = members.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
-        return stage(members.hint("shuffle_merge").join(mixed, "k", "left_semi").select("k", "id", "comp"), "open")
+        return stage(keys.hint("shuffle_merge").join(classes.select(F.col("rep").alias("id")), "id"), "members")
+
+    def open_members(self, members: DataFrame, parts: DataFrame) -> DataFrame:
+        """(k, id, comp) under the roots that hold several components."""
+        named = members.hint("shuffle_merge").join(parts, F.col("id") == F.col("node"), "left")
+        named = stage(named.select("k", "id", F.coalesce("component", "id").alias("comp")), "named")
+        mixed = named.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
+        return stage(named.hint("shuffle_merge").join(mixed, "k", "left_semi").select("k", "id", "comp"), "open")
 
     def bounded(self, x: str, y: str) -> Column:
         """Whether two nodes may hold a link: overlap >= num/(num + den) of the two sizes, by bitmaps and size ranges."""
@@ -242,16 +247,19 @@ class JaccardJoin:
         apart = (F.col(f"{x}.c_lo") != F.col(f"{x}.c_hi")) | (F.col(f"{y}.c_lo") != F.col(f"{y}.c_hi")) | (F.col(f"{x}.c_lo") != F.col(f"{y}.c_lo"))
         return apart & sizes & (most * (self.num + self.den) >= self.num * (F.col(f"{x}.lo") + F.col(f"{y}.lo")))
 
-    def tree_pairs(self, members: DataFrame) -> DataFrame:
-        """Candidate pairs by dual traversal of the tree under each root."""
+    def signatures(self, members: DataFrame) -> DataFrame:
         ids = members.select("id").distinct()
         docs = self.known.mapInArrow(_signature_rows(self.k, key_filter(ids, "id", _bits(10 * ids.count()))), ", ".join(["id long, size long, extra long", *(f"{s} long" for s in SIG)]))
-        docs = stage(docs.hint("shuffle_merge").join(ids, "id", "left_semi").dropDuplicates(["id"]), "signatures")
+        return stage(docs.hint("shuffle_merge").join(ids, "id", "left_semi").dropDuplicates(["id"]), "signatures")
+
+    def leaves(self, members: DataFrame, docs: DataFrame) -> DataFrame:
+        """The leaf nodes under each root, and the branch each belongs to. Small components share leaves, dealt anew under
+        each root; large ones have leaves of their own."""
         f = self.fan_out
         per = members.groupBy("k", "comp").agg(F.count("*").alias("n"))
         small = per.where(F.col("n") <= f // 2).groupBy("k").agg(F.sum("n").alias("n_small"))
         per = per.hint("shuffle_merge").join(small, "k", "left")
-        pooled = F.pmod(F.xxhash64("comp"), F.ceil(F.col("n_small") / f))
+        pooled = F.pmod(F.xxhash64("comp", "k"), F.ceil(F.col("n_small") / f))
         whole = F.xxhash64("comp", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / f)))
         placed = members.hint("shuffle_merge").join(per, ["k", "comp"])
         placed = placed.select("k", "id", "comp", F.when(F.col("n") <= f // 2, pooled).otherwise(whole).alias("leaf"))
@@ -259,7 +267,16 @@ class JaccardJoin:
         leaf = placed.hint("shuffle_merge").join(docs, "id").groupBy("k", "leaf").agg(
             F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("extra").alias("extra"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), F.collect_list(F.struct("id", "comp", "size", *SIG)).alias("of"), *ored)
         leaves = leaf.groupBy("k").agg(F.count("*").alias("n"))
-        leaf = stage(leaf.hint("shuffle_merge").join(leaves, "k").withColumn("branch", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("n") / f))).drop("n"), "leaves")
+        return stage(leaf.hint("shuffle_merge").join(leaves, "k").withColumn("branch", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("n") / f))).drop("n"), "leaves")
+
+    def nearest_pairs(self, leaf: DataFrame) -> DataFrame:
+        """For each member, the member of its leaf that its bitmap comes nearest to: one row a member at most."""
+        own = leaf.where("c_lo <> c_hi").select(F.col("of").alias("ox"), F.col("of").alias("oy"))
+        return own.mapInArrow(_member_pairs(self.num, self.den, nearest=True), "a long, b long").distinct()
+
+    def walk_pairs(self, leaf: DataFrame) -> DataFrame:
+        """All pairs of different components that dual traversal of the trees leaves."""
+        ored = [F.bit_or(s).alias(s) for s in SIG]
         branch = leaf.groupBy("k", "branch").agg(
             F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("extra").alias("extra"), F.min("c_lo").alias("c_lo"), F.max("c_hi").alias("c_hi"), *ored)
         x, y = branch.alias("x"), branch.alias("y")
@@ -281,13 +298,18 @@ class JaccardJoin:
         twice = full.hint("shuffle_merge").join(named.select("c1", "c2", "rep"), ["c1", "c2"]).where("doc_id <> rep")
         found = links.union(twice.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))  # copies hang on their class
         parts = components(found)
-        more = self.verify(self.tree_pairs(self.open_roots(named, parts)))
-        parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        members = self.shared_roots(named)
+        held = self.open_members(members, parts)
+        sigs = self.signatures(held)
+        for pairs_of in (self.nearest_pairs, self.walk_pairs):
+            more = self.verify(pairs_of(self.leaves(held, sigs)))
+            parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+            held = self.open_members(held.select("k", "id"), parts) if pairs_of == self.nearest_pairs else held
         out = rows.select("doc_id", "n_shingles").hint("shuffle_merge").join(parts, F.col("doc_id") == F.col("node"), "left")
         return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _member_pairs(num: int, den: int, most: int = 500_000):
+def _member_pairs(num: int, den: int, most: int = 500_000, nearest: bool = False):
     """The last level of the walk: pairs of members of two leaves whose own bitmaps allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +335,11 @@ def _member_pairs(num: int, den: int, most: int = 500_000):
                 i, j = i[fit], j[fit]
                 p, q = x[3][i], y[3][j]
                 most_common = np.minimum(x[2][i] - np.bitwise_count(p & ~q).sum(1).astype(np.int64), y[2][j] - np.bitwise_count(q & ~p).sum(1).astype(np.int64))
-                fit = most_common * (num + den) >= num * (x[2][i] + y[2][j])
+                sizes = x[2][i] + y[2][j]
+                fit = most_common * (num + den) >= num * sizes
+                if nearest:
+                    order = np.lexsort((-most_common / sizes, ~fit, i))
+                    fit[order[1:][i[order][1:] == i[order][:-1]]] = False
                 found = np.unique(np.sort(np.stack([x[0][i[fit]], y[0][j[fit]]], 1), axis=1), axis=0)
                 yield _batch(a=pa.array(np.ascontiguousarray(found[:, 0])), b=pa.array(np.ascontiguousarray(found[:, 1])))
                 row = to
