@@ -6,8 +6,8 @@ and classes are runs of buckets of about equal corpus mass, by falling frequency
 its words of log p(word | both sides).
 
 Bucket counts come from all documents. Training is data-parallel: in each round every task runs mini-batches over all its
-texts, masking every fourth word (another quarter each round), and the parameters of all tasks are averaged, weighted by
-their masked words. Parameters have a fixed size (about 0.5 MB) whatever the corpus. Scores depend slightly on how the
+texts, in four passes over each piece that mask every fourth word, another quarter each time, so that every word of every
+text is a target once a round; the parameters of all tasks are averaged, weighted by their masked words. Parameters have a fixed size (about 0.5 MB) whatever the corpus. Scores depend slightly on how the
 rows are dealt to tasks, as with any parameter averaging; a retried task repeats its own result.
 
 Defined cases: null, empty and wordless texts have no tokens, log-likelihood 0 and a null mean; shorter contexts at a
@@ -120,11 +120,12 @@ def _train_rows(net, round_: int, stride: int):
         for b in pieces(batches):
             padded, place, at = bucket_words(b.column("text"))
             own = np.arange(len(place)) - np.repeat(at[:-1], np.diff(at))
-            place = place[own % stride == round_ % stride]
             total += len(place)
-            for i in range(0, len(place), BATCH):
-                p = place[i : i + BATCH]
-                mine.train(np.stack([padded[p + o] for o in OFFSETS], 1), padded[p], seen)
+            for turn in range(stride):
+                masked = place[own % stride == (round_ + turn) % stride]
+                for i in range(0, len(masked), BATCH):
+                    p = masked[i : i + BATCH]
+                    mine.train(np.stack([padded[p + o] for o in OFFSETS], 1), padded[p], seen)
         if total:
             flat = np.concatenate([[1.0], *(mine.p[k].ravel() for k in SHAPES)]).astype(np.float64) * total
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat) - 1)), pa.array(flat)], ["place", "value"])

@@ -120,6 +120,21 @@ def test_language_model_sums_conditionals(documents, corpus):
     assert (nothing.n_tokens, nothing.log_likelihood, nothing.mean_log_likelihood) == (0, 0, None)
 
 
+def test_language_model_masks_every_word(spark, monkeypatch):
+    """Texts with a period of four words, where two of the four places used never to be predicted."""
+    from types import SimpleNamespace
+
+    targets = []
+    monkeypatch.setattr(lm_scoring.Network, "train", lambda self, context, word, seen: targets.extend(word.tolist()))
+    texts = pa.array(["one two three four " * 25, "five six seven", None, "", "eight"])
+    net = SimpleNamespace(value=lm_scoring.Network(np.ones(lm_scoring.V)))
+    for round_ in range(2):
+        targets.clear()
+        list(lm_scoring._train_rows(net, round_, 4)(iter([pa.RecordBatch.from_arrays([texts], ["text"])])))
+        padded, place, _ = lm_scoring.bucket_words(texts)
+        assert sorted(targets) == sorted(padded[place].tolist())
+
+
 def test_language_model_odd_tables(odd, empty):
     assert lm_scoring.pseudo_likelihood(empty).count() == 0
     assert lm_scoring.pseudo_likelihood(odd, rounds=1).count() == odd.count()
