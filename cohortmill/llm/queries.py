@@ -21,7 +21,7 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lost = sentence_spans.span_dedup(table(spark, sf_dir, "documents"))
+    lost = sentence_spans.span_dedup(table(spark, sf_dir, "documents"), lengthen=True)
     return lost.select("doc_id", "first_doc_ids", "n_sentences", "n_removed", "n_removed_words", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -1,8 +1,11 @@
 """Substring dedup over sliding sentence spans.
 
-Every run of ``span`` consecutive sentences with at least ``min_words`` words is hashed (two 64-bit lanes) and joined over
-all documents. A span belongs to the smallest doc_id that has it; sentences covered by it in other documents, or by its
-second and later places in one document, are removed.
+With ``lengthen``, from every sentence the shortest run of sentences with at least ``min_words`` words, forwards and
+backwards, is hashed (two 64-bit lanes) and joined over all documents: one long sentence alone, or many short ones. So a
+repeated run of whole sentences loses each of them, whatever its neighbours are. Without it, runs of exactly ``span``
+sentences are hashed and those under ``min_words`` are not compared. A span belongs to the smallest doc_id that has it;
+sentences covered by it in other documents, or by its second and later places in one document, are removed. A passage
+that is cut or edited inside its sentences, so that no run of ``min_words`` words is whole, is out of reach.
 
 A sentence ends at a word that ends in ``.``, ``!`` or ``?`` or at a line end; words are compared lower-cased (A-Z).
 
@@ -43,24 +46,40 @@ class Sentences:
         self.at = np.searchsorted(self.begin, t.word_at)
         self.words = np.diff(np.append(self.begin, n))
 
-    def spans(self, span: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first sentence, lane 1, lane 2) of every span that stays in a text."""
+    def runs(self, span: int, min_words: int, lengthen: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(first sentence, sentence after the last) of every span that stays in a text, by first sentence."""
+        count = np.diff(self.at)
+        words = np.concatenate([[0], np.cumsum(self.words)])
+        if not lengthen:
+            runs = np.maximum(count - span + 1, 0)
+            first = np.arange(runs.sum()) + np.repeat(self.at[:-1] - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs)
+            first = first[words[first + span] - words[first] >= min_words]
+            return first, first + span
+        n = len(self.begin)
+        one = np.arange(n)
+        to = np.searchsorted(words, words[:-1] + min_words)
+        back = np.searchsorted(words, words[1:] - min_words, "right") - 1
+        ahead, behind = to <= np.repeat(self.at[1:], count), back >= np.repeat(self.at[:-1], count)
+        both = np.unique(np.concatenate([one[ahead] * (n + 1) + to[ahead], back[behind] * (n + 1) + one[behind] + 1]))
+        return both // (n + 1), both % (n + 1)
+
+    def spans(self, span: int, min_words: int, lengthen: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first sentence, sentence after the last, lane 1, lane 2) of every span."""
         t = self.texts
         h = t.hashes(t.start, t.size)
         place = (np.arange(len(h)) - np.repeat(self.begin, self.words)).astype(np.uint64) + np.uint64(1)
         lanes = [np.add.reduceat(mix((h ^ (place * k)) * k), self.begin) if len(h) else h for k in (_K, _K2)]
-        count = np.diff(self.at)
-        runs = np.maximum(count - span + 1, 0)
-        first = np.arange(runs.sum()) + np.repeat(self.at[:-1] - np.concatenate([[0], np.cumsum(runs)[:-1]]), runs)
+        first, end = self.runs(span, min_words, lengthen)
         out = []
         for lane, k in zip(lanes, (_K, _K2)):
             x = np.full(len(first), k)
-            for i in range(span):
-                x = mix((x ^ lane[first + i]) * _K)
+            live, i = np.arange(len(first)), 0
+            while len(live):
+                x[live] = mix((x[live] ^ lane[first[live] + i]) * _K)
+                i += 1
+                live = live[first[live] + i < end[live]]
             out.append(x.view(np.int64))
-        words = np.concatenate([[0], np.cumsum(self.words)])
-        enough = words[first + span] - words[first] >= min_words
-        return first[enough], out[0][enough], out[1][enough]
+        return first, end, *out
 
 
 def _local(first: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,13 +94,13 @@ def _local(first: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
 SPANS = "doc_id long, h1 long, h2 long"
 
 
-def _span_rows(span: int, min_words: int, filter_=None):
+def _span_rows(span: int, min_words: int, lengthen: bool, filter_=None):
     """Each text's distinct spans. With a filter: those that pass, and a row with null hashes for texts that repeat themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             s = Sentences(b.column("text"))
-            first, h1, h2 = s.spans(span, min_words)
+            first, _, h1, h2 = s.spans(span, min_words, lengthen)
             doc, again = _local(first, h1, s.at)
             keep = ~again
             if filter_ is not None:
@@ -94,12 +113,12 @@ def _span_rows(span: int, min_words: int, filter_=None):
     return run
 
 
-def _rebuilt(span: int, min_words: int):
+def _rebuilt(span: int, min_words: int, lengthen: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in pieces(iter([whole])):
                 s = Sentences(b.column("text"))
-                first, h1, _ = s.spans(span, min_words)
+                first, end, h1, _ = s.spans(span, min_words, lengthen)
                 doc, gone = _local(first, h1, s.at)
                 lost = b.column("lost").to_pylist()
                 spans_at = np.searchsorted(doc, np.arange(b.num_rows + 1))
@@ -107,9 +126,9 @@ def _rebuilt(span: int, min_words: int):
                     if lost[i]:
                         r = slice(spans_at[i], spans_at[i + 1])
                         gone[r] |= np.isin(h1[r], np.array(lost[i], np.int64))
-                cover = np.zeros(len(s.begin) + span + 1, np.int64)
+                cover = np.zeros(len(s.begin) + 1, np.int64)
                 np.add.at(cover, first[gone], 1)
-                np.add.at(cover, first[gone] + span, -1)
+                np.add.at(cover, end[gone], -1)
                 out = np.cumsum(cover)[: len(s.begin)] > 0
                 n_gone, n_words, texts = [], [], []
                 start = s.texts.start[s.begin]
@@ -139,15 +158,15 @@ def _some_rows(filter_):
     return run
 
 
-def span_dedup(docs: DataFrame, span: int = 2, min_words: int = 12) -> DataFrame:
+def span_dedup(docs: DataFrame, span: int = 2, min_words: int = 12, lengthen: bool = False) -> DataFrame:
     """doc_id, text, first_doc_ids, n_sentences, n_removed, n_removed_words of every document that loses sentences; text is
     what is left, first_doc_ids are the documents that keep the repeated spans. Documents not listed stay as they are."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and doc_id is not null")
-    every = rows.mapInArrow(_span_rows(span, min_words), SPANS)
+    every = rows.mapInArrow(_span_rows(span, min_words, lengthen), SPANS)
     owners = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
     owners = stage(owners, "spans")
     wanted = key_filter(owners, "h1", 1 << max(20, (16 * owners.count()).bit_length()))
-    found = stage(rows.mapInArrow(_span_rows(span, min_words, wanted), SPANS), "found")
+    found = stage(rows.mapInArrow(_span_rows(span, min_words, lengthen, wanted), SPANS), "found")
     lost = found.where("h1 is not null").hint("shuffle_merge").join(owners, ["h1", "h2"]).where("owner <> doc_id")
     own = found.where("h1 is null").select("doc_id", "h1", F.lit(None).cast("long").alias("owner"))
     lost = lost.select("doc_id", "h1", "owner").union(own)
@@ -155,5 +174,5 @@ def span_dedup(docs: DataFrame, span: int = 2, min_words: int = 12) -> DataFrame
     ids = key_filter(lost, "doc_id", 1 << max(20, (16 * lost.count()).bit_length()))
     texts = rows.mapInArrow(_some_rows(ids), "doc_id long, text string").hint("shuffle_merge").join(lost, "doc_id")
     out = "doc_id long, first_doc_ids array<long>, text string, n_sentences long, n_removed long, n_removed_words long"
-    return texts.select("doc_id", "first_doc_ids", "text", "lost").mapInArrow(_rebuilt(span, min_words), out).where("n_removed > 0")
+    return texts.select("doc_id", "first_doc_ids", "text", "lost").mapInArrow(_rebuilt(span, min_words, lengthen), out).where("n_removed > 0")
 

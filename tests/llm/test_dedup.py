@@ -63,6 +63,46 @@ def test_spans(documents, corpus):
     assert all(r.n_removed > 0 and min(r.first_doc_ids, default=-1) < i for i, r in got.items())
 
 
+def lengthened(docs, least=12):
+    """{doc_id: kept text} of the documents that lose sentences, by the shortest runs of ``least`` words."""
+    held, owner = {}, {}
+    for i, t in sorted((i, t or "") for i, t in docs):
+        s = brute.sentences(t)
+        low = [tuple(brute.lower(m[0]) for m in x) for x in s]
+        pairs = set()
+        for j in range(len(s)):
+            pairs |= set([(j, k) for k in range(j + 1, len(s) + 1) if sum(map(len, low[j:k])) >= least][:1])
+            pairs |= set([(k, j + 1) for k in range(j, -1, -1) if sum(map(len, low[k : j + 1])) >= least][:1])
+        held[i] = (t, s, [(j, k, tuple(low[j:k])) for j, k in sorted(pairs)])
+        for j, k, g in held[i][2]:
+            owner.setdefault(g, (i, j))
+    out = {}
+    for i, (t, s, found) in held.items():
+        gone = {x for j, k, g in found if owner[g] != (i, j) for x in range(j, k)}
+        if gone:
+            cuts = [x[0].start() for x in s] + [len(t)]
+            out[i] = t[: cuts[0]] + "".join(t[cuts[j] : cuts[j + 1]] for j in range(len(s)) if j not in gone)
+    return out
+
+
+def test_spans_lengthened(documents, corpus):
+    few = [(i, t) for i, t in corpus if len(t or "") < 6000]
+    docs = documents.where("length(coalesce(text, '')) < 6000")
+    assert {r.doc_id: r.text for r in sentence_spans.span_dedup(docs, lengthen=True).collect()} == lengthened(few)
+
+
+def test_long_and_short_sentences_are_found(spark, tmp_path):
+    """One long sentence between other neighbours, and lines of under 6 words, by the registered query."""
+    from cohortmill.llm import queries
+
+    long_ = " ".join(f"word{i}" for i in range(55)) + "."
+    lines = "\n".join(f"line {i} of it" for i in range(15))
+    rows = [(1, f"Before one. {long_} After one."), (2, f"Other here. {long_} And another."), (3, f"Top three.\n{lines}\nend three"), (4, f"Top four.\n{lines}\nend four")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_removed, r.n_removed_words) for r in queries.op3_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == {2: (1, 55), 4: (15, 60)}
+
+
 def test_spans_odd_tables(odd, empty):
     assert sentence_spans.span_dedup(empty).count() == 0
     assert sentence_spans.span_dedup(odd).where("doc_id is null").count() == 0
