@@ -7,10 +7,11 @@ values in the document exactly where they do in the item, within a window and ov
 in the item. (What is gathered for such a run is at most the item's own windows.)
 
 A number is a word with a digit; a name is a capitalised word that begins neither a sentence nor a line; a unit is a word
-of ``UNITS`` right after a number. Windows with fewer than ``min_literal`` ordinary words are not compared.
+of ``UNITS`` right after a number. Windows with fewer than ``min_literal`` ordinary words are compared word for word, and
+an item of fewer than ``window`` words is one such window. Windows that are equal word for word count whether or not the
+slots of their run are consistent, against all windows of the item; others count against its template windows.
 
-Defined cases: null, empty and wordless texts on either side match nothing; items of fewer than ``window`` words cannot be
-searched; null ids never match; repeated rows of a doc_id or item_id count once; extra columns of documents pass through
+Defined cases: null, empty and wordless texts on either side match nothing; null ids never match; repeated rows of a doc_id or item_id count once; extra columns of documents pass through
 in ``clean_documents``.
 """
 
@@ -30,6 +31,7 @@ UNITS = ("percent mm cm m km inches feet yards miles mg g kg tons ounces pounds
          "months years cents dollars euros pounds watts volts degrees km/h mph").split()
 NUMBER, NAME, UNIT = np.uint64(0x11), np.uint64(0x22), np.uint64(0x33)
 LITERAL = 0
+EXACT = np.uint64(0xA0761D6478BD642F)
 PUNCT = np.zeros(256, bool)
 PUNCT[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 DIGIT = np.zeros(256, bool)
@@ -86,20 +88,36 @@ class Template:
         self.slot = number | unit | name
         self.at = at.astype(np.int64)
 
-    def windows(self, window: int, min_literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first token, text, hash) of every window with enough ordinary words, and the window's place in its text."""
+    def windows(self, window: int, min_literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first token, text, hash, place in its text, whether compared word for word) of every window."""
         g, gram_at = grams(self.token, self.at, window)
         runs = np.diff(gram_at)
         first = np.arange(len(g)) + np.repeat(self.at[:-1] - gram_at[:-1], runs)
         slots = np.concatenate([[0], np.cumsum(self.slot)])
-        ok = np.flatnonzero(window - (slots[first + window] - slots[first]) >= min_literal)
-        text = np.searchsorted(gram_at, ok, "right") - 1
-        return first[ok], text, g[ok].view(np.int64), ok - gram_at[text]
-
-    def slot_values(self, first: np.ndarray, window: int) -> pa.Array:
-        """The values in the slots of each window, in order."""
-        item = first[:, None] + np.arange(window)
-        held = self.slot[item]
+        exact = window - (slots[first + window] - slots[first]) < min_literal
+        g[exact] = self.exact(first[exact], window)
+        text = np.searchsorted(gram_at, np.arange(len(g)), "right") - 1
+        return first, text, g.view(np.int64), np.arange(len(g)) - gram_at[text], exact
+
+    def exact(self, first: np.ndarray, size: int) -> np.ndarray:
+        """Hashes of the words themselves in runs of ``size``."""
+        x = np.full(len(first), EXACT + np.uint64(size))
+        for i in range(size):
+            x = mix((x ^ self.raw[first + i]) * EXACT)
+        return x
+
+    def short(self, size: int, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first token, text, hash) of every run of ``size`` words, or only of texts that are such a run."""
+        count = np.diff(self.at)
+        runs = (count == size).astype(np.int64) if whole else np.maximum(count - size + 1, 0)
+        text = np.repeat(np.arange(len(count)), runs)
+        first = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs) + self.at[text]
+        return first, text, self.exact(first, size).view(np.int64)
+
+    def slot_values(self, first: np.ndarray, window: int, exact: np.ndarray) -> pa.Array:
+        """The values in the slots of each window, in order; none in windows compared word for word."""
+        item = np.minimum(first[:, None] + np.arange(window), max(len(self.slot) - 1, 0))
+        held = self.slot[item] & ~exact[:, None]
         at = np.concatenate([[0], np.cumsum(held.sum(1))])
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(self.raw[item[held]].view(np.int64)))
 
@@ -110,45 +128,57 @@ def unit_hashes() -> np.ndarray:
     return t.hashes(t.start, t.size)
 
 
-WINDOWS = "id long, h long, pos long, slots array<long>"
+WINDOWS = "id long, h long, pos long, size int, exact boolean, slots array<long>"
 
 
-def _window_rows(window: int, min_literal: int, filter_=None):
+def _window_rows(window: int, min_literal: int, filter_=None, short: list[int] | None = None):
+    """Without a filter, an item's windows; with one, those of documents that pass, and runs of the ``short`` sizes, each once a text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             t = Template(b.column("text"))
-            first, text, h, pos = t.windows(window, min_literal)
-            if filter_ is not None:
-                some = passes(filter_, h)
-                first, text, h, pos = first[some], text[some], h[some], pos[some]
-            for i in range(0, len(h), 50_000):
-                r = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(text[r])), pa.array(h[r]), pa.array(pos[r]), t.slot_values(first[r], window)], ["id", "h", "pos", "slots"])
+            parts = [(window, *t.windows(window, min_literal))]
+            for size in range(1, window) if filter_ is None else short:
+                first, text, h = t.short(size, filter_ is None)
+                parts.append((size, first, text, h, np.zeros(len(h), np.int64), np.ones(len(h), bool)))
+            for size, first, text, h, pos, exact in parts:
+                if filter_ is not None:
+                    some = np.flatnonzero(passes(filter_, h))
+                    if size < window:
+                        some = some[np.unique(np.stack([text[some], h[some]], 1), axis=0, return_index=True)[1]]
+                    first, text, h, pos, exact = first[some], text[some], h[some], pos[some], exact[some]
+                for i in range(0, len(h), 50_000):
+                    r = slice(i, i + 50_000)
+                    columns = [b.column("id").take(pa.array(text[r])), pa.array(h[r]), pa.array(pos[r]), pa.array(np.full(len(h[r]), size, np.int32)), pa.array(exact[r]), t.slot_values(first[r], size, exact[r])]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "h", "pos", "size", "exact", "slots"])
 
     return run
 
 
 def leaked_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_literal: int = 5, share: float = 0.5, min_windows: int = 6) -> DataFrame:
-    """doc_id, item_id, n_windows, n_item_windows for each document that holds an item: windows in step that make up
-    ``share`` of the item's or at least ``min_windows``."""
+    """doc_id, item_id, n_windows, n_item_windows for each document that holds an item: windows in step, of the same
+    template or equal word for word, that make up ``share`` of the item's or at least ``min_windows``."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     items = stage(rows.mapInArrow(_window_rows(window, min_literal), WINDOWS).dropDuplicates(["id", "pos", "h"]), "items")
-    sizes = items.groupBy("id").agg(F.count_distinct("pos").alias("n_item_windows"))
+    sizes = items.groupBy("id").agg(F.count_distinct("pos").alias("n_item_windows"), F.count_distinct(F.when(~F.col("exact"), F.col("pos"))).alias("n_templates"))
+    short = [r["size"] for r in items.where(F.col("size") < window).select("size").distinct().collect()]  # fewer than window
     wanted = key_filter(items, "h", 1 << max(22, (64 * items.count()).bit_length()))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    found = rows.mapInArrow(_window_rows(window, min_literal, wanted), WINDOWS)
+    found = rows.mapInArrow(_window_rows(window, min_literal, wanted, short), WINDOWS)
     d, i = found.alias("d"), items.alias("i")
     pattern = lambda c: F.transform(c, lambda x: F.array_position(c, x))
-    met = d.hint("shuffle_merge").join(i, "h").where(pattern(F.col("d.slots")) == pattern(F.col("i.slots")))
+    met = d.hint("shuffle_merge").join(i, ["h", "size", "exact"]).where(pattern(F.col("d.slots")) == pattern(F.col("i.slots")))
     both = F.arrays_zip(F.col("d.slots").alias("d"), F.col("i.slots").alias("i"))
-    met = met.select(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), (F.col("d.pos") - F.col("i.pos")).alias("shift"), F.col("i.pos").alias("pos"), both.alias("slots"))
-    run = met.groupBy("doc_id", "item_id", "shift").agg(F.size(F.collect_set("pos")).alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    met = met.select(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), (F.col("d.pos") - F.col("i.pos")).alias("shift"), F.col("i.pos").alias("pos"), both.alias("slots"), "exact", (F.col("d.slots") == F.col("i.slots")).alias("same"))
+    places = lambda of: F.size(F.collect_set(F.when(of, F.col("pos"))))
+    run = met.groupBy("doc_id", "item_id", "shift").agg(places(~F.col("exact")).alias("n"), places(F.col("same")).alias("n_same"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     one = F.size("slots")  # one value for each value, in both directions
-    run = run.where((F.size(F.array_distinct("slots.d")) == one) & (F.size(F.array_distinct("slots.i")) == one))
-    best = run.groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"))
+    steady = (F.size(F.array_distinct("slots.d")) == one) & (F.size(F.array_distinct("slots.i")) == one)
+    best = run.groupBy("doc_id", "item_id").agg(F.max(F.when(steady, F.col("n")).otherwise(0)).alias("n"), F.max("n_same").alias("n_same"))
     out = best.hint("shuffle_merge").join(sizes.withColumnRenamed("id", "item_id"), "item_id")
-    enough = (F.col("n_windows") >= min_windows) | (F.col("n_windows") >= share * F.col("n_item_windows"))
-    return out.where(enough).select("doc_id", "item_id", "n_windows", "n_item_windows")
+    enough = lambda n, of: (F.col(n) > 0) & ((F.col(n) >= min_windows) | (F.col(n) >= share * F.col(of)))
+    out = out.where(enough("n", "n_templates") | enough("n_same", "n_item_windows"))
+    return out.select("doc_id", "item_id", F.greatest("n", "n_same").alias("n_windows"), "n_item_windows")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

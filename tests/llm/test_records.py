@@ -116,6 +116,15 @@ def test_templates(spark):
     assert leaks(spark, docs) == {(1, 1), (2, 1), (8, 1), (9, 1)}
 
 
+def test_dense_short_and_nearly_verbatim_items(spark):
+    dense = "Add 12 and 14 to 17 then 19 by 21 and 23 to 25 with 27 or 29 and 31."
+    long_ = ITEM + " After that she walks home along the river and gives 12 of what is left to a friend who has been waiting there."
+    items = ((1, dense), (2, "Seven plus five is twelve"), (3, long_))
+    changed = long_.replace("Ben eats 12", "Ben eats 13")
+    docs = [(1, "Before. " + dense + " After."), (2, "He said seven plus five is twelve, did he not?"), (3, "Before. " + changed), (4, dense.replace("1", "3")), (5, "Seven plus five is not twelve")]
+    assert leaks(spark, docs, items) == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_no_items_no_leaks(spark, empty):
     assert leaks(spark, [(1, ITEM)], [(2, None)]) == set()
     assert decontamination.leaked_items(empty, spark.createDataFrame([(1, ITEM)], "item_id long, text string")).count() == 0
