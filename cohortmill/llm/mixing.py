@@ -45,6 +45,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_00
     """(bucket, w_<domain>) with a row for each mark, and each domain's score without any mark."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    there = docs.select(F.col("doc_id").alias("_there")).where("_there is not null").distinct()
+    known = stage(known.hint("shuffle_merge").join(there, F.col("doc_id") == F.col("_there"), "left_semi"), "known")
     share = min(1.0, 0.9 * max_labelled / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_labelled)
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("clean")

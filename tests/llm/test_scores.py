@@ -154,6 +154,19 @@ def test_mixing_meets_targets_and_finds_domains(spark):
     assert clean.where("p_toxic > 0.5").count() <= 0.05 * clean.count()
 
 
+def test_labels_without_a_document_do_not_count(spark):
+    """Ten low labels in eleven have no document any more: marks and priors are those of the labels that do."""
+    rows = [(i, ("spam" if i % 8 == 0 else "tea") + f" and w{i}") for i in range(400)]
+    labels = [(i, int(i % 8 != 0), 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = lambda more: spark.createDataFrame(labels + more, "doc_id long, quality int, toxic int")
+    weights, prior = mixing.fit_classifier(docs, table([(i, 0, 0) for i in range(1000, 2000)]))
+    want, same = mixing.fit_classifier(docs, table([]))
+    assert weights.count() > 0 and prior == pytest.approx(same)
+    plain = lambda df: sorted(tuple(round(x, 9) for x in r) for r in df.collect())
+    assert plain(weights) == plain(want)
+
+
 def test_rates_are_the_least_squares_answer(spark):
     """Against plain projected gradient steps in numpy."""
     r = np.random.default_rng(4)
