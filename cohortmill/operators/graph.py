@@ -2,43 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import drop, stage
+from ..sources.shared import drop, observed, stage
 
 
-def _state(edges: DataFrame) -> tuple:
-    one = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
-    return tuple(one)
+def _split(u: str | Column) -> Column:
+    """A second join key made of the first: the join then shuffles both sides anew instead of taking over an aggregate's
+    partitioning, so that adaptive execution can split a hub's partition."""
+    return F.pmod(F.xxhash64(u), F.lit(1 << 20))
+
+
+def _with(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """rows (u, v) beside the m of their u."""
+    return rows.withColumn("s", _split("u")).hint("shuffle_merge").join(least.withColumn("s", _split("u")), ["u", "s"]).drop("s")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node name reachable from each node of an edge list, by alternating large-star and
-    small-star rounds. Rows with a null end are no edges; an edge from a node to itself makes it a node of its own.
+    small-star steps. Rows with a null end are no edges; an edge from a node to itself makes it a node of its own. Every
+    node comes once; the result is a staged table.
 
-    Every round's edge table is written to the shared folder, so lineage stays short; the loop ends when a round changes
-    nothing. Hubs are no trouble: minima are aggregated before the shuffle and joins on a hub can be split.
+    A round (both steps) is one job whose edge table is written to the shared folder, so lineage stays short; its hash,
+    taken while it is written, tells when a round changes nothing. Minima are aggregated before the shuffle, and joins on
+    a hub can be split.
     """
     whole = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     e = whole.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    lone = e.where("u = v").select(F.col("u").alias("node"))
-    e = stage(e.where("u <> v"), "edges")
-    before = _state(e)
-    while before[0]:
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").hint("shuffle_merge").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large.where("u <> v").distinct(), "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.hint("shuffle_merge").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = stage(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        drop(e, large)
-        e, after = small, _state(small)
-        if after == before:
-            break
-        before = after
+    state = {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("u", "v")), "y": F.bit_xor(F.xxhash64("v", "u")), "pairs": F.count_if(F.col("u") != F.col("v"))}
+    e = stage(e, "edges", **state)
+    lone, before = e, tuple(observed(e, k) for k in ("n", "x", "y"))
+    if observed(e, "pairs"):
+        e = e.where("u <> v")
+        while True:
+            both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+            large = _with(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"))
+            small = _with(large, least).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            small = stage(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges", **state)
+            after = tuple(observed(small, k) for k in ("n", "x", "y"))
+            if e is not lone:
+                drop(e)
+            e = small
+            if after == before:
+                break
+            before = after
+    else:
+        e = e.where("u <> v")
     named = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = e.select(F.col("v").alias("node")).union(lone).distinct()
+    roots = e.select(F.col("v").alias("node")).union(lone.select("v")).union(lone.select("u")).distinct()
     roots = roots.hint("shuffle_merge").join(named.select("node"), "node", "left_anti")
-    return named.union(roots.select("node", F.col("node").alias("component")))
+    out = stage(named.union(roots.select("node", F.col("node").alias("component"))), "components")
+    drop(e, lone)
+    return out

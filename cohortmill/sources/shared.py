@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -24,17 +24,26 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write a table once and read it back: cuts the lineage and survives the loss of executors."""
+def stage(df: DataFrame, name: str, codec: str = "snappy", **seen: Column) -> DataFrame:
+    """Write a table once and read it back: cuts the lineage and survives the loss of executors. ``seen``: aggregates that
+    are computed while the rows are written; ``observed`` gives them, so that no further job counts rows."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    watch = Observation() if seen else None
+    rows = df.observe(watch, *(c.alias(k) for k, c in seen.items())) if seen else df
+    rows.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    out._observed = watch.get if seen else {}
     return out
 
 
-def drop(*tables: DataFrame) -> None:
+def observed(df: DataFrame, name: str):
+    """An aggregate that ``stage`` took while writing; null (None) over an empty table."""
+    return df._observed.get(name)
+
+
+def drop(*tables: DataFrame | None) -> None:
     """Delete staged tables that no later step reads."""
     for df in tables:
         path = getattr(df, "_staged_at", None)
@@ -42,3 +51,5 @@ def drop(*tables: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
