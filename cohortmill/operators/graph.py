@@ -30,7 +30,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     whole = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull())
     e = whole.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    state = {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("u", "v")), "y": F.bit_xor(F.xxhash64("v", "u")), "pairs": F.count_if(F.col("u") != F.col("v"))}
+    state = {"n": "count(1)", "x": "bit_xor(xxhash64(u, v))", "y": "bit_xor(xxhash64(v, u))", "pairs": "count_if(u <> v)"}
     e = stage(e, "edges", **state)
     lone, before = e, tuple(observed(e, k) for k in ("n", "x", "y"))
     if observed(e, "pairs"):

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -24,13 +25,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str, codec: str = "snappy", **seen: Column) -> DataFrame:
-    """Write a table once and read it back: cuts the lineage and survives the loss of executors. ``seen``: aggregates that
-    are computed while the rows are written; ``observed`` gives them, so that no further job counts rows."""
+def stage(df: DataFrame, name: str, codec: str = "snappy", **seen: str) -> DataFrame:
+    """Write a table once and read it back: cuts the lineage and survives the loss of executors. ``seen``: aggregates (SQL)
+    that are computed while the rows are written; ``observed`` gives them, so that no further job counts rows."""
     spark = df.sparkSession
     path = new_path(spark, name)
     watch = Observation() if seen else None
-    rows = df.observe(watch, *(c.alias(k) for k, c in seen.items())) if seen else df
+    rows = df.observe(watch, *(F.expr(c).alias(k) for k, c in seen.items())) if seen else df
     rows.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
@@ -44,8 +45,8 @@ def observed(df: DataFrame, name: str):
 
 
 def drop(*tables: DataFrame | None) -> None:
-    """Delete staged tables that no later step reads."""
-    for df in tables:
+    """Delete staged tables that no later step reads, and those that a result ``_holds``."""
+    for df in [x for t in tables for x in (t, *getattr(t, "_holds", ()))]:
         path = getattr(df, "_staged_at", None)
         if path:
             jvm = df.sparkSession._jvm
