@@ -2,23 +2,25 @@
 
 All texts go in; links (Jaccard of distinct word shingles at or above num/den) and their connected components come out.
 
-1. Texts with equal shingle sets are one class, named by its smallest doc_id; only classes go on.
-2. *Stars.* Min-hash bands put each class beside the smallest one of its band; pairs that verify join near copies at a
-   cost linear in their number.
-3. *Roots.* A set is cut by hash range into more parts than a linked pair may differ in, so any two linked sets have an
+1. *Classes.* Texts with equal shingle sets are one class, named by its smallest doc_id; only classes go on.
+2. *Roots.* A set is cut by hash range into more parts than a linked pair may differ in, so any two linked sets have an
    equal part; (level of size, part, its content) names a root of a tree. Levels bound the size ranges that meet in a
-   root. A set with too few non-empty parts for that argument also takes the roots of its prefix tokens. Roots that hold
-   one star component only have no more links to give.
-4. *Nearest.* In each leaf of a root left (see 5), every class is verified with the one its bitmap comes nearest to. Families
-   whose members link with some of each other, but not with one star, grow together here, again at linear cost.
-5. *Trees.* Under each root that still holds several components, leaf nodes of about ``fan_out`` classes hold the OR of their members' token bitmaps, the
-   range of set sizes and the most tokens that share a bit; branch nodes hold the same over leaves. Pairs of nodes are
-   walked from the branches down; a pair goes if its largest possible overlap (common bits plus shared-bit tokens, at
-   most the smaller size) is too small for its smallest sizes, or if both lie in one component. What is left is bounded
-   by the members' own bitmaps and then verified on whole texts.
-
-No stage sees a pair of classes of one component twice, no group is gathered in one task, and nothing but fixed-size
-bitmaps is sent to the driver.
+   root. A set with too few non-empty parts for that argument also takes the roots of its prefix tokens. Every pair that
+   links is together under some root, so walking all trees loses no link.
+3. *Trees.* Under a root, leaf nodes of about ``fan_out`` classes hold the OR of their members' token bitmaps, the range
+   of set sizes and the most tokens that share a bit; branch nodes hold the same over their children, in as many levels
+   as the root's size needs, so that no node has more than ``fan_out`` children.
+4. *Nearest.* The first walk goes to the leaves of each class's first few roots: every member is taken with the member
+   its bitmap comes nearest to and with its leaf's centre, and, where a root has several leaves, with the centre of its
+   best leaf. Pairs that verify join families at a cost linear in their members.
+5. *Walk.* The second walk takes all roots that still hold several components. Pairs of nodes are walked from the top
+   down; a pair goes if its largest possible overlap (common bits plus shared-bit tokens, at most the smaller size) is too
+   small for its smallest sizes, or if both lie in one component. Pairs of members are bounded by bitmaps whose width
+   follows the set size, under the first root that both have among their first ``HEADS``, so a pair seldom comes twice.
+6. What is left is verified on whole texts, leaf by leaf, so a text is sent once for a node pair and not for each pair.
+
+Copies are no edges: a document gets its class's component by join. No group is gathered in one task, and nothing but
+fixed-size bitmaps is sent to the driver.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and link with nothing; texts of fewer
 words than k have one shingle; rows of one doc_id are one document for links; rows with null doc_id are returned with
@@ -36,10 +38,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .storage import key_filter, passes, stage
+from .storage import drop, key_filter, observed, passes, stage
 from .textcols import Texts, grams, mix, pieces
 
-BANDS, BAND_ROWS, SIG_LONGS = 4, 2, 16
+SIG_LONGS, HEADS, FIRST_ROOTS, MOST_BITS = 16, 24, 4, 1 << 20
+N = {"n": "count(1)"}
 SIG = [f"s{i}" for i in range(SIG_LONGS)]
 _K = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,33 +131,33 @@ def _doc_rows(k: int):
         for b in pieces(batches):
             u, at = shingle_sets(b.column("text"), k)
             c1, c2 = _reduce(np.add, mix(u), at), _reduce(np.add, mix(u ^ _K), at)
-            bands = []
-            for i in range(BANDS):
-                h = np.full(b.num_rows, np.uint64(i))
-                for j in range(BAND_ROWS):
-                    h = mix((h ^ _reduce(np.minimum, mix(u * np.uint64(2 * (i * BAND_ROWS + j) + 3)), at)) * _K)
-                bands.append(h)
-            flat = _signed(np.stack(bands, 1).ravel())
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * BANDS, pa.int32()), flat)
-            yield _batch(doc_id=b.column("doc_id"), n_shingles=pa.array(np.diff(at)), c1=_signed(c1), c2=_signed(c2), bands=lists)
+            yield _batch(doc_id=b.column("doc_id"), n_shingles=pa.array(np.diff(at)), c1=_signed(c1), c2=_signed(c2))
 
     return run
 
 
 def _key_rows(k: int, scheme: Scheme, filter_=None):
+    """(k, c): each text's root keys and the hash of its set; with a filter, (k, c, id) of those that pass."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            who, key = scheme.keys(*shingle_sets(b.column("text"), k))
+            u, at = shingle_sets(b.column("text"), k)
+            who, key = scheme.keys(u, at)
+            c = _reduce(np.add, mix(u), at)
             if filter_ is not None:
                 some = passes(filter_, key.view(np.int64))
                 who, key = who[some], key[some]
             for i in range(0, len(key), 100_000):
-                yield _batch(k=_signed(key[i : i + 100_000]), id=b.column("doc_id").take(pa.array(who[i : i + 100_000])))
+                w = who[i : i + 100_000]
+                more = {} if filter_ is None else {"id": b.column("doc_id").take(pa.array(w))}
+                yield _batch(k=_signed(key[i : i + 100_000]), c=_signed(c[w]), **more)
 
     return run
 
 
 def _signature_rows(k: int, filter_):
+    """id, size, extra, the bitmap of the nodes (SIG) and the bitmap whose width follows the size (wide)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
             b = b.filter(pa.array(passes(filter_, b.column("doc_id").to_numpy())))
@@ -167,11 +170,25 @@ def _signature_rows(k: int, filter_):
             np.bitwise_or.at(sig, (who, ((bit >> np.uint64(6)) % np.uint64(SIG_LONGS)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
             size = np.diff(at)
             extra = size - np.bitwise_count(sig).sum(1).astype(np.int64)
-            yield _batch(id=b.column("doc_id"), size=pa.array(size), extra=pa.array(extra), **{s: _signed(np.ascontiguousarray(sig[:, i])) for i, s in enumerate(SIG)})
+            wide = []
+            for i, n in enumerate(size):
+                bits = min(MOST_BITS, 1 << int(8 * n + 63).bit_length())
+                on = np.zeros(bits, bool)
+                on[(bit[at[i] : at[i + 1]] & np.uint64(bits - 1)).astype(np.int64)] = True
+                wide.append(np.packbits(on).tobytes())
+            yield _batch(id=b.column("doc_id"), size=pa.array(size), extra=pa.array(extra), wide=pa.array(wide, pa.binary()), **{s: _signed(np.ascontiguousarray(sig[:, i])) for i, s in enumerate(SIG)})
 
     return run
 
 
+def _wide_common(x: bytes, y: bytes, n: int, m: int) -> int:
+    """The most tokens that two sets of n and m have in common, by their wide bitmaps."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(p) != len(q):  # a width is a power of two, and a bit's place its hash modulo the width
+        p, q = (p[: len(p) // 2] | p[len(p) // 2 :], q) if len(p) > len(q) else (p, q[: len(q) // 2] | q[len(q) // 2 :])
+    return min(n - int(np.bitwise_count(p & ~q).sum()), m - int(np.bitwise_count(q & ~p).sum()))
+
+
 def _text_rows(filter_):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -182,18 +199,56 @@ def _text_rows(filter_):
     return run
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by blk, cut anew so that each block is whole, in parts of about ``most`` bytes of text."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        blk = b.column("blk").to_numpy()
+        edge = np.flatnonzero(blk[1:] != blk[:-1]) + 1
+        if held and held[0].column("blk")[0].as_py() != blk[0]:
+            yield pa.concat_batches(held)
+            held = []
+        if not len(edge):
+            held.append(b)
+            continue
+        sizes = np.concatenate([[0], np.cumsum(np.asarray(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False), float))])
+        begin = 0
+        for x, y in zip(edge, [*edge[1:], None]):
+            if y is None or held or sizes[y] - sizes[begin] > most:
+                yield pa.concat_batches([*held, b.slice(begin, x - begin)])
+                held, begin = [], int(x)
+        held = [b.slice(begin)]
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _verified(k: int, num: int, den: int):
+    """The (a, b) that link, of blocks of (blk, id, others, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in pieces(iter([whole]), "text_a"):
-                (u, at), (v, bt) = shingle_sets(b.column("text_a"), k), shingle_sets(b.column("text_b"), k)
-                ok = np.zeros(b.num_rows, bool)
-                for i in range(b.num_rows):
-                    x, y = u[at[i] : at[i + 1]], v[bt[i] : bt[i + 1]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok[i] = both > 0 and den * both >= num * (len(x) + len(y) - both)
-                b = b.filter(pa.array(ok))
-                yield _batch(a=b.column("a"), b=b.column("b"))
+        for b in _blocks(batches):
+            u, at = shingle_sets(b.column("text"), k)
+            blk, ids = b.column("blk").to_numpy(), b.column("id").to_numpy()
+            rows: dict = {}
+            for i in range(b.num_rows):
+                rows.setdefault((blk[i], ids[i]), []).append(i)
+            left, right = [], []
+            for i, others in enumerate(b.column("others").to_pylist()):
+                x = u[at[i] : at[i + 1]]
+                for o in others:
+                    for j in rows.get((blk[i], o), ()):
+                        y = u[at[j] : at[j + 1]]
+                        if min(len(x), len(y)) * den < num * max(len(x), len(y)):
+                            continue
+                        both = np.concatenate([x, y])
+                        both.sort(kind="stable")
+                        both = int((both[1:] == both[:-1]).sum())
+                        if both > 0 and den * both >= num * (len(x) + len(y) - both):
+                            left.append(ids[i])
+                            right.append(o)
+            yield _batch(a=pa.array(left, pa.int64()), b=pa.array(right, pa.int64()))
 
     return run
 
@@ -204,40 +259,62 @@ class JaccardJoin:
         self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.known = self.rows.where("doc_id is not null and text is not null")
         self.scheme = Scheme(num, den)
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The (a, b) whose texts link. Only the texts of these documents are shuffled."""
-        pairs = stage(pairs.where("a <> b").distinct(), "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        ids = key_filter(ids, "id", _bits(2 * pairs.count()))
-        texts = self.known.mapInArrow(_text_rows(ids), "doc_id long, text string")
-        left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-        right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-        both = pairs.hint("shuffle_merge").join(left, "a").hint("shuffle_merge").join(right, "b")
-        return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified(self.k, self.num, self.den), "a long, b long"), "links")
-
-    def stars(self, classes: DataFrame) -> DataFrame:
-        bands = classes.select("rep", F.posexplode("bands").alias("band", "h"))
-        heads = bands.groupBy("band", "h").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").drop("z")
-        return self.verify(bands.hint("shuffle_merge").join(heads, ["band", "h"]).select("a", F.col("rep").alias("b")))
-
-    def shared_roots(self, classes: DataFrame) -> DataFrame:
-        """(k, id): the classes under each root that several documents have."""
-        schema = "k long, id long"
-        keys = self.known.mapInArrow(_key_rows(self.k, self.scheme), schema)
-        shared = keys.groupBy("k").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("k")
-        shared = stage(shared, "roots")
-        wanted = key_filter(shared, "k", _bits(16 * shared.count()))
-        keys = self.known.mapInArrow(_key_rows(self.k, self.scheme, wanted), schema).distinct()
-        keys = keys.hint("shuffle_merge").join(shared, "k", "left_semi")
-        return stage(keys.hint("shuffle_merge").join(classes.select(F.col("rep").alias("id")), "id"), "members")
-
-    def open_members(self, members: DataFrame, parts: DataFrame) -> DataFrame:
-        """(k, id, comp) under the roots that hold several components."""
-        named = members.hint("shuffle_merge").join(parts, F.col("id") == F.col("node"), "left")
+        self.n_pairs: dict[str, int] = {}  # by walk: pairs that its bounds left, and those that link
+        self.n_links: dict[str, int] = {}
+        self.spent: list[DataFrame] = []
+
+    def held(self, df: DataFrame, name: str, **seen: str) -> DataFrame:
+        """A staged table that goes when its step is done."""
+        self.spent.append(stage(df, name, **seen))
+        return self.spent[-1]
+
+    def verify(self, pairs: DataFrame, step: str) -> DataFrame:
+        """The (a, b) of (blk, a, b) whose texts link. Only texts named there are shuffled, once for each block."""
+        pairs = stage(pairs, "pairs", **N)
+        ends = pairs.select("blk", F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("blk", F.col("b").alias("id"), F.lit(None).cast("long").alias("other")))
+        n = observed(pairs, "n")
+        named = key_filter(ends, "id", _bits(2 * n))
+        texts = self.known.mapInArrow(_text_rows(named), "doc_id long, text string")
+        blocks = ends.groupBy("blk", "id").agg(F.collect_set("other").alias("others"))  # fan_out others at most
+        blocks = blocks.hint("shuffle_merge").join(texts, F.col("id") == F.col("doc_id"))
+        blocks = blocks.select("blk", "id", "others", "text").repartition("blk").sortWithinPartitions("blk")
+        links = stage(blocks.mapInArrow(_verified(self.k, self.num, self.den), "a long, b long").distinct(), "links", **N)
+        named.destroy()
+        drop(pairs, *self.spent)
+        self.spent.clear()
+        self.n_pairs[step], self.n_links[step] = n, observed(links, "n")
+        return links
+
+    def shared_roots(self) -> DataFrame:
+        """(k, id): the classes under each root that several have."""
+        keys = self.known.mapInArrow(_key_rows(self.k, self.scheme), "k long, c long")
+        shared = keys.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("k")
+        shared = stage(shared, "roots", **N)
+        wanted = key_filter(shared, "k", _bits(16 * observed(shared, "n")))
+        keys = self.known.mapInArrow(_key_rows(self.k, self.scheme, wanted), "k long, c long, id long")
+        keys = keys.groupBy("k", "c").agg(F.min("id").alias("id")).select("k", "id")  # copies of a set: its smallest doc_id
+        members = stage(keys.hint("shuffle_merge").join(shared, "k", "left_semi"), "members")
+        wanted.destroy()
+        drop(shared)
+        return members
+
+    def first_members(self, members: DataFrame) -> DataFrame:
+        """(k, id, comp, heads): each class under its first roots only, as its own component."""
+        heads = members.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("k")), 1, FIRST_ROOTS).alias("heads"))
+        return heads.select(F.explode("heads").alias("k"), "id", F.col("id").alias("comp"), "heads")
+
+    def open_members(self, members: DataFrame, parts: DataFrame) -> DataFrame | None:
+        """(k, id, comp, heads) under the roots that hold several components, if any does."""
+        named = members.withColumn("s", F.xxhash64("id")).hint("shuffle_merge").join(parts.select(F.col("node").alias("id"), "component", F.xxhash64("node").alias("s")), ["id", "s"], "left")
         named = stage(named.select("k", "id", F.coalesce("component", "id").alias("comp")), "named")
-        mixed = named.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k")
-        return stage(named.hint("shuffle_merge").join(mixed, "k", "left_semi").select("k", "id", "comp"), "open")
+        mixed = named.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("k", F.xxhash64("k").alias("s"))
+        held = self.held(named.withColumn("s", F.xxhash64("k")).hint("shuffle_merge").join(mixed, ["k", "s"], "left_semi").select("k", "id", "comp"), "open", **N)
+        drop(named)
+        if not observed(held, "n"):
+            return None
+        keys = F.sort_array(F.collect_list("k"))
+        heads = held.groupBy("id").agg(F.min("comp").alias("comp"), keys.alias("keys"))
+        return heads.select(F.explode("keys").alias("k"), "id", "comp", F.slice("keys", 1, HEADS).alias("heads"))
 
     def bounded(self, x: str, y: str) -> Column:
         """Whether two nodes may hold a link: overlap >= num/(num + den) of the two sizes, by bitmaps and size ranges."""
@@ -247,102 +324,220 @@ class JaccardJoin:
         apart = (F.col(f"{x}.c_lo") != F.col(f"{x}.c_hi")) | (F.col(f"{y}.c_lo") != F.col(f"{y}.c_hi")) | (F.col(f"{x}.c_lo") != F.col(f"{y}.c_lo"))
         return apart & sizes & (most * (self.num + self.den) >= self.num * (F.col(f"{x}.lo") + F.col(f"{y}.lo")))
 
-    def signatures(self, members: DataFrame) -> DataFrame:
-        ids = members.select("id").distinct()
-        docs = self.known.mapInArrow(_signature_rows(self.k, key_filter(ids, "id", _bits(10 * ids.count()))), ", ".join(["id long, size long, extra long", *(f"{s} long" for s in SIG)]))
-        return stage(docs.hint("shuffle_merge").join(ids, "id", "left_semi").dropDuplicates(["id"]), "signatures")
-
-    def leaves(self, members: DataFrame, docs: DataFrame) -> DataFrame:
-        """The leaf nodes under each root, and the branch each belongs to. Small components share leaves, dealt anew under
-        each root; large ones have leaves of their own."""
+    def leaves(self, members: DataFrame) -> DataFrame:
+        """The leaf nodes under each root, and how many it has at most. Small components share leaves, dealt anew under
+        each root; large ones have leaves of their own. A member's wide bitmap lies only under its first roots."""
         f = self.fan_out
-        per = members.groupBy("k", "comp").agg(F.count("*").alias("n"))
-        small = per.where(F.col("n") <= f // 2).groupBy("k").agg(F.sum("n").alias("n_small"))
-        per = per.hint("shuffle_merge").join(small, "k", "left")
+        held = stage(members, "held", **N)
+        ids = key_filter(held, "id", _bits(16 * observed(held, "n")))
+        docs = self.known.mapInArrow(_signature_rows(self.k, ids), ", ".join(["id long, size long, extra long, wide binary", *(f"{s} long" for s in SIG)]))
+        docs = docs.groupBy("id").agg(*(F.max(c).alias(c) for c in ("size", "extra", "wide")), *(F.bit_or(s).alias(s) for s in SIG)) if self.repeated else docs
+        per = held.groupBy("k", "comp").agg(F.count("*").alias("n"))
+        whole = per.groupBy("k").agg(F.sum("n").alias("n_all"), F.sum(F.when(F.col("n") <= f // 2, F.col("n"))).alias("n_small"), F.sum(F.when(F.col("n") > f // 2, F.ceil(F.col("n") / f))).alias("n_own"))
+        whole = whole.where("n_all > 1").select("k", "n_small", (F.ceil(F.coalesce("n_small", F.lit(0)) / f) + F.coalesce("n_own", F.lit(0))).cast("long").alias("n_leaves"), F.xxhash64("k").alias("s"))
+        per = per.withColumn("s", F.xxhash64("k")).hint("shuffle_merge").join(whole, ["k", "s"]).withColumn("s", F.xxhash64("k", "comp"))
+        placed = held.withColumn("s", F.xxhash64("k", "comp")).hint("shuffle_merge").join(per, ["k", "comp", "s"])
         pooled = F.pmod(F.xxhash64("comp", "k"), F.ceil(F.col("n_small") / f))
-        whole = F.xxhash64("comp", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / f)))
-        placed = members.hint("shuffle_merge").join(per, ["k", "comp"])
-        placed = placed.select("k", "id", "comp", F.when(F.col("n") <= f // 2, pooled).otherwise(whole).alias("leaf"))
+        own = F.xxhash64("comp", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / f)))
+        placed = placed.select("k", "id", "comp", "heads", "n_leaves", F.when(F.col("n") <= f // 2, pooled).otherwise(own).alias("leaf"))
         ored = [F.bit_or(s).alias(s) for s in SIG]
+        wide = F.when(F.array_contains("heads", F.col("k")), F.col("wide")).alias("wide")
         leaf = placed.hint("shuffle_merge").join(docs, "id").groupBy("k", "leaf").agg(
-            F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("extra").alias("extra"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), F.collect_list(F.struct("id", "comp", "size", *SIG)).alias("of"), *ored)
-        leaves = leaf.groupBy("k").agg(F.count("*").alias("n"))
-        return stage(leaf.hint("shuffle_merge").join(leaves, "k").withColumn("branch", F.pmod(F.xxhash64("leaf"), F.ceil(F.col("n") / f))).drop("n"), "leaves")
+            F.min("size").alias("lo"), F.max("size").alias("hi"), F.max("extra").alias("extra"), F.min("comp").alias("c_lo"), F.max("comp").alias("c_hi"), F.max("n_leaves").alias("n_leaves"),
+            F.collect_list(F.struct("id", "comp", "size", "heads", wide, *SIG)).alias("of"), *ored)
+        out = stage(leaf, "leaves", most="max(n_leaves)", **N)
+        ids.destroy()
+        drop(held)
+        return out
 
     def nearest_pairs(self, leaf: DataFrame) -> DataFrame:
-        """For each member, the member of its leaf that its bitmap comes nearest to: one row a member at most."""
-        own = leaf.where("c_lo <> c_hi").select(F.col("of").alias("ox"), F.col("of").alias("oy"))
-        return own.mapInArrow(_member_pairs(self.num, self.den, nearest=True), "a long, b long").distinct()
+        """(blk, a, b) for each member: the nearest of its leaf, the leaf's centre, the centre of the root's best leaf."""
+        rows = leaf.select(F.xxhash64("k", "leaf").alias("blk"), "k", "n_leaves", "of")
+        near = self.held(rows.mapInArrow(_nearest(self.num, self.den), "blk long, k long, a long, b long, score double"), "near")
+        best = near.where("b is null").groupBy("k").agg(F.max(F.struct("score", "a", "blk")).alias("best"), F.count("*").alias("n")).where("n > 1")
+        best = best.select("k", F.col("best.a").alias("centre"), F.xxhash64("k").alias("s"))
+        many = leaf.where("n_leaves > 1").select("k", F.xxhash64("k", "leaf").alias("blk"), F.explode("of.id").alias("a"), F.xxhash64("k").alias("s"))
+        many = many.hint("shuffle_merge").join(best, ["k", "s"]).where("a <> centre").select("blk", "a", F.col("centre").alias("b"))
+        return near.where("b is not null").select("blk", "a", "b").union(many)
 
     def walk_pairs(self, leaf: DataFrame) -> DataFrame:
-        """All pairs of different components that dual traversal of the trees leaves."""
+        """(blk, a, b): all pairs of different components that dual traversal of the trees leaves. Level j of a tree has
+        n_leaves / fan_out^j nodes; the walk begins where no root has more than ``fan_out``."""
+        f, top = self.fan_out, 0
+        while (observed(leaf, "most") or 0) > f ** (top + 1):
+            top += 1
+        place = [F.col("leaf")]
+        for j in range(1, top + 1):
+            place.append(F.pmod(F.xxhash64(place[-1], F.lit(j)), F.ceil(F.col("n_leaves") / f**j)))
+        named = leaf.select("k", "lo", "hi", "extra", "c_lo", "c_hi", *SIG, *(p.alias(f"at{j}") for j, p in enumerate(place)))
         ored = [F.bit_or(s).alias(s) for s in SIG]
-        branch = leaf.groupBy("k", "branch").agg(
-            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("extra").alias("extra"), F.min("c_lo").alias("c_lo"), F.max("c_hi").alias("c_hi"), *ored)
-        x, y = branch.alias("x"), branch.alias("y")
-        top = x.hint("shuffle_merge").join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.branch") <= F.col("y.branch")) & self.bounded("x", "y"))
-        top = top.select(F.col("x.k").alias("k"), F.col("x.branch").alias("bx"), F.col("y.branch").alias("by"))
-        x, y = leaf.alias("x"), leaf.alias("y")
-        down = top.hint("shuffle_merge").join(x, (F.col("x.k") == top.k) & (F.col("x.branch") == top.bx))
-        down = down.hint("shuffle_merge").join(y, (F.col("y.k") == top.k) & (F.col("y.branch") == top.by) & self.bounded("x", "y"))
-        down = down.where("bx < by or x.leaf <= y.leaf").select(F.col("x.of").alias("ox"), F.col("y.of").alias("oy"))
-        return down.mapInArrow(_member_pairs(self.num, self.den), "a long, b long").distinct()
+
+        def nodes(j: int) -> DataFrame:
+            if not j:
+                return named
+            up = [f"at{j + 1}"] if j < top else []
+            return named.groupBy("k", f"at{j}", *up).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("extra").alias("extra"), F.min("c_lo").alias("c_lo"), F.max("c_hi").alias("c_hi"), *ored)
+
+        x, y = nodes(top).alias("x"), nodes(top).alias("y")
+        here = f"at{top}"
+        both = x.hint("shuffle_merge").join(y, (F.col("x.k") == F.col("y.k")) & (F.col(f"x.{here}") <= F.col(f"y.{here}")) & self.bounded("x", "y"))
+        both = both.select(F.col("x.k").alias("root"), F.col(f"x.{here}").alias("px"), F.col(f"y.{here}").alias("py"))
+        for j in range(top - 1, -1, -1):
+            x, y, here, up = nodes(j).alias("x"), nodes(j).alias("y"), f"at{j}", f"at{j + 1}"
+            down = both.hint("shuffle_merge").join(x, (F.col("x.k") == F.col("root")) & (F.col(f"x.{up}") == F.col("px")))
+            down = down.hint("shuffle_merge").join(y, (F.col("y.k") == F.col("root")) & (F.col(f"y.{up}") == F.col("py")) & self.bounded("x", "y"))
+            down = down.where(f"px < py or x.{here} <= y.{here}")
+            both = down.select(F.col("root"), F.col(f"x.{here}").alias("px"), F.col(f"y.{here}").alias("py"))
+        both = self.held(both.withColumnRenamed("root", "k"), "node-pairs")
+        held = leaf.select("k", "leaf", "of")
+        down = both.hint("shuffle_merge").join(held.withColumnRenamed("of", "ox").withColumnRenamed("leaf", "px"), ["k", "px"])
+        down = down.hint("shuffle_merge").join(held.withColumnRenamed("of", "oy").withColumnRenamed("leaf", "py"), ["k", "py"])
+        return down.select("k", F.xxhash64("k", "px", "py").alias("blk"), "ox", "oy").mapInArrow(_member_pairs(self.num, self.den), "blk long, a long, b long")
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles, component_id for every row of documents."""
-        rows = stage(self.rows.mapInArrow(_doc_rows(self.k), "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>"), "sets")
+        rows = stage(self.rows.mapInArrow(_doc_rows(self.k), "doc_id long, n_shingles long, c1 long, c2 long"), "sets")
         full = rows.where("n_shingles > 0 and doc_id is not null")
-        named = full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-        named = stage(named, "classes")
-        links = self.stars(named)
-        twice = full.hint("shuffle_merge").join(named.select("c1", "c2", "rep"), ["c1", "c2"]).where("doc_id <> rep")
-        found = links.union(twice.select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))  # copies hang on their class
+        classes = stage(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
+        again = full.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.struct("c1", "c2")).alias("c"), F.max(F.struct("c1", "c2")).alias("z")).where("n > 1").select("doc_id", "c", "z")
+        again = stage(again, "again", apart="count_if(c <> z)", **N)
+        self.repeated = observed(again, "n") > 0
+        members = self.shared_roots()
+        leaf = self.leaves(self.first_members(members))
+        found = self.verify(self.nearest_pairs(leaf), "nearest")
+        drop(leaf)
+        if observed(again, "apart"):  # one doc_id with several texts joins their classes
+            several = full.hint("shuffle_merge").join(again.where("c <> z").select("doc_id"), "doc_id", "left_semi")
+            several = several.hint("shuffle_merge").join(classes, ["c1", "c2"]).groupBy("doc_id")
+            found = found.union(several.agg(F.collect_set("rep").alias("r")).select(F.array_min("r").alias("a"), F.explode("r").alias("b")))
         parts = components(found)
-        members = self.shared_roots(named)
-        held = self.open_members(members, parts)
-        sigs = self.signatures(held)
-        for pairs_of in (self.nearest_pairs, self.walk_pairs):
-            more = self.verify(pairs_of(self.leaves(held, sigs)))
-            parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-            held = self.open_members(held.select("k", "id"), parts) if pairs_of == self.nearest_pairs else held
-        out = rows.select("doc_id", "n_shingles").hint("shuffle_merge").join(parts, F.col("doc_id") == F.col("node"), "left")
-        return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _member_pairs(num: int, den: int, most: int = 500_000, nearest: bool = False):
+        drop(found)
+        left, more = self.open_members(members, parts), None
+        if left is not None:
+            leaf = self.leaves(left)
+            more = self.verify(self.walk_pairs(leaf), "walk")
+            drop(leaf)
+        drop(members, again, *self.spent)
+        named = classes.hint("shuffle_merge").join(parts, F.col("rep") == F.col("node"), "left").select("c1", "c2", "rep", F.coalesce("component", "rep").alias("component"))
+        if more is not None and observed(more, "n"):
+            name = parts.select(F.col("node").alias("id"), "component")
+            ends = more.hint("shuffle_merge").join(name.withColumnRenamed("component", "ca"), F.col("a") == F.col("id"), "left").drop("id")
+            ends = ends.hint("shuffle_merge").join(name.withColumnRenamed("component", "cb"), F.col("b") == F.col("id"), "left")
+            last = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+            named = named.hint("shuffle_merge").join(last.select("node", F.col("component").alias("last")), F.col("component") == F.col("node"), "left")
+            named = named.select("c1", "c2", "rep", F.coalesce("last", "component").alias("component"))
+        else:
+            last = None
+        named = stage(named.select("c1", "c2", F.col("component").alias("component_id")), "named")
+        drop(more, parts, classes, last)
+        out = rows.hint("shuffle_merge").join(named, ["c1", "c2"], "left")
+        out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), F.col("doc_id"))).alias("component_id"))
+        out._holds = (rows, named)  # drop(out) drops them
+        return out
+
+
+class _Members:
+    """The members of lists of nodes, flat; at: where each list begins (one more entry than lists)."""
+
+    def __init__(self, col: pa.ListArray):
+        flat = col.flatten()
+        self.at = np.concatenate([[0], np.cumsum(pc.list_value_length(col).to_numpy())]).astype(np.int64)
+        field = lambda name: flat.field(name).to_numpy(zero_copy_only=False)
+        self.id, self.comp, self.size = field("id"), field("comp"), field("size")
+        self.wide = flat.field("wide")
+        heads = flat.field("heads")
+        n = pc.list_value_length(heads).to_numpy()
+        self.heads = np.full((len(n), HEADS), np.iinfo(np.int64).max)
+        self.heads[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = heads.flatten().to_numpy()
+        self.sig = np.stack([field(s) for s in SIG], 1).view(np.uint64)
+
+
+def _facing(x: _Members, y: _Members, num: int, den: int, most: int = 500_000) -> Iterator[tuple]:
+    """(list, member of x, member of y, most common tokens) of the pairs of different components in facing lists whose
+    bitmaps allow a link, some lists at a time."""
+    pairs = np.concatenate([[0], np.cumsum(np.diff(x.at) * np.diff(y.at))])
+    row = 0
+    while row < len(x.at) - 1:
+        to = max(row + 1, int(np.searchsorted(pairs, pairs[row] + most, "right")) - 1)
+        n = np.diff(pairs[row : to + 1])
+        who = np.repeat(np.arange(row, to), n)
+        at_pair = np.arange(n.sum()) - np.repeat(pairs[row:to] - pairs[row], n)
+        across = np.diff(y.at)[who]
+        i, j = x.at[who] + at_pair // across, y.at[who] + at_pair % across
+        fit = (x.comp[i] != y.comp[j]) & (x.size[i] * num <= y.size[j] * den) & (y.size[j] * num <= x.size[i] * den)
+        who, i, j = who[fit], i[fit], j[fit]
+        p, q = x.sig[i], y.sig[j]
+        common = np.minimum(x.size[i] - np.bitwise_count(p & ~q).sum(1).astype(np.int64), y.size[j] - np.bitwise_count(q & ~p).sum(1).astype(np.int64))
+        fit = common * (num + den) >= num * (x.size[i] + y.size[j])
+        yield who[fit], i[fit], j[fit], common[fit]
+        row = to
+
+
+def _nearest(num: int, den: int):
+    """For each leaf, its members beside their nearest and beside the centre; a row without b names the centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = _Members(b.column("of"))
+            k, blk, several = b.column("k").to_numpy(), b.column("blk").to_numpy(), b.column("n_leaves").to_numpy() > 1
+            rows = [[], [], [], []]  # list, a, b, score
+            for who, i, j, common in _facing(x, x, num, den):
+                alike = common / (x.size[i] + x.size[j])
+                order = np.lexsort((j, -alike, i))
+                first = order[np.concatenate([[True], i[order][1:] != i[order][:-1]])] if len(order) else order
+                total = np.bincount(i, alike, len(x.id))
+                lists = np.unique(who)
+                owner = np.repeat(np.arange(b.num_rows), np.diff(x.at))
+                inside = np.flatnonzero(np.isin(owner, lists))
+                order = inside[np.lexsort((x.id[inside], -total[inside], owner[inside]))]
+                centre = np.full(b.num_rows, -1)
+                centre[owner[order][::-1]] = order[::-1]
+                to_centre = j == centre[who]
+                keep = np.union1d(first, np.flatnonzero(to_centre))
+                rows[0].append(who[keep])
+                rows[1].append(x.id[i[keep]])
+                rows[2].append(x.id[j[keep]])
+                rows[3].append(np.zeros(len(keep)))
+                lists = lists[several[lists]]
+                rows[0].append(lists)
+                rows[1].append(x.id[centre[lists]])
+                rows[2].append(np.full(len(lists), -1))
+                rows[3].append(total[centre[lists]] / np.diff(x.at)[lists])
+            who, p, q, score = (np.concatenate(r) if r else np.zeros(0, np.int64) for r in rows)
+            lone = score > 0
+            p, q = np.where(lone, p, np.minimum(p, q)), np.where(lone, q, np.maximum(p, q))
+            one = np.unique(np.stack([who, p, q], 1), axis=0, return_index=True)[1]
+            who, p, q, score, lone = who[one], p[one], q[one], score[one], lone[one]
+            yield _batch(blk=pa.array(blk[who]), k=pa.array(k[who]), a=pa.array(p), b=pa.array(q, mask=lone), score=pa.array(score.astype(float)))
+
+    return run
+
+
+def _member_pairs(num: int, den: int):
     """The last level of the walk: pairs of members of two leaves whose own bitmaps allow a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            side = []
-            for c in ("ox", "oy"):
-                col = batch.column(c)
-                flat = col.flatten()
-                at = np.concatenate([[0], np.cumsum(pc.list_value_length(col).to_numpy())]).astype(np.int64)
-                field = lambda name: flat.field(name).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-                side.append((at, field("id"), field("comp"), field("size"), np.stack([field(s) for s in SIG], 1).view(np.uint64)))
-            (at, *x), (bt, *y) = side
-            pairs = np.concatenate([[0], np.cumsum(np.diff(at) * np.diff(bt))])
-            row = 0
-            while row < batch.num_rows:
-                to = max(row + 1, int(np.searchsorted(pairs, pairs[row] + most, "right")) - 1)
-                n = np.diff(pairs[row : to + 1])
-                who = np.repeat(np.arange(row, to), n)
-                at_pair = np.arange(n.sum()) - np.repeat(pairs[row:to] - pairs[row], n)
-                wide = np.diff(bt)[who]
-                i, j = at[who] + at_pair // wide, bt[who] + at_pair % wide
-                fit = (x[1][i] != y[1][j]) & (x[2][i] * num <= y[2][j] * den) & (y[2][j] * num <= x[2][i] * den)
-                i, j = i[fit], j[fit]
-                p, q = x[3][i], y[3][j]
-                most_common = np.minimum(x[2][i] - np.bitwise_count(p & ~q).sum(1).astype(np.int64), y[2][j] - np.bitwise_count(q & ~p).sum(1).astype(np.int64))
-                sizes = x[2][i] + y[2][j]
-                fit = most_common * (num + den) >= num * sizes
-                if nearest:
-                    order = np.lexsort((-most_common / sizes, ~fit, i))
-                    fit[order[1:][i[order][1:] == i[order][:-1]]] = False
-                found = np.unique(np.sort(np.stack([x[0][i[fit]], y[0][j[fit]]], 1), axis=1), axis=0)
-                yield _batch(a=pa.array(np.ascontiguousarray(found[:, 0])), b=pa.array(np.ascontiguousarray(found[:, 1])))
-                row = to
+            if not batch.num_rows:
+                continue
+            x, y = _Members(batch.column("ox")), _Members(batch.column("oy"))
+            k, blk = batch.column("k").to_numpy(), batch.column("blk").to_numpy()
+            for who, i, j, _ in _facing(x, y, num, den):
+                keep = np.arange(len(i))
+                for n in range(HEADS):  # a pair with an earlier head in common comes under that root
+                    p = x.heads[i[keep], n]
+                    keep = keep[~((p < k[who[keep]]) & (y.heads[j[keep]] == p[:, None]).any(1))]
+                who, i, j = who[keep], i[keep], j[keep]
+                ok = np.ones(len(i), bool)
+                for n, (p, q) in enumerate(zip(x.wide.take(pa.array(i)).to_pylist(), y.wide.take(pa.array(j)).to_pylist())):
+                    if p is not None and q is not None:
+                        s, t = int(x.size[i[n]]), int(y.size[j[n]])
+                        ok[n] = _wide_common(p, q, s, t) * (num + den) >= num * (s + t)
+                a, b = x.id[i[ok]], y.id[j[ok]]
+                rows = np.unique(np.stack([blk[who[ok]], np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                yield _batch(blk=pa.array(np.ascontiguousarray(rows[:, 0])), a=pa.array(np.ascontiguousarray(rows[:, 1])), b=pa.array(np.ascontiguousarray(rows[:, 2])))
 
     return run
 
@@ -361,5 +556,6 @@ def drop_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     with null doc_id stay. Other columns are kept."""
     found = near_duplicates(docs, k, num, den)
     losers = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct(), "copies")
+    drop(found)
     kept = docs.hint("shuffle_merge").join(losers, docs["doc_id"] == losers["_lost"], "left_anti")
     return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))

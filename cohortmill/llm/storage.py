@@ -7,16 +7,16 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import drop, new_path, shared_dir, stage
+from ..sources.shared import drop, new_path, observed, shared_dir, stage
 
-__all__ = ["drop", "new_path", "shared_dir", "stage", "key_filter", "passes"]
+__all__ = ["drop", "new_path", "observed", "shared_dir", "stage", "key_filter", "passes"]
 
 MAX_BITS = 1 << 28
 
 
 def key_filter(keys: DataFrame, column: str, bits: int) -> Broadcast:
     """A bit for each key of a long column, at key modulo ``bits`` (a power of two, at most 2^28: 32 MB whatever the
-    input). Rows that pass may still have no partner, so an exact join must follow."""
+    input). Rows that pass may still have no partner, so an exact join must follow; destroy() it once that is written."""
     bits = min(MAX_BITS, max(1 << 15, bits))
     low = F.col(column).bitwiseAND(F.lit(bits - 1)).cast("long") + 1  # Spark's bitmap positions begin at 1
     at = keys.where(F.col(column).isNotNull()).select(low.alias("at"))

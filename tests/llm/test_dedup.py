@@ -26,6 +26,49 @@ def test_jaccard_family_of_edited_copies(spark):
     assert got == brute.near(rows, 4, 85, 100)
 
 
+def long_family(n, length, edits, seed=5):
+    """n copies of one long text, each with its own edits: far apart from each other, not from the base."""
+    import random
+
+    r = random.Random(seed)
+    base = [f"w{r.randint(0, 10**6)}" for _ in range(length)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for x in r.sample(range(0, length - 8, 8), edits):
+            w[x] = f"v{r.randint(0, 10**9)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_jaccard_long_texts_just_below_the_threshold(spark):
+    """Each edit takes 4 of 1,500 shingles: two copies share about 1,260 of them, a similarity of 0.72, and none links. The
+    bitmaps of single members must see that without texts, and pairs may not be offered under each common root."""
+    rows = long_family(300, 1503, 31)
+    j = jaccard.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 4, 85, 100)
+    assert {x.doc_id: x.component_id for x in j.run().collect()} == {i: i for i, _ in rows}
+    assert j.n_links == {"nearest": 0, "walk": 0} and j.n_pairs["walk"] < 300 * 299 // 2
+
+
+def test_jaccard_links_through_a_base(spark):
+    """Copies that link with their base only, far above a leaf's size: all pairs but those with the base are no links."""
+    rows = [(1000 + i, t) for i, t in long_family(150, 403, 8)]  # to the base 0.85 and more, to each other less
+    base = long_family(1, 403, 0)
+    rows += [(7, base[0][1])]
+    j = jaccard.JaccardJoin(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 4, 85, 100)
+    got = {x.doc_id: x.component_id for x in j.run().collect()}
+    assert got == {i: c for i, (_, c) in brute.near(rows, 4, 85, 100).items()} and set(got.values()) == {7}
+    assert sum(j.n_pairs.values()) < 10 * len(rows)
+
+
+def test_jaccard_links_come_from_the_walks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    j = jaccard.JaccardJoin(docs, 4, 85, 100)
+    want = {i: c for i, (_, c) in brute.near([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], 4, 85, 100).items()}
+    assert {x.doc_id: x.component_id for x in j.run().collect()} == want
+    assert sum(j.n_links.values()) >= 2
+
+
 def test_jaccard_odd_tables(spark, odd, empty):
     assert jaccard.near_duplicates(empty).count() == 0
     rows = jaccard.near_duplicates(odd).collect()
