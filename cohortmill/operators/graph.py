@@ -52,8 +52,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     else:
         e = e.where("u <> v")
     named = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = e.select(F.col("v").alias("node")).union(lone.select("v")).union(lone.select("u")).distinct()
-    roots = roots.hint("shuffle_merge").join(named.select("node"), "node", "left_anti")
-    out = stage(named.union(roots.select("node", F.col("node").alias("component"))), "components")
+    roots = e.select(F.col("v").alias("node")).distinct()  # now the edges are stars: no root is a u
+    out = named.union(roots.select("node", F.col("node").alias("component")))
+    if observed(lone, "n") > observed(lone, "pairs"):
+        more = lone.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
+        out = out.union(more.hint("shuffle_merge").join(out.select("node"), "node", "left_anti"))
+    out = stage(out, "components")
     drop(e, lone)
     return out
