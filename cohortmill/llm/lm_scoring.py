@@ -1,14 +1,17 @@
 """Masked pseudo-likelihood scores from a bidirectional window network trained in numpy on the corpus itself.
 
-Each word is predicted from two words on either side: their embeddings pass a tanh layer and a softmax over word classes;
-within a class a word has its corpus share. Words are hashed into ``V`` buckets, so no word is outside the vocabulary,
-and classes are runs of buckets of about equal corpus mass, by falling frequency. A document's score is the sum over all
-its words of log p(word | both sides).
-
-Bucket counts come from all documents. Training is data-parallel: in each round every task runs mini-batches over all its
-texts, in four passes over each piece that mask every fourth word, another quarter each time, so that every word of every
-text is a target once a round; the parameters of all tasks are averaged, weighted by their masked words. Parameters have a fixed size (about 0.5 MB) whatever the corpus. Scores depend slightly on how the
-rows are dealt to tasks, as with any parameter averaging; a retried task repeats its own result.
+Each word is predicted from two words on either side: their embeddings pass a tanh layer, then a softmax over word classes
+and a softmax over the words of the class, both conditioned on the two sides. Words are hashed into V buckets, so no word
+is outside the vocabulary; V follows the number of words in the corpus (one bucket for ``WORDS_A_BUCKET`` words, a power of
+two from 2^12 to 2^16). Classes are runs of buckets of about equal corpus mass, by falling frequency, so a word costs about
+C + V / C output units, 2 sqrt(V) where C = sqrt(V). A document's score is the sum over all its words of
+log p(word | both sides).
+
+Bucket counts come from all documents. Training is data-parallel: each task runs mini-batches over all its texts, masking
+one word in four at a time; every word of every text is a target exactly once in the ``rounds`` rounds. After a round the
+parameters of all tasks are averaged, weighted by their masked words. They number 25 V + 600 C or so: 1.6 MB at V = 2^14,
+7 MB at 2^16, whatever the corpus. Scores depend slightly on how the rows are dealt to tasks, as with any parameter
+averaging; a retried task repeats its own result.
 
 Defined cases: null, empty and wordless texts have no tokens, log-likelihood 0 and a null mean; shorter contexts at a
 text's ends are padded; repeated rows get equal scores; an empty table gives no rows; other columns are ignored.
@@ -25,91 +28,145 @@ from pyspark.sql import functions as F
 
 from .textcols import Texts, pieces
 
-V, CLASSES, DIM, HIDDEN = 1 << 14, 32, 8, 16
+V, DIM, HIDDEN = 1 << 14, 8, 16
+LEAST_V, MOST_V, WORDS_A_BUCKET = 1 << 12, 1 << 16, 8192
 OFFSETS = (-2, -1, 1, 2)
-BATCH, RATE = 4096, 0.08
-SHAPES = {"E": (V + 1, DIM), "W1": (DIM * len(OFFSETS), HIDDEN), "b1": (HIDDEN,), "W2": (HIDDEN, CLASSES), "b2": (CLASSES,)}
+BATCH, RATE = 8192, 0.08
+NAMES = ("E", "W1", "b1", "W2", "b2", "W3", "b3")
 SCORES = "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
 
 
-def bucket_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_words(column: pa.Array, v: int = V) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(buckets with two pads around each text, place of each word in them, first word of each text)."""
     t = Texts(column, lower=True)
     t.words()
-    b = (t.hashes(t.start, t.size) & np.uint64(V - 1)).astype(np.int64)
+    b = (t.hashes(t.start, t.size) & np.uint64(v - 1)).astype(np.int64)
     place = np.arange(len(b)) + 2 + 4 * np.repeat(np.arange(t.n), np.diff(t.word_at))
-    padded = np.full(len(b) + 4 * t.n + 4, V)
+    padded = np.full(len(b) + 4 * t.n + 4, v)
     padded[place] = b
     return padded, place, t.word_at
 
 
 class Network:
+    """rank: each bucket's place by falling frequency; words are held in that order, class c at first[c] to first[c + 1]."""
+
     def __init__(self, counts: np.ndarray, seed: int = 7):
         n = counts + 0.5
+        self.v = v = len(counts)
+        classes = 1 << ((v.bit_length()) // 2)
         order = np.argsort(-n, kind="stable")
-        mass = np.cumsum(n[order]) / n.sum()
-        self.word_class = np.empty(V, np.int64)
-        self.word_class[order] = np.minimum((mass - n[order] / n.sum() / 2) * CLASSES, CLASSES - 1).astype(np.int64)
-        held = np.bincount(self.word_class, n, CLASSES)
-        self.within = np.log(n / held[self.word_class])
+        self.rank = np.empty(v + 1, np.int64)
+        self.rank[order], self.rank[v] = np.arange(v), v
+        n = n[order]
+        mass = np.cumsum(n) / n.sum()
+        in_class = np.minimum((mass - n / n.sum() / 2) * classes, classes - 1).astype(np.int64)
+        in_class = np.unique(in_class, return_inverse=True)[1]  # a class that one word's mass passes over is none
+        c = int(in_class[-1]) + 1
+        self.first = np.searchsorted(in_class, np.arange(c + 1))
+        self.in_class = in_class
+        held = np.bincount(in_class, n, c)
+        shapes = {"E": (v + 1, DIM), "W1": (DIM * len(OFFSETS), HIDDEN), "W2": (c, HIDDEN)}
         rng = np.random.default_rng(seed)
-        self.p = {k: (rng.standard_normal(s) * (0.1 if k == "E" else 0.2)).astype(np.float32) for k, s in SHAPES.items()}
-        self.p["E"][V] = 0
-        self.p["b1"][:] = 0
-        self.p["b2"][:] = np.log(np.maximum(held, 1e-9) / held.sum())
+        self.p = {k: (rng.standard_normal(s) * (0.1 if k == "E" else 0.2)).astype(np.float32) for k, s in shapes.items()}
+        self.p["E"][v] = 0
+        self.p["b1"] = np.zeros(HIDDEN, np.float32)
+        self.p["b2"] = np.log(held / held.sum()).astype(np.float32)
+        self.p["W3"] = np.zeros((v, HIDDEN), np.float32)
+        self.p["b3"] = np.log(n / held[in_class]).astype(np.float32)
+
+    @staticmethod
+    def softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Shares of each output, h @ w.T + b. As no hidden unit is beyond 1, large weights alone can overflow."""
+        e = h @ w.T
+        e += b
+        if np.abs(w).sum(1).max() + np.abs(b).max() > 80:
+            e -= e.max(1, keepdims=True)
+        np.exp(e, out=e)
+        e *= (1 / (e @ np.ones(len(w), np.float32)))[:, None]
+        return e
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(inputs, hidden, log p of each class) for contexts of four buckets."""
-        x = self.p["E"][context].reshape(len(context), -1)
-        h = np.tanh(x @ self.p["W1"] + self.p["b1"])
-        z = h @ self.p["W2"] + self.p["b2"]
-        z -= z.max(1, keepdims=True)
-        z -= np.log(np.exp(z).sum(1, keepdims=True))
-        return x, h, z
+        """(inputs, hidden, p of each class) for contexts of four buckets."""
+        x = self.p["E"][self.rank[context]].reshape(len(context), -1)
+        h = x @ self.p["W1"]
+        h += self.p["b1"]
+        np.tanh(h, out=h)
+        return x, h, self.softmax(h, self.p["W2"], self.p["b2"])
+
+    def by_class(self, word: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+        """(places, first word, word after the last) of each class of several words among ``word`` (ranks)."""
+        c = self.in_class[word]
+        order = np.argsort(c, kind="stable")
+        at = np.searchsorted(c[order], np.arange(len(self.first)))
+        for i in np.flatnonzero((np.diff(at) > 0) & (np.diff(self.first) > 1)):
+            yield order[at[i] : at[i + 1]], int(self.first[i]), int(self.first[i + 1])
+
+    def within(self, h: np.ndarray, lo: int, hi: int) -> np.ndarray:
+        """p of each word of a class, given the hidden layer."""
+        return self.softmax(h, self.p["W3"][lo:hi], self.p["b3"][lo:hi])
 
     def log_p(self, padded: np.ndarray, place: np.ndarray) -> np.ndarray:
         out = np.empty(len(place))
         for i in range(0, len(place), 1 << 15):
             at = place[i : i + (1 << 15)]
-            word = padded[at]
-            _, _, z = self.forward(np.stack([padded[at + o] for o in OFFSETS], 1))
-            out[i : i + len(at)] = z[np.arange(len(at)), self.word_class[word]] + self.within[word]
+            word = self.rank[padded[at]]
+            _, h, z = self.forward(np.stack([padded[at + o] for o in OFFSETS], 1))
+            p = z[np.arange(len(at)), self.in_class[word]].astype(float)
+            for these, lo, hi in self.by_class(word):
+                p[these] *= self.within(h[these], lo, hi)[np.arange(len(these)), word[these] - lo]
+            out[i : i + len(at)] = np.log(np.maximum(p, 1e-30))
         return out
 
     def train(self, context: np.ndarray, word: np.ndarray, seen: dict[str, np.ndarray]) -> None:
         """One Adagrad step; seen: sums of squared gradients, changed in place."""
-        n = len(word)
-        x, h, z = self.forward(context)
-        d = np.exp(z)
-        d[np.arange(n), self.word_class[word]] -= 1
-        d /= n
-        dh = (d @ self.p["W2"].T) * (1 - h * h)
+        n, word = len(word), self.rank[word]
+        x, h, d = self.forward(context)
+        d[np.arange(n), self.in_class[word]] -= 1
+        dh = d @ self.p["W2"]  # divided by n below
+
+        def step(k: str, g: np.ndarray, at: slice = slice(None)) -> None:
+            seen[k][at] += g * g
+            self.p[k][at] -= RATE * g / (np.sqrt(seen[k][at]) + 1e-6)
+
+        for these, lo, hi in self.by_class(word):
+            e = self.within(h[these], lo, hi)
+            e[np.arange(len(these)), word[these] - lo] -= 1
+            dh[these] += e @ self.p["W3"][lo:hi]
+            step("W3", e.T @ h[these] / n, slice(lo, hi))
+            step("b3", e.sum(0) / n, slice(lo, hi))
+        dh *= (1 - h * h) / n
         dx = (dh @ self.p["W1"].T).reshape(-1, DIM)
-        flat = context.ravel()
-        de = np.stack([np.bincount(flat, dx[:, i], V + 1) for i in range(DIM)], 1).astype(np.float32)
-        de[V] = 0
-        for k, g in (("E", de), ("W1", x.T @ dh), ("b1", dh.sum(0)), ("W2", h.T @ d), ("b2", d.sum(0))):
-            seen[k] += g * g
-            self.p[k] -= RATE * g / (np.sqrt(seen[k]) + 1e-6)
+        flat = self.rank[context].ravel()
+        de = np.stack([np.bincount(flat, dx[:, i], self.v + 1) for i in range(DIM)], 1).astype(np.float32)
+        de[self.v] = 0
+        for k, g in (("E", de), ("W1", x.T @ dh), ("b1", dh.sum(0)), ("W2", d.T @ h / n), ("b2", d.sum(0) / n)):
+            step(k, g)
+
 
+def bucket_counts(docs: DataFrame, v: int | None = None) -> np.ndarray:
+    """Words in each of v buckets; without v, of as many buckets as the corpus asks for."""
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(V + 1, np.int64)
+        total = np.zeros(MOST_V + 1, np.int64)
         for b in pieces(batches):
-            padded, _, _ = bucket_words(b.column("text"))
-            total += np.bincount(padded, minlength=V + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(V)), pa.array(total[:V])], ["bucket", "n"])
+            padded, place, _ = bucket_words(b.column("text"), MOST_V)
+            total += np.bincount(padded[place], minlength=MOST_V + 1)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
 
     counted = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(V)
-    for bucket, n in counted.collect():  # V rows
+    out = np.zeros(MOST_V)
+    for bucket, n in counted.collect():  # MOST_V rows at most
         out[bucket] = n
-    return out
+    if v is None:
+        v = min(MOST_V, max(LEAST_V, 1 << max(0, round(float(np.log2(max(out.sum(), 1) / WORDS_A_BUCKET))))))
+    return out.reshape(-1, v).sum(0)  # a bucket is the word's hash modulo v
 
 
-def _train_rows(net, round_: int, stride: int):
-    """Each task's trained parameters times its masked words, as (place, value), and those words at place -1."""
+def _train_rows(net, round_: int, stride: int, turns: int | None = None):
+    """Each task's trained parameters times its masked words, as (place, value), and those words at place -1. The places of
+    a text modulo ``stride`` are masked in turn, ``turns`` of them in a round (all unless told otherwise)."""
+    turns = turns or stride
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = Network.__new__(Network)
@@ -118,35 +175,40 @@ def _train_rows(net, round_: int, stride: int):
         seen = {k: np.full_like(v, 1e-8) for k, v in mine.p.items()}
         total = 0
         for b in pieces(batches):
-            padded, place, at = bucket_words(b.column("text"))
+            padded, place, at = bucket_words(b.column("text"), mine.v)
             own = np.arange(len(place)) - np.repeat(at[:-1], np.diff(at))
-            total += len(place)
-            for turn in range(stride):
-                masked = place[own % stride == (round_ + turn) % stride]
+            for turn in range(round_ * turns, round_ * turns + turns):
+                masked = place[own % stride == turn % stride]
+                total += len(masked)
                 for i in range(0, len(masked), BATCH):
                     p = masked[i : i + BATCH]
                     mine.train(np.stack([padded[p + o] for o in OFFSETS], 1), padded[p], seen)
         if total:
-            flat = np.concatenate([[1.0], *(mine.p[k].ravel() for k in SHAPES)]).astype(np.float64) * total
+            flat = np.concatenate([[1.0], *(mine.p[k].ravel() for k in NAMES)]).astype(np.float64) * total
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat) - 1)), pa.array(flat)], ["place", "value"])
 
     return run
 
 
 def fit(docs: DataFrame, rounds: int = 2, stride: int = 4) -> Network:
+    """``rounds`` (a divisor of ``stride``) rounds mask stride / rounds places each, so every word once in all."""
+    if stride % rounds:
+        raise ValueError("rounds must divide stride")
     net = Network(bucket_counts(docs))
     sc = docs.sparkSession.sparkContext
     for r in range(rounds):
-        rows = docs.select("text").mapInArrow(_train_rows(sc.broadcast(net), r, stride), "place long, value double")
+        shared = sc.broadcast(net)
+        rows = docs.select("text").mapInArrow(_train_rows(shared, r, stride, stride // rounds), "place long, value double")
         sums = rows.groupBy("place").agg(F.sum("value").alias("value")).toPandas()  # as many rows as parameters
+        shared.destroy()
         if len(sums):
             flat = np.zeros(len(sums))
             flat[sums["place"].to_numpy() + 1] = sums["value"].to_numpy()
             flat, at = flat[1:] / flat[0], 0
-            for k, s in SHAPES.items():
-                n = int(np.prod(s))
-                net.p[k] = flat[at : at + n].reshape(s).astype(np.float32)
-                at += n
+            for k in NAMES:
+                old = net.p[k]
+                net.p[k] = flat[at : at + old.size].reshape(old.shape).astype(np.float32)
+                at += old.size
     return net
 
 
@@ -155,7 +217,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
-            padded, place, at = bucket_words(b.column("text"))
+            padded, place, at = bucket_words(b.column("text"), shared.value.v)
             sums = np.diff(np.concatenate([[0], np.cumsum(shared.value.log_p(padded, place))])[at])
             n = np.diff(at)
             sums[n == 0] = 0

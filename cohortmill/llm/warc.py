@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -23,22 +24,46 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import new_path, stage
+from .storage import drop, key_filter, new_path, observed, passes, stage
 
 DICT_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def _split(revisiting, inside: bool):
+    """Pages whose id passes the filter, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("page_id").cast(pa.int64())
+            some = passes(revisiting, ids.fill_null(0).to_numpy()) & ~ids.is_null().to_numpy(zero_copy_only=False)
+            b = b.filter(pa.array(some == inside))
+            if b.num_rows:
+                yield b
+
+    return run
+
+
 def mark_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
-    """page_id, url, html, digest (hex SHA-1), refers_to (null for responses)."""
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    pages = pages.withColumn("digest", F.sha1(F.encode("html", "utf-8")))
-    known = pages.where((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    last = known.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"))
-    last = last.where("least < refers_to").drop("least")
-    revisits = known.distinct().hint("shuffle_merge").join(last, "digest").where("page_id < refers_to")
-    return pages.hint("shuffle_merge").join(revisits, ["page_id", "digest"], "left")
+    """page_id, url, html, digest (hex SHA-1), refers_to (null for responses). Only html of pages that may be revisits is
+    shuffled."""
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    digest = F.sha1(F.encode("html", "utf-8"))
+    known = pages.where((F.octet_length("html") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", digest.alias("digest"))
+    known = stage(known, "digests")
+    last = known.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to")
+    last = last.select("digest", "refers_to", F.xxhash64("digest").alias("s"))  # a second key: a digest that many share can be split
+    revisits = known.withColumn("s", F.xxhash64("digest")).hint("shuffle_merge").join(last, ["digest", "s"]).where("page_id < refers_to")
+    revisits = stage(revisits.select("page_id", "digest", "refers_to").distinct(), "revisits", n="count(1)")
+    drop(known)
+    some = key_filter(revisits, "page_id", 1 << max(20, (16 * observed(revisits, "n")).bit_length()))
+    schema = "page_id long, url string, html string"
+    first = pages.mapInArrow(_split(some, False), schema).withColumn("digest", digest).withColumn("refers_to", F.lit(None).cast("long"))
+    again = pages.mapInArrow(_split(some, True), schema).withColumn("digest", digest).hint("shuffle_merge").join(revisits, ["page_id", "digest"], "left")
+    out = first.unionByName(again)
+    out._holds = (revisits,)
+    return out
 
 
 def record_bytes(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -101,9 +126,10 @@ def read_archive(data: bytes, piece: int = 1 << 16) -> Iterator[bytes]:
 
 
 def _sink(uri: str):
-    """(filesystem, path): local and mounted folders, or any store that pyarrow opens."""
+    """(filesystem, path): local and mounted folders, or any store that pyarrow opens (s3a:// as s3://)."""
     from pyarrow import fs
 
+    uri = re.sub("^s3[an]://", "s3://", uri)
     return (fs.LocalFileSystem(), uri.removeprefix("file://").removeprefix("file:")) if uri.startswith(("/", "file:")) else fs.FileSystem.from_uri(uri)
 
 
@@ -143,34 +169,51 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 1000, archive_siz
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     rows = mark_revisits(pages, min_bytes)
-    return stage(rows.mapInArrow(_writer(folder, archive_size, date), "name string, records long, bytes long"), "warc-manifest")
+    manifest = stage(rows.mapInArrow(_writer(folder, archive_size, date), "name string, records long, bytes long"), "warc-manifest", n="count(1)")
+    drop(rows)
+    return manifest
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _records(data: bytes) -> pa.RecordBatch:
     number = lambda uri: int(n) if (n := uri.strip("<>").rpartition(":")[2]) else None
-    for b in batches:
-        for content in b.column("content"):
-            rows = []
-            for raw in read_archive(content.as_py()):
-                f, block = parse_record(raw)
-                http, _, payload = block.partition(b"\r\n\r\n")
-                n = int(next(x for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))[16:])
-                digest = base64.b32decode(f["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                kind = f["WARC-Type"]
-                if kind == "response" and (len(payload) != n or hashlib.sha1(payload).hexdigest() != digest):
-                    raise ValueError(f"damaged record {f['WARC-Record-ID']}")
-                rows.append((number(f["WARC-Record-ID"]), n, digest, kind, number(f["WARC-Refers-To"]) if kind == "revisit" else None))
-            page, n, digest, kind, to = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(kind, pa.string()), pa.array(to, pa.int64())], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-
-def read_warc(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
-    """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to. Payloads are checked."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    rows = []
+    for raw in read_archive(data):
+        f, block = parse_record(raw)
+        http, _, payload = block.partition(b"\r\n\r\n")
+        n = int(next(x for x in http.split(b"\r\n") if x.startswith(b"Content-Length: "))[16:])
+        digest = base64.b32decode(f["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+        kind = f["WARC-Type"]
+        if kind == "response" and (len(payload) != n or hashlib.sha1(payload).hexdigest() != digest):
+            raise ValueError(f"damaged record {f['WARC-Record-ID']}")
+        rows.append((number(f["WARC-Record-ID"]), n, digest, kind, number(f["WARC-Refers-To"]) if kind == "revisit" else None))
+    page, n, digest, kind, to = zip(*rows) if rows else ((),) * 5
+    return pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(kind, pa.string()), pa.array(to, pa.int64())], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+
+def _reader(folder: str | None):
+    """The records of archives given by content, or by name in a folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _sink(folder) if folder else (None, None)
+        for b in batches:
+            for x in b.column(0):
+                if store is None:
+                    yield _records(x.as_py())
+                else:
+                    with store.open_input_stream(f"{top}/{x.as_py()}", compression=None) as archive:
+                        yield _records(archive.read())
+
+    return run
+
+
+def read_warc(spark: SparkSession, folder: str, manifest: DataFrame | None = None, most_tasks: int = 10_000) -> DataFrame:
+    """One row per record: page_id, payload_bytes, payload_digest, record_type, refers_to. Payloads are checked. With a
+    manifest, the archives that it names, a task for each (``most_tasks`` at most): names are dealt out, not contents."""
     if manifest is not None:
-        files = files.hint("shuffle_merge").join(manifest.select("name"), "name", "left_semi")
-    return files.select("content").mapInArrow(_reader, RECORD)
+        tasks = max(1, min(most_tasks, manifest.count()))
+        return manifest.select("name").repartition(tasks, "name").mapInArrow(_reader(folder), RECORD)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    return files.select("content").mapInArrow(_reader(None), RECORD)
 
 
 def warc_round_trip(pages: DataFrame) -> DataFrame:

@@ -146,3 +146,13 @@ def test_whole_items_are_found_and_clean_documents_stay(spark):
     found = {(r.doc_id, r.item_id) for r in decontamination.leaked_items(docs, items).collect()}
     assert found == want
     assert decontamination.clean_documents(docs, items).count() == docs.count() - len({d for d, _ in want})
+
+
+def test_warc_extra_columns_with_clashing_names(spark):
+    from cohortmill.llm import warc
+
+    html = "<p>" + "long page " * 200
+    rows = [(1, "u", html, "x", 5, "y"), (2, "u", html, "x", 5, "y"), (None, None, html, "x", 5, "y"), (2, "u", html, "x", 5, "y"), (3, "u", None, "x", 5, "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, refers_to long, name string")
+    got = sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in warc.warc_round_trip(pages).collect())
+    assert got == [(0, "response", 0), (1, "revisit", 2), (2, "response", 0), (2, "response", 0), (3, "response", 0)]

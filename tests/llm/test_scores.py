@@ -107,14 +107,59 @@ def test_language_model_beats_word_shares_and_notices_shuffling(spark):
     assert mean(held, net) > mean(mixed, net) + 0.5
 
 
+def plain_distribution(net, context):
+    """log p of every word (by rank) from its two sides, word by word in double precision."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    x = np.concatenate([p["E"][net.rank[c]] for c in context])
+    h = np.tanh(x @ p["W1"] + p["b1"])
+    z = p["W2"] @ h + p["b2"]
+    z = z - np.log(np.exp(z).sum())
+    s = np.exp(p["W3"] @ h + p["b3"])
+    whole = np.bincount(net.in_class, s)
+    return z[net.in_class] + np.log(s / whole[net.in_class])
+
+
+def test_language_model_step_follows_the_gradient():
+    """The change of one training step against numerical derivatives of the plain loss, for some of each parameter."""
+    r = np.random.default_rng(4)
+    net = lm_scoring.Network(r.integers(1, 50, 64))
+    net.p = {k: (v + r.standard_normal(v.shape) * 0.3).astype(np.float32) for k, v in net.p.items()}
+    context, word = r.integers(0, 64, (20, 4)), r.integers(0, 64, 20)
+    loss = lambda: -np.mean([plain_distribution(net, c)[net.rank[w]] for c, w in zip(context, word)])
+    before = {k: v.copy() for k, v in net.p.items()}
+    want = {}
+    for k, v in net.p.items():
+        for i in r.integers(0, v.size - (8 if k == "E" else 0), 5):
+            at = np.unravel_index(i, v.shape)
+            old, slopes = v[at], []
+            for d in (1e-2, -1e-2):
+                v[at] = old + d
+                slopes.append(loss())
+            v[at] = old
+            want[k, at] = (slopes[0] - slopes[1]) / 2e-2
+    net.train(context, word, {k: np.zeros_like(v) for k, v in net.p.items()})
+    for (k, at), g in want.items():
+        moved = before[k][at] - net.p[k][at]  # the first step of Adagrad is RATE times the gradient's sign
+        assert abs(g) < 2e-4 or abs(moved - lm_scoring.RATE * np.sign(g)) < 0.02, (k, at, g, moved)
+
+
+def test_language_model_tells_words_of_one_class_apart(spark):
+    """Two words of equal frequency, each with its own neighbours: the wrong one costs."""
+    rows = [(i, "left alpha right . up beta down . " * 30) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    net = lm_scoring.fit(docs)
+    two = spark.createDataFrame([(1, "left alpha right ."), (2, "left beta right .")], "doc_id long, text string")
+    got = {r.doc_id: r.log_likelihood for r in lm_scoring.score(two, net).collect()}
+    assert got[1] > got[2] + 1
+
+
 def test_language_model_sums_conditionals(documents, corpus):
     net = lm_scoring.fit(documents, rounds=1)
-    padded, place, at = lm_scoring.bucket_words(pa.array(["the river and the stone", None, "light"]))
+    padded, place, at = lm_scoring.bucket_words(pa.array(["the river and the stone", None, "light"]), net.v)
     got = net.log_p(padded, place)
     for i, p in enumerate(place):
-        _, _, z = net.forward(np.array([[padded[p + o] for o in lm_scoring.OFFSETS]]))
-        every = z[0][net.word_class] + net.within
-        assert abs(np.exp(every).sum() - 1) < 1e-4 and abs(got[i] - every[padded[p]]) < 1e-5
+        every = plain_distribution(net, [padded[p + o] for o in lm_scoring.OFFSETS])
+        assert abs(np.exp(every).sum() - 1) < 1e-4 and abs(got[i] - every[net.rank[padded[p]]]) < 1e-4
     row = {r.doc_id: r for r in lm_scoring.score(documents, net).collect()}
     nothing = row[next(i for i, t in corpus if t is None)]
     assert (nothing.n_tokens, nothing.log_likelihood, nothing.mean_log_likelihood) == (0, 0, None)
