@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .textcols import Texts, pieces
 
 V, DIM, HIDDEN = 1 << 14, 8, 16
-LEAST_V, MOST_V, WORDS_A_BUCKET = 1 << 12, 1 << 16, 8192
+LEAST_V, MOST_V, WORDS_A_BUCKET = 1 << 12, 1 << 16, 1 << 14
 OFFSETS = (-2, -1, 1, 2)
 BATCH, RATE = 8192, 0.08
 NAMES = ("E", "W1", "b1", "W2", "b2", "W3", "b3")

@@ -145,7 +145,7 @@ def test_language_model_step_follows_the_gradient():
 
 def test_language_model_tells_words_of_one_class_apart(spark):
     """Two words of equal frequency, each with its own neighbours: the wrong one costs."""
-    rows = [(i, "left alpha right . up beta down . " * 30) for i in range(60)]
+    rows = [(i, "left alpha right . up beta down . " * 30) for i in range(1000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     net = lm_scoring.fit(docs)
     two = spark.createDataFrame([(1, "left alpha right ."), (2, "left beta right .")], "doc_id long, text string")
