@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import key_filter, passes, stage
+from .storage import drop, key_filter, observed, passes, stage
 from .textcols import Texts, grams, mix, pieces
 
 UNITS = ("percent mm cm m km inches feet yards miles mg g kg tons ounces pounds ml l liters gallons s seconds minutes h hours days weeks "
@@ -159,10 +159,10 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_lit
     """doc_id, item_id, n_windows, n_item_windows for each document that holds an item: windows in step, of the same
     template or equal word for word, that make up ``share`` of the item's or at least ``min_windows``."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
-    items = stage(rows.mapInArrow(_window_rows(window, min_literal), WINDOWS).dropDuplicates(["id", "pos", "h"]), "items")
+    items = stage(rows.mapInArrow(_window_rows(window, min_literal), WINDOWS).dropDuplicates(["id", "pos", "h"]), "items", n="count(1)")
     sizes = items.groupBy("id").agg(F.count_distinct("pos").alias("n_item_windows"), F.count_distinct(F.when(~F.col("exact"), F.col("pos"))).alias("n_templates"))
     short = [r["size"] for r in items.where(F.col("size") < window).select("size").distinct().collect()]  # fewer than window
-    wanted = key_filter(items, "h", 1 << max(22, (64 * items.count()).bit_length()))
+    wanted = key_filter(items, "h", 1 << max(22, (64 * observed(items, "n")).bit_length()))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
     found = rows.mapInArrow(_window_rows(window, min_literal, wanted, short), WINDOWS)
     d, i = found.alias("d"), items.alias("i")
@@ -178,10 +178,16 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_lit
     out = best.hint("shuffle_merge").join(sizes.withColumnRenamed("id", "item_id"), "item_id")
     enough = lambda n, of: (F.col(n) > 0) & ((F.col(n) >= min_windows) | (F.col(n) >= share * F.col(of)))
     out = out.where(enough("n", "n_templates") | enough("n_same", "n_item_windows"))
-    return out.select("doc_id", "item_id", F.greatest("n", "n_same").alias("n_windows"), "n_item_windows")
+    out = out.select("doc_id", "item_id", F.greatest("n", "n_same").alias("n_windows"), "n_item_windows")
+    out._holds = (items,)  # drop(out) drops it
+    return out
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents that hold no benchmark item, unchanged."""
-    leaks = stage(leaked_items(docs, benchmark, **how).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.hint("shuffle_merge").join(leaks, docs["doc_id"] == leaks["_leak"], "left_anti")
+    found = leaked_items(docs, benchmark, **how)
+    leaks = stage(found.select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
+    drop(found)
+    out = docs.hint("shuffle_merge").join(leaks, docs["doc_id"] == leaks["_leak"], "left_anti")
+    out._holds = (leaks,)
+    return out

@@ -558,4 +558,6 @@ def drop_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     losers = stage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct(), "copies")
     drop(found)
     kept = docs.hint("shuffle_merge").join(losers, docs["doc_id"] == losers["_lost"], "left_anti")
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    out = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    out._holds = (losers,)
+    return out

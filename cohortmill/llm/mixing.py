@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stage
+from .storage import drop, stage
 
 DOMAINS = ("clean", "low", "toxic")
 SHARES = {"clean": 0.95, "low": 0.045, "toxic": 0.005}
@@ -48,9 +48,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_00
     there = docs.select(F.col("doc_id").alias("_there")).where("_there is not null").distinct()
     known = stage(known.hint("shuffle_merge").join(there, F.col("doc_id") == F.col("_there"), "left_semi"), "known")
     share = min(1.0, 0.9 * max_labelled / max(1, known.count()))
+    there = known
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(max_labelled)
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("clean")
     known = stage(known.select(F.col("doc_id").alias("_id"), domain.alias("domain")), "labelled")
+    drop(there)
     per = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     prior = {k: float(np.log((per.get(k, 0) + 1e-3) / (sum(per.values()) + 3e-3))) for k in DOMAINS} if per else {"clean": 0.0, "low": -50.0, "toxic": -50.0}
     chosen = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"))  # at most max_labelled rows
@@ -63,6 +65,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_00
     rows = counts.where(marks[0] | marks[1] | marks[2])
     rows = rows.select("bucket", *(F.log(p[k] / (1 - p[k])).alias(f"w_{k}") for k in DOMAINS), *(F.log(1 - p[k]).alias(f"absent_{k}") for k in DOMAINS))
     rows = stage(rows, "weights")
+    drop(known, counts)
     absent = rows.agg(*(F.coalesce(F.sum(f"absent_{k}"), F.lit(0.0)) for k in DOMAINS)).first()
     return rows, {k: prior[k] + a for k, a in zip(DOMAINS, absent)}
 
@@ -88,7 +91,7 @@ def fit_rates(members: DataFrame, targets: dict[str, float], steps: int = 40, to
     goal = np.array([targets.get(k, 0.0) for k in DOMAINS])
     size = max(goal.sum(), 1.0)
     now, held = members.withColumn("rate", F.lit(1.0)), 0
-    pace, before = 1.0, np.inf
+    pace, before, staged = 1.0, np.inf, members if hasattr(members, "_staged_at") else None
     for _ in range(steps):
         n = F.col("n_tokens").cast("double")
         live = F.when(F.col("rate") > 0, n).otherwise(0.0)
@@ -108,6 +111,9 @@ def fit_rates(members: DataFrame, targets: dict[str, float], steps: int = 40, to
         now, held = now.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - move)), held + 1
         if held == per_stage:
             now, held = stage(now, "rates"), 0
+            drop(staged)
+            staged = now
+    now._holds = (staged,) if staged is not None else ()  # drop(now) drops it
     return now
 
 
@@ -116,5 +122,6 @@ def mix(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = SHARES, b
     docs = docs.select("doc_id", "text")
     weights, prior = fit_classifier(docs, labels, max_labelled)
     members = stage(posteriors(docs, weights, prior), "members")
+    drop(weights)
     total = members.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     return fit_rates(members, {k: s * budget * total for k, s in shares.items()})

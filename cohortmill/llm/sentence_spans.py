@@ -10,7 +10,7 @@ that is cut or edited inside its sentences, so that no run of ``min_words`` word
 A sentence ends at a word that ends in ``.``, ``!`` or ``?`` or at a line end; words are compared lower-cased (A-Z).
 
 Defined cases: null, empty and wordless texts have no sentences; rows of one doc_id are one document; rows with null
-doc_id only lose their own repeats; texts of any length are read whole; other columns are ignored.
+doc_id neither lose nor own a sentence and are not returned; texts of any length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import key_filter, passes, stage
+from .storage import drop, key_filter, observed, passes, stage
 from .textcols import Texts, mix, pieces
 
 _K, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -83,7 +83,8 @@ class Sentences:
 
 
 def _local(first: np.ndarray, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text of each span, whether an earlier span of its text has its hash)."""
+    """(text of each span, whether an earlier span of its text has its hash). Inside one text a single lane tells spans apart:
+    the two lanes are for spans of all documents."""
     doc = np.searchsorted(at, first, "right") - 1
     order = np.lexsort((first, h, doc))
     again = np.zeros(len(first), bool)
@@ -164,14 +165,16 @@ def span_dedup(docs: DataFrame, span: int = 2, min_words: int = 12, lengthen: bo
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null and doc_id is not null")
     every = rows.mapInArrow(_span_rows(span, min_words, lengthen), SPANS)
     owners = every.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
-    owners = stage(owners, "spans")
-    wanted = key_filter(owners, "h1", 1 << max(20, (16 * owners.count()).bit_length()))
+    owners = stage(owners, "spans", n="count(1)")
+    wanted = key_filter(owners, "h1", 1 << max(20, (16 * observed(owners, "n")).bit_length()))
     found = stage(rows.mapInArrow(_span_rows(span, min_words, lengthen, wanted), SPANS), "found")
+    wanted.destroy()
     lost = found.where("h1 is not null").hint("shuffle_merge").join(owners, ["h1", "h2"]).where("owner <> doc_id")
     own = found.where("h1 is null").select("doc_id", "h1", F.lit(None).cast("long").alias("owner"))
     lost = lost.select("doc_id", "h1", "owner").union(own)
-    lost = stage(lost.groupBy("doc_id").agg(F.collect_set("h1").alias("lost"), F.sort_array(F.collect_set("owner")).alias("first_doc_ids")), "lost")
-    ids = key_filter(lost, "doc_id", 1 << max(20, (16 * lost.count()).bit_length()))
+    lost = stage(lost.groupBy("doc_id").agg(F.collect_set("h1").alias("lost"), F.sort_array(F.collect_set("owner")).alias("first_doc_ids")), "lost", n="count(1)")
+    drop(owners, found)
+    ids = key_filter(lost, "doc_id", 1 << max(20, (16 * observed(lost, "n")).bit_length()))
     texts = rows.mapInArrow(_some_rows(ids), "doc_id long, text string").hint("shuffle_merge").join(lost, "doc_id")
     out = "doc_id long, first_doc_ids array<long>, text string, n_sentences long, n_removed long, n_removed_words long"
     return texts.select("doc_id", "first_doc_ids", "text", "lost").mapInArrow(_rebuilt(span, min_words, lengthen), out).where("n_removed > 0")

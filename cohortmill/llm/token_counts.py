@@ -318,6 +318,9 @@ class Counter:
             raise ValueError("only byte-level BPE without normalizer and prefix space is compiled")
         letters = byte_letters()
         raw = lambda t: bytes(letters[x] for x in t)
+        for x in spec["added_tokens"]:
+            if any(x.get(flag) for flag in ("lstrip", "rstrip", "single_word")):
+                raise ValueError(f"added token {x['content']!r} has a flag that is not compiled")
         special = {x["content"] for x in spec["added_tokens"]}
         vocab = {raw(t): i for t, i in model["vocab"].items() if t not in special}
         merges = [tuple(map(raw, m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]

@@ -22,6 +22,23 @@ def test_token_counts(documents, corpus):
     assert got == {i: (len((t or "").encode()), x, x > 1024) for (i, t), x in zip(corpus, n)}
 
 
+def test_token_counts_odd_tables(odd, empty):
+    assert token_counts.count_tokens(empty, PATH).count() == 0
+    clash = odd.selectExpr("*", "7L as n_bytes", "7L as n_tokens", "true as over_limit")
+    rows = token_counts.count_tokens(clash, PATH).collect()
+    assert len(rows) == odd.count() and {(r.n_bytes, r.n_tokens) for r in rows if r.doc_id is None} == {(0, 0), (len("a lone text without any id at all"), library(["a lone text without any id at all"])[0])}
+
+
+def test_added_tokens_with_flags_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["added_tokens"][0]["lstrip"] = True
+    (tmp_path / "t.json").write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError):
+        token_counts.Counter(str(tmp_path / "t.json"))
+
+
 def test_tokens_of_every_kind_of_character():
     import random
 
