@@ -58,3 +58,26 @@ def test_queries_against_sql(spark):
         names = [x[0] for x in found.description]
         assert sorted(names) == sorted(df.columns)
         assert sorted(tuple(str(r[c]) for c in names) for r in df.collect()) == sorted(tuple(map(str, r)) for r in found.fetchall()), name
+
+
+def test_pipeline_leaves_only_its_result(spark, tmp_path):
+    from pathlib import Path
+
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file:"))
+    before = {p.name for p in shared.iterdir()} if shared.exists() else set()
+    out = corpus_pipeline.run(spark, DATA)
+    assert {p.name.rsplit("-", 1)[0] for p in shared.iterdir() if p.name not in before and p.name != spark.sparkContext.applicationId and "-" in p.name[:-32]} <= {"mixing"}
+    assert out.count() > 0
+
+
+def test_pipeline_stages_on_odd_tables(spark, odd, empty):
+    from pyspark.sql import functions as F
+
+    docs = odd.withColumn("text", F.concat("text", F.lit(" and there are some more words, so that the base rules keep it. Yes."))).unionByName(odd.where("doc_id is null"))
+    for _, f in corpus_pipeline.STAGES:
+        assert f(spark, empty, DATA).count() == 0
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, docs, DATA)
+        assert out.columns == docs.columns and out.count() <= docs.count()
+        docs = out
+    assert docs.where("text is null").count() == 0 and docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").count() == 0
