@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .values import col
@@ -87,3 +87,12 @@ def standard_code(first: str = "tcag") -> dict[str, str]:
     """The standard genetic code, in the usual order of bases t, c, a, g."""
     amino = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
     return {a + b + c: amino[16 * i + 4 * j + k] for i, a in enumerate(first) for j, b in enumerate(first) for k, c in enumerate(first)}
+
+
+def verify_slices(occurrences: DataFrame, parents: DataFrame, key: str, seq: str, stored: str) -> DataFrame:
+    """Adds ``same``: whether start0 to end0 of the parent, reverse-complemented on '-', has the stored SHA-256; null without a
+    parent."""
+    known = parents.select(F.col(key).alias("_key"), F.col(seq).alias("_seq"))
+    both = occurrences.hint("shuffle_merge").join(known, F.col(key) == F.col("_key"), "left")
+    cut = F.col("_seq").substr((F.col("start0") + 1).cast("int"), (F.col("end0") - F.col("start0")).cast("int"))
+    return both.withColumn("same", F.sha2(F.when(F.col("strand") == "-", reverse_complement(cut)).otherwise(cut), 256) == F.col(stored)).drop("_key", "_seq")

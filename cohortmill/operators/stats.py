@@ -5,19 +5,37 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import comb
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+EXACT_TOTAL = 2000  # up to this many rows a table's weights are integers; above, logarithms of them
+
+
 def fisher_p(a: int, b: int, c: int, d: int) -> float:
-    """Two-sided exact p: the tables with the same margins that are no more probable, in integers until the division."""
+    """Two-sided p: the tables with the same margins that are no more probable. Weights are exact integers up to
+    ``EXACT_TOTAL`` rows; above they are log-gamma sums, equal ones told by a relative margin of 1e-9."""
     top, left, n = a + b, a + c, a + b + c + d
-    weight = lambda x: comb(top, x) * comb(n - top, left - x)
-    seen = weight(a)
     low, high = max(0, left - (n - top)), min(top, left)
-    return sum(w for x in range(low, high + 1) if (w := weight(x)) <= seen) / comb(n, left)
+    if n <= EXACT_TOTAL:
+        weight = lambda x: comb(top, x) * comb(n - top, left - x)
+        seen = weight(a)
+        return sum(w for x in range(low, high + 1) if (w := weight(x)) <= seen) / comb(n, left)
+    x = np.arange(low, high + 1)
+    logs = -(_log_factorial(x) + _log_factorial(top - x) + _log_factorial(left - x) + _log_factorial(n - top - left + x))
+    p = np.exp(logs - logs.max())
+    return float(min(1.0, p[logs <= logs[a - low] + 1e-9].sum() / p.sum()))
+
+
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """log n! by Stirling's series, exact sums below 32."""
+    small = np.cumsum(np.log(np.maximum(np.arange(32), 1)))
+    x = np.maximum(n, 1) + 1.0
+    series = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return np.where(n < 32, small[np.minimum(n, 31)], series)
 
 
 def _fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
@@ -47,23 +65,65 @@ def cliffs_delta(ranked: DataFrame, keys: Sequence[str], case: Column) -> DataFr
     return sums.withColumn("delta", u2 / F.nullif(F.col("n1") * F.col("n0"), F.lit(0)) - 1)
 
 
-def rank_permutation(ranked: DataFrame, keys: Sequence[str], case: Column, order: str, most: int = 10) -> DataFrame:
-    """Exact two-sided p of the rank sum over all assignments of the labels, for keys of at most ``most`` rows.
+def rank_sum_p(ranks: np.ndarray, n1: int, seen: int) -> float:
+    """Share of all choices of n1 of the doubled mid-ranks whose sum is as far from its mean as ``seen``. The number of
+    choices for each sum is counted row by row, so the work grows with n1 * n * sum and not with the choices."""
+    n, total = len(ranks), int(ranks.sum())
+    ways = np.zeros((n1 + 1, total + 1))
+    ways[0, 0] = 1
+    for r in ranks:
+        r = int(r)
+        ways[1:, r:] += ways[:-1, : total + 1 - r].copy()
+    sums = np.arange(total + 1)
+    far = np.abs(sums * n - total * n1) >= abs(seen * n - total * n1)
+    return float(ways[n1, far].sum() / ways[n1].sum())
+
+
+def _rank_sum(ranks: pd.Series, n1: pd.Series, seen: pd.Series) -> pd.Series:
+    return pd.Series([None if r is None else rank_sum_p(np.asarray(r), int(k), int(s)) for r, k, s in zip(ranks, n1, seen)], dtype="float64")
+
+
+def rank_permutation(ranked: DataFrame, keys: Sequence[str], case: Column, most: int = 50) -> DataFrame:
+    """keys and perm_p, the exact two-sided p of the rank sum over all assignments of the labels. Every key comes out; one
+    of more than ``most`` rows has a null p (its counts would pass what a double holds exactly), and so has one without
+    rows of either label."""
+    one = F.when(case, 1).otherwise(0)
+    rows = ranked.withColumn("_n", F.count("*").over(W.partitionBy(*keys)))
+    rows = rows.groupBy(*keys).agg(F.collect_list(F.when(F.col("_n") <= most, F.col("rank2"))).alias("r"), F.sum(one).alias("n1"), F.count("*").alias("n"), F.sum(F.col("rank2") * one).alias("seen"))
+    testable = (F.size("r") > 0) & (F.col("n1") > 0) & (F.col("n1") < F.col("n"))
+    p = F.pandas_udf(_rank_sum, "double")(F.when(testable, F.col("r")), "n1", "seen")
+    return rows.select(*keys, p.alias("perm_p"))
+
+
+def compare_groups(df: DataFrame, feature: str, case: str, detected: str, value: str, least: int = 3) -> DataFrame:
+    """One row for each feature of (feature, unit) rows: valid n, detected and medians of either group, differences, Cliff's
+    delta, Fisher and rank-permutation p with a status each, and their q-values within their endpoint and over both.
 
-    A key's ranks are one small array; assignments are bit masks with as many bits as it has cases.
+    ``case`` is a boolean column; null ``detected`` or ``value`` is not assessed and never counts as 0. An endpoint with
+    fewer than ``least`` valid units in a group has a null p and counts in no family.
     """
-    small = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, F.col("rank2").alias("r"), F.when(case, 1).otherwise(0).alias("one")))).alias("x"))
-    small = small.where(F.size("x") <= most).select(*keys, F.col("x.r").alias("r"), F.col("x.one").alias("one"))
-    n, n1 = F.size("r"), F.aggregate("one", F.lit(0), lambda s, v: s + v)
-    total = F.aggregate("r", F.lit(0).cast("long"), lambda s, v: s + v)
-    seen = F.aggregate(F.zip_with("r", "one", lambda r, o: r * o), F.lit(0).cast("long"), lambda s, v: s + v)
-    small = small.select(*keys, "r", n.alias("n"), n1.cast("int").alias("n1"), total.alias("total"), seen.alias("seen"))
-    masks = F.sequence(F.lit(0), F.lit((1 << most) - 1))
-    each = small.withColumn("mask", F.explode(masks)).where("mask < shiftleft(1, n) and bit_count(mask) = n1")
-    picked = F.aggregate(F.transform("r", lambda r, i: F.when(F.call_function("getbit", F.col("mask"), i) == 1, r).otherwise(0)), F.lit(0).cast("long"), lambda s, v: s + v)
-    off = lambda s: F.abs(s * F.col("n") - F.col("total") * F.col("n1"))
-    extreme = F.when(off(picked) >= off(F.col("seen")), 1).otherwise(0)
-    return each.select(*keys, extreme.alias("e")).groupBy(*keys).agg((F.sum("e") / F.count("*")).alias("perm_p"))
+    c, seen, v = F.col(case), F.col(detected), F.col(value)
+    n = lambda when: F.count(F.when(when, 1))
+    out = df.groupBy(feature).agg(
+        n(c & seen.isNotNull()).alias("case_detection_n"), n(~c & seen.isNotNull()).alias("control_detection_n"), n(c & seen).alias("case_detected"), n(~c & seen).alias("control_detected"),
+        n(c & v.isNotNull()).alias("case_value_n"), n(~c & v.isNotNull()).alias("control_value_n"), F.percentile(F.when(c, v), F.lit(0.5)).alias("case_median"), F.percentile(F.when(~c, v), F.lit(0.5)).alias("control_median"), F.count_distinct(value).alias("_values"))
+    share = lambda g: F.col(f"{g}_detected") / F.nullif(F.col(f"{g}_detection_n"), F.lit(0))
+    out = out.withColumn("fraction_difference", share("case") - share("control")).withColumn("median_difference", F.col("case_median") - F.col("control_median"))
+    enough = lambda what: F.least(f"case_{what}_n", f"control_{what}_n") >= least
+    cells = {"_a": F.col("case_detected"), "_b": F.col("case_detection_n") - F.col("case_detected"), "_c": F.col("control_detected"), "_d": F.col("control_detection_n") - F.col("control_detected")}
+    out = fisher_exact(out.withColumns({k: F.when(enough("detection"), x) for k, x in cells.items()}), *cells).drop(*cells)
+    ranked = doubled_mid_ranks(df.where(v.isNotNull()), [feature], value)
+    delta = cliffs_delta(ranked, [feature], c).select(F.col(feature).alias("_f"), "delta")
+    perm = rank_permutation(ranked, [feature], c).select(F.col(feature).alias("_g"), "perm_p")
+    out = out.hint("shuffle_merge").join(delta, F.col(feature) == F.col("_f"), "left").hint("shuffle_merge").join(perm, F.col(feature) == F.col("_g"), "left").drop("_f", "_g")
+    out = out.withColumn("perm_p", F.when(enough("value"), F.col("perm_p")))
+    out = out.withColumn("detection_status", F.when(enough("detection"), "tested").otherwise("not_tested_few_units"))
+    out = out.withColumn("value_status", F.when(~enough("value"), "not_tested_few_units").when(F.col("perm_p").isNull(), "not_tested_many_units").when(F.col("_values") == 1, "tested_all_equal").otherwise("tested")).drop("_values")
+    tests = out.select(feature, F.explode(F.array(F.struct(F.lit("detection").alias("endpoint"), F.col("fisher_p").alias("p")), F.struct(F.lit("value").alias("endpoint"), F.col("perm_p").alias("p")))).alias("t")).select(feature, "t.*", F.lit(1).alias("all"))
+    tests = bh_adjust(bh_adjust(tests, ["endpoint"], "p", "q"), ["all"], "p", "q_both")
+    q = lambda e, x: F.max(F.when(F.col("endpoint") == e, F.col(x)))
+    qs = tests.groupBy(F.col(feature).alias("_f")).agg(q("detection", "q").alias("fisher_q"), q("detection", "q_both").alias("fisher_q_both"), q("value", "q").alias("perm_q"), q("value", "q_both").alias("perm_q_both"))
+    return out.hint("shuffle_merge").join(qs, F.col(feature) == F.col("_f"), "left").drop("_f")
 
 
 def _bucketed(df: DataFrame, family: Sequence[str], p: str, buckets: int) -> tuple[DataFrame, list[str]]:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values as V
 from ..operators import checks, graph, ranking, shape, stats
+from ..sources.shared import stage
 from .registry import query
 from .views import table, view, with_views
 
@@ -84,10 +85,10 @@ def group_median(spark, d):
     return view(spark, d, "meas").groupBy("grp", "feature").agg(F.percentile("value", F.lit(0.5)).alias("median_value"), r6(F.avg("value"), "mean_value"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
 
 
-def fisher_tables(spark, d):
+def fisher_tables(meas):
     hit = F.when(F.col("breadth") >= 0.5, 1).otherwise(0)
     case = F.when(F.col("grp") == "case", 1).otherwise(0)
-    return view(spark, d, "meas").groupBy("feature").agg(F.sum(hit * case).alias("a"), F.sum((1 - hit) * case).alias("b"), F.sum(hit * (1 - case)).alias("c"), F.sum((1 - hit) * (1 - case)).alias("d"))
+    return meas.groupBy("feature").agg(F.sum(hit * case).alias("a"), F.sum((1 - hit) * case).alias("b"), F.sum(hit * (1 - case)).alias("c"), F.sum((1 - hit) * (1 - case)).alias("d"))
 
 
 FISHER = """tab AS (SELECT feature, CAST(sum(CASE WHEN grp = 'case' AND breadth >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE WHEN grp = 'case' AND breadth < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS b,
@@ -100,7 +101,7 @@ fish AS (SELECT feature, a, b, c, d, sum(CASE WHEN w <= w0 THEN w END) / sum(w)
 
 @query(with_views(f"WITH {FISHER} SELECT feature, a, b, c, d, round(p, 6) AS fisher_p FROM fish", "meas"))
 def fisher_exact(spark, d):
-    return stats.fisher_exact(fisher_tables(spark, d), "a", "b", "c", "d").select("feature", "a", "b", "c", "d", r6(F.col("fisher_p"), "fisher_p"))
+    return stats.fisher_exact(fisher_tables(view(spark, d, "meas")), "a", "b", "c", "d").select("feature", "a", "b", "c", "d", r6(F.col("fisher_p"), "fisher_p"))
 
 
 RANKED = "ranked AS (SELECT *, 2 * rank() OVER (PARTITION BY feature ORDER BY value) + count(*) OVER (PARTITION BY feature, value) - 1 AS rank2 FROM meas)"
@@ -132,7 +133,7 @@ perm AS (SELECT feature, avg(CASE WHEN abs(s * n - total * n1) >= abs(seen * n -
 
 @query(with_views(f"WITH {RANKED}, {PERM} SELECT feature, round(perm_p, 6) AS perm_p FROM perm", "meas"))
 def rank_perm(spark, d):
-    return stats.rank_permutation(ranked(spark, d), ["feature"], F.col("grp") == "case", "donor").select("feature", r6(F.col("perm_p"), "perm_p"))
+    return stats.rank_permutation(ranked(spark, d), ["feature"], F.col("grp") == "case").select("feature", r6(F.col("perm_p"), "perm_p"))
 
 
 P_VALUES = "pv AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS family, CASE WHEN l_linenumber <> 7 THEN (l_extendedprice % 1000) / 1000 END AS p FROM lineitem)"
@@ -167,14 +168,17 @@ q2 AS (SELECT *, least(1.0, min(pp * n / k2) OVER (ORDER BY pp RANGE BETWEEN CUR
  FROM (SELECT *, count(pp) OVER (ORDER BY pp RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k2 FROM q))
 SELECT feature, n_case, n_control, detected_case, detected_control, round(dm, 6) AS median_difference, round(delta, 6) AS delta, round(fp, 6) AS fisher_p, round(fq, 6) AS fisher_q, round(pp, 6) AS perm_p, round(pq, 6) AS perm_q FROM q2""", "meas"))
 def diff_table(spark, d):
-    m = view(spark, d, "meas")
+    m = stage(view(spark, d, "meas"), "measurements")  # read by four branches
     case = F.col("grp") == "case"
-    fish = stats.fisher_exact(fisher_tables(spark, d), "a", "b", "c", "d")
+    fish = stats.fisher_exact(fisher_tables(m), "a", "b", "c", "d")
     rk = stats.doubled_mid_ranks(m, ["feature"], "value")
     cliff = stats.cliffs_delta(rk, ["feature"], case).select("feature", "delta")
-    perm = stats.rank_permutation(rk, ["feature"], case, "donor")
+    perm = stats.rank_permutation(rk, ["feature"], case)
     medians = m.groupBy("feature").agg((F.percentile(F.when(case, F.col("value")), F.lit(0.5)) - F.percentile(F.when(~case, F.col("value")), F.lit(0.5))).alias("dm"))
-    out = fish.join(cliff, "feature").join(perm, "feature").join(medians, "feature").withColumn("all", F.lit("all"))
+    out = fish
+    for more in (cliff, perm, medians):  # no feature is lost
+        out = out.hint("shuffle_merge").join(more, "feature", "left")
+    out = out.withColumn("all", F.lit("all"))
     out = stats.bh_adjust(stats.bh_adjust(out, ["all"], "fisher_p", "fisher_q"), ["all"], "perm_p", "perm_q")
     return out.select("feature", (F.col("a") + F.col("b")).alias("n_case"), (F.col("c") + F.col("d")).alias("n_control"), F.col("a").alias("detected_case"), F.col("c").alias("detected_control"), r6(F.col("dm"), "median_difference"), *(r6(F.col(c), c) for c in ("delta", "fisher_p", "fisher_q", "perm_p", "perm_q")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import cigar
 from ..functions import sequences as S
 from ..functions import values as V
-from ..operators import clustering, evidence, intervals, stats
+from ..operators import kmers, clustering, evidence, intervals, stats
 from ..sources import text_tables as T
 from .core import r6
 from .registry import query
@@ -103,21 +103,12 @@ def flanks(spark, d):
     return view(spark, d, "seq").select("doc_id", F.substring("seq", 11, 30).alias("left_flank"), F.when(n >= 90, "full").when(n > 60, "truncated").otherwise("none").alias("right_status"), F.substring("seq", 61, 30).alias("right_flank"))
 
 
-@query(with_views("SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN seq[11:40] ELSE reverse(translate(seq[11:40], 'acgt', 'tgca')) END) = md5(seq[11:40]) AS same FROM seq", "seq"))
-def slice_verify(spark, d):
-    cut = F.substring("seq", 11, 30)
-    shown = F.when(F.col("doc_id") % 2 == 0, cut).otherwise(S.reverse_complement(cut))
-    return view(spark, d, "seq").select("doc_id", (F.md5(shown) == F.md5(cut)).alias("same"))
-
-
-@query(with_views("""WITH k AS (SELECT DISTINCT doc_id, unnest(list_transform(range(0, length(seq) - 15, 16), lambda i: seq[i + 1:i + 16])) AS t FROM seq WHERE length(seq) >= 16), f AS (SELECT t FROM k GROUP BY t HAVING count(*) BETWEEN 2 AND 8)
- SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_shared FROM k x JOIN f ON x.t = f.t JOIN k y ON y.t = x.t AND x.doc_id < y.doc_id GROUP BY 1, 2""", "seq"))
+@query(with_views("""WITH k AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(0, length(seq) - 15, 16), lambda i: seq[i + 1:i + 16]))) AS ts FROM seq WHERE length(seq) >= 16),
+c AS (SELECT ts, min(doc_id) AS rep FROM k GROUP BY ts), t AS (SELECT rep, len(ts) AS n, unnest(ts) AS t FROM c)
+SELECT x.rep AS a, y.rep AS b, count(*) AS n_shared FROM t x JOIN t y ON x.t = y.t AND x.rep < y.rep GROUP BY x.rep, y.rep, x.n, y.n HAVING 2 * count(*) >= greatest(x.n, y.n)""", "seq"))
 def kmer_pairs(spark, d):
-    k = view(spark, d, "seq").select("doc_id", F.explode(F.array_distinct(S.kmers("seq", 16, 16))).alias("t"))
-    rare = k.groupBy("t").agg(F.count("*").alias("n")).where("n between 2 and 8").select("t")
-    k = k.hint("shuffle_merge").join(rare, "t")
-    x, y = k.select("t", F.col("doc_id").alias("a")), k.select("t", F.col("doc_id").alias("b"))
-    return x.hint("shuffle_merge").join(y, "t").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
+    k = view(spark, d, "seq").select("doc_id", F.array_distinct(S.kmers("seq", 16, 16)).alias("ts"))
+    return kmers.alike_pairs(kmers.classes(k, "doc_id", "ts").select("rep", "ts"), "rep", "ts", 0.5)
 
 
 @query("SELECT lang, count(*) AS n, CASE WHEN count(*) = count(q) THEN sum(q) END AS total FROM (SELECT concat(lang, CAST(d.doc_id % 40 AS VARCHAR)) AS lang, l.quality AS q FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) GROUP BY 1")

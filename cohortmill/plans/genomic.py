@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import intervals, ranking, shape
+from ..operators import kmers, intervals, ranking, shape
 from .core import r6
 from .registry import query
 from .views import table, view, with_views
@@ -214,6 +214,9 @@ def tiles(spark, d):
 @query(with_views("""SELECT doc_id, round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6) AS unique_fraction FROM (SELECT doc_id, tile, count(*) OVER (PARTITION BY tile) AS n FROM
  (SELECT doc_id, least(t, reverse(translate(t, 'acgt', 'tgca'))) AS tile FROM (SELECT doc_id, unnest(list_transform(range(0, length(seq) - 11, 12), lambda i: seq[i + 1:i + 12])) AS t FROM seq WHERE length(seq) >= 12))) GROUP BY 1""", "seq"))
 def tile_unique(spark, d):
-    each = view(spark, d, "seq").select("doc_id", F.explode(S.kmers("seq", 12, 12)).alias("t")).select("doc_id", S.canonical("t").alias("tile"))
-    counts = each.groupBy("tile").agg(F.count("*").alias("n"))
-    return each.hint("shuffle_merge").join(counts, "tile").groupBy("doc_id").agg(r6(F.avg(F.when(F.col("n") == 1, 1.0).otherwise(0.0)), "unique_fraction"))
+    seq = view(spark, d, "seq").where(F.length("seq") >= 12)
+    packed = F.conv(F.translate(S.canonical("t"), "acgt", "0123"), 4, 10).cast("long")  # two bits a letter
+    tiles = seq.select("doc_id", F.explode(S.kmers("seq", 12, 12)).alias("t")).select("doc_id", packed.alias("tile"))
+    once = kmers.found_once(tiles, "doc_id", "tile")
+    out = seq.select("doc_id", F.floor(F.length("seq") / 12).alias("n")).hint("shuffle_merge").join(once, "doc_id", "left")
+    return out.select("doc_id", r6(F.coalesce("n_once", F.lit(0)) / F.col("n"), "unique_fraction"))

@@ -56,9 +56,9 @@ def dq_state(spark, d):
     return bad.select("l_orderkey", "l_linenumber", F.when(zero & none, "zero_without_run").otherwise("run_without_value").alias("violation"))
 
 
-@query("SELECT l_orderkey, l_suppkey, c_nationkey, s_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber = 1 AND c_nationkey <> s_nationkey")
+@query("SELECT l_orderkey, l_suppkey, c_nationkey, s_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey <> s_nationkey")
 def dq_links(spark, d):
-    line = table(spark, d, "lineitem").where("l_linenumber = 1")
+    line = table(spark, d, "lineitem")
     o, c, s = (table(spark, d, t) for t in ("orders", "customer", "supplier"))
     both = line.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     return both.where("c_nationkey <> s_nationkey").select("l_orderkey", "l_suppkey", "c_nationkey", "s_nationkey")

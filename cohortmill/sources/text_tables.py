@@ -65,3 +65,69 @@ def zip_lists(df: DataFrame, keep: Sequence[str], lists: dict[str, str], separat
     names = list(lists)
     shaped = F.transform(zipped, lambda z: F.struct(*(z.getField(n).alias(n) for n in names)))
     return df.select(*keep, F.explode(F.when(same, shaped).otherwise(unequal)).alias("z")).select(*keep, "z.*")
+
+
+def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+    """name (without /1 or /2), seq, qual, and wrong: why a record is not whole, else empty. Records are cut at the line
+    that begins with '@' and is followed by a line of letters and a line that begins with '+', so large files are split."""
+    raw = spark.read.option("lineSep", "\n@").text(path).where("trim(value) <> ''")
+    lines = F.split(F.regexp_replace(F.regexp_replace("value", "^@", ""), "\r", ""), "\n")
+    rows = raw.select(F.regexp_replace(F.element_at(F.split(lines[0], r"\s+"), 1), "/[12]$", "").alias("name"), lines[1].alias("seq"), F.get(lines, F.lit(2)).alias("_plus"), F.get(lines, F.lit(3)).alias("qual"))
+    wrong = F.when(~F.coalesce(F.startswith("_plus", F.lit("+")), F.lit(False)), "no plus line").when(F.col("qual").isNull() | (F.length("seq") != F.length("qual")), "lengths differ").when(F.col("qual").rlike("[^!-~]"), "quality out of range").otherwise("")
+    return rows.select("name", "seq", "qual", wrong.alias("wrong"))
+
+
+def read_bed(spark: SparkSession, path: str) -> DataFrame:
+    """contig, start0, end0 of the first three columns; an empty or reversed interval is an error."""
+    f = F.split("value", "\t")
+    raw = spark.read.text(path).where("not value rlike '^(#|track|browser|\\\\s*$)'")
+    rows = raw.select(f[0].alias("contig"), f[1].cast("long").alias("start0"), f[2].cast("long").alias("end0"))
+    bad = F.raise_error(F.concat(F.lit("not an interval: "), F.coalesce("contig", F.lit("?"))))
+    return rows.withColumn("end0", F.when((F.col("start0") >= 0) & (F.col("end0") > F.col("start0")), F.col("end0")).otherwise(bad.cast("long")))
+
+
+BLAST = "qseqid string, sseqid string, pident double, length long, mismatch long, gapopen long, qstart long, qend long, sstart long, send long, evalue double, bitscore double"
+
+
+def read_blast(spark: SparkSession, path: str, lengths: DataFrame, more: str = "") -> DataFrame:
+    """Pairs of a 12-column table (``more``: further columns as DDL) with ``wrong``: unknown ids or positions outside their
+    sequence (``lengths``: id, length), else empty."""
+    rows = read_table(spark, path, BLAST + (f", {more}" if more else ""), header=False, comment="#")
+    for side in "qs":
+        known = lengths.select(F.col("id").alias(f"_{side}id"), F.col("length").alias(f"_{side}len"))
+        rows = rows.hint("shuffle_merge").join(known, F.col(f"{side}seqid") == F.col(f"_{side}id"), "left").drop(f"_{side}id")
+    outside = F.greatest("qstart", "qend") > F.col("_qlen"), F.greatest("sstart", "send") > F.col("_slen")
+    wrong = F.when(F.col("_qlen").isNull(), "unknown query").when(F.col("_slen").isNull(), "unknown subject").when(outside[0] | outside[1] | (F.least("qstart", "qend", "sstart", "send") < 1), "outside").otherwise("")
+    return rows.withColumn("wrong", wrong).drop("_qlen", "_slen")
+
+
+def gather_units(spark: SparkSession, folder: str, name: str, schema: str, units: DataFrame) -> DataFrame:
+    """The rows of the tables ``folder/<unit>/name`` with unit_id in front. Each of ``units`` (unit_id) must have its table and
+    no other may: else an error that names up to ten of the units at fault."""
+    rows = read_table(spark, f"{folder}/*/{name}", schema).withColumn("unit_id", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    files = spark.read.format("binaryFile").load(f"{folder}/*/{name}").select(F.element_at(F.split("path", "/"), -2).alias("u")).distinct()
+    odd = files.join(units.select(F.col("unit_id").alias("v")), F.col("u") == F.col("v"), "full_outer").where("u is null or v is null").select(F.coalesce("u", "v").alias("u"))
+    found = [r.u for r in odd.limit(10).collect()]
+    if found:
+        raise ValueError(f"units without a table, or tables of unknown units: {sorted(found)}")
+    return rows.select("unit_id", *(c for c in rows.columns if c != "unit_id"))
+
+
+def write_table(df: DataFrame, path: str, columns: Sequence[str], keys: Sequence[str], null: str = "NA", sep: str = "\t") -> None:
+    """A delimited table with these columns only, in this order, sorted by its keys over all part files; nulls as ``null``. A
+    folder that exists is refused; Spark commits it whole."""
+    df.select(*columns).orderBy(*keys).write.mode("errorifexists").option("sep", sep).option("header", True).option("nullValue", null).option("emptyValue", "").csv(path)
+
+
+def write_once(df: DataFrame, path: str, inputs: str) -> bool:
+    """Write a table beside the fingerprint of its ``inputs``. Where it is already, it is kept if its inputs were the same
+    (False: nothing was written) and refused if not."""
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        if spark.read.parquet(f"{path}/inputs").first()[0] != inputs:
+            raise ValueError(f"{path} was made from other inputs")
+        return False
+    df.write.parquet(f"{path}/rows")
+    spark.createDataFrame([(inputs,)], "inputs string").coalesce(1).write.parquet(f"{path}/inputs")
+    return True

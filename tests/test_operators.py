@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,45 @@ def test_cigar_blocks(spark):
 
     row = spark.createDataFrame([("3S4M2D5=1I6X7N2M1H",)], "c string").select(cigar.blocks("c", F.lit(100)).alias("b"), cigar.length_of(cigar.operations("c"), cigar.QUERY).alias("n")).first()
     assert [(b.query0, b.ref0, b.n) for b in row.b] == [(3, 100, 4), (7, 106, 5), (13, 111, 6), (19, 124, 2)] and row.n == 21
+
+
+def test_fisher_by_logarithms_equals_integers():
+    from cohortmill.operators import stats
+
+    r = np.random.default_rng(1)
+    for _ in range(60):
+        a, b, c, d = (int(x) for x in r.integers(0, 480, 4))
+        exact = stats.fisher_p(a, b, c, d)
+        old, stats.EXACT_TOTAL = stats.EXACT_TOTAL, -1
+        try:
+            assert abs(stats.fisher_p(a, b, c, d) - exact) < 1e-7
+        finally:
+            stats.EXACT_TOTAL = old
+    assert 0 < stats.fisher_p(30_000, 31_000, 30_500, 31_500) <= 1
+
+
+def test_rank_sum_p_equals_all_assignments():
+    from itertools import combinations
+
+    from cohortmill.operators import stats
+
+    r = np.random.default_rng(2)
+    for n, n1 in ((10, 5), (9, 3), (11, 6), (6, 1)):
+        ranks = np.sort(r.integers(1, 8, n) * 2)
+        seen, total = int(ranks[:n1].sum()), int(ranks.sum())
+        far = [abs(sum(x) * n - total * n1) >= abs(seen * n - total * n1) for x in combinations(ranks.tolist(), n1)]
+        assert abs(stats.rank_sum_p(ranks, n1, seen) - np.mean(far)) < 1e-12
+    assert abs(stats.rank_sum_p(np.arange(2, 22, 2), 5, 30) - 2 / 252) < 1e-12
+
+
+def test_no_feature_is_lost(spark):
+    """Features of two, eleven, forty and sixty units, some without values in a group."""
+    from cohortmill.operators import stats
+
+    rows = [(f, i, i % 2 == 0, i % 3 == 0, float(i)) for f, n in (("two", 2), ("eleven", 11), ("forty", 40), ("sixty", 60)) for i in range(n)]
+    rows += [("none", i, i % 2 == 0, None, None) for i in range(8)]
+    df = spark.createDataFrame(rows, "feature string, unit long, one boolean, hit boolean, v double")
+    got = {r.feature: r for r in stats.compare_groups(df, "feature", "one", "hit", "v").collect()}
+    assert set(got) == {"two", "eleven", "forty", "sixty", "none"}
+    assert got["two"].perm_p is None and got["two"].value_status == "not_tested_few_units" and got["none"].detection_status == "not_tested_few_units" and got["none"].fisher_p is None
+    assert got["forty"].perm_p is not None and got["forty"].perm_q_both is not None and got["sixty"].value_status == "not_tested_many_units"

@@ -47,3 +47,41 @@ def test_list_cells(spark):
         T.zip_lists(spark.createDataFrame([(1, "a;b", "1")], "id int, u string, m string"), ["id"], {"url": "u", "md5": "m"}).collect()
     cell = spark.createDataFrame([("ID=x;Parent=y",)], "a string").select(T.attribute_map(F.col("a"))).first()[0]
     assert cell == {"ID": "x", "Parent": "y"}
+
+
+def test_fastq_bed_and_blast(spark, tmp_path):
+    from cohortmill.sources import text_tables as T
+
+    (tmp_path / "r.fq").write_text("@r1/1 x\nACGT\n+\nII@I\n@r2\nAC\n+\nI\n@r3\nAC\nII\n")
+    got = {r.name: (r.seq, r.qual, r.wrong) for r in T.read_fastq(spark, str(tmp_path / "r.fq")).collect()}
+    assert got["r1"] == ("ACGT", "II@I", "") and got["r2"][2] == "lengths differ" and got["r3"][2] == "no plus line"
+    (tmp_path / "m.bed").write_text("# c\nctg\t0\t5\tname\n")
+    assert [tuple(r) for r in T.read_bed(spark, str(tmp_path / "m.bed")).collect()] == [("ctg", 0, 5)]
+    (tmp_path / "bad.bed").write_text("ctg\t5\t5\n")
+    with pytest.raises(Exception):
+        T.read_bed(spark, str(tmp_path / "bad.bed")).collect()
+    (tmp_path / "b.tsv").write_text("a\tb\t99.0\t10\t0\t0\t1\t10\t11\t2\t0.0\t50\na\tz\t99.0\t10\t0\t0\t1\t10\t1\t10\t0.0\t50\na\tb\t99.0\t10\t0\t0\t1\t30\t1\t10\t0.0\t50\n")
+    lengths = spark.createDataFrame([("a", 20), ("b", 20)], "id string, length long")
+    assert sorted(r.wrong for r in T.read_blast(spark, str(tmp_path / "b.tsv"), lengths).collect()) == ["", "outside", "unknown subject"]
+
+
+def test_units_and_sinks(spark, tmp_path):
+    from cohortmill.sources import text_tables as T
+
+    df = spark.createDataFrame([(2, None, "x"), (1, "b", "y")], "id long, name string, extra string")
+    for u in ("u1", "u2"):
+        T.write_table(df, f"{tmp_path}/in/{u}/t.tsv", ["id", "name"], ["id"])
+    with pytest.raises(Exception):
+        T.write_table(df, f"{tmp_path}/in/u1/t.tsv", ["id"], ["id"])
+    text = "".join(p.read_text() for p in sorted((tmp_path / "in/u1/t.tsv").glob("part-*")))
+    assert text.replace("id\tname\n", "") == "1\tb\n2\tNA\n"
+    for u in ("u1", "u2"):
+        (tmp_path / "flat" / u).mkdir(parents=True)
+        (tmp_path / "flat" / u / "t.tsv").write_text("id\tname\n1\tb\n")
+    units = spark.createDataFrame([("u1",), ("u2",)], "unit_id string")
+    assert T.gather_units(spark, f"{tmp_path}/flat", "t.tsv", "id long, name string", units).count() == 2
+    with pytest.raises(ValueError, match="u2"):
+        T.gather_units(spark, f"{tmp_path}/flat", "t.tsv", "id long, name string", units.where("unit_id = 'u1'"))
+    assert T.write_once(df, f"{tmp_path}/once", "v1") and not T.write_once(df, f"{tmp_path}/once", "v1")
+    with pytest.raises(ValueError):
+        T.write_once(df, f"{tmp_path}/once", "v2")
