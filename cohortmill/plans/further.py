@@ -11,6 +11,7 @@ from ..functions import values as V
 from ..operators import kmers, clustering, evidence, intervals, stats
 from ..sources import text_tables as T
 from .core import r6
+from ..sources.shared import stage
 from .registry import query
 from .views import table, view, with_views
 
@@ -108,6 +109,7 @@ c AS (SELECT ts, min(doc_id) AS rep FROM k GROUP BY ts), t AS (SELECT rep, len(t
 SELECT x.rep AS a, y.rep AS b, count(*) AS n_shared FROM t x JOIN t y ON x.t = y.t AND x.rep < y.rep GROUP BY x.rep, y.rep, x.n, y.n HAVING 2 * count(*) >= greatest(x.n, y.n)""", "seq"))
 def kmer_pairs(spark, d):
     k = view(spark, d, "seq").select("doc_id", F.array_distinct(S.kmers("seq", 16, 16)).alias("ts"))
+    k = stage(k, "kmers")  # else the optimizer puts the sequence's own expression into each tile's
     return kmers.alike_pairs(kmers.classes(k, "doc_id", "ts").select("rep", "ts"), "rep", "ts", 0.5)
 
 
