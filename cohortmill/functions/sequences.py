@@ -46,8 +46,11 @@ def entropy(seq: str | Column, alphabet: str = "acgt") -> Column:
 
 
 def kmers(seq: str | Column, k: int, stride: int = 1) -> Column:
-    """Array of the windows of k letters."""
+    """Array of the windows of k letters. Windows side by side are cut by a pattern in one pass; others by position, which
+    takes a pass for each."""
     s = col(seq)
+    if stride == k:
+        return F.coalesce(F.regexp_extract_all(s, F.lit(f"([\\s\\S]{{{k}}})"), F.lit(1)), F.array().cast("array<string>"))
     last = F.length(s) - k
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: s.substr(i + 1, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sequences as S
 from ..operators import kmers, intervals, ranking, shape
 from .core import r6
+from ..sources.shared import stage
 from .registry import query
 from .views import table, view, with_views
 
@@ -214,7 +215,7 @@ def tiles(spark, d):
 @query(with_views("""SELECT doc_id, round(avg(CASE WHEN n = 1 THEN 1.0 ELSE 0.0 END), 6) AS unique_fraction FROM (SELECT doc_id, tile, count(*) OVER (PARTITION BY tile) AS n FROM
  (SELECT doc_id, least(t, reverse(translate(t, 'acgt', 'tgca'))) AS tile FROM (SELECT doc_id, unnest(list_transform(range(0, length(seq) - 11, 12), lambda i: seq[i + 1:i + 12])) AS t FROM seq WHERE length(seq) >= 12))) GROUP BY 1""", "seq"))
 def tile_unique(spark, d):
-    seq = view(spark, d, "seq").where(F.length("seq") >= 12)
+    seq = stage(view(spark, d, "seq").where(F.length("seq") >= 12), "seq")  # else its expression is run for each tile
     packed = F.conv(F.translate(S.canonical("t"), "acgt", "0123"), 4, 10).cast("long")  # two bits a letter
     tiles = seq.select("doc_id", F.explode(S.kmers("seq", 12, 12)).alias("t")).select("doc_id", packed.alias("tile"))
     once = kmers.found_once(tiles, "doc_id", "tile")
