@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..operators import loci, stats
+from ..sources.shared import stage
 from .core import r6
 from .registry import query
 from .views import table, view, with_views
@@ -22,8 +23,7 @@ def mask_seq(spark, d):
     return loci.mask_sequences(view(spark, d, "seq"), "doc_id", "seq", iv, "n").select("doc_id", F.md5("seq").alias("masked"), "n_masked")
 
 
-FLANKS = "SELECT l_partkey AS locus, l_suppkey % 7 AS genome, CASE WHEN l_linenumber % 2 = 1 THEN 'left' ELSE 'right' END AS side, l_shipmode AS contig, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, l_orderkey % 5000 AS start0, l_orderkey % 5000 + CAST(l_quantity AS BIGINT) AS end0 FROM lineitem"
-FLANKS = FLANKS.replace("l_shipmode", "l_returnflag")
+FLANKS = "SELECT l_partkey AS locus, l_suppkey % 7 AS genome, CASE WHEN l_linenumber % 2 = 1 THEN 'left' ELSE 'right' END AS side, l_returnflag AS contig, CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END AS strand, l_orderkey % 5000 AS start0, l_orderkey % 5000 + CAST(l_quantity AS BIGINT) AS end0 FROM lineitem"
 
 
 @query(f"""WITH h AS ({FLANKS}), g AS (SELECT locus, genome, count(*) FILTER (WHERE side = 'left') AS nl, count(*) FILTER (WHERE side = 'right') AS nr, max(CASE WHEN side = 'left' THEN contig END) AS lc, max(CASE WHEN side = 'right' THEN contig END) AS rc,
@@ -118,8 +118,6 @@ SELECT al.feature, n1 AS case_detection_n, n0 AS control_detection_n, d1 AS case
  round(fp, 6) AS fisher_p, round(pp, 6) AS perm_p, CASE WHEN least(n1, n0) >= 3 THEN 'tested' ELSE 'not_tested_few_units' END AS detection_status, CASE WHEN least(v1, v0) < 3 THEN 'not_tested_few_units' WHEN nv = 1 THEN 'tested_all_equal' ELSE 'tested' END AS value_status,
  round(a.q, 6) AS fisher_q, round(a.qb, 6) AS fisher_q_both, round(b.q, 6) AS perm_q, round(b.qb, 6) AS perm_q_both FROM al LEFT JOIN q a ON a.feature = al.feature AND a.e = 'd' LEFT JOIN q b ON b.feature = al.feature AND b.e = 'v'""", "meas"))
 def compare_groups(spark, d):
-    from ..sources.shared import stage
-
     m = view(spark, d, "meas").select("feature", (F.col("grp") == "case").alias("one"), F.when(F.col("n_assigned") % 3 != 0, F.col("breadth") >= 0.5).alias("hit"), F.when(F.col("n_assigned") % 4 != 0, F.col("value")).alias("v"))
     out = stats.compare_groups(stage(m, "units"), "feature", "one", "hit", "v")
     rounded = ("fraction_difference", "median_difference", "delta", "fisher_p", "perm_p", "fisher_q", "fisher_q_both", "perm_q", "perm_q_both")
