@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Texts that stand for a missing value, by vocabulary.
 MISSING = {
     "study": ("", "unknown", "na", "nan", "none", "null"),
-    "archive": ("", "missing", "not provided", "not collected", "not applicable", "unknown", "na", "n/a", "none"),
+    "archive": ("", "missing", "not provided", "not collected", "not applicable", "unknown", "na", "n/a", "not available", "not determined"),
 }
 
 
@@ -96,3 +96,11 @@ def detection_state(breadth: Column, depth: Column, assigned: Column, ambiguous:
         [(breadth.isNull(), "not_assessed"), ((breadth >= breadth_min) & (depth >= depth_min) & (assigned >= assigned_min) & (ambiguous * 2 <= assigned), "detected"), ((breadth >= breadth_min) & (ambiguous * 2 > assigned), "not_resolvable")],
         "not_detected",
     )
+
+
+def carriage(qualified: Column, conditions: Sequence[tuple[Column, str]]) -> tuple[Column, Column]:
+    """(call, reasons): present where there is a qualified member; absent only where every condition holds; else unknown with
+    the conditions that fail or are null."""
+    missing = reasons([(~F.coalesce(ok, F.lit(False)), name) for ok, name in conditions])
+    there = F.coalesce(qualified, F.lit(False))
+    return F.when(there, "present").when(missing == "", "absent_assessable").otherwise("unknown"), F.when(there, "").otherwise(missing)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,3 +72,136 @@ def mapping_degrees(pairs: DataFrame, old: str, new: str) -> DataFrame:
     pairs = pairs.withColumn("most_old", both).withColumn("most_new", F.max("n_new").over(W.partitionBy(new)))
     kind = F.when((F.col("most_old") == 1) & (F.col("most_new") == 1), "exact").when(F.col("most_old") == 1, "split").when(F.col("most_new") == 1, "merge").otherwise("complex")
     return pairs.select(old, new, kind.alias("kind"))
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+
+
+def bridges(nodes: DataFrame, edges: DataFrame, node: str = "node", length: str = "length") -> DataFrame:
+    """node, n_longer, n_linked, is_bridge: nodes that have two longer neighbours which are not neighbours themselves.
+
+    Links among a node's longer neighbours are triangles. Each is found once, from its corner of lowest degree, so that a hub
+    opens no pairs of all its neighbours: a node has at most sqrt(2 x edges) neighbours of higher degree.
+    """
+    sized = nodes.select(F.col(node).alias("n"), F.col(length).alias("len"))
+    e = both_ways(edges)
+    degree = e.groupBy("a").agg(F.count("*").alias("d"))
+    for side, name in (("a", "x"), ("b", "y")):
+        of = degree.withColumnRenamed("a", "v").hint("shuffle_merge").join(sized, F.col("v") == F.col("n"))
+        e = e.hint("shuffle_merge").join(of.select(F.col("v").alias(side), F.struct("d", F.col("v").alias("id"), "len").alias(name)), side)
+    e = stage(e.select("x", "y"), "bridges")
+    up = e.where(F.struct("x.d", "x.id") < F.struct("y.d", "y.id"))
+    wedge = up.select(F.col("x.id").alias("c"), F.col("x").alias("c_"), F.col("y").alias("p")).hint("shuffle_merge").join(up.select(F.col("x.id").alias("c"), F.col("y").alias("q")), "c")
+    wedge = wedge.where(F.struct("p.d", "p.id") < F.struct("q.d", "q.id")).select("c_", "p", "q", F.col("p.id").alias("s"), F.col("q.id").alias("t"))
+    closed = wedge.hint("shuffle_merge").join(up.select(F.col("x.id").alias("s"), F.col("y.id").alias("t")), ["s", "t"], "left_semi")
+    by_length = F.array_sort(F.array(*(F.struct(F.col(f"{k}.len").alias("len"), F.col(f"{k}.id").alias("id")) for k in ("c_", "p", "q"))))
+    short = closed.select(by_length.alias("o")).where(F.col("o")[0]["len"] < F.col("o")[1]["len"])
+    linked = short.groupBy(F.col("o")[0]["id"].alias("n")).agg(F.count("*").alias("n_linked"))
+    longer = e.where("y.len > x.len").groupBy(F.col("x.id").alias("n")).agg(F.count("*").alias("n_longer"))
+    out = sized.hint("shuffle_merge").join(longer, "n", "left").hint("shuffle_merge").join(linked, "n", "left")
+    k, t = F.coalesce("n_longer", F.lit(0)), F.coalesce("n_linked", F.lit(0))
+    return out.select(F.col("n").alias(node), k.alias("n_longer"), t.alias("n_linked"), (2 * t < k * (k - 1)).alias("is_bridge"))
+
+
+def quality_rank(quality: Column, boundary: Column, length: Column, node: Column, qualities: list[str], boundaries: list[str]) -> Column:
+    """Best first: place in the list of qualities, then of boundaries (others last), longer, smaller id."""
+    place = lambda c, names: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), c), F.lit(0)), F.lit(len(names) + 1))
+    return F.struct(place(quality, qualities).alias("quality"), place(boundary, boundaries).alias("boundary"), (-length).alias("length"), node.alias("id"))
+
+
+def representatives(nodes: DataFrame, edges: DataFrame, rank: Column, node: str = "node", length: str = "length") -> tuple[DataFrame, DataFrame]:
+    """(node, status, n_representatives, representative where there is one; every node with each representative it is next to).
+
+    A greedy walk by rank in which bridges come last, longest first: a short node cannot become the representative of longer
+    ones that do not fit each other. Every other node is then met with all representatives: one makes it a member, several
+    leave it ambiguous. Representatives of a node are rows, never a list.
+    """
+    order = stage(nodes.select(node, length, rank.alias("_rank")).hint("shuffle_merge").join(bridges(nodes, edges, node, length).select(node, "is_bridge"), node), "order")
+    late = F.col("is_bridge").cast("int")
+    order = order.select(node, F.struct(late.alias("late"), F.when(F.col("is_bridge"), -F.col(length)).otherwise(0).alias("length"), F.col("_rank").alias("rank")).alias("rank"))
+    found = stage(greedy_representatives(order, edges, node), "representatives")
+    reps = found.where("is_representative").select(F.col(node).alias("representative"))
+    beside = both_ways(edges).hint("shuffle_merge").join(reps, F.col("b") == F.col("representative")).select(F.col("a").alias(node), "representative")
+    matches = stage(reps.select(F.col("representative").alias(node), "representative").union(beside), "matches")
+    g = matches.groupBy(node).agg(F.count("*").alias("n_representatives"), F.min("representative").alias("representative"))
+    out = found.hint("shuffle_merge").join(g, node)
+    status = F.when(F.col("is_representative"), "representative").when(F.col("n_representatives") == 1, "member").otherwise("ambiguous")
+    return out.select(node, status.alias("status"), "n_representatives", F.when(F.col("n_representatives") == 1, F.col("representative")).alias("representative")), matches
+
+
+def mapping_relations(old: DataFrame, new: DataFrame, pairs: DataFrame, old_id: str, new_id: str, same: str = "same", one_to_many: str = "split", many_to_one: str = "merge") -> DataFrame:
+    """old, new, relation for each pair, and a row with one side null for every id of either table that has no pair.
+
+    exact (one to one and ``same``), partial (one to one, else), split (an old id with several new ones), merge (a new id with
+    several old ones), complex (both), unmatched. Call the two middle classes otherwise where a vocabulary swaps them.
+    """
+    # a pair given twice is one pair, exact if any copy is
+    p = pairs.groupBy(old_id, new_id).agg(F.max(F.coalesce(same, F.lit(False))).alias("_same"))
+    p = p.withColumn("_nn", F.count("*").over(W.partitionBy(old_id))).withColumn("_no", F.count("*").over(W.partitionBy(new_id)))
+    nn, no = F.col("_nn") > 1, F.col("_no") > 1
+    kind = F.when(nn & no, "complex").when(no, many_to_one).when(nn, one_to_many).when(F.col("_same"), "exact").otherwise("partial")
+    out = p.select(old_id, new_id, kind.alias("relation"))
+    for ids, mine, other in ((old, old_id, new_id), (new, new_id, old_id)):
+        alone = ids.select(mine).distinct().hint("shuffle_merge").join(pairs.select(mine), mine, "left_anti")
+        out = out.unionByName(alone.withColumn(other, F.lit(None).cast(pairs.schema[other].dataType)).withColumn("relation", F.lit("unmatched")))
+    return out
+
+
+def _columns(h, used_q: np.ndarray, used_s: np.ndarray) -> tuple[int, int]:
+    """Alignment columns of one pair that use no letter used before, marked as used; and how many of them are identical."""
+    q, s = (np.frombuffer(x.upper().encode(), dtype=np.uint8) for x in (h.qseq, h.sseq))
+    if len(q) != len(s):
+        raise ValueError("aligned strings of unequal length")
+    on_q, on_s = q != 45, s != 45
+    qi = h.qstart - 1 + (1 if h.qend >= h.qstart else -1) * (np.cumsum(on_q) - 1)
+    si = h.sstart - 1 + (1 if h.send >= h.sstart else -1) * (np.cumsum(on_s) - 1)
+    if on_q.sum() != abs(h.qend - h.qstart) + 1 or on_s.sum() != abs(h.send - h.sstart) + 1:
+        raise ValueError("aligned strings do not have their coordinates' length")
+    free = ~(on_q & used_q[np.where(on_q, qi, 0)]) & ~(on_s & used_s[np.where(on_s, si, 0)])
+    used_q[qi[free & on_q]] = True
+    used_s[si[free & on_s]] = True
+    return int(free.sum()), int((free & (q == s) & np.isin(q, np.frombuffer(b"ACGT", dtype=np.uint8))).sum())
+
+
+UNION = "q string, s string, ani double, aligned_fraction double, columns long, identical long, q_covered long, s_covered long, accepted long"
+
+
+def alignment_union(hsps: DataFrame, evalue_max: float = 1e-5) -> DataFrame:
+    """Identity and aligned fraction of the shorter sequence per pair (q, s), in percent, from local alignments in which every
+    letter of either sequence counts once: best score first, later columns that reuse a letter are left out.
+
+    Needs q, s, qstart, qend, sstart, send, qlen, slen, qseq, sseq, pident, length, evalue, bitscore. The walk depends on its
+    order, so a pair is one task's; it is streamed there in sorted batches with one mark per letter of the two sequences.
+    """
+    order = ["q", "s", F.desc("bitscore"), F.desc("pident"), F.desc("length"), "qstart", "qend", "sstart", "send", "qseq", "sseq"]
+    fields = "q s qstart qend sstart send qlen slen qseq sseq pident length evalue bitscore".split()
+    rows = hsps.select(*(F.col(c).cast("string").alias(c) if c in "qs" else c for c in fields)).repartition("q", "s").sortWithinPartitions(*order)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+
+        def done():
+            used_q, used_s, columns, same, kept = state
+            nq, ns, cq, cs = len(used_q), len(used_s), int(used_q.sum()), int(used_s.sum())
+            part = min(cq, cs) / nq if nq == ns else cq / nq if nq < ns else cs / ns
+            return (*now, 100.0 * same / columns if columns else 0.0, 100.0 * part, columns, same, cq, cs, kept)
+
+        names = [f.split()[0] for f in UNION.split(", ")]
+        for batch in batches:
+            out = []
+            for h in batch.itertuples(index=False):
+                if (h.q, h.s) != now:
+                    if now is not None:
+                        out.append(done())
+                    now, state = (h.q, h.s), [np.zeros(h.qlen, dtype=bool), np.zeros(h.slen, dtype=bool), 0, 0, 0]
+                if h.evalue <= evalue_max:
+                    columns, same = _columns(h, state[0], state[1])
+                    state[2] += columns
+                    state[3] += same
+                    state[4] += columns > 0
+            yield pd.DataFrame(out, columns=names)
+        if now is not None:
+            yield pd.DataFrame([done()], columns=names)
+
+    return rows.mapInPandas(walk, UNION)

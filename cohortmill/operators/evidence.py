@@ -44,3 +44,76 @@ def best_reference(df: DataFrame, key: str, reference: str, score: str, least: f
     n = F.count_distinct(F.when(ok, F.col(reference)))
     best = F.max(F.when(ok, F.struct(F.col(score).alias("s"), (-F.col(reference)).alias("r")))).getField("r")
     return df.groupBy(key).agg(F.when(n == 0, "none").when(n == 1, "one").otherwise("several").alias("decision"), (-best).alias("best"))
+
+
+def systems(hits: DataFrame, parts: DataFrame, needs: DataFrame, unit: str, cluster: str, model: str = "model", family: str = "family") -> DataFrame:
+    """model, unit, cluster, n_mandatory, n_genes, n_forbidden, accepted: clusters of hits that fill a model's quorum.
+
+    ``parts``: model, family, role (mandatory, accessory, neutral, forbidden), loner. ``needs``: model, min_mandatory,
+    min_genes. A loner's hit anywhere in a unit counts in each of the unit's clusters. Families are counted, not hits, and a
+    unit's loner families are made distinct before they meet its clusters. Hits with a null cluster belong to no cluster.
+    """
+    known = hits.select(model, unit, cluster, family).distinct().hint("shuffle_merge").join(parts.select(model, family, "role", "loner"), [model, family])
+    own = known.where(F.col(cluster).isNotNull()).select(model, unit, cluster, family, "role")
+    alone = known.where("loner").select(model, unit, family, "role").distinct()
+    added = own.select(model, unit, cluster).distinct().hint("shuffle_merge").join(alone, [model, unit])
+    of = lambda *roles: F.count_distinct(F.when(F.col("role").isin(*roles), F.col(family)))
+    g = own.unionByName(added).groupBy(model, unit, cluster).agg(of("mandatory").alias("n_mandatory"), of("mandatory", "accessory").alias("n_genes"), of("forbidden").alias("n_forbidden"))
+    ok = (F.col("n_forbidden") == 0) & (F.col("n_mandatory") >= F.col("min_mandatory")) & (F.col("n_genes") >= F.col("min_genes"))
+    return g.hint("shuffle_merge").join(needs.select(model, "min_mandatory", "min_genes"), model).select(model, unit, cluster, "n_mandatory", "n_genes", "n_forbidden", ok.alias("accepted"))
+
+
+def required_members(members: DataFrame, needs: DataFrame, system: str = "system", member: str = "member", family: str = "family", role: str = "role") -> tuple[DataFrame, DataFrame]:
+    """(system, rule, n_required; the members required of each system).
+
+    Mandatory members are required. Accessory ones are only if the system has exactly as many accessory families as its quorum
+    lacks: of more, no choice is made. ``needs``: system, min_mandatory, min_genes. A null role leaves the system unresolved.
+    """
+    mandatory, accessory = F.col(role) == "mandatory", F.col(role) == "accessory"
+    odd = F.coalesce(F.max(F.when(F.coalesce(mandatory | accessory, F.lit(False)), 0).otherwise(1)) == 1, F.lit(False))
+    g = members.groupBy(system).agg(
+        odd.alias("odd"), F.count_distinct(F.when(mandatory, F.col(family))).alias("m"), F.count_distinct(F.when(accessory, F.col(family))).alias("a"),
+        F.count_distinct(F.when(mandatory, F.col(member))).alias("nm"), F.count_distinct(F.when(mandatory | accessory, F.col(member))).alias("nb"))
+    g = g.hint("shuffle_merge").join(needs.select(system, "min_mandatory", "min_genes"), system)
+    lack = F.greatest(F.lit(0), F.col("min_genes") - F.col("m"))
+    bad = F.col("odd") | (F.col("m") < F.col("min_mandatory"))
+    rule = (
+        F.when(bad, "unresolved_role_or_mandatory").when((lack > 0) & (F.col("a") != lack), "unresolved_accessory_choice").when(lack > 0, "mandatory_and_needed_accessory")
+        .when(F.col("nm") == 0, "unresolved_empty").otherwise("mandatory")
+    )
+    g = g.withColumn("rule", rule)
+    both = F.col("rule") == "mandatory_and_needed_accessory"
+    summary = g.select(system, "rule", F.when(both, F.col("nb")).otherwise(F.col("nm")).alias("n_required"))
+    named = members.select(system, member, role).hint("shuffle_merge").join(g.select(system, both.alias("_both")), system)
+    return summary, named.where(mandatory | (accessory & F.col("_both"))).select(system, member).distinct()
+
+
+def feature_proportions(members: DataFrame, features: DataFrame, cluster: str = "cluster", member: str = "member", feature: str = "feature") -> DataFrame:
+    """cluster, feature, n_members, n_present, n_absent_assessable, n_unknown, of_assessable, of_all for each feature found in a
+    cluster. ``members``: cluster, member, assessable (whether a missing feature means that it is absent), one row a member.
+
+    Absent and unknown members are totals less those present, so no member is paired with every feature. A feature not found in
+    a cluster has no row: there n_present is 0 and every assessable member absent.
+    """
+    sure = F.coalesce("assessable", F.lit(False))
+    m = members.select(cluster, member, sure.alias("_sure")).where(F.col(cluster).isNotNull())
+    total = m.groupBy(cluster).agg(F.count("*").alias("n_members"), count_if(F.col("_sure")).alias("_s"))
+    has = m.hint("shuffle_merge").join(features.select(member, feature).distinct(), member)
+    g = has.groupBy(cluster, feature).agg(F.count("*").alias("n_present"), count_if(F.col("_sure")).alias("_p"))
+    g = g.hint("shuffle_merge").join(total, cluster).withColumn("n_absent_assessable", F.col("_s") - F.col("_p"))
+    known = F.col("n_present") + F.col("n_absent_assessable")
+    return g.select(cluster, feature, "n_members", "n_present", "n_absent_assessable", (F.col("n_members") - known).alias("n_unknown"), (F.col("n_present") / known).alias("of_assessable"), (F.col("n_present") / F.col("n_members")).alias("of_all"))
+
+
+def occurrence_rollup(rows: DataFrame, cluster: str, first: Column, second: Column, marker: str, sequence: str, donor: str, labels: tuple[str, str, str, str]) -> DataFrame:
+    """Per cluster: how many occurrences of the ``first`` and the ``second`` kind, the three-valued marker over those of the
+    second, distinct sequences and donors of the second kind, and a label: second with marker, second, first only, neither."""
+    a, b = F.coalesce(first, F.lit(False)), F.coalesce(second, F.lit(False))
+    m = F.col(marker)
+    yes, unknown = count_if(b & m), count_if(b & m.isNull())
+    found = F.when(yes > 0, True).when((unknown == 0) & (count_if(b) > 0), False)
+    g = rows.where(F.col(cluster).isNotNull()).groupBy(cluster).agg(
+        F.count("*").alias("n"), count_if(a).alias("n_first"), count_if(b).alias("n_second"), yes.alias("n_marked"), found.alias("marker"), F.count_distinct(sequence).alias("n_sequences"),
+        F.count_distinct(F.when(b, F.col(donor))).alias("n_donors"))
+    label = F.when(F.coalesce("marker", F.lit(False)), labels[0]).when(F.col("n_second") > 0, labels[1]).when(F.col("n_first") > 0, labels[2]).otherwise(labels[3])
+    return g.withColumn("label", label)

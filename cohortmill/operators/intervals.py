@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import values as V
+
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width: int = 4096, slack: int = 0) -> DataFrame:
     """Pairs of overlapping intervals with equal keys, as structs ``l`` and ``r`` and the overlap length.
@@ -99,3 +101,62 @@ def depth_statistics(segments: DataFrame, loci: DataFrame, keys: Sequence[str],
     n = (F.col("end0") - F.col("start0")).cast("double")
     mean = F.coalesce("s", F.lit(0)) / n
     return out.select(locus, mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.coalesce("s2", F.lit(0)) / n - mean * mean)).alias("sd"))
+
+
+def gaps(df: DataFrame, contigs: DataFrame, keys: Sequence[str], length: str = "length", ends: int = 0) -> DataFrame:
+    """What the intervals leave free of each contig (keys, length), its ``ends`` left out too: keys, start0, end0."""
+    keys = list(keys)
+    size = contigs.select(*keys, F.col(length).cast("long").alias("_n"))
+    outer = size.select(*keys, F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("start0"), F.lit(ends).cast("long").alias("end0")), F.struct((F.col("_n") - ends).alias("start0"), (F.col("_n") + 1).alias("end0")))).alias("e")).select(*keys, "e.*")
+    inner = df.where("end0 > start0").hint("shuffle_merge").join(size, keys, "left_semi").select(*keys, F.col("start0").cast("long").alias("start0"), F.col("end0").cast("long").alias("end0"))
+    full = merged(inner.unionByName(outer), keys)
+    after = F.lead("start0").over(W.partitionBy(*keys).orderBy("start0"))
+    return full.select(*keys, F.col("end0").alias("start0"), after.alias("end0")).where("end0 > start0")
+
+
+def depth_profile(segments: DataFrame, regions: DataFrame, keys: Sequence[str], region: str) -> DataFrame:
+    """bp, mean, median, sd (population) and breadth of depth per ``region``, which may have several disjoint intervals.
+
+    Bases without a segment have depth 0. Pieces are summed per depth first, so the median is weighted by bases and only
+    distinct depths meet in one row.
+    """
+    size = regions.where("end0 > start0").groupBy(region).agg(F.sum(F.col("end0") - F.col("start0")).alias("bp"))
+    part = overlap_join(regions.select(*dict.fromkeys([*keys, region, "start0", "end0"])), segments, keys).groupBy(F.col(f"l.{region}").alias(region), F.col("r.depth").alias("depth")).agg(F.sum("overlap").alias("n"))
+    bare = size.hint("shuffle_merge").join(part.groupBy(region).agg(F.sum("n").alias("n")), region, "left").select(region, F.lit(0).cast("long").alias("depth"), (F.col("bp") - F.coalesce("n", F.lit(0))).alias("n"))
+    d = F.col("depth").cast("double")
+    full = part.select(region, F.col("depth").cast("long").alias("depth"), "n").unionByName(bare).where("n > 0")
+    g = full.groupBy(region).agg(F.sum("n").alias("bp"), F.sum(d * F.col("n")).alias("s"), F.sum(d * d * F.col("n")).alias("s2"), F.percentile("depth", 0.5, F.col("n")).alias("median"), F.sum(F.when(d >= 1, F.col("n")).otherwise(0)).alias("b"))
+    mean = F.col("s") / F.col("bp")
+    return g.select(region, "bp", mean.alias("mean"), "median", F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("bp") - mean * mean)).alias("sd"), (F.col("b") / F.col("bp")).alias("breadth"))
+
+
+def elevation(segments: DataFrame, strict: DataFrame, loci: DataFrame, contigs: DataFrame, keys: Sequence[str], locus: str, ends: int = 150, least: int = 1000, beside: int = 5000, ratio: float = 2.0, effect: float = 0.7) -> DataFrame:
+    """Whether each locus is deeper than the rest of its contig: locus, status, reasons, call, ratio, effect, local_ratio, agrees.
+
+    The rest is the contig without all loci and without its ends. Evaluable: locus and rest of at least ``least`` bases, both
+    with mean depth 1 and breadth 0.5. raised: ratio and Cohen's d reach their limits. agrees: stricter alignments
+    (``strict`` segments) give the same call and the rest within ``beside`` bases the same side of ``ratio``; null where
+    either cannot be told. ``keys`` is one contig column.
+    """
+    key = keys[0]
+    inside = loci.hint("shuffle_merge").join(contigs.select(*keys, F.col("length").alias("_n")), list(keys))
+    inside = inside.select(*keys, locus, F.greatest("start0", F.lit(ends)).alias("start0"), F.least(F.col("end0"), F.col("_n") - ends).alias("end0"), (F.col("end0") - F.col("start0")).alias("_bp"))
+    free = gaps(loci, contigs, keys, ends=ends)
+    near = overlap_join(inside.select(*keys, locus, "start0", "end0"), free, keys, slack=beside)
+    near = near.select(*keys, F.col(f"l.{locus}").alias(locus), F.greatest(F.col("r.start0"), F.col("l.start0") - beside).alias("start0"), F.least(F.col("r.end0"), F.col("l.end0") + beside).alias("end0"))
+    out = inside.select(*keys, locus, "_bp")
+    named = lambda df, id_, p: df.select(id_, *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c != id_))
+    for name, segs, where, id_ in (("p", segments, inside, locus), ("h", segments, free, key), ("sp", strict, inside, locus), ("sh", strict, free, key), ("l", segments, near, locus)):
+        out = out.hint("shuffle_merge").join(named(depth_profile(segs, where, keys, id_), id_, name), id_, "left")
+    c = F.col
+    short, host = c("_bp") < least, F.coalesce("h_bp", F.lit(0))
+    reasons = V.reasons([
+        (short, "short_locus"), (~short & (host < least), "short_rest"), (~short & ((F.coalesce("h_mean", F.lit(0.0)) < 1) | (F.coalesce("h_breadth", F.lit(0.0)) < 0.5)), "low_rest"),
+        (~short & ((F.coalesce("p_mean", F.lit(0.0)) < 1) | (F.coalesce("p_breadth", F.lit(0.0)) < 0.5)), "low_locus")])
+    out = out.withColumn("reasons", reasons).withColumn("ratio", c("p_mean") / F.nullif(c("h_mean"), F.lit(0.0))).withColumn("effect", V.cohen_d("p_mean", "p_sd", "h_mean", "h_sd"))
+    out = out.withColumn("local_ratio", c("p_mean") / F.nullif(c("l_mean"), F.lit(0.0)))
+    good, up = c("reasons") == "", F.coalesce((c("ratio") >= ratio) & (c("effect") >= effect), F.lit(False))
+    also = F.coalesce((c("sp_mean") / F.nullif(c("sh_mean"), F.lit(0.0)) >= ratio) & (F.abs(V.cohen_d("sp_mean", "sp_sd", "sh_mean", "sh_sd")) >= effect) & (c("sp_mean") >= 1) & (c("sp_breadth") >= 0.5), F.lit(False))
+    agrees = F.when(good & (c("sh_mean") > 0) & (c("l_bp") >= least) & (c("l_mean") > 0), (up == also) & ((c("local_ratio") >= ratio) == (c("ratio") >= ratio)))
+    call = F.when(~good, "not_evaluable").when(up, "raised").otherwise("level")
+    return out.select(locus, F.when(good, "evaluable").otherwise("not_evaluable").alias("status"), "reasons", call.alias("call"), "ratio", "effect", "local_ratio", agrees.alias("agrees"))

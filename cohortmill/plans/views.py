@@ -25,6 +25,13 @@ GROUP BY o_custkey % 10, CASE WHEN o_custkey % 10 < 5 THEN 'case' ELSE 'control'
        (event_id * 97) % 5000 AS pos, event_id % 50 AS mapq,
        CASE WHEN event_type = 'error' THEN 4 ELSE 0 END AS flag, value AS score
 FROM {events}""",
+    "sam": """SELECT q AS qname, mate, CASE WHEN sec = 1 THEN 256 ELSE 0 END + CASE WHEN q % 13 = 0 THEN 0 ELSE 2 END + CASE WHEN mate = 2 AND q % 11 <> 0 THEN 16 ELSE 0 END
+       + CASE WHEN kind = 'error' AND sec = 0 AND e % 3 = 0 THEN 4 ELSE 0 END + CASE WHEN e % 29 = 0 THEN 512 ELSE 0 END AS flag,
+       CAST(q % 20 AS VARCHAR(9)) AS rname, (q * 97) % 5000 + (mate - 1) * (100 + q % 600) + CASE WHEN sec = 1 AND e % 14 <> 0 THEN 5 ELSE 0 END AS pos,
+       CASE WHEN q % 23 = 0 THEN 255 ELSE 5 + e % 50 END AS mapq, concat(CAST(5 + e % 9 AS VARCHAR(9)), 'S80M', CAST(e % 3 + 1 AS VARCHAR(9)), 'D15M') AS cigar, '=' AS rnext,
+       (q * 97) % 5000 + (2 - mate) * (100 + q % 600) + CASE WHEN q % 17 = 0 THEN 1 ELSE 0 END AS pnext, CASE WHEN mate = 1 THEN 1 ELSE -1 END * (150 + q % 600) AS tlen, e % 17 AS nm, '*' AS seq
+FROM (SELECT CAST(floor(event_id / 2) AS BIGINT) AS q, event_id % 2 + 1 AS mate, event_id AS e, event_type AS kind, 0 AS sec FROM {events}
+ UNION ALL SELECT CAST(floor(event_id / 2) AS BIGINT), event_id % 2 + 1, event_id, event_type, 1 FROM {events} WHERE event_id % 7 = 0) base""",
     "edge": """SELECT concat('o', CAST(o_orderkey AS VARCHAR(20))) AS a, concat('c', CAST(o_custkey AS VARCHAR(20))) AS b FROM {orders}""",
     "truth": """SELECT d.doc_id AS unit_id, d.lang AS profile, CASE WHEN b.quality IS NULL THEN 'unknown' ELSE CAST(b.quality AS VARCHAR(9)) END AS truth,
        CASE WHEN d.n_chars >= 600 THEN 'detected' WHEN d.n_chars < 60 THEN 'not_resolvable' ELSE 'not_detected' END AS detection_status

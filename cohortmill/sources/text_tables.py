@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,32 @@ def read_table(spark: SparkSession, path: str, schema: str | T.StructType, sep:
     return (reader.option("comment", comment) if comment else reader).csv(path)
 
 
+def read_tool_table(spark: SparkSession, path: str, columns: dict[str, str], names: Sequence[str] | None = None, sep: str = r"\t", comment: str = "#", header: str | None = None, missing: Sequence[str] = ("", "NA", "-")) -> DataFrame:
+    """The wanted ``columns`` (name to type) of a tool's table of ``names`` columns, with ``wrong``: cells of another type, or
+    a row with too few cells; else empty.
+
+    Lines that start with ``comment`` or with ``header`` go. Without ``names`` they are the first line of the first file that
+    is neither comment nor empty; every line equal to it goes too. ``sep`` is a pattern, so ' +' reads columns of spaces; the
+    last column takes the rest of its line. Cells in ``missing`` are null.
+    """
+    lines = spark.read.text(path).withColumn("value", F.regexp_replace("value", "\r$", "")).where(F.trim("value") != "")
+    if names is None:
+        first = lines.where(~F.startswith("value", F.lit(comment))).first()
+        if first is None:
+            raise ValueError(f"{path} has no header")
+        names = [x.strip() for x in re.split(sep, first[0])]
+        lines = lines.where(F.col("value") != first[0])
+    lines = lines.where(~F.startswith("value", F.lit(comment)))
+    lines = lines.where(~F.startswith("value", F.lit(header))) if header else lines
+    if set(columns) - set(names):
+        raise ValueError(f"columns missing from {path}: {sorted(set(columns) - set(names))}")
+    cells = F.split("value", sep, len(names))
+    cell = {c: F.trim(F.get("_cells", F.lit(list(names).index(c)))) for c in columns}
+    known = {c: F.when(~x.isin(*missing), x) for c, x in cell.items()}
+    wrong = F.when(F.size("_cells") < len(names), "cells").otherwise(F.concat_ws(";", *(F.when(known[c].isNotNull() & known[c].try_cast(t).isNull(), F.lit(c)) for c, t in columns.items())))
+    return lines.select(cells.alias("_cells")).select(*(known[c].try_cast(t).alias(c) for c, t in columns.items()), wrong.alias("wrong"))
+
+
 def typed(df: DataFrame, types: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """(rows whose text cells all have their type, the other rows with the names of the wrong cells)."""
     cast = {c: F.col(c).try_cast(t) for c, t in types.items()}

@@ -163,3 +163,100 @@ def test_no_feature_is_lost(spark):
     assert set(got) == {"two", "eleven", "forty", "sixty", "none"}
     assert got["two"].perm_p is None and got["two"].value_status == "not_tested_few_units" and got["none"].detection_status == "not_tested_few_units" and got["none"].fisher_p is None
     assert got["forty"].perm_p is not None and got["forty"].perm_q_both is not None and got["sixty"].value_status == "not_tested_many_units"
+
+
+def test_representatives_walk_with_deferred_bridges(spark):
+    import itertools
+
+    from cohortmill.operators import clustering
+
+    r = random.Random(5)
+    nodes = [(f"n{i:02}", r.randrange(10, 30), r.choice(["high", "low", "other"])) for i in range(36)]
+    edges = [tuple(r.sample([n[0] for n in nodes[:33]], 2)) for _ in range(90)]
+    near = {n[0]: {b for a, b in edges if a == n[0]} | {a for a, b in edges if b == n[0]} for n in nodes}
+    size = {n[0]: n[1] for n in nodes}
+    bridge = {n for n in near if any(b not in near[a] for a, b in itertools.combinations([m for m in near[n] if size[m] > size[n]], 2))}
+    place = {"high": 1, "low": 2, "other": 3}
+    order = sorted(nodes, key=lambda n: (n[0] in bridge, -n[1] if n[0] in bridge else 0, place[n[2]], -n[1], n[0]))
+    reps = []
+    for n, _, _ in order:
+        if not near[n] & set(reps):
+            reps.append(n)
+    df = spark.createDataFrame(nodes, "node string, length int, quality string")
+    e = spark.createDataFrame(edges, "a string, b string")
+    rank = clustering.quality_rank(F.col("quality"), F.lit("x"), F.col("length"), F.col("node"), ["high", "low"], [])
+    found = {x.node for x in clustering.bridges(df, e).where("is_bridge").collect()}
+    assert found == bridge and bridge
+    out, matches = clustering.representatives(df, e, rank)
+    got = {x.node: (x.status, x.n_representatives, x.representative) for x in out.collect()}
+    pairs = {(x.node, x.representative) for x in matches.collect()}
+    for n in near:
+        mine = {n} if n in reps else near[n] & set(reps)
+        assert got[n] == ("representative" if n in reps else "member" if len(mine) == 1 else "ambiguous", len(mine), next(iter(mine)) if len(mine) == 1 else None)
+        assert {b for a, b in pairs if a == n} == mine
+
+
+def plain_union(hsps, evalue_max):
+    """Letter by letter, with sets."""
+    out = {}
+    for h in sorted(hsps, key=lambda h: (h["q"], h["s"], -h["bitscore"], -h["pident"], -h["length"], h["qstart"], h["qend"], h["sstart"], h["send"], h["qseq"], h["sseq"])):
+        t = out.setdefault((h["q"], h["s"]), dict(q=set(), s=set(), columns=0, same=0, n=(h["qlen"], h["slen"])))
+        if h["evalue"] > evalue_max:
+            continue
+        i, j = h["qstart"], h["sstart"]
+        for a, b in zip(h["qseq"], h["sseq"]):
+            if (a == "-" or i not in t["q"]) and (b == "-" or j not in t["s"]):
+                t["columns"] += 1
+                t["same"] += a == b and a in "ACGT"
+                t["q"] |= {i} if a != "-" else set()
+                t["s"] |= {j} if b != "-" else set()
+            i += 0 if a == "-" else 1 if h["qend"] >= h["qstart"] else -1
+            j += 0 if b == "-" else 1 if h["send"] >= h["sstart"] else -1
+    done = {}
+    for k, t in out.items():
+        fq, fs = len(t["q"]) / t["n"][0], len(t["s"]) / t["n"][1]
+        part = min(fq, fs) if t["n"][0] == t["n"][1] else fq if t["n"][0] < t["n"][1] else fs
+        done[k] = (t["columns"], t["same"], round(100 * part, 6), len(t["q"]), len(t["s"]))
+    return done
+
+
+def test_alignment_union_is_the_walk_by_letters(spark):
+    from cohortmill.operators import clustering
+
+    r = random.Random(3)
+    hsps = []
+    for _ in range(160):
+        n = r.randrange(8, 30)
+        pairs = [(r.choice("ACGTN"), r.choice("ACGT")) for _ in range(n)]
+        pairs = [("-", b) if r.random() < 0.1 else (a, "-") if r.random() < 0.1 else (a, a if r.random() < 0.8 else b) for a, b in pairs]
+        qseq, sseq = "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+        nq, ns = (len(x.replace("-", "")) for x in (qseq, sseq))
+        if not nq or not ns:
+            continue
+        q0, s0 = r.randrange(1, 60), r.randrange(1, 60)
+        s1, s2 = (s0, s0 + ns - 1) if r.random() < 0.5 else (s0 + ns - 1, s0)
+        s = r.choice("xyz")
+        hsps.append(dict(q=r.choice("ab"), s=s, qstart=q0, qend=q0 + nq - 1, sstart=s1, send=s2, qlen=100, slen={"x": 100, "y": 95, "z": 130}[s], qseq=qseq, sseq=sseq, pident=float(r.randrange(80, 100)), length=n, evalue=r.choice([1e-9, 1e-3]), bitscore=float(r.randrange(20, 25))))
+    out = clustering.alignment_union(spark.createDataFrame(hsps))
+    got = {(x.q, x.s): (x.columns, x.identical, round(x.aligned_fraction, 6), x.q_covered, x.s_covered) for x in out.collect()}
+    assert got == plain_union(hsps, 1e-5)
+    assert clustering.alignment_union(spark.createDataFrame(hsps).where("false")).count() == 0
+
+
+def test_fragments_against_a_second_run(spark):
+    from cohortmill.operators import fragments
+
+    cols = "qname string, mate int, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen long"
+    pair = lambda q, f1=2, f2=18: [(q, 1, f1, "r", 100, 40, "50M", "=", 300, 250), (q, 2, f2, "r", 300, 40, "50M", "=", 100, -250)]
+    rows = [*pair("good"), *pair("moved"), *pair("low"), *pair("none"), *pair("back", 18, 2), pair("single")[0], *pair("twice"), pair("twice")[0], *pair("many"), ("many", 1, 256, "s", 5, 0, "50M", "=", 1, 1)]
+    df = spark.createDataFrame(rows, cols)
+    other = [("good", 1, 2, "r", 100, "50M", 50), ("good", 2, 18, "r", 300, "50M", 50), ("moved", 1, 2, "r", 101, "50M", 50), ("moved", 2, 18, "r", 300, "50M", 50), ("low", 1, 2, "r", 100, "50M", 3), ("low", 2, 18, "r", 300, "50M", 50),
+             ("none", 1, 2, "r", 100, "50M", 255), ("none", 2, 18, "r", 300, "50M", 50), ("back", 1, 18, "r", 100, "50M", 50), ("back", 2, 2, "r", 300, "50M", 50)]
+    ordinary = spark.createDataFrame(other, "qname string, mate int, flag int, rname string, pos long, cigar string, mapq int")
+    out = fragments.outcomes(df, F.lit(True), 10, 5, 200, 600, "fr", True, ordinary)
+    got = {x.qname: (x.outcome, x.reference) for x in out.collect()}
+    assert got == {"good": ("assigned", "r"), "moved": ("primary_alignment_not_reconciled", None), "low": ("mapq_filter", None), "none": ("mapq_unavailable", None), "back": ("discordant_pair", None), "single": ("malformed", None),
+                   "twice": ("malformed", None), "many": ("ambiguous_or_reporting_saturated", None)}
+    assert {(x.qname, x.rname) for x in fragments.ambiguous_targets(df, F.lit(True), out).collect()} == {("many", "r"), ("many", "s")}
+    assert {x.outcome for x in fragments.outcomes(df, F.lit(True), 10, 1, 200, 600).where("qname = 'good'").collect()} == {"ambiguous_or_reporting_saturated"}
+    assert {x.outcome for x in fragments.outcomes(df.where("mate = 1 and qname = 'good'").withColumn("mate", F.lit(0)), F.lit(True), 10, 5, 200, 600, paired=False).collect()} == {"assigned"}

@@ -85,3 +85,16 @@ def test_units_and_sinks(spark, tmp_path):
     assert T.write_once(df, f"{tmp_path}/once", "v1") and not T.write_once(df, f"{tmp_path}/once", "v1")
     with pytest.raises(ValueError):
         T.write_once(df, f"{tmp_path}/once", "v2")
+
+
+def test_tool_tables(spark, tmp_path):
+    from cohortmill.sources import text_tables as T
+
+    (tmp_path / "a.tsv").write_text("# made by a tool\nname\tn\tscore\nx\t1\t0.5\ny\tNA\thigh\r\n\nz\t3\n")
+    out = {x.name: (x.n, x.score, x.wrong) for x in T.read_tool_table(spark, f"{tmp_path}/a.tsv", {"name": "string", "n": "long", "score": "double"}).collect()}
+    assert out == {"x": (1, 0.5, ""), "y": (None, None, "score"), "z": (3, None, "cells")}
+    (tmp_path / "b.txt").write_text("# target  query\ng1   PF1  1e-5  a long name\ng2   PF2  0.1  -\n")
+    rows = T.read_tool_table(spark, f"{tmp_path}/b.txt", {"target": "string", "e": "double", "about": "string"}, ["target", "query", "e", "about"], sep=" +").collect()
+    assert [(x.target, x.e, x.about, x.wrong) for x in rows] == [("g1", 1e-5, "a long name", ""), ("g2", 0.1, None, "")]
+    with pytest.raises(ValueError, match="nothing"):
+        T.read_tool_table(spark, f"{tmp_path}/a.tsv", {"nothing": "string"})
