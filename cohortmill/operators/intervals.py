@@ -31,13 +31,24 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width:
     return met.select(*keys, "l", "r", common.alias("overlap"))
 
 
-def merged(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Maximal runs of overlapping or touching intervals: keys, start0, end0."""
-    order = W.partitionBy(*keys).orderBy("start0", "end0")
-    before = F.max("end0").over(order.rowsBetween(W.unboundedPreceding, -1))
-    df = df.where("end0 > start0").withColumn("_new", F.when(F.col("start0") <= before, 0).otherwise(1))
-    df = df.withColumn("_run", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return df.groupBy(*keys, "_run").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0")).drop("_run")
+def merged(df: DataFrame, keys: Sequence[str], block: int = 1 << 16) -> DataFrame:
+    """Maximal runs of overlapping or touching intervals: keys, start0, end0.
+
+    In two levels, within blocks of the reference and then over blocks, so that a long reference is no single task: an interval
+    begins a run if neither an earlier one of its block nor one of an earlier block reaches it.
+    """
+    keys = list(keys)
+    rows = df.where("end0 > start0").select(*keys, "start0", "end0", F.floor(F.col("start0") / block).alias("_block"))
+    inside, over = W.partitionBy(*keys, "_block").orderBy("start0", "end0"), W.partitionBy(*keys).orderBy("_block")
+    earlier = over.rowsBetween(W.unboundedPreceding, -1)
+    reach = rows.groupBy(*keys, "_block").agg(F.max("end0").alias("_top")).select(*keys, "_block", F.max("_top").over(earlier).alias("_reach"))
+    rows = rows.withColumn("_before", F.max("end0").over(inside.rowsBetween(W.unboundedPreceding, -1))).hint("shuffle_merge").join(reach, [*keys, "_block"])
+    rows = rows.withColumn("_new", F.when(F.col("start0") <= F.greatest("_before", "_reach"), 0).otherwise(1))
+    rows = rows.withColumn("_run", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    runs = rows.groupBy(*keys, "_block", "_run").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0"))
+    count = runs.groupBy(*keys, "_block").agg(F.max("_run").alias("_n")).select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_at"))
+    runs = runs.hint("shuffle_merge").join(count, [*keys, "_block"])  # a run 0 goes on with the last one of earlier blocks
+    return runs.groupBy(*keys, (F.col("_at") + F.col("_run")).alias("_run")).agg(F.min("start0").alias("start0"), F.max("end0").alias("end0")).drop("_run")
 
 
 def union_length(df: DataFrame, keys: Sequence[str]) -> DataFrame:

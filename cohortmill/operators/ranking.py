@@ -44,13 +44,16 @@ def round_robin(df: DataFrame, unit: Sequence[str], stratum: str, first: Column,
     """
     df = df.withColumn("_first", F.when(first, 0).otherwise(1))
     inside = W.partitionBy(*unit, "_first", F.when(F.col("_first") == 1, F.col(stratum))).orderBy(*order)
-    df = df.withColumn("_pass", F.row_number().over(inside))
+    # a row after the first ``cap`` of its stratum is never picked, so a unit brings at most cap rows of each to one task
+    df = df.withColumn("_pass", F.row_number().over(inside)).where(F.col("_pass") <= cap)
     over = W.partitionBy(*unit).orderBy("_first", "_pass", stratum, *order)
     return df.withColumn("pick", F.row_number().over(over)).where(F.col("pick") <= cap).drop("_first", "_pass")
 
 
 def n50(df: DataFrame, keys: Sequence[str], length: str) -> DataFrame:
-    """The length at which, from the longest down, half of a key's total is reached."""
-    over = W.partitionBy(*keys).orderBy(F.desc(length)).rangeBetween(W.unboundedPreceding, 0)
-    run = df.withColumn("_sum", F.sum(length).over(over)).withColumn("_all", F.sum(length).over(W.partitionBy(*keys)))
+    """The length at which, from the longest down, half of a key's total is reached. Rows are summed per length first, so only
+    distinct lengths of a key meet in one task."""
+    sums = df.groupBy(*keys, length).agg(F.sum(length).alias("_s"))
+    over = W.partitionBy(*keys).orderBy(F.desc(length)).rowsBetween(W.unboundedPreceding, 0)
+    run = sums.withColumn("_sum", F.sum("_s").over(over)).withColumn("_all", F.sum("_s").over(W.partitionBy(*keys)))
     return run.where(F.col("_sum") * 2 >= F.col("_all")).groupBy(*keys).agg(F.max(length).alias("n50"))

@@ -260,3 +260,17 @@ def test_fragments_against_a_second_run(spark):
     assert {(x.qname, x.rname) for x in fragments.ambiguous_targets(df, F.lit(True), out).collect()} == {("many", "r"), ("many", "s")}
     assert {x.outcome for x in fragments.outcomes(df, F.lit(True), 10, 1, 200, 600).where("qname = 'good'").collect()} == {"ambiguous_or_reporting_saturated"}
     assert {x.outcome for x in fragments.outcomes(df.where("mate = 1 and qname = 'good'").withColumn("mate", F.lit(0)), F.lit(True), 10, 5, 200, 600, paired=False).collect()} == {"assigned"}
+
+
+@pytest.mark.parametrize("block", [7, 64, 1 << 16])
+def test_runs_do_not_depend_on_blocks(spark, block):
+    r = random.Random(block)
+    rows = [(r.choice("ab"), x, x + r.choice([0, 1, 3, 40])) for x in (r.randrange(-5, 900) for _ in range(150))]
+    got = sorted((x.c, x.start0, x.end0) for x in intervals.merged(spark.createDataFrame(rows, "c string, start0 long, end0 long"), ["c"], block).collect())
+    want = []
+    for c, s, e in sorted(x for x in rows if x[2] > x[1]):
+        if want and want[-1][0] == c and s <= want[-1][2]:
+            want[-1][2] = max(want[-1][2], e)
+        else:
+            want.append([c, s, e])
+    assert got == [tuple(x) for x in want]
