@@ -1,6 +1,7 @@
 """Plain Python versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -102,3 +103,47 @@ def spans(docs, span=2, least=12):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def quality_votes(text):
+    """1 good, 0 bad, None abstains, rule by rule."""
+    x = text or ""
+    w, lines = words(x), [v for v in x.split("\n") if WORD.search(v)]
+    n, chars, symbols, again, repeats = measures(x)
+    stops, long = sum(v[-1] in ".!?" for v in w), sum(len(v.encode()) > 40 for v in w)
+    size = max(n, 1)
+    bad = lambda cond: 0 if cond else None
+    return [
+        bad(n < 10), bad(symbols >= 0.10 * size), bad(repeats > 0.20 * size), bad(again >= 0.30 * max(len(lines), 1) and again >= 2), bad(abs(chars / size - 5.5) > 4.0), bad(long >= 0.05 * size),
+        1 if stops / size >= 0.03 else bad(stops / size < 0.005),
+    ]
+
+
+def posteriors(votes, rounds=200, precision=0.9, good=0.85):
+    """EM document by document: the chance that each is good, from what the rules say of it."""
+    n, rules, kinds = len(votes), len(votes[0]), (0, 1, None)
+    share = [{k: sum(v[r] is k for v in votes) + 0.5 for k in kinds} for r in range(rules)]
+    believed = {0: {0: precision, 1: 1 - precision, None: 1 - good}, 1: {0: 1 - precision, 1: precision, None: good}}
+    start, strength = {0: 1 - good, 1: good}, 0.5 * n + 10
+    prior = {}
+    for c in (0, 1):
+        for r in range(rules):
+            raw = {k: share[r][k] / sum(share[r].values()) * believed[c][k] / start[c] for k in kinds}
+            prior[c, r] = {k: x / sum(raw.values()) for k, x in raw.items()}
+    theta, balance = dict(prior), dict(start)
+    post = [0.5] * n
+    for _ in range(rounds):
+        new = []
+        for v in votes:
+            like = {c: balance[c] * math.prod(theta[c, r][v[r]] for r in range(rules)) for c in (0, 1)}
+            new.append(like[1] / (like[0] + like[1]))
+        change, post = sum(abs(a - b) for a, b in zip(new, post)), new
+        weight = {0: [1 - p for p in post], 1: post}
+        for c in (0, 1):
+            total = sum(weight[c]) + strength * start[c]
+            for r in range(rules):
+                theta[c, r] = {k: (sum(w for w, v in zip(weight[c], votes) if v[r] is k) + strength * start[c] * prior[c, r][k]) / total for k in kinds}
+        balance = {c: (sum(weight[c]) + strength * start[c]) / (n + strength) for c in (0, 1)}
+        if change < 1e-9 * n:
+            break
+    return post

@@ -73,6 +73,15 @@ def test_quality_measures(documents, corpus):
     assert got == want
 
 
+def test_quality_verdict_is_the_plain_model(documents, corpus):
+    want = brute.posteriors([brute.quality_votes(t) for _, t in corpus])
+    rows = {r.doc_id: r for r in quality.quality_rules(documents).collect()}
+    for (i, _), p in zip(corpus, want):
+        assert abs(rows[i].p_good - p) < 1e-6
+        assert abs(p - 0.5) > 1e-6 and rows[i].kept == (not rows[i].base_failed and p >= 0.5)
+    assert {r.kept for r in rows.values()} == {True, False}
+
+
 def test_quality_model_follows_its_votes():
     """EM finds the classes of votes drawn from known accuracies."""
     r = np.random.default_rng(1)
