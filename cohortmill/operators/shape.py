@@ -77,3 +77,44 @@ def divides(owned: DataFrame, required: DataFrame, owner: str, item: str, group:
     size = need.groupBy(group).agg(F.count("*").alias("n_required"))
     have = owned.select(owner, item).distinct().join(need, item).groupBy(owner, group).agg(F.count("*").alias("n_owned"))
     return have.join(size, group).where("n_owned = n_required").select(owner, group)
+
+
+def entity_levels(sheet: DataFrame, levels: Sequence[tuple[str, str, Sequence[str]]]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(one table per level of a flat sheet: id, parent id, attributes; the conflicts: level, id, column, n_values).
+
+    ``levels``: (name, id column, attribute columns) from the outermost inwards, such as sample, library, readset; the id of
+    the level before is the parent. An id with several parents or several values of an attribute (null is a value) is a
+    conflict, and its smallest value stands in the table. Rows with a null id make no entity; a conflict is a row, so a
+    caller may refuse the sheet or set those ids aside.
+    """
+    tables, wrong, parent = {}, None, None
+    for name, key, attributes in levels:
+        columns = ([parent] if parent else []) + list(attributes)
+        # null as a value of its own: the cell as an array, empty where it is null
+        several = {c: F.count_distinct(F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit(""))) for c in columns}
+        g = sheet.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"), *(F.min(c).alias(c) for c in columns), *(n.alias(f"_n_{c}") for c, n in several.items()))
+        tables[name] = g.select(key, *columns)
+        for c in columns:
+            bad = g.where(F.col(f"_n_{c}") > 1).select(F.lit(name).alias("level"), F.col(key).cast("string").alias("id"), F.lit(c).alias("column"), F.col(f"_n_{c}").alias("n_values"))
+            wrong = bad if wrong is None else wrong.unionByName(bad)
+        parent = key
+    return tables, wrong
+
+
+def merged_units(units: DataFrame, mapping: DataFrame, unit: str, same: Sequence[str], group: str = "merge_id") -> tuple[DataFrame, DataFrame]:
+    """(unit_id, unit for every unit, merged or by itself; the mapping rows refused, with why).
+
+    A group of ``mapping`` (group, unit) is refused whole, and its units stay by themselves, where one of its units is unknown,
+    stands in the mapping twice, differs in a column of ``same`` (nulls are equal), or where the group has a unit's name.
+    """
+    m = mapping.select(F.col(group).cast("string").alias("g"), F.col(unit).alias("u"))
+    often = m.groupBy("u").agg(F.count("*").alias("_k"))
+    known = units.select(F.col(unit).alias("v"), F.to_json(F.struct(*same)).alias("_same"))
+    rows = m.hint("shuffle_merge").join(often, "u").hint("shuffle_merge").join(known, F.col("u") == F.col("v"), "left")
+    names = units.select(F.col(unit).cast("string").alias("g")).distinct().withColumn("_name", F.lit(True))
+    g = rows.groupBy("g").agg(F.max(F.when(F.col("v").isNull(), 1).otherwise(0)).alias("lost"), F.max("_k").alias("k"), F.count_distinct("_same").alias("n")).hint("shuffle_merge").join(names, "g", "left")
+    why = F.when(F.col("_name"), "name_taken").when(F.col("lost") == 1, "unknown_unit").when(F.col("k") > 1, "unit_twice").when(F.col("n") > 1, "not_compatible").otherwise("")
+    judged = m.distinct().hint("shuffle_merge").join(g.select("g", why.alias("why")), "g")
+    good = judged.where("why = ''").select("g", F.col("u").alias("v"))
+    out = units.select(unit).hint("shuffle_merge").join(good, F.col(unit) == F.col("v"), "left")
+    return out.select(F.coalesce("g", F.col(unit).cast("string")).alias("unit_id"), unit), judged.where("why <> ''").select(F.col("g").alias(group), F.col("u").alias(unit), "why")

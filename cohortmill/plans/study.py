@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..operators import clustering, evidence, fragments, intervals, selection
+from ..operators import clustering, evidence, fragments, intervals, selection, shape
 from ..sources.shared import stage
 from .core import r6
 from .registry import query
@@ -229,3 +229,27 @@ def carriage(spark, d):
         F.max("c_acctbal").alias("bal"), F.count("o_orderkey").alias("n"), evidence.count_if(s == "O").alias("open"), evidence.count_if((s == "F") & (F.col("o_totalprice") > 300000)).alias("big"))
     call, why = V.carriage(F.col("big") > 0, [(F.col("n") > 0, "nothing_searched"), (F.col("open") == 0, "search_not_complete"), (F.col("bal") >= 0, "quality_outside_policy")])
     return g.select("c_custkey", call.alias("call"), why.alias("reasons"))
+
+
+SHEET = "SELECT o_custkey AS sample, c_mktsegment AS subject, o_orderkey AS library, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_linestatus END AS layout, l_orderkey * 10 + l_linenumber AS readset, l_returnflag AS platform FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey"
+LEVELS = [("sample", "sample", ["subject"]), ("library", "library", ["layout"]), ("readset", "readset", ["platform"])]
+
+
+def sheet(spark, d):
+    return stage(spark.sql(SHEET, **{t: table(spark, d, t) for t in ("lineitem", "orders", "customer")}), "sheet")
+
+
+@query(f"WITH s AS ({plain(SHEET)}) SELECT 'sample' AS level, CAST(sample AS VARCHAR) AS id, NULL AS parent, min(subject) AS attribute FROM s GROUP BY sample UNION ALL SELECT 'library', CAST(library AS VARCHAR), CAST(min(sample) AS VARCHAR), min(layout) FROM s GROUP BY library UNION ALL SELECT 'readset', CAST(readset AS VARCHAR), CAST(min(library) AS VARCHAR), min(platform) FROM s GROUP BY readset")
+def sheet_entities(spark, d):
+    tables, _ = shape.entity_levels(sheet(spark, d), LEVELS)
+    out, above = None, None
+    for name, key, (attribute,) in LEVELS:
+        rows = tables[name].select(F.lit(name).alias("level"), F.col(key).cast("string").alias("id"), (F.col(above) if above else F.lit(None)).cast("string").alias("parent"), F.col(attribute).alias("attribute"))
+        out, above = rows if out is None else out.unionByName(rows), key
+    return out
+
+
+@query(f"""WITH s AS ({plain(SHEET)}) SELECT * FROM (SELECT 'sample' AS level, CAST(sample AS VARCHAR) AS id, 'subject' AS "column", count(DISTINCT coalesce(subject, '?')) AS n_values FROM s GROUP BY sample UNION ALL SELECT 'library', CAST(library AS VARCHAR), 'sample', count(DISTINCT sample) FROM s GROUP BY library
+ UNION ALL SELECT 'library', CAST(library AS VARCHAR), 'layout', count(DISTINCT coalesce(layout, '?')) FROM s GROUP BY library UNION ALL SELECT 'readset', CAST(readset AS VARCHAR), 'library', count(DISTINCT library) FROM s GROUP BY readset UNION ALL SELECT 'readset', CAST(readset AS VARCHAR), 'platform', count(DISTINCT coalesce(platform, '?')) FROM s GROUP BY readset) WHERE n_values > 1""")
+def sheet_conflicts(spark, d):
+    return shape.entity_levels(sheet(spark, d), LEVELS)[1]

@@ -274,3 +274,11 @@ def test_runs_do_not_depend_on_blocks(spark, block):
         else:
             want.append([c, s, e])
     assert got == [tuple(x) for x in want]
+
+
+def test_units_are_merged_only_where_they_agree(spark):
+    units = spark.createDataFrame([(i, "lib" if i < 5 else None, "PE" if i != 3 else "SE") for i in range(1, 10)], "readset long, library string, layout string")
+    rows = [("good", 1), ("good", 2), ("mixed", 3), ("mixed", 4), ("lost", 5), ("lost", 99), ("7", 6), ("twice", 8), ("other", 8), ("nulls", 7), ("nulls", 9)]
+    out, refused = shape.merged_units(units, spark.createDataFrame(rows, "merge_id string, readset long"), "readset", ["library", "layout"])
+    assert {(x.unit_id, x.readset) for x in out.collect()} == {("good", 1), ("good", 2), ("3", 3), ("4", 4), ("5", 5), ("6", 6), ("8", 8), ("nulls", 7), ("nulls", 9)}
+    assert {(x.merge_id, x.why) for x in refused.collect()} == {("mixed", "not_compatible"), ("lost", "unknown_unit"), ("7", "name_taken"), ("twice", "unit_twice"), ("other", "unit_twice")}
