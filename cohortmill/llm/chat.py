@@ -6,8 +6,9 @@ conversation of n turns with hash P_n goes if another has the same P_n at turn n
 conversations the smallest conv_id stays.
 
 Defined cases: turns are ordered by (turn, role, text), nulls first; rows that repeat a (turn, role, text) are one turn;
-null role or text compare as equal to null only and render as empty; rows with null conv_id form one conversation of
-their own (conv_id null); an empty table gives no rows; other columns are ignored.
+null role or text compare as equal to null only and render as empty; rows with null conv_id can't be put together, so
+each that differs is a conversation of one turn, held against no other (conv_id null): no group gathers them; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def _cell(c: str) -> Column:
 
 def turn_prefixes(conversations: DataFrame) -> DataFrame:
     """One row per turn: conv_id, n (position from 1), p1 and p2 (hash of the first n turns)."""
-    turns = conversations.select("conv_id", "turn", "role", "text").distinct()
+    turns = conversations.select("conv_id", "turn", "role", "text").where("conv_id is not null").distinct()
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     turns = turns.withColumn("n", F.row_number().over(order).cast("long"))
     turns = turns.withColumn("h1", F.xxhash64("n", _cell("role"), _cell("text")))
@@ -45,8 +46,10 @@ def render_chats(conversations: DataFrame, begin: str = "<|", middle: str = "|>\
     """conv_id, n_turns, rendered: each maximal conversation as one string."""
     prefixes = turn_prefixes(conversations)
     kept = maximal_conversations(prefixes).withColumnRenamed("conv_id", "_kept")
-    turns = prefixes.hint("shuffle_merge").join(kept, F.col("conv_id").eqNullSafe(F.col("_kept")), "left_semi")
+    turns = prefixes.hint("shuffle_merge").join(kept, F.col("conv_id") == F.col("_kept"), "left_semi")
     empty = F.lit("")
     piece = F.concat(F.lit(begin), F.coalesce("role", empty), F.lit(middle), F.coalesce("text", empty), F.lit(end))
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("n", piece.alias("s")))).alias("t"))
-    return grouped.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.concat_ws("", F.col("t.s")).alias("rendered"))
+    whole = grouped.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.concat_ws("", F.col("t.s")).alias("rendered"))
+    alone = conversations.where("conv_id is null").select("conv_id", "turn", "role", "text").distinct()
+    return whole.union(alone.select("conv_id", F.lit(1).cast("long").alias("n_turns"), piece.alias("rendered")))

@@ -6,8 +6,10 @@ numbers or names still meets its item. A joined window counts only if its slots
 values in the document exactly where they do in the item, within a window and over all windows that follow each other as
 in the item. (What is gathered for such a run is at most the item's own windows.)
 
-A number is a word with a digit; a name is a capitalised word that begins neither a sentence nor a line; a unit is a word
-of ``UNITS`` right after a number. Windows with fewer than ``min_literal`` ordinary words are compared word for word, and
+A number is a word with a digit; a unit is a word of ``UNITS`` right after a number; a name is a capitalised word. One that
+begins a sentence or a line may be a name or not, so windows with such openers are hashed twice, on both sides: with all
+openers as words and with all of them as names. What the second reading adds to a run counts only if the slots of all its
+windows are consistent; the first reading counts by itself as well. Windows with fewer than ``min_literal`` ordinary words are compared word for word, and
 an item of fewer than ``window`` words is one such window. Windows that are equal word for word count whether or not the
 slots of their run are consistent, against all windows of the item; others count against its template windows.
 
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import drop, key_filter, observed, passes, stage
-from .textcols import Texts, grams, mix, pieces
+from .textcols import _C3, Texts, grams, mix, pieces
 
 UNITS = ("percent mm cm m km inches feet yards miles mg g kg tons ounces pounds ml l liters gallons s seconds minutes h hours days weeks "
          "months years cents dollars euros pounds watts volts degrees km/h mph").split()
@@ -83,13 +85,15 @@ class Template:
         if len(word):
             unit[1:] = np.isin(self.raw[1:], unit_hashes()) & number[:-1]
             unit[at[:-1][at[:-1] < len(word)]] = False
+        self.opener = capital & opens & ~number & ~unit
         name = capital & ~opens & ~number & ~unit
         self.token = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, self.raw)))
         self.slot = number | unit | name
         self.at = at.astype(np.int64)
 
-    def windows(self, window: int, min_literal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(first token, text, hash, place in its text, whether compared word for word) of every window."""
+    def windows(self, window: int, min_literal: int) -> tuple[np.ndarray, ...]:
+        """(first token, text, hash, place in its text, whether compared word for word, whether openers are names) of every
+        window, those with openers twice where enough ordinary words are left."""
         g, gram_at = grams(self.token, self.at, window)
         runs = np.diff(gram_at)
         first = np.arange(len(g)) + np.repeat(self.at[:-1] - gram_at[:-1], runs)
@@ -97,7 +101,16 @@ class Template:
         exact = window - (slots[first + window] - slots[first]) < min_literal
         g[exact] = self.exact(first[exact], window)
         text = np.searchsorted(gram_at, np.arange(len(g)), "right") - 1
-        return first, text, g.view(np.int64), np.arange(len(g)) - gram_at[text], exact
+        place = np.arange(len(g)) - gram_at[text]
+        named = np.concatenate([[0], np.cumsum(self.opener)])
+        n_named = named[first + window] - named[first]
+        twice = np.flatnonzero((n_named > 0) & (window - (slots[first + window] - slots[first]) - n_named >= min_literal))
+        token, x = np.where(self.opener, NAME, self.token), np.full(len(twice), np.uint64(window))
+        for i in range(window):
+            x = mix((x ^ token[first[twice] + i]) * _C3)
+        both = lambda a: np.concatenate([a, a[twice]])
+        opened = np.repeat([False, True], [len(g), len(twice)])
+        return both(first), both(text), np.concatenate([g, x]).view(np.int64), both(place), both(exact), opened
 
     def exact(self, first: np.ndarray, size: int) -> np.ndarray:
         """Hashes of the words themselves in runs of ``size``."""
@@ -114,10 +127,10 @@ class Template:
         first = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs) + self.at[text]
         return first, text, self.exact(first, size).view(np.int64)
 
-    def slot_values(self, first: np.ndarray, window: int, exact: np.ndarray) -> pa.Array:
+    def slot_values(self, first: np.ndarray, window: int, exact: np.ndarray, opened: np.ndarray) -> pa.Array:
         """The values in the slots of each window, in order; none in windows compared word for word."""
         item = np.minimum(first[:, None] + np.arange(window), max(len(self.slot) - 1, 0))
-        held = self.slot[item] & ~exact[:, None]
+        held = (self.slot[item] | (self.opener[item] & opened[:, None])) & ~exact[:, None]
         at = np.concatenate([[0], np.cumsum(held.sum(1))])
         return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(self.raw[item[held]].view(np.int64)))
 
@@ -128,7 +141,7 @@ def unit_hashes() -> np.ndarray:
     return t.hashes(t.start, t.size)
 
 
-WINDOWS = "id long, h long, pos long, size int, exact boolean, slots array<long>"
+WINDOWS = "id long, h long, pos long, size int, exact boolean, opened boolean, slots array<long>"
 
 
 def _window_rows(window: int, min_literal: int, filter_=None, short: list[int] | None = None):
@@ -140,17 +153,17 @@ def _window_rows(window: int, min_literal: int, filter_=None, short: list[int] |
             parts = [(window, *t.windows(window, min_literal))]
             for size in range(1, window) if filter_ is None else short:
                 first, text, h = t.short(size, filter_ is None)
-                parts.append((size, first, text, h, np.zeros(len(h), np.int64), np.ones(len(h), bool)))
-            for size, first, text, h, pos, exact in parts:
+                parts.append((size, first, text, h, np.zeros(len(h), np.int64), np.ones(len(h), bool), np.zeros(len(h), bool)))
+            for size, first, text, h, pos, exact, opened in parts:
                 if filter_ is not None:
                     some = np.flatnonzero(passes(filter_, h))
                     if size < window:
                         some = some[np.unique(np.stack([text[some], h[some]], 1), axis=0, return_index=True)[1]]
-                    first, text, h, pos, exact = first[some], text[some], h[some], pos[some], exact[some]
+                    first, text, h, pos, exact, opened = (x[some] for x in (first, text, h, pos, exact, opened))
                 for i in range(0, len(h), 50_000):
                     r = slice(i, i + 50_000)
-                    columns = [b.column("id").take(pa.array(text[r])), pa.array(h[r]), pa.array(pos[r]), pa.array(np.full(len(h[r]), size, np.int32)), pa.array(exact[r]), t.slot_values(first[r], size, exact[r])]
-                    yield pa.RecordBatch.from_arrays(columns, ["id", "h", "pos", "size", "exact", "slots"])
+                    columns = [b.column("id").take(pa.array(text[r])), pa.array(h[r]), pa.array(pos[r]), pa.array(np.full(len(h[r]), size, np.int32)), pa.array(exact[r]), pa.array(opened[r]), t.slot_values(first[r], size, exact[r], opened[r])]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "h", "pos", "size", "exact", "opened", "slots"])
 
     return run
 
@@ -169,12 +182,18 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_lit
     pattern = lambda c: F.transform(c, lambda x: F.array_position(c, x))
     met = d.hint("shuffle_merge").join(i, ["h", "size", "exact"]).where(pattern(F.col("d.slots")) == pattern(F.col("i.slots")))
     both = F.arrays_zip(F.col("d.slots").alias("d"), F.col("i.slots").alias("i"))
-    met = met.select(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), (F.col("d.pos") - F.col("i.pos")).alias("shift"), F.col("i.pos").alias("pos"), both.alias("slots"), "exact", (F.col("d.slots") == F.col("i.slots")).alias("same"))
+    met = met.withColumn("plain", ~F.col("d.opened") & ~F.col("i.opened"))
+    met = met.select(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), (F.col("d.pos") - F.col("i.pos")).alias("shift"), F.col("i.pos").alias("pos"), both.alias("slots"), "exact", "plain", (F.col("d.slots") == F.col("i.slots")).alias("same"))
     places = lambda of: F.size(F.collect_set(F.when(of, F.col("pos"))))
-    run = met.groupBy("doc_id", "item_id", "shift").agg(places(~F.col("exact")).alias("n"), places(F.col("same")).alias("n_same"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    one = F.size("slots")  # one value for each value, in both directions
-    steady = (F.size(F.array_distinct("slots.d")) == one) & (F.size(F.array_distinct("slots.i")) == one)
-    best = run.groupBy("doc_id", "item_id").agg(F.max(F.when(steady, F.col("n")).otherwise(0)).alias("n"), F.max("n_same").alias("n_same"))
+    values = lambda of: F.array_distinct(F.flatten(F.collect_set(F.when(of, F.col("slots")))))
+    plain, every = F.col("plain"), F.lit(True)
+    run = met.groupBy("doc_id", "item_id", "shift").agg(places(~F.col("exact") & plain).alias("n"), places(~F.col("exact")).alias("n_all"), places(F.col("same")).alias("n_same"), values(plain).alias("slots"), values(every).alias("slots_all"))
+
+    def steady(c: str):  # one value for each value, in both directions
+        return (F.size(F.array_distinct(f"{c}.d")) == F.size(c)) & (F.size(F.array_distinct(f"{c}.i")) == F.size(c))
+
+    counted = F.greatest(F.when(steady("slots"), F.col("n")).otherwise(0), F.when(steady("slots_all"), F.col("n_all")).otherwise(0))
+    best = run.groupBy("doc_id", "item_id").agg(F.max(counted).alias("n"), F.max("n_same").alias("n_same"))
     out = best.hint("shuffle_merge").join(sizes.withColumnRenamed("id", "item_id"), "item_id")
     enough = lambda n, of: (F.col(n) > 0) & ((F.col(n) >= min_windows) | (F.col(n) >= share * F.col(of)))
     out = out.where(enough("n", "n_templates") | enough("n_same", "n_item_windows"))

@@ -188,11 +188,13 @@ def line_dedup(docs: DataFrame, batches: int = 3, min_chars: int = 10, fan_in: i
         often = max(1000, n // hot_share)  # hot_share keys at most
         store = LineStore(fan_in, [bytes(r[0]) for r in keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > often).select("key").collect()])
         edges = [low + (high + 1 - low) * i // batches for i in range(batches + 1)]
-        for a, b in zip(edges, edges[1:]):
-            if a < b:
-                parts.append(store.add(keys.where(F.col("doc_id").between(a, b - 1))))
-                losing = parts[-1] if losing is None else losing.union(parts[-1])
-        store.drop()
+        try:
+            for a, b in zip(edges, edges[1:]):
+                if a < b:
+                    parts.append(store.add(keys.where(F.col("doc_id").between(a, b - 1))))
+                    losing = parts[-1] if losing is None else losing.union(parts[-1])
+        finally:  # the runs are tables of the catalog
+            store.drop()
     drop(keys)
     docs = docs.select("doc_id", "text") if digest else docs.drop("n_lines", "n_dropped")
     mark = "_lost"

@@ -12,7 +12,8 @@ posterior) against the targets: a step moves each rate against its posterior-wei
 domains' Gram matrix over documents with a positive rate, and cuts at 0. A step needs one aggregate of K + K * K numbers.
 
 Defined cases: null, empty and wordless texts have no tokens and the prior as posterior; rows of one doc_id are one
-document; labels without a known document, and null labels, are ignored; without any labels all documents are ``clean``;
+document, whose equal texts count once; each row without a doc_id is a document of its own, so that no group holds them
+all; labels without a known document, and null labels, are ignored; without any labels all documents are ``clean``;
 a target for a domain without tokens stays unmet; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -27,6 +28,7 @@ from .storage import drop, stage
 DOMAINS = ("clean", "low", "toxic")
 SHARES = {"clean": 0.95, "low": 0.045, "toxic": 0.005}
 BUCKETS = 1 << 16
+WHOLE = -1  # in place of a bucket: the row that carries a text's tokens
 SYMBOLS = "#*$%&|<>"
 
 
@@ -71,18 +73,21 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_00
 
 
 def posteriors(docs: DataFrame, weights: DataFrame, prior: dict[str, float]) -> DataFrame:
-    """doc_id, n_tokens and p_<domain> of each document."""
-    words = docs.select("doc_id", F.explode_outer(_words(F.col("text"))).alias("w"))
-    words = words.select("doc_id", F.col("w").isNotNull().cast("long").alias("one"), _bucket(F.col("w")).alias("bucket"))
-    marked = words.join(F.broadcast(weights.select(F.col("bucket").alias("mark"))), F.col("bucket") == F.col("mark"), "left")  # at most BUCKETS rows
-    held = marked.groupBy("doc_id", "mark").agg(F.sum("one").alias("one"))
-    held = held.join(F.broadcast(weights), F.col("mark") == F.col("bucket"), "left")
-    sums = held.groupBy("doc_id").agg(F.sum("one").alias("n_tokens"), *(F.coalesce(F.sum(f"w_{k}"), F.lit(0.0)).alias(f"s_{k}") for k in DOMAINS))
+    """doc_id, n_tokens and p_<domain> of each document: one row for each mark that it holds and one for each text of it."""
+    words = _words(F.col("text"))
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())  # tells rows without an id apart
+    rows = docs.select("doc_id", own.alias("_own"), F.xxhash64("text").alias("_h"), F.octet_length("text").alias("_size"), F.size(words).cast("long").alias("n"), F.array_distinct(F.transform(words, _bucket)).alias("buckets"))
+    rows = rows.select("doc_id", "_own", "_h", "_size", "n", F.explode(F.array_append("buckets", F.lit(WHOLE))).alias("bucket"))
+    whole = F.col("bucket") == WHOLE
+    rows = rows.join(F.broadcast(weights.withColumnRenamed("bucket", "mark")), F.col("bucket") == F.col("mark"), "left").where(whole | F.col("mark").isNotNull())  # at most BUCKETS rows
+    text = F.when(whole, F.struct("_h", "_size"))
+    held = rows.groupBy("doc_id", "_own", "bucket", text.alias("_text")).agg(F.max(F.when(whole, F.col("n"))).alias("n"), *(F.max(f"w_{k}").alias(f"w_{k}") for k in DOMAINS))
+    sums = held.groupBy("doc_id", "_own").agg(F.sum("n").alias("n_tokens"), *(F.coalesce(F.sum(f"w_{k}"), F.lit(0.0)).alias(f"s_{k}") for k in DOMAINS))
     logs = {k: F.col(f"s_{k}") + prior[k] for k in DOMAINS}
     top = F.greatest(*logs.values())
     parts = {k: F.exp(F.greatest(logs[k] - top, F.lit(-30.0))) for k in DOMAINS}
-    whole = sum(parts.values(), F.lit(0.0))
-    return sums.select("doc_id", "n_tokens", *((parts[k] / whole).alias(f"p_{k}") for k in DOMAINS))
+    every = sum(parts.values(), F.lit(0.0))
+    return sums.select("doc_id", "n_tokens", *((parts[k] / every).alias(f"p_{k}") for k in DOMAINS))
 
 
 def fit_rates(members: DataFrame, targets: dict[str, float], steps: int = 40, tolerance: float = 1e-6, per_stage: int = 8) -> DataFrame:

@@ -7,6 +7,9 @@ equals that of a page with a larger id become ``revisit`` records without payloa
 Archives are written by tasks under names that no other attempt uses, and a manifest lists those of successful attempts;
 the reader takes only these, so retried or lost tasks leave no doubtful records.
 
+The folder's path is read as Hadoop reads it, so a path without a scheme lies in the cluster's default store; stores that
+tasks can't open through pyarrow are refused before any task runs.
+
 Defined cases: null html is an empty payload; payloads under ``min_bytes`` are always responses; null page_id: a response
 that nothing refers to; repeated rows give a record each; null url is written as empty; other columns are ignored.
 """
@@ -28,6 +31,7 @@ from .storage import drop, key_filter, new_path, observed, passes, stage
 
 DICT_MAGIC = 0x184D2A5D
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+SCHEMES = ("file", "hdfs", "s3", "s3a", "s3n", "gs", "gcs", "abfs", "abfss")  # that pyarrow opens, beside Hadoop
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -130,7 +134,16 @@ def _sink(uri: str):
     from pyarrow import fs
 
     uri = re.sub("^s3[an]://", "s3://", uri)
-    return (fs.LocalFileSystem(), uri.removeprefix("file://").removeprefix("file:")) if uri.startswith(("/", "file:")) else fs.FileSystem.from_uri(uri)
+    return (fs.LocalFileSystem(), uri.removeprefix("file://").removeprefix("file:")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its scheme, as Hadoop reads it; one that the tasks can't open through pyarrow is refused here."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if full.partition(":")[0] not in SCHEMES:
+        raise ValueError(f"archives can't be written to {full}: use one of {', '.join(SCHEMES)}")
+    return full
 
 
 def _writer(folder: str, archive_size: int, date: str):
@@ -166,6 +179,7 @@ def _writer(folder: str, archive_size: int, date: str):
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = 1000, archive_size: int = 16 << 20, date: str = "2026-01-01T00:00:00Z") -> DataFrame:
     """Write the archives into ``folder``; the manifest (name, records, bytes) of those that count."""
     spark = pages.sparkSession
+    folder = qualified(spark, folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
     rows = mark_revisits(pages, min_bytes)
@@ -211,7 +225,7 @@ def read_warc(spark: SparkSession, folder: str, manifest: DataFrame | None = Non
     manifest, the archives that it names, a task for each (``most_tasks`` at most): names are dealt out, not contents."""
     if manifest is not None:
         tasks = max(1, min(most_tasks, manifest.count()))
-        return manifest.select("name").repartition(tasks, "name").mapInArrow(_reader(folder), RECORD)
+        return manifest.select("name").repartition(tasks, "name").mapInArrow(_reader(qualified(spark, folder)), RECORD)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
     return files.select("content").mapInArrow(_reader(None), RECORD)
 

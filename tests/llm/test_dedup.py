@@ -149,3 +149,22 @@ def test_long_and_short_sentences_are_found(spark, tmp_path):
 def test_spans_odd_tables(odd, empty):
     assert sentence_spans.span_dedup(empty).count() == 0
     assert sentence_spans.span_dedup(odd).where("doc_id is null").count() == 0
+
+
+def test_runs_leave_the_catalog_when_a_batch_fails(spark, documents, monkeypatch):
+    from cohortmill.llm import line_dedup
+
+    before = {t.name for t in spark.catalog.listTables()}
+    calls = []
+
+    def failing(self, keys):
+        calls.append(1)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        return self._losing(keys)
+
+    monkeypatch.setattr(line_dedup.LineStore, "_losing", line_dedup.LineStore.losing, raising=False)
+    monkeypatch.setattr(line_dedup.LineStore, "losing", failing)
+    with pytest.raises(RuntimeError):
+        line_dedup.line_dedup(documents)
+    assert {t.name for t in spark.catalog.listTables()} == before

@@ -56,6 +56,21 @@ def test_orphans_and_damage(spark, pages, tmp_path):
         list(warc.read_archive(warc.archive_bytes([b"a" * 5000, b"b"])[:-3]))
 
 
+def test_archives_lie_where_hadoop_reads_them(spark, pages, tmp_path):
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.other.link./x", f"file://{tmp_path}")
+    try:
+        conf.set("fs.defaultFS", "viewfs://other/")
+        with pytest.raises(ValueError, match="viewfs"):
+            warc.write_warc(pages, "/x/c")  # no scheme: the default store, never an executor's own disk
+    finally:
+        conf.set("fs.defaultFS", before)
+    manifest = warc.write_warc(pages, f"{tmp_path}/d")
+    assert warc.read_warc(spark, f"{tmp_path}/d", manifest).count() == pages.count()
+    assert warc.qualified(spark, f"{tmp_path}/c") == f"file:{tmp_path}/c"
+
+
 def test_warc_of_no_pages(spark):
     assert warc.warc_round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
@@ -98,6 +113,13 @@ def test_chats_of_odd_tables(spark):
     assert chat.render_chats(odd).count() == 2
 
 
+def test_turns_without_a_conversation_stand_alone(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "user", "b"), (None, 0, "user", "a"), (None, None, None, None), (1, 0, "user", "a")]
+    got = sorted((x.conv_id or 0, x.n_turns, x.rendered) for x in chat.render_chats(spark.createDataFrame(rows, CONV)).collect())
+    a, b, none = "<|user|>\na\n<|end|>\n", "<|user|>\nb\n<|end|>\n", "<||>\n\n<|end|>\n"
+    assert got == sorted([(0, 1, a), (0, 1, b), (0, 1, none), (1, 1, a)])
+
+
 ITEM = "If Anna buys 12 apples for 3 dollars each and Ben eats 12 of them, how many are left in her basket?"
 
 
@@ -196,3 +218,54 @@ def test_reparameterised_questions_are_found(spark):
         assert sum(x in found for x in mine) >= 0.9 * len(mine), lang
     assert not {d for d, _ in found} & clean
     assert all(want[d][0] == k for d, k in found)
+
+
+# Word problems whose sentences open with a name.
+OPENED = {
+    "en": ["{a} buys {m} apples at the market. {a} gives {n} of them to a friend. How many apples are left for the two of them?", "{a} and {b} share a garden with {m} trees in it. {b} cuts down {n} of them in the spring. How many trees does {a} see from the window?",
+           "{b} reads {m} pages of a long book on every day of the week. {a} reads {n} pages more than that each day. Who of the two has read more by Sunday?", "{a} has {m} marbles in a bag. {b} has {n} marbles more than that in a box. How many marbles do the two of them have together?"],
+    "fr": ["{a} achète {m} pommes au marché. {a} donne ensuite {n} de ces pommes à une amie. Combien de pommes reste-t-il dans le panier ?", "{a} lit chaque jour {m} pages de son livre. {b} lit {n} pages de plus que cela. Combien de pages les deux ont-elles lues dimanche ?",
+           "{b} possède un jardin avec {m} arbres fruitiers. {a} en coupe {n} au printemps avec son frère. Combien d'arbres reste-t-il dans ce jardin ?", "{a} a rangé {m} billes dans un sac. {b} en a mis {n} de plus dans une boîte. Combien de billes ont-ils ensemble ?"],
+    "es": ["{a} compra {m} manzanas en el mercado. {a} regala después {n} de ellas a una amiga. Cuántas manzanas quedan al final en la cesta ?", "{a} lee cada día {m} páginas de un libro. {b} lee {n} páginas más que eso. Cuántas páginas han leído los dos hasta el domingo ?",
+           "{b} tiene un jardín grande con {m} árboles. {a} corta en primavera {n} de ellos con su hermano. Cuántos árboles quedan en el jardín ?", "{a} guarda siempre {m} canicas en una bolsa. {b} tiene otras {n} canicas en una caja. Cuántas canicas tienen los dos juntos ?"],
+    "de": ["{a} kauft auf dem großen Markt {m} reife Birnen. {a} gibt davon gleich {n} an ihre beste Freundin weiter. Wie viele bleiben dann noch für sie selbst übrig?", "{a} liest jeden Tag genau {m} lange Seiten. {b} liest jeden Tag noch einmal {n} mehr als das. Wie viel haben die beiden zusammen bis zum letzten Tag gelesen?",
+           "{b} hat hinter dem alten Haus {m} hohe Tannen stehen. {a} fällt davon im kalten Winter ganze {n} mit der Säge. Wie viele stehen danach noch hinter dem alten Haus?", "{a} hat in einem roten Sack genau {m} bunte Murmeln. {b} hat in einer blauen Dose noch {n} mehr als das. Wie viele haben die beiden dann zusammen?"],
+}
+
+
+def test_reparameterised_questions_that_open_with_a_name_are_found(spark):
+    """Half of the questions open with a name: recall at least 0.9 in each language and each half; shuffled texts stay clean."""
+    r = random.Random(21)
+    values = lambda: dict(zip("abmn", [*r.sample(PEOPLE, 2), *r.sample(range(2, 400), 2)]))
+    items, docs, want, clean = [], [], {}, set()
+    for half, forms in [((lang, opened), f) for opened, of in ((False, QUESTIONS), (True, OPENED)) for lang, f in of.items()]:
+        for form in forms:
+            key = len(items) + 1
+            items.append((key, form.format(**values())))
+            for _ in range(10):
+                doc = len(docs) + 1
+                copy = form.format(**values())
+                docs.append((doc, f"a first line of text\n{copy}\nand a last line of text"))
+                want[doc] = (key, half)
+                words = copy.split()
+                r.shuffle(words)
+                docs.append((doc + 1, " ".join(words)))
+                clean.add(doc + 1)
+    found = leaks(spark, docs, items)
+    for half in {h for _, h in want.values()}:
+        mine = [(d, k) for d, (k, of) in want.items() if of == half]
+        got = sum(x in found for x in mine) / len(mine)
+        print(half, got)
+        assert got >= 0.9, half
+    assert not {d for d, _ in found} & clean
+    assert all(want[d][0] == k for d, k in found)
+
+
+def test_openers_are_names_or_words(spark):
+    item = "Anna buys 12 apples at the market. Anna gives 3 of them to a friend."
+    docs = [
+        (1, "Carla buys 40 apples at the market. Carla gives 7 of them to a friend."),
+        (2, "Carla sold 40 apples at the market. Carla takes 7 of them to a friend."),
+        (3, "then Anna buys 12 apples at the market. Anna gives 3 of them to a friend."),
+    ]
+    assert leaks(spark, docs, [(1, item)]) == {(1, 1), (3, 1)}

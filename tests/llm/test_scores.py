@@ -256,5 +256,14 @@ def test_rates_are_the_least_squares_answer(spark):
 def test_mixing_odd_tables(spark, odd, empty):
     labels = spark.createDataFrame([(0, 1, 0), (0, 1, 0), (1, 0, 0), (None, 1, 1), (2, None, None), (10**9, 0, 1)], "doc_id long, quality int, toxic int")
     assert mixing.mix(empty, labels).count() == 0
-    assert mixing.mix(odd, labels).count() == odd.select("doc_id").distinct().count()
+    alone = odd.where("doc_id is null").count()  # each row without an id is a document
+    assert mixing.mix(odd, labels).count() == odd.where("doc_id is not null").select("doc_id").distinct().count() + alone
     assert mixing.mix(odd, labels.limit(0)).where("p_clean < 0.999").count() == 0
+
+
+def test_rows_without_an_id_are_documents_and_repeated_rows_count_once(spark):
+    rows = [(None, "one two three"), (None, "one two three four five"), (None, None), (1, "a b c"), (1, "a b c"), (1, "d e"), (2, None), (2, ""), (3, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = sorted((r.doc_id or 0, r.n_tokens) for r in mixing.mix(docs, labels).collect())
+    assert got == [(0, 0), (0, 3), (0, 5), (1, 5), (2, 0), (3, 1)]
