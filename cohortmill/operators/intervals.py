@@ -34,21 +34,29 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width:
 def merged(df: DataFrame, keys: Sequence[str], block: int = 1 << 16) -> DataFrame:
     """Maximal runs of overlapping or touching intervals: keys, start0, end0.
 
-    In two levels, within blocks of the reference and then over blocks, so that a long reference is no single task: an interval
-    begins a run if neither an earlier one of its block nor one of an earlier block reaches it.
+    In two levels, so that a long reference is no single task: of intervals with one start the longest counts (summed before
+    the shuffle), so a window holds at most ``block`` rows however deep a block is; intervals of a block are merged to runs,
+    and then only runs are stitched over blocks.
     """
     keys = list(keys)
-    rows = df.where("end0 > start0").select(*keys, "start0", "end0", F.floor(F.col("start0") / block).alias("_block"))
-    inside, over = W.partitionBy(*keys, "_block").orderBy("start0", "end0"), W.partitionBy(*keys).orderBy("_block")
-    earlier = over.rowsBetween(W.unboundedPreceding, -1)
-    reach = rows.groupBy(*keys, "_block").agg(F.max("end0").alias("_top")).select(*keys, "_block", F.max("_top").over(earlier).alias("_reach"))
-    rows = rows.withColumn("_before", F.max("end0").over(inside.rowsBetween(W.unboundedPreceding, -1))).hint("shuffle_merge").join(reach, [*keys, "_block"])
-    rows = rows.withColumn("_new", F.when(F.col("start0") <= F.greatest("_before", "_reach"), 0).otherwise(1))
-    rows = rows.withColumn("_run", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    runs = rows.groupBy(*keys, "_block", "_run").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0"))
-    count = runs.groupBy(*keys, "_block").agg(F.max("_run").alias("_n")).select(*keys, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_at"))
-    runs = runs.hint("shuffle_merge").join(count, [*keys, "_block"])  # a run 0 goes on with the last one of earlier blocks
-    return runs.groupBy(*keys, (F.col("_at") + F.col("_run")).alias("_run")).agg(F.min("start0").alias("start0"), F.max("end0").alias("end0")).drop("_run")
+    tops = df.where("end0 > start0").groupBy(*keys, "start0").agg(F.max("end0").alias("end0")).withColumn("_block", F.floor(F.col("start0") / block))
+
+    def runs(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        inside = W.partitionBy(*by).orderBy("start0")
+        new = F.when(F.col("start0") <= F.max("end0").over(inside.rowsBetween(W.unboundedPreceding, -1)), 0).otherwise(1)
+        rows = rows.withColumn("_new", new).withColumn("_run", F.sum("_new").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+        return rows.groupBy(*by, "_run").agg(F.min("start0").alias("start0"), F.max("end0").alias("end0"))
+
+    inner = runs(tops, [*keys, "_block"])
+    over = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = inner.groupBy(*keys, "_block").agg(F.max("end0").alias("_top")).select(*keys, "_block", F.max("_top").over(over).alias("_reach"))
+    inner = inner.hint("shuffle_merge").join(blocks, [*keys, "_block"])  # runs, of which a block has few beside its rows
+    # a run that an earlier block reaches goes on with the last run before it
+    inner = inner.withColumn("_new", F.when(F.col("start0") <= F.col("_reach"), 0).otherwise(1))
+    count = inner.groupBy(*keys, "_block").agg(F.sum("_new").alias("_n")).select(*keys, "_block", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_at"))
+    at = F.sum("_new").over(W.partitionBy(*keys, "_block").orderBy("start0").rowsBetween(W.unboundedPreceding, 0))
+    inner = inner.withColumn("_in", at).hint("shuffle_merge").join(count, [*keys, "_block"])
+    return inner.groupBy(*keys, (F.col("_at") + F.col("_in")).alias("_run")).agg(F.min("start0").alias("start0"), F.max("end0").alias("end0")).drop("_run")
 
 
 def union_length(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -56,16 +64,28 @@ def union_length(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return merged(df, keys).groupBy(*keys).agg(F.sum(F.col("end0") - F.col("start0")).alias("covered"))
 
 
-def depth_segments(df: DataFrame, keys: Sequence[str], block: int = 1 << 16) -> DataFrame:
-    """Runs of equal positive depth: keys, start0, end0, depth.
+def depth_events(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Depth as a step function: keys, pos, d, by how much depth changes at each position where an interval begins or ends.
+    Step functions add up: the events of several tables are the sum of theirs (``sum_events``)."""
+    keys = list(keys)
+    events = df.where("end0 > start0").select(*keys, F.explode(F.array(F.struct(F.col("start0").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end0").alias("pos"), F.lit(-1).alias("d")))).alias("e"))
+    return events.groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
+
+
+def sum_events(first: DataFrame, *more: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The sum of step functions, without the positions at which it does not change."""
+    for x in more:
+        first = first.unionByName(x)
+    return first.groupBy(*keys, "pos").agg(F.sum("d").alias("d")).where("d <> 0")
+
 
-    Starts and ends are summed to one event per position. Prefix sums go in two levels, within blocks of the reference and
-    then over block totals, so that a long reference is no single task.
+def segments_of(events: DataFrame, keys: Sequence[str], block: int = 1 << 16) -> DataFrame:
+    """Runs of positive depth between events: keys, start0, end0, depth.
+
+    Prefix sums go in two levels, within blocks of the reference and then over block totals, so that a long reference is no
+    single task.
     """
     keys = list(keys)
-    df = df.where("end0 > start0")
-    events = df.select(*keys, F.explode(F.array(F.struct(F.col("start0").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end0").alias("pos"), F.lit(-1).alias("d")))).alias("e"))
-    events = events.groupBy(*keys, F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d"))
     events = events.withColumn("_block", F.floor(F.col("pos") / block))
     totals = events.groupBy(*keys, "_block").agg(F.sum("d").alias("t"), F.min("pos").alias("first"))
     over = W.partitionBy(*keys).orderBy("_block")
@@ -77,6 +97,11 @@ def depth_segments(df: DataFrame, keys: Sequence[str], block: int = 1 << 16) ->
     return out.where("depth > 0 and end0 is not null")
 
 
+def depth_segments(df: DataFrame, keys: Sequence[str], block: int = 1 << 16) -> DataFrame:
+    """Runs of equal positive depth: keys, start0, end0, depth. Starts and ends are summed to one event per position."""
+    return segments_of(depth_events(df, keys), keys, block)
+
+
 def breadth_in(segments: DataFrame, loci: DataFrame, keys: Sequence[str], locus: str) -> DataFrame:
     """Covered bases, breadth and mean depth of each locus; loci without coverage get zeros."""
     met = overlap_join(loci, segments, keys)

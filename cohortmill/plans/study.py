@@ -33,10 +33,13 @@ def pair_proper(spark, d):
     return both.select("qname", fragments.proper(F.col("a"), F.col("b"), 200, 600, "fr").alias("proper"))
 
 
-@query(with_views(f"""WITH {METRICS}, g AS (SELECT qname, count(*) AS n_records, count(*) FILTER (WHERE prim AND mate = 1) AS p1, count(*) FILTER (WHERE prim AND mate = 2) AS p2, bool_or(prim AND flag & 4 <> 0) AS un, bool_or(prim AND flag & 512 <> 0) AS qc, bool_or(prim AND NOT ok) AS low,
+CLASSES = f"""{METRICS}, g AS (SELECT qname, count(*) AS n_records, count(*) FILTER (WHERE prim AND mate = 1) AS p1, count(*) FILTER (WHERE prim AND mate = 2) AS p2, bool_or(prim AND flag & 4 <> 0) AS un, bool_or(prim AND flag & 512 <> 0) AS qc, bool_or(prim AND NOT ok) AS low,
  count(DISTINCT concat(pos, '|', cigar, '|', flag & 16)) FILTER (WHERE ok AND flag & 4 = 0 AND mate = 1) > 1 OR count(DISTINCT concat(pos, '|', cigar, '|', flag & 16)) FILTER (WHERE ok AND flag & 4 = 0 AND mate = 2) > 1 AS many, bool_or(prim AND mapq = 255) AS nq, bool_or(prim AND mapq < 10) AS q, max(rname) AS rname FROM o GROUP BY 1),
  p AS (SELECT a.qname, {PROPER} AS proper FROM sam a JOIN sam b ON a.qname = b.qname AND a.mate = 1 AND b.mate = 2 AND a.flag & 256 = 0 AND b.flag & 256 = 0),
- c AS (SELECT g.*, CASE WHEN p1 <> 1 OR p2 <> 1 THEN 'malformed' WHEN un THEN 'unmapped_or_incomplete_pair' WHEN qc THEN 'sequencing_qc_fail' WHEN low THEN 'sequence_filter' WHEN many THEN 'ambiguous_or_reporting_saturated' WHEN nq THEN 'mapq_unavailable' WHEN q THEN 'mapq_filter' WHEN NOT proper THEN 'discordant_pair' ELSE 'assigned' END AS outcome FROM g LEFT JOIN p ON g.qname = p.qname)
+ c AS (SELECT g.*, CASE WHEN p1 <> 1 OR p2 <> 1 THEN 'malformed' WHEN un THEN 'unmapped_or_incomplete_pair' WHEN qc THEN 'sequencing_qc_fail' WHEN low THEN 'sequence_filter' WHEN many THEN 'ambiguous_or_reporting_saturated' WHEN nq THEN 'mapq_unavailable' WHEN q THEN 'mapq_filter' WHEN NOT proper THEN 'discordant_pair' ELSE 'assigned' END AS outcome FROM g LEFT JOIN p ON g.qname = p.qname)"""
+
+
+@query(with_views(f"""WITH {CLASSES}
  SELECT qname, outcome, CASE WHEN outcome = 'assigned' THEN rname END AS reference, n_records FROM c""", "sam"))
 def fragment_outcome(spark, d):
     return fragments.outcomes(fragments.alignment(view(spark, d, "sam")), fragments.passes(0.9, 0.9), mapq_min=10, report_k=10, insert_min=200, insert_max=600)

@@ -43,6 +43,9 @@ FROM {lineitem}""",
     "cand": """SELECT p_partkey AS accession, p_brand AS unit_key, p_type AS stratum, p_size > 45 AS type_material, p_retailprice AS quality_rank, p_size AS contig_count
 FROM {part}""",
 }
+READ = "CAST(100 + e % 9 AS INT)"
+# the same records with their letters and qualities: a stretch of low quality, and an N in every ten letters
+VIEWS["samq"] = VIEWS["sam"].replace("'*' AS seq", f"rpad('ACGTACGTAN', {READ}, 'ACGTACGTAN') AS seq, rpad(concat(repeat('I', CAST(30 + e % 40 AS INT)), repeat('#', CAST(e % 12 AS INT))), {READ}, 'I') AS qual")
 LETTERS = "translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac')"
 SEQ = {"spark": f"SELECT doc_id, regexp_replace({LETTERS}, '[^acgt]', '') AS seq FROM {{documents}}", "sql": f"SELECT doc_id, regexp_replace({LETTERS}, '[^acgt]', '', 'g') AS seq FROM {{documents}}"}
 
