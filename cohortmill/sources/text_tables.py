@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .reads import read_fasta, read_fastq  # noqa: F401
+
 
 def read_table(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = "\t", header: bool = True, comment: str | None = None) -> DataFrame:
     """A delimited table with exactly these columns; a ragged row, a wrong header or a value of another type is an error."""
@@ -50,15 +52,6 @@ def typed(df: DataFrame, types: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     return marked.where("wrong = ''").drop("wrong").withColumns(cast), marked.where("wrong <> ''")
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """id, header, seq: one row per record, split at record starts so that a large plain file is read by many tasks."""
-    raw = spark.read.option("lineSep", "\n>").text(path).where("trim(value) <> ''")
-    text = F.regexp_replace("value", "^>", "")
-    head, body = F.substring_index(text, "\n", 1), F.regexp_replace(text, r"^[^\n]*\n?", "")
-    header = F.trim(F.regexp_replace(head, "\r", ""))
-    return raw.select(F.element_at(F.split(header, r"\s+"), 1).alias("id"), header.alias("header"), F.regexp_replace(body, r"\s", "").alias("seq"))
-
-
 def fasta_text(df: DataFrame, width: int = 80) -> DataFrame:
     """value: the records as FASTA text, sequences wrapped."""
     body = F.regexp_replace(F.regexp_replace("seq", f"(.{{{width}}})", "$1\n"), "\n$", "")
@@ -66,15 +59,21 @@ def fasta_text(df: DataFrame, width: int = 80) -> DataFrame:
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignment records: 11 fields, 0-based position, mate from the flag, and the tags as a map. Header lines go."""
+    """Alignment records: 11 fields, 0-based position, mate from the flag, the tags as a map, and wrong: fewer than 11
+    fields, a number that is none, or sequence and quality of different lengths; else empty. Header lines go."""
     f = F.split("value", "\t")
-    tags = F.transform(F.slice(f, 12, 1 << 20), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.regexp_replace(x, "^..:.:", "").alias("v")))
-    flag = f[1].cast("int")
+    at = lambda i: F.get(f, F.lit(i))
+    tags = F.transform(F.filter(F.slice(f, 12, 1 << 20), lambda x: F.length(x) > 5), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.regexp_replace(x, "^..:.:", "").alias("v")))
+    number = lambda i, t="long": at(i).try_cast(t)
+    flag = number(1, "int")
     raw = spark.read.text(path).where("not startswith(value, '@') and value <> ''")
+    lengths = (at(9) != "*") & (at(10) != "*") & (F.length(at(9)) != F.length(at(10)))
+    none = flag.isNull() | number(3).isNull() | number(4).isNull() | number(7).isNull() | number(8).isNull()
+    wrong = F.when(F.size(f) < 11, "fields").when(none, "numbers").when(lengths, "lengths differ").otherwise("")
     return raw.select(
-        f[0].alias("qname"), flag.alias("flag"), f[2].alias("rname"), (f[3].cast("long") - 1).alias("pos"), f[4].cast("int").alias("mapq"), f[5].alias("cigar"), f[6].alias("rnext"),
-        (f[7].cast("long") - 1).alias("pnext"), f[8].cast("long").alias("tlen"), f[9].alias("seq"), f[10].alias("qual"),
-        F.when(flag.bitwiseAND(64) != 0, 1).when(flag.bitwiseAND(128) != 0, 2).alias("mate"), F.map_from_entries(tags).alias("tags"))
+        at(0).alias("qname"), flag.alias("flag"), at(2).alias("rname"), (number(3) - 1).alias("pos"), number(4, "int").alias("mapq"), at(5).alias("cigar"), at(6).alias("rnext"),
+        (number(7) - 1).alias("pnext"), number(8).alias("tlen"), at(9).alias("seq"), at(10).alias("qual"),
+        F.when(flag.bitwiseAND(64) != 0, 1).when(flag.bitwiseAND(128) != 0, 2).alias("mate"), F.map_from_entries(tags).alias("tags"), wrong.alias("wrong"))
 
 
 def attribute_map(text: Column, separator: str = ";") -> Column:
@@ -94,16 +93,6 @@ def zip_lists(df: DataFrame, keep: Sequence[str], lists: dict[str, str], separat
     return df.select(*keep, F.explode(F.when(same, shaped).otherwise(unequal)).alias("z")).select(*keep, "z.*")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name (without /1 or /2), seq, qual, and wrong: why a record is not whole, else empty. Records are cut at the line
-    that begins with '@' and is followed by a line of letters and a line that begins with '+', so large files are split."""
-    raw = spark.read.option("lineSep", "\n@").text(path).where("trim(value) <> ''")
-    lines = F.split(F.regexp_replace(F.regexp_replace("value", "^@", ""), "\r", ""), "\n")
-    rows = raw.select(F.regexp_replace(F.element_at(F.split(lines[0], r"\s+"), 1), "/[12]$", "").alias("name"), lines[1].alias("seq"), F.get(lines, F.lit(2)).alias("_plus"), F.get(lines, F.lit(3)).alias("qual"))
-    wrong = F.when(~F.coalesce(F.startswith("_plus", F.lit("+")), F.lit(False)), "no plus line").when(F.col("qual").isNull() | (F.length("seq") != F.length("qual")), "lengths differ").when(F.col("qual").rlike("[^!-~]"), "quality out of range").otherwise("")
-    return rows.select("name", "seq", "qual", wrong.alias("wrong"))
-
-
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """contig, start0, end0 of the first three columns; an empty or reversed interval is an error."""
     f = F.split("value", "\t")
