@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import contracts, core, coverage, further, genomic, loci, more, records, study  # noqa: F401
+    from . import contracts, core, coverage, further, genomic, loci, more, policies, records, study  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -40,6 +40,12 @@ FROM {documents} d LEFT JOIN {labels} b ON d.doc_id = b.doc_id""",
 FROM {lineitem} JOIN {part} ON l_partkey = p_partkey""",
     "hit": """SELECT l_orderkey AS gene_id, l_partkey AS model_id, l_discount AS evalue, l_extendedprice AS score, l_tax AS dom_evalue, l_linenumber AS hit_no
 FROM {lineitem}""",
+    "measure": """SELECT p_partkey AS reference_id, CASE WHEN p_partkey % 11 = 0 THEN 'not_run' ELSE 'assessed' END AS measurement_status, CASE WHEN p_partkey % 22 = 0 THEN 'no_reads' ELSE '' END AS reason,
+       CASE WHEN p_partkey % 17 = 0 THEN 0 ELSE p_size * 100 END AS assessable_length, CASE WHEN p_partkey % 7 = 0 THEN 'not_assessed' ELSE 'applicable' END AS mappability_status,
+       CASE WHEN p_partkey % 13 <> 0 THEN CAST(p_partkey * 37 % 101 AS DOUBLE) / 100 END AS unique_mappability, CASE WHEN p_partkey % 5 = 0 THEN 'too_few' ELSE 'applicable' END AS informative_status, p_size * 20 AS informative_length,
+       CASE WHEN p_partkey % 41 <> 0 THEN CAST(p_partkey * 53 % 101 AS DOUBLE) / 100 END AS breadth_full, CAST(p_partkey * 59 % 101 AS DOUBLE) / 100 AS breadth_assessable, CAST(p_partkey * 61 % 101 AS DOUBLE) / 100 AS breadth_informative,
+       (p_partkey % 4) * (p_partkey % 9) AS assigned_fragment_count, CAST(p_partkey % 30 AS DOUBLE) / 10 AS mean_depth_full, CAST(p_partkey % 23 AS DOUBLE) / 10 AS mean_depth_informative, CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 5 ELSE 0 END AS ambiguous_fragment_count
+FROM {part}""",
     "cand": """SELECT p_partkey AS accession, p_brand AS unit_key, p_type AS stratum, p_size > 45 AS type_material, p_retailprice AS quality_rank, p_size AS contig_count
 FROM {part}""",
 }

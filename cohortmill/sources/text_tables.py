@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,14 +138,38 @@ def write_table(df: DataFrame, path: str, columns: Sequence[str], keys: Sequence
 
 
 def write_once(df: DataFrame, path: str, inputs: str) -> bool:
-    """Write a table beside the fingerprint of its ``inputs``. Where it is already, it is kept if its inputs were the same
-    (False: nothing was written) and refused if not."""
+    """Publish a table (``rows``) and the fingerprint of its ``inputs`` (``inputs``) in one folder, which appears whole or not at
+    all: both are written beside it, and one rename publishes them. A run that is killed before can be repeated.
+
+    Where the folder is already, it is kept if its inputs were the same (False: nothing was written) and refused if not, also
+    if another run has published it meanwhile.
+    """
     spark = df.sparkSession
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(conf)
+
+    def known() -> bool:
+        if not fs.exists(target):
+            return False
         if spark.read.parquet(f"{path}/inputs").first()[0] != inputs:
             raise ValueError(f"{path} was made from other inputs")
+        return True
+
+    if known():
         return False
-    df.write.parquet(f"{path}/rows")
-    spark.createDataFrame([(inputs,)], "inputs string").coalesce(1).write.parquet(f"{path}/inputs")
-    return True
+    apart = jvm.org.apache.hadoop.fs.Path(target.getParent(), f"_{target.getName()}-{uuid.uuid4().hex}")  # hidden from readers
+    try:
+        df.write.parquet(f"{apart.toString()}/rows")
+        spark.createDataFrame([(inputs,)], "inputs string").coalesce(1).write.parquet(f"{apart.toString()}/inputs")
+        where = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+        whole = fs.makeQualified(apart), fs.makeQualified(target)
+        try:
+            where.rename(*whole, spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError:  # the folder exists now
+            if known():
+                return False
+            raise
+        return True
+    finally:
+        fs.delete(apart, True)

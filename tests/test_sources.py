@@ -98,3 +98,32 @@ def test_tool_tables(spark, tmp_path):
     assert [(x.target, x.e, x.about, x.wrong) for x in rows] == [("g1", 1e-5, "a long name", ""), ("g2", 0.1, None, "")]
     with pytest.raises(ValueError, match="nothing"):
         T.read_tool_table(spark, f"{tmp_path}/a.tsv", {"nothing": "string"})
+
+
+def test_a_killed_write_can_be_repeated(spark, tmp_path):
+    df = spark.range(5)
+    broken = df.selectExpr("if(id = 3, raise_error('killed'), id) as id")
+    with pytest.raises(Exception):
+        T.write_once(broken, f"{tmp_path}/once", "v1")
+    assert list(tmp_path.iterdir()) == []  # nothing half made
+    assert T.write_once(df, f"{tmp_path}/once", "v1") and spark.read.parquet(f"{tmp_path}/once/rows").count() == 5
+
+
+def test_of_two_runs_one_publishes(spark, tmp_path):
+    class Late:
+        """A table whose writing takes so long that another run publishes first."""
+
+        def __init__(self, df, meanwhile):
+            self.df, self.meanwhile, self.sparkSession = df, meanwhile, df.sparkSession
+
+        @property
+        def write(self):
+            self.meanwhile()
+            return self.df.write
+
+    same = Late(spark.range(5), lambda: T.write_once(spark.range(7), f"{tmp_path}/a", "v1"))
+    assert not T.write_once(same, f"{tmp_path}/a", "v1") and spark.read.parquet(f"{tmp_path}/a/rows").count() == 7
+    other = Late(spark.range(5), lambda: T.write_once(spark.range(7), f"{tmp_path}/b", "v2"))
+    with pytest.raises(ValueError):
+        T.write_once(other, f"{tmp_path}/b", "v1")
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"] and not list((tmp_path / "b").glob("_*"))
