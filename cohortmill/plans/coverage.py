@@ -39,7 +39,7 @@ def fragment_depth(spark, d):
 @query(with_views(f"""WITH {BASES}, n AS (SELECT qname, count(*) AS n FROM px GROUP BY 1),
  a AS (SELECT o.qname, string_agg(DISTINCT o.rname, ',' ORDER BY o.rname) AS t, count(DISTINCT o.rname) AS k FROM o JOIN c ON o.qname = c.qname AND c.outcome = 'ambiguous_or_reporting_saturated' WHERE o.ok AND o.flag & 4 = 0 GROUP BY 1)
  SELECT c.qname, c.outcome, CASE WHEN c.outcome = 'assigned' THEN c.rname END AS reference, c.n_records, coalesce(n.n, 0) AS n_covered, 'amb_' || left(sha256(a.t), 20) AS ambiguity_group, coalesce(a.k, 0) AS n_alternatives FROM c LEFT JOIN n ON n.qname = c.qname LEFT JOIN a ON a.qname = c.qname""".replace("concat('amb_', left(sha256(a.t), 20)) AS ambiguity_group_or_amb", "'amb_' || left(sha256(a.t), 20) AS ambiguity_group"), "samq"))
-def fragment_class(spark, d):
+def fragment_positions(spark, d):
     records, ok, classes = assigned(spark, d)
     cover = coverage.fragment_cover(records, classes, references(spark, d), QUALITY, ENDS)
     return coverage.fragment_table(records, ok, classes, cover)

@@ -29,11 +29,11 @@ def detection_profiles(spark, d):
     return detection.detect(view(spark, d, "measure"), profiles, ["reference_id"])
 
 
-@query("""WITH s(catalogue) AS (VALUES ('virome'), ('host_resolved'), ('combined')), o AS (SELECT l_partkey, l_returnflag = 'R' AS virome, l_returnflag = 'A' AND l_linestatus = 'F' AND l_quantity > 40 AS host FROM lineitem)
+@query("""WITH s(catalogue) AS (VALUES ('virome'), ('host_resolved'), ('combined')), o AS (SELECT l_partkey, l_returnflag = 'R' AND l_quantity > 48 AS virome, l_returnflag = 'A' AND l_linestatus = 'F' AND l_quantity > 40 AS host FROM lineitem)
  SELECT p_partkey, catalogue FROM part CROSS JOIN s WHERE EXISTS (SELECT 1 FROM o WHERE l_partkey = p_partkey AND CASE catalogue WHEN 'virome' THEN virome WHEN 'host_resolved' THEN host ELSE virome OR host END)""")
 def catalogue_scopes(spark, d):
     line = table(spark, d, "lineitem")
-    kind = F.when(F.col("l_returnflag") == "R", "virome").when(F.col("l_returnflag") == "A", "genome")
+    kind = F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 48), "virome").when(F.col("l_returnflag") == "A", "genome")
     seen = line.select(F.col("l_partkey").alias("p_partkey"), kind.alias("kind"), ((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 40)).alias("resolved"))
     part = table(spark, d, "part").select("p_partkey")
     every = [detection.in_scope(part, seen, "p_partkey", detection.catalogue_scope(n, F.col("kind"), F.col("resolved"))).withColumn("catalogue", F.lit(n)) for n in ("virome", "host_resolved", "combined")]
@@ -43,8 +43,8 @@ def catalogue_scopes(spark, d):
 GENOME = "concat('G', CAST(CAST(floor(({k} + CASE WHEN {k} % 50 = 1 THEN 2 ELSE 0 END) / 2) AS BIGINT) % 97 AS {text}))"
 CAND, GENE = "concat('cand_', CAST({k} AS {text}))", "concat('gene_', CAST(l_orderkey AS {text}), '_', CAST(l_linenumber AS {text}), '_', CAST(l_partkey AS {text}))"
 FEATURES = """f AS (SELECT {cand} AS feature_id, 'candidate' AS feature_unit, {genome} AS genome_id, CASE WHEN p_partkey % 43 <> 0 THEN 's1' END AS contig_id, CAST(p_size AS BIGINT) AS start0, CASE WHEN p_partkey % 47 <> 0 THEN CAST(p_size + 100 AS BIGINT) END AS end0, '+' AS strand, 'part' AS source FROM part
- UNION SELECT {gene}, 'gene', CASE WHEN l_orderkey % 41 = 0 THEN 'G_other' ELSE {ggenome} END, 's1', CAST(l_linenumber AS BIGINT), CAST(l_linenumber + 9 AS BIGINT), CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END, 'lineitem' FROM lineitem
- UNION SELECT p_brand, 'votu', NULL, NULL, NULL, NULL, NULL, 'part' FROM part UNION SELECT concat('locus_', CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS {text})), 'locus', NULL, NULL, NULL, NULL, NULL, 'part' FROM part WHERE p_partkey % 61 <> 0)"""
+ UNION SELECT {gene}, 'gene', CASE WHEN l_orderkey % 1009 = 0 THEN 'G_other' ELSE {ggenome} END, 's1', CAST(l_linenumber AS BIGINT), CAST(l_linenumber + 9 AS BIGINT), CASE WHEN l_linestatus = 'O' THEN '+' ELSE '-' END, 'lineitem' FROM lineitem
+ UNION SELECT p_brand, 'votu', NULL, NULL, NULL, NULL, NULL, 'part' FROM part UNION SELECT concat('locus_', CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS {text})), 'locus', NULL, NULL, NULL, NULL, NULL, 'part' FROM part WHERE CAST(floor(p_partkey / 2) AS BIGINT) % 61 <> 0)"""
 LINKS = """l AS (SELECT p_brand AS parent, {cand} AS member, CASE WHEN p_partkey % 53 = 0 THEN 'made_up' ELSE 'votu_member' END AS relation FROM part UNION ALL SELECT {candl}, {gene}, CASE WHEN l_orderkey % 71 = 0 THEN 'system_gene' ELSE 'candidate_gene' END FROM lineitem
  UNION ALL SELECT concat('locus_', CAST(CAST(floor(p_partkey / 2) AS BIGINT) AS {text})), CASE WHEN p_partkey % 59 = 0 THEN 'cand_none' ELSE {cand} END, 'locus_candidate' FROM part)"""
 
@@ -66,8 +66,8 @@ def built(spark, d):
     locus = F.concat(F.lit("locus_"), F.floor(c("p_partkey") / 2).cast("string"))
     feats = feature_graph.features(
         (part, "candidate", {"feature_id": cand("p_partkey"), "genome_id": genome("p_partkey"), "contig_id": F.when(c("p_partkey") % 43 != 0, "s1"), "start0": c("p_size"), "end0": F.when(c("p_partkey") % 47 != 0, c("p_size") + 100), "strand": F.lit("+"), "source": F.lit("part")}),
-        (line, "gene", {"feature_id": gene, "genome_id": F.when(c("l_orderkey") % 41 == 0, "G_other").otherwise(genome("l_partkey")), "contig_id": F.lit("s1"), "start0": c("l_linenumber"), "end0": c("l_linenumber") + 9, "strand": F.when(c("l_linestatus") == "O", "+").otherwise("-"), "source": F.lit("lineitem")}),
-        (part, "votu", {"feature_id": c("p_brand"), "source": F.lit("part")}), (part.where("p_partkey % 61 <> 0"), "locus", {"feature_id": locus, "source": F.lit("part")}))
+        (line, "gene", {"feature_id": gene, "genome_id": F.when(c("l_orderkey") % 1009 == 0, "G_other").otherwise(genome("l_partkey")), "contig_id": F.lit("s1"), "start0": c("l_linenumber"), "end0": c("l_linenumber") + 9, "strand": F.when(c("l_linestatus") == "O", "+").otherwise("-"), "source": F.lit("lineitem")}),
+        (part, "votu", {"feature_id": c("p_brand"), "source": F.lit("part")}), (part.where("CAST(floor(p_partkey / 2) AS BIGINT) % 61 <> 0"), "locus", {"feature_id": locus, "source": F.lit("part")}))
     odd, other = c("p_partkey") % 53 == 0, c("l_orderkey") % 71 == 0
     rows = feature_graph.links(
         (part.where(~odd), "votu_member", c("p_brand"), cand("p_partkey")), (part.where(odd), "made_up", c("p_brand"), cand("p_partkey")), (line.where(~other), "candidate_gene", cand("l_partkey"), gene), (line.where(other), "system_gene", cand("l_partkey"), gene),

@@ -16,6 +16,8 @@ def query(sql: str | None = None):
     """Register a query under its function's name, with the SQL that gives the same rows."""
 
     def add(f):
+        if f.__name__ in _QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         _QUERIES[f.__name__] = f
         if sql:
             _SQL[f.__name__] = sql
