@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import loci, stats
+from ..operators import kmers, loci, stats
 from ..sources.shared import stage
 from .core import r6
 from .registry import query
@@ -136,3 +136,33 @@ def slice_verify(spark, d):
     stored = F.col("whole").substr(first.cast("int"), F.greatest(F.lit(0), (F.col("end0") - first + 1).cast("int")))
     occ = occ.select("doc_id", "start0", "end0", "strand", F.sha2(F.when(F.col("strand") == "-", S.reverse_complement(stored)).otherwise(stored), 256).alias("slice_hash"))
     return S.verify_slices(occ, parents, "doc_id", "seq", "slice_hash").select("doc_id", "same")
+
+
+ANY = "SELECT doc_id, least(t, reverse(translate(t, 'acgt', 'tgca'))) AS t, p FROM (SELECT doc_id, unnest(list_transform(range(0, length(seq) - {k} + 1), lambda i: seq[i + 1:i + {k}])) AS t, unnest(range(0, length(seq) - {k} + 1)) AS p FROM seq WHERE length(seq) >= {k})"
+
+
+@query(with_views(f"""WITH a AS ({ANY.format(k=12)}), n AS (SELECT t, count(*) AS n FROM a GROUP BY 1)
+ SELECT a.doc_id, count(*) AS n_tiles, count(*) FILTER (WHERE n.n = 1) AS n_unique FROM a JOIN n ON n.t = a.t WHERE a.p % 12 = 0 GROUP BY 1""", "seq"))
+def unique_tiles(spark, d):
+    return kmers.unique_tiles(stage(view(spark, d, "seq"), "seq"), "doc_id", "seq", k=12, stride=12)
+
+
+@query(with_views(f"""WITH c AS (SELECT seq, min(doc_id) AS doc_id FROM seq GROUP BY 1), k AS (SELECT DISTINCT doc_id, t FROM ({ANY.format(k=16).replace('FROM seq', 'FROM c')})), z AS (SELECT doc_id, count(*) AS n FROM k GROUP BY 1),
+ m AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_shared FROM k x JOIN k y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2)
+ SELECT a, b, n_shared, x.n AS n_a, y.n AS n_b FROM m JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 2 * n_shared >= greatest(x.n, y.n)""", "seq"))
+def similar_sequences(spark, d):
+    return kmers.similar_sequences(stage(view(spark, d, "seq"), "seq"), "doc_id", "seq", k=16, w=16, share=0.5)[0]
+
+
+@query(with_views("SELECT doc_id, min(doc_id) OVER (PARTITION BY seq) AS rep FROM seq", "seq"))
+def sequence_members(spark, d):
+    """Which sequence of ``similar_sequences`` stands for each document."""
+    return kmers.same_sequences(stage(view(spark, d, "seq"), "seq"), "doc_id", "seq")
+
+
+@query(with_views("""WITH k AS (SELECT doc_id, list_sort(list_distinct(list_transform(range(0, length(seq) - 15, 16), lambda i: seq[i + 1:i + 16]))) AS ts FROM seq WHERE length(seq) >= 16)
+ SELECT doc_id, min(doc_id) OVER (PARTITION BY ts) AS rep FROM k""", "seq"))
+def kmer_members(spark, d):
+    """Which set of ``kmer_pairs`` stands for each document."""
+    k = stage(view(spark, d, "seq").select("doc_id", F.array_distinct(S.kmers("seq", 16, 16)).alias("ts")), "kmers")
+    return kmers.members(k, "doc_id", "ts")
