@@ -118,3 +118,15 @@ def merged_units(units: DataFrame, mapping: DataFrame, unit: str, same: Sequence
     good = judged.where("why = ''").select("g", F.col("u").alias("v"))
     out = units.select(unit).hint("shuffle_merge").join(good, F.col(unit) == F.col("v"), "left")
     return out.select(F.coalesce("g", F.col(unit).cast("string")).alias("unit_id"), unit), judged.where("why <> ''").select(F.col("g").alias(group), F.col("u").alias(unit), "why")
+
+
+def matrix(df: DataFrame, row: Sequence[str], column: str, value: str, most: int = 10_000) -> DataFrame:
+    """A wide table with a column for each value of ``column``, in their order; empty cells are null, null names are left out.
+
+    Names are found first (one row a name reaches the driver) and then passed to the pivot. A table of more than ``most``
+    columns is refused: keep such a matrix long (``write_table`` sorts it by row and column).
+    """
+    names = [r[0] for r in df.where(F.col(column).isNotNull()).select(column).distinct().limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} columns")
+    return df.groupBy(*row).pivot(column, sorted(names)).agg(F.max(value)) if names else df.select(*row).distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import stage
 
 EXACT_TOTAL = 2000  # up to this many rows a table's weights are integers; above, logarithms of them
 
@@ -126,40 +127,84 @@ def compare_groups(df: DataFrame, feature: str, case: str, detected: str, value:
     return out.hint("shuffle_merge").join(qs, F.col(feature) == F.col("_f"), "left").drop("_f")
 
 
-def _bucketed(df: DataFrame, family: Sequence[str], p: str, buckets: int) -> tuple[DataFrame, list[str]]:
-    keys = [*family, "_bucket"]
-    df = df.withColumn("_bucket", F.least(F.floor(F.col(p) * buckets), F.lit(buckets - 1)))
-    sizes = df.where(F.col(p).isNotNull()).groupBy(*keys).agg(F.count("*").alias("_n"))
-    over = W.partitionBy(*family).orderBy("_bucket")
-    sizes = sizes.select(*keys, (F.sum("_n").over(over) - F.col("_n")).alias("_before"), F.sum("_n").over(W.partitionBy(*family)).alias("_m"))
-    return df.hint("shuffle_merge").join(sizes, keys, "left"), keys
-
+def _dealt(df: DataFrame, family: Sequence[str], p: str) -> DataFrame:
+    """The distinct p of each family: family, p, n (rows), before (rows of the family with a smaller p), m (rows of the family),
+    _bucket. Written, so that a bucket is the same wherever it is read.
 
-def bh_adjust(df: DataFrame, family: Sequence[str], p: str, name: str = "q", buckets: int = 1024) -> DataFrame:
-    """Adds Benjamini-Hochberg q-values within each family; rows with null p get null and do not count.
-
-    Ranks and the reverse running minimum go in two levels, inside buckets of p and over the buckets, so that a family of
-    any size is dealt over many tasks.
+    Equal p are one row, however many there are. The rest is dealt by range: Spark samples the values themselves, so families
+    of any size and p of any distribution fall into even buckets.
     """
-    df, keys = _bucketed(df, family, p, buckets)
-    up = W.partitionBy(*keys).orderBy(p).rangeBetween(W.unboundedPreceding, 0)
-    raw = F.when(F.col(p).isNotNull(), F.col(p) * F.col("_m") / (F.col("_before") + F.count(p).over(up)))
-    df = df.withColumn("_raw", raw).withColumn("_q", F.min("_raw").over(W.partitionBy(*keys).orderBy(p).rangeBetween(0, W.unboundedFollowing)))
-    later = df.groupBy(*keys).agg(F.min("_raw").alias("_least"))
-    later = later.withColumn("_later", F.min("_least").over(W.partitionBy(*family).orderBy("_bucket").rowsBetween(1, W.unboundedFollowing))).drop("_least")
-    df = df.hint("shuffle_merge").join(later, keys, "left")
-    q = F.when(F.col(p).isNotNull(), F.least(F.col("_q"), F.col("_later"), F.lit(1.0)))
-    return df.withColumn(name, q).drop("_bucket", "_before", "_m", "_raw", "_q", "_later")
-
-
-def holm_adjust(df: DataFrame, family: Sequence[str], p: str, name: str = "holm", buckets: int = 1024) -> DataFrame:
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = df.dropna(subset=[*family, p]).groupBy(*family, p).agg(F.count("*").alias("n"))
+    values = stage(values.repartitionByRange(parts, *family, p).withColumn("_bucket", F.spark_partition_id()), "family-values")
+    sizes = values.groupBy(*family, "_bucket").agg(F.sum("n").alias("_n"))  # a family has a row for each bucket that it reaches into
+    over = W.partitionBy(*family).orderBy("_bucket")
+    sizes = sizes.select(*family, "_bucket", (F.sum("_n").over(over) - F.col("_n")).alias("_earlier"), F.sum("_n").over(W.partitionBy(*family)).alias("m"))
+    out = values.hint("shuffle_merge").join(sizes, [*family, "_bucket"])
+    inside = W.partitionBy(*family, "_bucket").orderBy(p).rowsBetween(W.unboundedPreceding, 0)
+    out = out.withColumn("before", F.col("_earlier") + F.sum("n").over(inside) - F.col("n")).drop("_earlier")
+    out._holds = (values,)
+    return out
+
+
+def _carried(values: DataFrame, family: Sequence[str], p: str, raw: str, upwards: bool) -> DataFrame:
+    """family, p, _v: the running minimum of ``raw`` from the largest p down, or its running maximum from the smallest up, inside
+    buckets and then over them."""
+    best = F.max if upwards else F.min
+    ordered = W.partitionBy(*family, "_bucket").orderBy(F.asc(p) if upwards else F.desc(p)).rowsBetween(W.unboundedPreceding, 0)
+    tops = values.groupBy(*family, "_bucket").agg(best(raw).alias("_top"))
+    beyond = W.partitionBy(*family).orderBy(F.asc("_bucket") if upwards else F.desc("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    tops = tops.select(*family, "_bucket", best("_top").over(beyond).alias("_beyond"))
+    met = values.withColumn("_in", best(raw).over(ordered)).hint("shuffle_merge").join(tops, [*family, "_bucket"])
+    both = F.greatest("_in", "_beyond") if upwards else F.least("_in", "_beyond")
+    return met.select(*family, p, F.least(both, F.lit(1.0)).alias("_v"))
+
+
+def _joined(df: DataFrame, found: DataFrame, family: Sequence[str], p: str, name: str) -> DataFrame:
+    """The values of each row's family and p; a hash of both is a second key, so that the rows of one p can be split."""
+    keys = [*family, p]
+    split = F.pmod(F.xxhash64(*keys), F.lit(1 << 20))
+    out = df.withColumn("_s", split).hint("shuffle_merge").join(found.withColumn("_s", split), [*keys, "_s"], "left").drop("_s")
+    return out.withColumnRenamed("_v", name)
+
+
+def bh_adjust(df: DataFrame, family: Sequence[str], p: str, name: str = "q") -> DataFrame:
+    """Adds Benjamini-Hochberg q-values within each family; rows with null p, or a null in their family, get null, and null p do
+    not count. Ranks and the reverse running minimum go over distinct p, in two levels (``_dealt``)."""
+    values = _dealt(df, family, p)
+    raw = values.withColumn("_raw", F.col(p) * F.col("m") / (F.col("before") + F.col("n")))
+    out = _joined(df, _carried(raw, family, p, "_raw", upwards=False), family, p, name)
+    out._holds = (*getattr(df, "_holds", ()), *values._holds)
+    return out
+
+
+def holm_adjust(df: DataFrame, family: Sequence[str], p: str, name: str = "holm") -> DataFrame:
     """Adds Holm step-down p-values, dealt in the same two levels."""
-    df, keys = _bucketed(df, family, p, buckets)
-    over = W.partitionBy(*keys).orderBy(p)
-    raw = F.when(F.col(p).isNotNull(), (F.col("_m") - F.col("_before") - (F.rank().over(over) - 1)) * F.col(p))
-    df = df.withColumn("_raw", raw).withColumn("_h", F.max("_raw").over(over.rangeBetween(W.unboundedPreceding, 0)))
-    before = df.groupBy(*keys).agg(F.max("_raw").alias("_most"))
-    before = before.withColumn("_earlier", F.max("_most").over(W.partitionBy(*family).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))).drop("_most")
-    df = df.hint("shuffle_merge").join(before, keys, "left")
-    h = F.when(F.col(p).isNotNull(), F.least(F.greatest(F.col("_h"), F.col("_earlier")), F.lit(1.0)))
-    return df.withColumn(name, h).drop("_bucket", "_before", "_m", "_raw", "_h", "_earlier")
+    values = _dealt(df, family, p)
+    raw = values.withColumn("_raw", (F.col("m") - F.col("before")) * F.col(p))
+    out = _joined(df, _carried(raw, family, p, "_raw", upwards=True), family, p, name)
+    out._holds = (*getattr(df, "_holds", ()), *values._holds)
+    return out
+
+
+def group_tests(df: DataFrame, feature: str, case: Column, hit: Column, value: str, most: int = 50) -> DataFrame:
+    """One row for each feature of (feature, unit) rows, from one pass over its ranks: n_case, n_control, detected_case,
+    detected_control, median_difference, Cliff's delta, Fisher and rank-permutation p (null above ``most`` units), and their
+    q-values, each endpoint a family."""
+    one, seen = F.when(case, 1).otherwise(0), F.when(hit, 1).otherwise(0)
+    rows = doubled_mid_ranks(df, [feature], value).withColumn("_n", F.count("*").over(W.partitionBy(feature)))
+    g = rows.groupBy(feature).agg(
+        F.sum(one).alias("n_case"), F.sum(1 - one).alias("n_control"), F.sum(seen * one).alias("detected_case"), F.sum(seen * (1 - one)).alias("detected_control"), F.sum(F.col("rank2") * one).alias("_sum"),
+        (F.percentile(F.when(case, F.col(value)), F.lit(0.5)) - F.percentile(F.when(~case, F.col(value)), F.lit(0.5))).alias("median_difference"), F.collect_list(F.when(F.col("_n") <= most, F.col("rank2"))).alias("_r"))
+    n1, n0 = F.col("n_case"), F.col("n_control")
+    g = g.withColumn("delta", (F.col("_sum") - n1 * (n1 + 1)) / F.nullif(n1 * n0, F.lit(0)) - 1)
+    cells = [F.col("detected_case"), n1 - F.col("detected_case"), F.col("detected_control"), n0 - F.col("detected_control")]
+    testable = (F.size("_r") > 0) & (n1 > 0) & (n0 > 0)
+    g = g.withColumn("fisher_p", F.pandas_udf(_fisher, "double")(*(x.cast("long") for x in cells))).withColumn("perm_p", F.pandas_udf(_rank_sum, "double")(F.when(testable, F.col("_r")), n1, "_sum"))
+    row = F.struct(*(c for c in g.columns if c not in (feature, "_sum", "_r")))
+    tests = g.select(feature, row.alias("_row"), F.explode(F.create_map(F.lit("fisher"), "fisher_p", F.lit("perm"), "perm_p")).alias("_endpoint", "_p"))
+    tests = bh_adjust(tests, ["_endpoint"], "_p", "_q")
+    q = lambda e: F.max(F.when(F.col("_endpoint") == e, F.col("_q"))).alias(f"{e}_q")
+    out = tests.groupBy(feature).agg(F.any_value("_row").alias("_row"), q("fisher"), q("perm")).select(feature, "_row.*", "fisher_q", "perm_q")
+    out._holds = tests._holds
+    return out

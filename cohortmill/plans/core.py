@@ -168,26 +168,19 @@ q2 AS (SELECT *, least(1.0, min(pp * n / k2) OVER (ORDER BY pp RANGE BETWEEN CUR
  FROM (SELECT *, count(pp) OVER (ORDER BY pp RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k2 FROM q))
 SELECT feature, n_case, n_control, detected_case, detected_control, round(dm, 6) AS median_difference, round(delta, 6) AS delta, round(fp, 6) AS fisher_p, round(fq, 6) AS fisher_q, round(pp, 6) AS perm_p, round(pq, 6) AS perm_q FROM q2""", "meas"))
 def diff_table(spark, d):
-    m = stage(view(spark, d, "meas"), "measurements")  # read by four branches
-    case = F.col("grp") == "case"
-    fish = stats.fisher_exact(fisher_tables(m), "a", "b", "c", "d")
-    rk = stats.doubled_mid_ranks(m, ["feature"], "value")
-    cliff = stats.cliffs_delta(rk, ["feature"], case).select("feature", "delta")
-    perm = stats.rank_permutation(rk, ["feature"], case)
-    medians = m.groupBy("feature").agg((F.percentile(F.when(case, F.col("value")), F.lit(0.5)) - F.percentile(F.when(~case, F.col("value")), F.lit(0.5))).alias("dm"))
-    out = fish
-    for more in (cliff, perm, medians):  # no feature is lost
-        out = out.hint("shuffle_merge").join(more, "feature", "left")
-    out = out.withColumn("all", F.lit("all"))
-    out = stats.bh_adjust(stats.bh_adjust(out, ["all"], "fisher_p", "fisher_q"), ["all"], "perm_p", "perm_q")
-    return out.select("feature", (F.col("a") + F.col("b")).alias("n_case"), (F.col("c") + F.col("d")).alias("n_control"), F.col("a").alias("detected_case"), F.col("c").alias("detected_control"), r6(F.col("dm"), "median_difference"), *(r6(F.col(c), c) for c in ("delta", "fisher_p", "fisher_q", "perm_p", "perm_q")))
-
-
-@query(with_views("SELECT donor, " + ", ".join(f"max(CASE WHEN feature = 'Brand#{i}' THEN value END) AS b{i}" for i in range(1, 6)) + " FROM meas GROUP BY donor", "meas"))
+    out = stats.group_tests(view(spark, d, "meas"), "feature", F.col("grp") == "case", F.col("breadth") >= 0.5, "value")
+    named = out.select("feature", "n_case", "n_control", "detected_case", "detected_control", *(r6(F.col(c), c) for c in ("median_difference", "delta", "fisher_p", "fisher_q", "perm_p", "perm_q")))
+    named._holds = out._holds
+    return named
+
+
+BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+
+
+@query(with_views("SELECT donor, " + ", ".join(f"max(CASE WHEN feature = '{b}' THEN value END) AS \"{b}\"" for b in BRANDS) + " FROM meas GROUP BY donor", "meas"))
 def pivot_matrix(spark, d):
-    names = [f"Brand#{i}" for i in range(1, 6)]
-    wide = view(spark, d, "meas").groupBy("donor").pivot("feature", names).agg(F.max("value"))
-    return wide.select("donor", *(F.col(f"`{n}`").alias(f"b{i}") for i, n in enumerate(names, 1)))
+    """Units by features: a column for each feature that occurs, found first."""
+    return shape.matrix(view(spark, d, "meas"), ["donor"], "feature", "value")
 
 
 @query("SELECT o_orderkey, c_name, n_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
@@ -312,6 +305,16 @@ def dq_recompute(spark, d):
     return checks.recomputed_differs(table(spark, d, "documents"), "n_chars", F.char_length("text").cast("long")).select("doc_id", "n_chars", "recomputed")
 
 
+@query("""WITH l AS (SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents FROM lineitem GROUP BY 1)
+ SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS stated, cents AS recomputed FROM orders LEFT JOIN l ON l_orderkey = o_orderkey WHERE abs(CAST(round(o_totalprice * 100) AS BIGINT) - cents) > 0 OR cents IS NULL""")
+def dq_recompute_total(spark, d):
+    """Orders whose stated total is not what their lines come to; those without lines too."""
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sum(cents("l_extendedprice")).alias("_cents"))
+    orders = table(spark, d, "orders").select("o_orderkey", cents("o_totalprice").alias("stated")).hint("shuffle_merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return checks.recomputed_differs(orders, "stated", F.col("_cents")).select("o_orderkey", "stated", "recomputed")
+
+
 @query("SELECT l_suppkey FROM lineitem GROUP BY 1 HAVING bool_or(l_returnflag = 'A') AND bool_or(l_returnflag = 'R')")
 def dq_leak(spark, d):
     return checks.split_leaks(table(spark, d, "lineitem"), "l_suppkey", "l_returnflag", "A", "R")

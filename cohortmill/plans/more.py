@@ -31,9 +31,10 @@ def any_mate_drop(spark, d):
     return fragments.drop_hit_fragments(aln, aln.where(F.col("flag").bitwiseAND(4) == 4)).select("qname", "mate", "ref")
 
 
-@query(with_views("SELECT coalesce(a.qname, b.qname) AS qname, a.qname IS NULL AS no_first, b.qname IS NULL AS no_second FROM (SELECT DISTINCT qname FROM aln WHERE mate = 1 AND mapq > 5) a FULL OUTER JOIN (SELECT DISTINCT qname FROM aln WHERE mate = 2 AND mapq > 5) b ON a.qname = b.qname WHERE a.qname IS NULL OR b.qname IS NULL", "aln"))
+@query(with_views("SELECT coalesce(a.qname, b.qname) AS qname, a.qname IS NULL AS no_first, b.qname IS NULL AS no_second FROM (SELECT DISTINCT qname FROM aln WHERE mate = 1 AND flag & 4 = 0) a FULL OUTER JOIN (SELECT DISTINCT qname FROM aln WHERE mate = 2 AND flag & 4 = 0) b ON a.qname = b.qname WHERE a.qname IS NULL OR b.qname IS NULL", "aln"))
 def cogroup_check(spark, d):
-    aln = view(spark, d, "aln").where("mapq > 5")
+    """Fragments of which one mate is mapped and the other is not, or is missing."""
+    aln = view(spark, d, "aln").where(~fragments.unmapped())
     out = checks.unequal_keys(aln.where("mate = 1"), aln.where("mate = 2"), "qname")
     return out.select("qname", (F.col("side") == "right").alias("no_first"), (F.col("side") == "left").alias("no_second"))
 

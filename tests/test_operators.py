@@ -282,3 +282,44 @@ def test_units_are_merged_only_where_they_agree(spark):
     out, refused = shape.merged_units(units, spark.createDataFrame(rows, "merge_id string, readset long"), "readset", ["library", "layout"])
     assert {(x.unit_id, x.readset) for x in out.collect()} == {("good", 1), ("good", 2), ("3", 3), ("4", 4), ("5", 5), ("6", 6), ("8", 8), ("nulls", 7), ("nulls", 9)}
     assert {(x.merge_id, x.why) for x in refused.collect()} == {("mixed", "not_compatible"), ("lost", "unknown_unit"), ("7", "name_taken"), ("twice", "unit_twice"), ("other", "unit_twice")}
+
+
+def test_families_of_any_shape_are_dealt_over_many_tasks(spark):
+    """p-values in [0, 1e-6] and a third of the rows at p = 1: even buckets, and the plain answer."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    p = np.concatenate([r.random(20_000) * 1e-6, np.ones(10_000), r.choice([0.01, 0.02], 500)])
+    rows = [(i, "a" if i % 50 else "b", float(x)) for i, x in enumerate(p)] + [(len(p), "a", None), (len(p) + 1, None, 0.5)]
+    df = spark.createDataFrame(rows, "id long, family string, p double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        dealt = stats._dealt(df, ["family"], "p")
+        sizes = [x["count"] for x in dealt.groupBy("_bucket").count().collect()]
+        assert len(sizes) >= 12 and max(sizes) < 4 * sum(sizes) / len(sizes)
+        q = {x.id: x.q for x in stats.bh_adjust(df, ["family"], "p").collect()}
+        h = {x.id: x.holm for x in stats.holm_adjust(df, ["family"], "p").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for family in "ab":
+        ids = [i for i, f, x in rows if f == family and x is not None]
+        x = np.array([rows[i][2] for i in ids])
+        order = np.argsort(x, kind="stable")
+        rank = np.arange(1, len(x) + 1)
+        want_q, want_h = np.empty(len(x)), np.empty(len(x))
+        want_q[order] = np.minimum(1, np.minimum.accumulate((x[order] * len(x) / rank)[::-1])[::-1])
+        want_h[order] = np.minimum(1, np.maximum.accumulate((len(x) - rank + 1) * x[order]))
+        assert np.allclose([q[i] for i in ids], want_q) and np.allclose([h[i] for i in ids], want_h)
+    assert q[len(p)] is None and h[len(p)] is None and q[len(p) + 1] is None
+
+
+def test_matrix_has_a_column_for_every_name(spark):
+    from cohortmill.operators import shape
+
+    df = spark.createDataFrame([(1, f"f{i}", i) for i in range(30)] + [(2, "f0", 5), (2, None, 7)], "unit long, name string, v long")
+    wide = shape.matrix(df, ["unit"], "name", "v")
+    assert wide.columns == ["unit", *sorted(f"f{i}" for i in range(30))] and [x.f29 for x in wide.orderBy("unit").collect()] == [29, None]
+    assert shape.matrix(df.limit(0), ["unit"], "name", "v").columns == ["unit"]
+    with pytest.raises(ValueError):
+        shape.matrix(df, ["unit"], "name", "v", most=10)
