@@ -151,13 +151,18 @@ def mapping_relations(old: DataFrame, new: DataFrame, pairs: DataFrame, old_id:
 def _columns(h, used_q: np.ndarray, used_s: np.ndarray) -> tuple[int, int]:
     """Alignment columns of one pair that use no letter used before, marked as used; and how many of them are identical."""
     q, s = (np.frombuffer(x.upper().encode(), dtype=np.uint8) for x in (h.qseq, h.sseq))
-    if len(q) != len(s):
-        raise ValueError("aligned strings of unequal length")
+    if len(q) != len(s) or len(q) != h.length:
+        raise ValueError("aligned strings of unequal length, or of another than their record's")
     on_q, on_s = q != 45, s != 45
+    if not (on_q | on_s).all():
+        raise ValueError("a column with gaps on both sides")
     qi = h.qstart - 1 + (1 if h.qend >= h.qstart else -1) * (np.cumsum(on_q) - 1)
     si = h.sstart - 1 + (1 if h.send >= h.sstart else -1) * (np.cumsum(on_s) - 1)
     if on_q.sum() != abs(h.qend - h.qstart) + 1 or on_s.sum() != abs(h.send - h.sstart) + 1:
         raise ValueError("aligned strings do not have their coordinates' length")
+    for at, on, used in ((qi, on_q, used_q), (si, on_s, used_s)):
+        if on.any() and not (0 <= at[on].min() and at[on].max() < len(used)):
+            raise ValueError("coordinates outside the sequence")
     free = ~(on_q & used_q[np.where(on_q, qi, 0)]) & ~(on_s & used_s[np.where(on_s, si, 0)])
     used_q[qi[free & on_q]] = True
     used_s[si[free & on_s]] = True

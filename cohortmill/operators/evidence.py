@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import values as V
+
 
 def count_if(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0))
@@ -117,3 +119,75 @@ def occurrence_rollup(rows: DataFrame, cluster: str, first: Column, second: Colu
         F.count_distinct(F.when(b, F.col(donor))).alias("n_donors"))
     label = F.when(F.coalesce("marker", F.lit(False)), labels[0]).when(F.col("n_second") > 0, labels[1]).when(F.col("n_first") > 0, labels[2]).otherwise(labels[3])
     return g.withColumn("label", label)
+
+
+def confusion_rates(df: DataFrame, keys: Sequence[str], truth: str = "truth", found: str = "detection_status") -> DataFrame:
+    """``confusion`` with sensitivity, specificity and the ends of their 95 % Wilson intervals; null without any case of a kind."""
+    c = confusion(df, keys, truth, found)
+    share = lambda k, n: F.col(k) / F.nullif(n, F.lit(0))
+    positive, negative = F.col("tp") + F.col("fn"), F.col("tn") + F.col("fp")
+    sense, spec = V.wilson("tp", F.nullif(positive, F.lit(0))), V.wilson("tn", F.nullif(negative, F.lit(0)))
+    return c.select("*", share("tp", positive).alias("sensitivity"), sense[0].alias("sensitivity_low"), sense[1].alias("sensitivity_high"), share("tn", negative).alias("specificity"), spec[0].alias("specificity_low"), spec[1].alias("specificity_high"))
+
+
+def core_selection(genes: DataFrame, group: str, unit: str, units: DataFrame, least: float) -> DataFrame:
+    """group, n_units, presence_fraction (of all ``units``), most_copies and status of every group: selected_single_copy,
+    paralog_present (a unit has several) or below_presence."""
+    copies = genes.groupBy(group, unit).agg(F.count("*").alias("c"))
+    g = copies.groupBy(group).agg(F.count("*").alias("n_units"), F.max("c").alias("most_copies"))
+    g = g.crossJoin(F.broadcast(units.select(unit).distinct().agg(F.count("*").alias("_all"))))  # one row
+    status = V.ladder([(F.col("most_copies") > 1, "paralog_present"), (F.col("n_units") < least * F.col("_all"), "below_presence")], "selected_single_copy")
+    return g.select(group, "n_units", (F.col("n_units") / F.col("_all")).alias("presence_fraction"), "most_copies", status.alias("status"))
+
+
+def carriers(owned: DataFrame, required: DataFrame, members: DataFrame, member: str, item: str, group: str, module: str) -> DataFrame:
+    """module, group: the groups every one of whose members (``members``: group, member) owns every required item of the module."""
+    need = required.select(module, item).distinct()
+    size = need.groupBy(module).agg(F.count("*").alias("_needed"))
+    all_members = members.select(group, member).distinct()
+    whole = all_members.groupBy(group).agg(F.count("*").alias("_members"))
+    have = owned.select(member, item).distinct().hint("shuffle_merge").join(need, item).groupBy(member, module).agg(F.count("*").alias("_have"))
+    full = have.hint("shuffle_merge").join(size, module).where("_have = _needed").select(member, module)
+    met = full.hint("shuffle_merge").join(all_members, member).groupBy(module, group).agg(F.count("*").alias("_full"))
+    return met.hint("shuffle_merge").join(whole, group).where("_full = _members").select(module, group)
+
+
+def module_signal(signals: DataFrame, carrying: DataFrame, keys: Sequence[str], module: str, group: str, denominators: Sequence[str], exposure: str = "exposure", value: str = "value", status: str = "status") -> DataFrame:
+    """keys, module, n_groups, status, reason, value (1 if any carrying group is detected), exposure (their sum).
+
+    unassessable, with value and exposure null, where any carrying group is; a module whose groups do not agree in all
+    ``denominators`` (nulls are a value) can't be summed and is unassessable too. Modules without a carrying group give no row.
+    """
+    met = signals.hint("shuffle_merge").join(carrying.select(module, group).distinct(), group)
+    bad = F.max(F.when(F.coalesce(F.col(status) == "assessed", F.lit(False)), 0).otherwise(1)) == 1
+    apart = F.count_distinct(F.to_json(F.struct(*denominators), {"ignoreNullFields": "false"})) > 1
+    g = met.groupBy(*keys, module).agg(F.count("*").alias("n_groups"), bad.alias("_bad"), apart.alias("_apart"), F.max(F.when(F.col(value) == 1, 1).otherwise(0)).alias("_any"), F.sum(exposure).alias("_sum"))
+    reason = V.ladder([(F.col("_apart"), "denominators_differ"), (F.col("_bad"), "one_or_more_carrier_groups_unassessable")], "")
+    good = ~F.col("_apart") & ~F.col("_bad")
+    return g.select(*keys, module, "n_groups", F.when(good, "assessed").otherwise("unassessable").alias("status"), reason.alias("reason"), F.when(good, F.col("_any")).alias("value"), F.when(good, F.col("_sum")).alias("exposure"))
+
+
+def proven(rows: DataFrame, evidence: DataFrame, entity: str, kind: str, field: str, value: str, levels: Sequence[str] = ("A", "B")) -> DataFrame:
+    """The rows for whose field and value there is accepted evidence (entity_type, entity_id, field, value, level, review_state) of
+    one of ``levels``."""
+    good = evidence.where((F.col("entity_type") == kind) & (F.col("field") == field) & F.col("level").isin(*levels) & (F.col("review_state") == "accepted"))
+    good = good.select(F.col("entity_id").alias("_id"), F.col("value").alias("_value"))
+    return rows.hint("shuffle_merge").join(good, (F.col(entity) == F.col("_id")) & (F.col(value) == F.col("_value")), "left_semi")
+
+
+def member_counts(candidates: DataFrame, met: DataFrame, key: str, category: str, marker: str, systems: DataFrame | None = None, gene: str = "gene") -> DataFrame:
+    """Per candidate: n_inside (members of ``met`` that lie fully inside), n_categories, n_markers (inside members with ``marker``),
+    marker_share, and of ``systems`` (candidates' key, system, gene) best_overlap: the largest share of a system's genes inside.
+
+    ``met``: key, gene, inside, category, marker. Candidates without members have zeros, and a null share.
+    """
+    inside = met.where("inside")
+    g = inside.groupBy(key).agg(F.count_distinct(gene).alias("n_inside"), F.count_distinct(category).alias("n_categories"), F.count_distinct(F.when(F.col(marker), F.col(gene))).alias("n_markers"))
+    out = candidates.select(key).distinct().hint("shuffle_merge").join(g, key, "left").na.fill(0, ["n_inside", "n_categories", "n_markers"])
+    out = out.withColumn("marker_share", F.col("n_markers") / F.nullif(F.col("n_inside"), F.lit(0)))
+    if systems is None:
+        return out
+    hit = systems.select(key, "system", gene).distinct().hint("shuffle_merge").join(inside.select(key, gene, F.lit(1).alias("_in")).distinct(), [key, gene], "left")
+    share = hit.groupBy(key, "system").agg((F.count("_in") / F.count("*")).alias("o")).groupBy(key).agg(F.max("o").alias("best_overlap"))
+    return out.hint("shuffle_merge").join(share, key, "left").withColumn("best_overlap", F.coalesce("best_overlap", F.lit(0.0)))
+

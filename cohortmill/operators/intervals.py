@@ -196,3 +196,18 @@ def elevation(segments: DataFrame, strict: DataFrame, loci: DataFrame, contigs:
     agrees = F.when(good & (c("sh_mean") > 0) & (c("l_bp") >= least) & (c("l_mean") > 0), (up == also) & ((c("local_ratio") >= ratio) == (c("ratio") >= ratio)))
     call = F.when(~good, "not_evaluable").when(up, "raised").otherwise("level")
     return out.select(locus, F.when(good, "evaluable").otherwise("not_evaluable").alias("status"), "reasons", call.alias("call"), "ratio", "effect", "local_ratio", agrees.alias("agrees"))
+
+
+def member_relation(systems: DataFrame, members: DataFrame, places: DataFrame, keys: Sequence[str], system: str, member: str) -> DataFrame:
+    """system, n_members, relation of each system's required members (``members``: system, member) to the system's own interval
+    (``systems``: system, keys, start0, end0): fully_inside (all), outside (all), boundary_spanning, or unresolved: no member, or
+    one without a place (``places``: member, keys, start0, end0)."""
+    at = F.struct(*keys)
+    own = systems.select(system, at.alias("_where"), F.col("start0").alias("_a"), F.col("end0").alias("_b"))
+    found = places.select(member, at.alias("_at"), F.col("start0").alias("_s"), F.col("end0").alias("_e"))
+    met = own.hint("shuffle_merge").join(members.select(system, member).distinct(), system, "left").hint("shuffle_merge").join(found, member, "left")
+    inside = (F.col("_at") == F.col("_where")) & (F.col("_s") >= F.col("_a")) & (F.col("_e") <= F.col("_b"))
+    apart = (F.col("_at") != F.col("_where")) | (F.col("_e") <= F.col("_a")) | (F.col("_s") >= F.col("_b"))
+    g = met.groupBy(system).agg(F.count_distinct(member).alias("n_members"), F.min(F.col("_at").isNotNull().cast("int")).alias("_placed"), F.min(inside.cast("int")).alias("_in"), F.min(apart.cast("int")).alias("_out"))
+    label = V.ladder([((F.col("n_members") == 0) | (F.col("_placed") == 0), "unresolved"), (F.col("_in") == 1, "fully_inside"), (F.col("_out") == 1, "outside")], "boundary_spanning")
+    return g.select(system, "n_members", label.alias("relation"))

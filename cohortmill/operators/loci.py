@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import cigar as C
+from ..functions import sequences as S
 from .intervals import merged, overlap_join
 
 
@@ -125,3 +128,73 @@ def two_tier(primary: DataFrame, supplemental: DataFrame, matches: DataFrame, no
     rest = rest.hint("shuffle_merge").join(near, F.col(node) == F.col("a"), "left")
     rest = rest.select(node, F.coalesce("anchor", node).alias("anchor"), F.when(F.col("anchor").isNull(), "supplemental").otherwise("matched").alias("tier"))
     return first.select(F.col("b").alias(node), F.col("b").alias("anchor"), F.lit("primary").alias("tier")).unionByName(rest)
+
+
+def flanks(loci: DataFrame, contigs: DataFrame, contig: str, seq: str, locus: str, length: int, letters: str = "ACGT") -> DataFrame:
+    """locus, side, start0, end0, length, flank, status, reason: ``length`` letters on either side of each locus, in the contig's
+    own direction. unassessable: no contig, bounds (the locus does not lie inside its contig), contig_edge_truncated, or
+    non_acgt_flank (another letter than ``letters``); else ready."""
+    met = loci.select(locus, contig, "start0", "end0").hint("shuffle_merge").join(contigs.select(contig, F.col(seq).alias("_seq")), contig, "left")
+    n = F.length("_seq")
+    side = lambda name, a, b: F.struct(F.lit(name).alias("side"), a.cast("long").alias("start0"), b.cast("long").alias("end0"))
+    both = F.array(side("left", F.greatest(F.lit(0), F.col("start0") - length), F.col("start0")), side("right", F.col("end0"), F.least(n, F.col("end0") + length)))
+    lies = (F.col("start0") >= 0) & (F.col("start0") < F.col("end0")) & (F.col("end0") <= n)
+    rows = met.select(locus, "_seq", lies.alias("_lies"), F.explode(both).alias("e")).select(locus, "_seq", "_lies", "e.*")
+    size = F.greatest(F.lit(0), F.col("end0") - F.col("start0"))
+    rows = rows.withColumn("flank", F.when(F.col("_lies"), F.substring("_seq", (F.col("start0") + 1).cast("int"), size.cast("int"))))
+    reason = F.when(F.col("_seq").isNull(), "no_contig").when(~F.col("_lies"), "bounds").when(F.length("flank") != length, "contig_edge_truncated").when(F.col("flank").rlike(f"[^{letters}]"), "non_acgt_flank").otherwise("")
+    return rows.select(locus, "side", "start0", "end0", F.length("flank").cast("long").alias("length"), "flank", F.when(reason == "", "ready").otherwise("unassessable").alias("status"), reason.alias("reason"))
+
+
+def spanning_reads(records: DataFrame, boundaries: DataFrame, name: str, boundary: str, anchor: int = 20, quality_min: int = 20, mapq_min: int = 20, width: int = 4096) -> DataFrame:
+    """qname, mate, boundary for each primary, well mapped record one unbroken aligned block of which reaches ``anchor`` bases to
+    either side of a boundary (``boundaries``: name, boundary), all of these bases of at least ``quality_min``.
+
+    Blocks and boundaries meet by bins of the reference; the quality is looked at in the anchor's stretch of the block only.
+    """
+    good = ~F.col("flag").bitwiseAND(4 | 256 | 512 | 1024 | 2048).cast("boolean") & (F.col("mapq") >= mapq_min) & (F.col("mapq") != 255) & (F.col("cigar") != "*") & (F.col("qual") != "*")
+    b = records.where(good).select("qname", "mate", name, "qual", F.explode(C.blocks("cigar", "pos")).alias("b"))
+    b = b.select("qname", "mate", name, "qual", F.col("b.query0").alias("q0"), F.col("b.ref0").cast("long").alias("r0"), (F.col("b.ref0") + F.col("b.n")).cast("long").alias("r1")).where(F.col("r1") - F.col("r0") >= 2 * anchor)
+    b = b.withColumn("_bin", F.explode(F.sequence(F.floor((F.col("r0") + anchor) / width), F.floor((F.col("r1") - anchor) / width))))
+    at = boundaries.select(name, F.col(boundary).cast("long").alias(boundary)).distinct().withColumn("_bin", F.floor(F.col(boundary) / width))
+    met = b.hint("shuffle_merge").join(at, [name, "_bin"]).where((F.col("r0") <= F.col(boundary) - anchor) & (F.col("r1") >= F.col(boundary) + anchor))
+    part = F.expr(f"substring(qual, CAST(q0 + `{boundary}` - {anchor} - r0 + 1 AS INT), {2 * anchor})")
+    fine = (F.length(part) == 2 * anchor) & ~part.rlike(f"[^{re.escape(chr(33 + quality_min))}-~]")
+    return met.where(fine).select("qname", "mate", name, boundary).distinct()
+
+
+def aligned_columns(cells: DataFrame, name: str, place: str, letter: str, names: DataFrame) -> DataFrame:
+    """One row: n_names, n_columns, n_shared (columns in which every one of ``names`` has a letter) and n_variable (columns with
+    several letters); a null letter is a gap."""
+    per = cells.groupBy(place).agg(F.count_distinct(F.when(F.col(letter).isNotNull(), F.col(name))).alias("n"), F.count_distinct(letter).alias("k"))
+    all_ = names.select(name).distinct().agg(F.count("*").alias("n_names"))
+    return per.crossJoin(F.broadcast(all_)).groupBy("n_names").agg(F.count("*").alias("n_columns"), F.count_if(F.col("n") == F.col("n_names")).alias("n_shared"), F.count_if(F.col("k") > 1).alias("n_variable"))
+
+
+def boundary_repeat(loci: DataFrame, locus: str, seq: str, reach: int = 250, least: int = 15, most: int = 60, entropy_min: float = 1.5) -> DataFrame:
+    """locus, status, length, left0, right0, repeat: the longest exact repeat in one direction between the windows of ``reach``
+    letters around a locus's two ends (``loci``: locus, seq, start0, end0); of equal ones that nearest to the ends, then the
+    leftmost. Only a, c, g, t of either case; repeats have ``least`` to ``most`` letters and an entropy of ``entropy_min`` bits.
+
+    not_assessed_overlapping_windows where the windows meet. Seeds of ``least`` letters of one locus meet by join and are
+    lengthened as far as they go.
+    """
+    n = F.length(seq)
+    x0, x1 = F.greatest(F.lit(0), F.col("start0") - reach), F.least(n, F.col("start0") + reach)
+    y0, y1 = F.greatest(F.lit(0), F.col("end0") - reach), F.least(n, F.col("end0") + reach)
+    part = lambda a, b: F.upper(F.substring(seq, (F.col(a) + 1).cast("int"), F.greatest(F.lit(0), F.col(b) - F.col(a)).cast("int")))
+    rows = loci.select(locus, seq, "start0", "end0", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
+    rows = rows.select(locus, "start0", "end0", "x0", "y0", (F.col("x1") > F.col("y0")).alias("_meet"), part("x0", "x1").alias("x"), part("y0", "y1").alias("y"))
+    apart = rows.where("not _meet")
+    tile = lambda w, i: apart.where(F.length(w) >= least).select(locus, w, F.explode(F.sequence(F.lit(0), F.length(w) - least)).alias(i)).select(locus, i, F.col(w).substr(F.col(i) + 1, F.lit(least)).alias("t")).where(~F.col("t").rlike("[^ACGT]"))
+    met = tile("x", "i").hint("shuffle_merge").join(tile("y", "j"), [locus, "t"]).drop("t").hint("shuffle_merge").join(apart, locus)
+    a, b = (lambda k: F.col("x").substr(F.col("i") + 1, k)), (lambda k: F.col("y").substr(F.col("j") + 1, k))
+    room = F.least(F.lit(most), F.length("x") - F.col("i"), F.length("y") - F.col("j"), F.col("y0") + F.col("j") - F.col("x0") - F.col("i"))
+    fits = F.filter(F.sequence(F.lit(least), F.greatest(F.lit(least), room)), lambda k: (k <= room) & (a(k) == b(k)) & ~a(k).rlike("[^ACGT]") & (S.entropy(F.lower(a(k))) >= entropy_min))
+    met = met.withColumn("length", F.array_max(fits)).where("length is not null")
+    left, right = F.col("x0") + F.col("i"), F.col("y0") + F.col("j")
+    best = F.min(F.struct((-F.col("length")).alias("l"), (F.abs(left - F.col("start0")) + F.abs(right + F.col("length") - F.col("end0"))).alias("off"), left.alias("left0"), right.alias("right0"), a(F.col("length")).alias("repeat")))
+    found = met.groupBy(locus).agg(best.alias("b"))
+    out = rows.select(locus, "_meet").hint("shuffle_merge").join(found, locus, "left")
+    status = F.when(F.col("_meet"), "not_assessed_overlapping_windows").when(F.col("b").isNull(), "no_repeat").otherwise("direct_repeat_candidate")
+    return out.select(locus, status.alias("status"), (-F.col("b.l")).cast("long").alias("length"), F.col("b.left0").cast("long").alias("left0"), F.col("b.right0").cast("long").alias("right0"), F.col("b.repeat").alias("repeat"))

@@ -71,8 +71,7 @@ def representative_cluster(spark, d):
     return clustering.representatives(n, e, rank)[0]
 
 
-@query()
-def hsp_union(spark, d):
+def alignments(spark, d):
     """Alignments of part and supplier sequences: 32 letters at a place given by the order, every fifth with a gap."""
     line = table(spark, d, "lineitem")
     q = F.translate(F.md5(F.col("l_orderkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
@@ -80,8 +79,12 @@ def hsp_union(spark, d):
     h = line.select(
         F.col("l_suppkey").alias("q"), F.col("l_partkey").alias("s"), (F.col("l_orderkey") % 60 + 1).alias("qstart"), (F.col("l_orderkey") % 47 + 1).alias("sstart"), F.when(gap, F.concat(F.lit("AC-"), q)).otherwise(F.concat(F.lit("ACG"), q)).alias("qseq"),
         F.concat(F.lit("ACG"), F.when(F.col("l_linenumber") % 2 == 0, F.translate(q, "A", "G")).otherwise(q)).alias("sseq"), F.when(gap, 33).otherwise(34).alias("_q"), F.col("l_extendedprice").alias("bitscore"), (F.col("l_discount") * 100).alias("pident"), (F.col("l_tax") / 5000).alias("evalue"))
-    h = h.select("*", (F.col("qstart") + F.col("_q")).alias("qend"), (F.col("sstart") + 34).alias("send"), F.lit(35).alias("length"), F.lit(120).alias("qlen"), (F.lit(100) + F.col("s") % 40).alias("slen"))
-    return clustering.alignment_union(h, 1e-5).withColumn("ani", F.round("ani", 6)).withColumn("aligned_fraction", F.round("aligned_fraction", 6))
+    return h.select("*", (F.col("qstart") + F.col("_q")).alias("qend"), (F.col("sstart") + 34).alias("send"), F.lit(35).alias("length"), F.lit(120).alias("qlen"), (F.lit(100) + F.col("s") % 40).alias("slen"))
+
+
+@query()
+def hsp_union(spark, d):
+    return clustering.alignment_union(alignments(spark, d), 1e-5).withColumn("ani", F.round("ani", 6)).withColumn("aligned_fraction", F.round("aligned_fraction", 6))
 
 
 @query(with_views("""WITH p AS (SELECT l.locus_id, i.iv_id, bool_or(l.strand = i.strand) AS same FROM loci l JOIN iv i ON l.contig = i.contig AND l.start0 < i.end0 AND i.start0 < l.end0 AND l.end0 > l.start0 AND i.end0 > i.start0 WHERE least(l.end0, i.end0) - greatest(l.start0, i.start0) > 600 GROUP BY 1, 2),
@@ -166,7 +169,7 @@ def source_groups(spark, d):
 
 
 @query("""WITH s AS (SELECT min(p_partkey) AS key, string_split(p_name, ' ')[1] AS q, min(p_partkey) % 2 = 0 AS broad FROM part GROUP BY 2), r AS (SELECT p_partkey, p_name, concat(p_name, ' ', lower(p_type)) AS t FROM part),
- f AS (SELECT DISTINCT p_partkey, s.key, q, broad FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey % 3 = 0) x JOIN s ON x.w = s.q), b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY broad, length(q) DESC, key) AS i FROM f),
+ f AS (SELECT DISTINCT p_partkey, s.key, q, broad FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_partkey % 3 = 0) x JOIN s ON x.w = s.q), b AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY broad DESC, length(q) DESC, key) AS i FROM f),
  l AS (SELECT p_partkey, min(key) AS key FROM r JOIN s ON contains(concat(' ', t, ' '), concat(' ', q, ' ')) WHERE p_partkey NOT IN (SELECT p_partkey FROM f) GROUP BY 1)
  SELECT r.p_partkey, coalesce(b.key, l.key) AS key, CASE WHEN b.key IS NOT NULL THEN 'specific' WHEN l.key IS NOT NULL THEN 'legacy' ELSE 'none' END AS how FROM r LEFT JOIN b ON b.p_partkey = r.p_partkey AND i = 1 LEFT JOIN l ON l.p_partkey = r.p_partkey""")
 def scope_key(spark, d):
@@ -180,16 +183,29 @@ def scope_key(spark, d):
 @query("""WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE p_brand END AS k, p_partkey % 17 <> 0 AS cur, CASE WHEN p_partkey % 6 <> 0 THEN p_retailprice / 12 END AS comp, CASE WHEN p_partkey % 8 <> 0 THEN p_size / 5.0 END AS cont, CASE WHEN p_partkey % 9 <> 0 THEN p_size * 12 END AS n,
  CASE WHEN p_partkey % 5 = 0 THEN 'nonhuman_or_environmental' ELSE 'unknown' END AS g, p_partkey % 3 = 0 AS st, p_partkey % 7 = 0 AS ty, p_partkey % 11 = 0 AS ex, p_partkey % 13 <> 0 AS tx FROM part),
  y AS (SELECT *, (coalesce(comp < 90, FALSE) OR coalesce(cont > 5, FALSE)) AND (st OR ty) AND coalesce(n <= 200, FALSE) AND coalesce(comp, 100) >= 70 AND coalesce(cont, 0) <= 15 AS anchor FROM x),
- z AS (SELECT *, CASE WHEN k IS NULL THEN 'scope_unresolved' WHEN NOT cur THEN 'not_current' WHEN comp < 90 AND NOT anchor THEN 'completeness_below_90' WHEN cont > 5 AND NOT anchor THEN 'contamination_above_5' WHEN n > 500 THEN 'over_500_pieces'
- WHEN g <> 'unknown' AND NOT ty AND NOT ex THEN 'nonhuman_source' WHEN g <> 'unknown' THEN 'nonhuman_context' WHEN n > 200 THEN '201_to_500_pieces' WHEN NOT tx THEN 'taxonomy_warning' ELSE '' END AS reason FROM y)
- SELECT p_partkey, CASE WHEN reason = '' THEN 'eligible' WHEN reason IN ('not_current', 'over_500_pieces', 'nonhuman_source') THEN 'excluded' WHEN reason = 'nonhuman_context' THEN 'context_only' WHEN reason = '201_to_500_pieces' THEN 'reserve' ELSE 'review' END AS status, reason, anchor FROM z""")
+ z AS (SELECT *, CASE WHEN k IS NULL THEN 'taxonomy_scope_unresolved' WHEN NOT cur THEN 'noncurrent_assembly' WHEN comp < 90 AND NOT anchor THEN 'reported_completeness_below_90_recheck' WHEN cont > 5 AND NOT anchor THEN 'reported_contamination_above_5_recheck' WHEN n > 500 THEN 'over_500_contigs'
+ WHEN g <> 'unknown' AND NOT ty AND NOT ex THEN 'nonhuman_context_outside_primary_reference_scope' WHEN g <> 'unknown' THEN 'nonhuman_type_or_experimental_context_not_patient_host' WHEN n > 200 THEN '201_to_500_contigs_pending_structural_quality' WHEN NOT tx THEN 'NCBI_taxonomy_warning' ELSE '' END AS reason FROM y)
+ SELECT p_partkey, CASE WHEN reason = '' THEN 'eligible' WHEN reason IN ('noncurrent_assembly', 'over_500_contigs', 'nonhuman_context_outside_primary_reference_scope') THEN 'excluded' WHEN reason = 'nonhuman_type_or_experimental_context_not_patient_host' THEN 'context_only' WHEN reason = '201_to_500_contigs_pending_structural_quality' THEN 'reserve' ELSE 'review' END AS status, reason, anchor FROM z""")
 def selection_status(spark, d):
-    k = F.col("p_partkey")
+    """A policy as its caller writes it: what is asked, with which limits, in which order, and what each answer is called."""
+    k, c = F.col("p_partkey"), F.col
     of = lambda n: k % n == 0
-    group = F.when(of(5), "nonhuman_or_environmental").otherwise("unknown")
-    status, reason, anchor = selection.selection_status(
-        F.when(~of(19), F.col("p_brand")), ~of(17), F.when(~of(6), F.col("p_retailprice") / 12), F.when(~of(8), F.col("p_size") / 5.0), F.when(~of(9), F.col("p_size") * 12), group, of(3) | of(7), of(7), of(11), ~of(13))
-    return table(spark, d, "part").select("p_partkey", status.alias("status"), reason.alias("reason"), anchor.alias("anchor"))
+    part = table(spark, d, "part").select(
+        "p_partkey", F.when(~of(19), c("p_brand")).alias("scope"), (~of(17)).alias("current"), F.when(~of(6), c("p_retailprice") / 12).alias("completeness"), F.when(~of(8), c("p_size") / 5.0).alias("contamination"),
+        F.when(~of(9), c("p_size") * 12).alias("contigs"), of(5).alias("nonhuman"), of(7).alias("type_material"), (of(3) | of(7)).alias("structural"), of(11).alias("exempt"), (~of(13)).alias("taxonomy_ok"))
+    low, high = selection.outside(c("completeness"), low=90), selection.outside(c("contamination"), high=5)
+    near = (c("contigs") <= 200) & ~selection.outside(c("completeness"), low=70) & ~selection.outside(c("contamination"), high=15)
+    anchor = F.coalesce((low | high) & c("structural") & near, F.lit(False))
+    # The labels of this policy as it is published.
+    policy = [
+        (c("scope").isNull(), "review", "taxonomy_scope_unresolved"), (~c("current"), "excluded", "noncurrent_assembly"),
+        (low & ~anchor, "review", "reported_completeness_below_90_recheck"), (high & ~anchor, "review", "reported_contamination_above_5_recheck"),
+        (c("contigs") > 500, "excluded", "over_500_contigs"), (c("nonhuman") & ~c("type_material") & ~c("exempt"), "excluded", "nonhuman_context_outside_primary_reference_scope"),
+        (c("nonhuman"), "context_only", "nonhuman_type_or_experimental_context_not_patient_host"), (c("contigs") > 200, "reserve", "201_to_500_contigs_pending_structural_quality"),
+        (~c("taxonomy_ok"), "review", "NCBI_taxonomy_warning"),
+    ]
+    status, reason = selection.decide(policy)
+    return part.select("p_partkey", status.alias("status"), reason.alias("reason"), anchor.alias("anchor"))
 
 
 DEPTH = """ev AS (SELECT contig, pos, sum(x) AS x, sum(y) AS y FROM (SELECT contig, start0 AS pos, 1 AS x, CASE WHEN strand = '+' THEN 1 ELSE 0 END AS y FROM iv WHERE end0 > start0 UNION ALL SELECT contig, end0, -1, CASE WHEN strand = '+' THEN -1 ELSE 0 END FROM iv WHERE end0 > start0) GROUP BY 1, 2),

@@ -323,3 +323,33 @@ def test_matrix_has_a_column_for_every_name(spark):
     assert shape.matrix(df.limit(0), ["unit"], "name", "v").columns == ["unit"]
     with pytest.raises(ValueError):
         shape.matrix(df, ["unit"], "name", "v", most=10)
+
+
+def test_alignments_that_contradict_themselves_are_refused(spark):
+    from cohortmill.operators import clustering
+
+    good = dict(q="a", s="b", qstart=1, qend=3, sstart=1, send=3, qlen=9, slen=9, qseq="ACG", sseq="ACG", pident=100.0, length=3, evalue=0.0, bitscore=9.0)
+    assert clustering.alignment_union(spark.createDataFrame([good])).first().ani == 100.0
+    faults = [dict(qseq="AC-G", sseq="AC-G", length=4), dict(length=4), dict(qstart=0, qend=2), dict(sstart=8, send=10), dict(qseq="AC", length=2), dict(qstart=3, qend=1, qlen=2)]
+    for fault in faults:
+        with pytest.raises(Exception, match="gaps on both|unequal length|outside|length"):
+            clustering.alignment_union(spark.createDataFrame([good | fault])).collect()
+
+
+def test_rules_as_data(spark):
+    from cohortmill.operators import selection
+
+    df = spark.createDataFrame([(1, None), (2, 5.0), (3, 50.0), (4, 95.0)], "id long, x double")
+    low = selection.outside(F.col("x"), low=10, high=90)
+    status, reason = selection.decide([(F.col("x") > 90, "excluded", "above"), (low, "review", "odd"), (F.col("x").isNull() & F.lit(None), "review", "never")])
+    assert [(r.s, r.r) for r in df.select("id", status.alias("s"), reason.alias("r")).orderBy("id").collect()] == [("eligible", ""), ("review", "odd"), ("eligible", ""), ("excluded", "above")]
+
+
+def test_a_genus_entry_comes_before_a_longer_name(spark):
+    from cohortmill.operators import selection
+
+    records = spark.createDataFrame([(1, "Alpha beta gamma", ""), (2, "Alpha beta", ""), (3, "x delta y", "old")], "id long, name string, label string")
+    scope = spark.createDataFrame([("g", "Alpha", True), ("s", "Alpha beta", False), ("d", "delta", False)], "key string, query string, broad boolean")
+    queried = spark.createDataFrame([(1, "g"), (1, "s"), (2, "g"), (2, "s")], "id long, key string")
+    got = {r.id: (r.key, r.how) for r in selection.scope_keys(records, queried, scope, "id", "name", "label").collect()}
+    assert got == {1: ("g", "specific"), 2: ("s", "exact"), 3: ("d", "legacy")}
