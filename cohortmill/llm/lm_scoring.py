@@ -10,7 +10,7 @@ log p(word | both sides).
 Bucket counts come from all documents. Training is data-parallel: each task runs mini-batches over all its texts, masking
 one word in four at a time; every word of every text is a target exactly once in the ``rounds`` rounds. After a round the
 parameters of all tasks are averaged, weighted by their masked words. They number 25 V + 600 C or so: 1.6 MB at V = 2^14,
-7 MB at 2^16, whatever the corpus. Scores depend slightly on how the rows are dealt to tasks, as with any parameter
+7 MB at 2^16, whatever the corpus, and travel as blocks of 16,384 values that are added up in a tree. Scores depend slightly on how the rows are dealt to tasks, as with any parameter
 averaging; a retried task repeats its own result.
 
 Defined cases: null, empty and wordless texts have no tokens, log-likelihood 0 and a null mean; shorter contexts at a
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ LEAST_V, MOST_V, WORDS_A_BUCKET = 1 << 12, 1 << 16, 1 << 14
 OFFSETS = (-2, -1, 1, 2)
 BATCH, RATE = 8192, 0.08
 NAMES = ("E", "W1", "b1", "W2", "b2", "W3", "b3")
+BLOCK, TREE = 1 << 14, (4096, 64)
+PARTS = "task long, block int, width int, part binary"
 SCORES = "doc_id long, n_tokens long, log_likelihood double, mean_log_likelihood double"
 
 
@@ -143,28 +146,52 @@ class Network:
             step(k, g)
 
 
+def parts_of(values: np.ndarray) -> pa.RecordBatch:
+    """A task's array as rows (task, block, size of a value, bytes) of ``BLOCK`` values each."""
+    context = TaskContext.get()
+    blocks = [values[i : i + BLOCK] for i in range(0, len(values), BLOCK)]
+    task = pa.array([context.partitionId() if context else 0] * len(blocks), pa.int64())
+    return pa.RecordBatch.from_arrays([task, pa.array(range(len(blocks)), pa.int32()), pa.array([values.itemsize] * len(blocks), pa.int32()), pa.array([x.tobytes() for x in blocks], pa.binary())], ["task", "block", "width", "part"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = None
+    for width, part in zip(table["width"].to_pylist(), table["part"]):
+        values = np.frombuffer(part.as_buffer(), np.float32 if width == 4 else np.float64)
+        total = values.astype(np.float64) if total is None else total + values
+    row = pa.RecordBatch.from_arrays([table["task"].combine_chunks()[:1], table["block"].combine_chunks()[:1], pa.array([8], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["task", "block", "width", "part"])
+    return pa.Table.from_batches([row])
+
+
+def summed(rows: DataFrame) -> np.ndarray:
+    """The sum of all tasks' arrays. Tasks meet in a tree (their number modulo ``TREE``, then all), so that a group has some
+    hundreds of blocks at most for a million tasks; the driver gets one row a block."""
+    for groups in (*TREE, 1):
+        rows = rows.withColumn("task", F.col("task") % groups).groupBy("task", "block").applyInArrow(_added, PARTS)
+    found = sorted(rows.select("block", "part").toArrow().to_pylist(), key=lambda r: r["block"])
+    return np.concatenate([np.frombuffer(r["part"], np.float64) for r in found]) if found else np.zeros(0)
+
+
 def bucket_counts(docs: DataFrame, v: int | None = None) -> np.ndarray:
     """Words in each of v buckets; without v, of as many buckets as the corpus asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(MOST_V + 1, np.int64)
+        total = np.zeros(MOST_V + 1)
         for b in pieces(batches):
             padded, place, _ = bucket_words(b.column("text"), MOST_V)
             total += np.bincount(padded[place], minlength=MOST_V + 1)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+        if total.any():
+            yield parts_of(total)
 
-    counted = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(MOST_V)
-    for bucket, n in counted.collect():  # MOST_V rows at most
-        out[bucket] = n
+    found = summed(docs.select("text").mapInArrow(run, PARTS))
+    out = found[:MOST_V] if len(found) else np.zeros(MOST_V)
     if v is None:
         v = min(MOST_V, max(LEAST_V, 1 << max(0, round(float(np.log2(max(out.sum(), 1) / WORDS_A_BUCKET))))))
     return out.reshape(-1, v).sum(0)  # a bucket is the word's hash modulo v
 
 
 def _train_rows(net, round_: int, stride: int, turns: int | None = None):
-    """Each task's trained parameters times its masked words, as (place, value), and those words at place -1. The places of
+    """The number of each task's masked words and its trained parameters times that number, in blocks. The places of
     a text modulo ``stride`` are masked in turn, ``turns`` of them in a round (all unless told otherwise)."""
     turns = turns or stride
 
@@ -184,8 +211,7 @@ def _train_rows(net, round_: int, stride: int, turns: int | None = None):
                     p = masked[i : i + BATCH]
                     mine.train(np.stack([padded[p + o] for o in OFFSETS], 1), padded[p], seen)
         if total:
-            flat = np.concatenate([[1.0], *(mine.p[k].ravel() for k in NAMES)]).astype(np.float64) * total
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat) - 1)), pa.array(flat)], ["place", "value"])
+            yield parts_of((np.concatenate([[1.0], *(mine.p[k].ravel() for k in NAMES)]) * total).astype(np.float32))
 
     return run
 
@@ -198,12 +224,9 @@ def fit(docs: DataFrame, rounds: int = 2, stride: int = 4) -> Network:
     sc = docs.sparkSession.sparkContext
     for r in range(rounds):
         shared = sc.broadcast(net)
-        rows = docs.select("text").mapInArrow(_train_rows(shared, r, stride, stride // rounds), "place long, value double")
-        sums = rows.groupBy("place").agg(F.sum("value").alias("value")).toPandas()  # as many rows as parameters
+        flat = summed(docs.select("text").mapInArrow(_train_rows(shared, r, stride, stride // rounds), PARTS))
         shared.destroy()
-        if len(sums):
-            flat = np.zeros(len(sums))
-            flat[sums["place"].to_numpy() + 1] = sums["value"].to_numpy()
+        if len(flat):
             flat, at = flat[1:] / flat[0], 0
             for k in NAMES:
                 old = net.p[k]

@@ -267,3 +267,21 @@ def test_rows_without_an_id_are_documents_and_repeated_rows_count_once(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = sorted((r.doc_id or 0, r.n_tokens) for r in mixing.mix(docs, labels).collect())
     assert got == [(0, 0), (0, 3), (0, 5), (1, 5), (2, 0), (3, 1)]
+
+
+def test_arrays_of_many_tasks_are_added_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK", 100)
+    monkeypatch.setattr(lm_scoring, "TREE", (5, 2))
+
+    def run(kind):
+        def rows(batches):
+            for b in batches:
+                if b.num_rows:
+                    yield lm_scoring.parts_of((np.arange(250) * b.num_rows).astype(kind))
+
+        return rows
+
+    for kind in (np.float32, np.float64):
+        df = spark.range(0, 1000, 1, 23).mapInArrow(run(kind), lm_scoring.PARTS)
+        assert lm_scoring.summed(df).tolist() == (np.arange(250) * 1000).tolist()
+    assert len(lm_scoring.summed(spark.range(0).mapInArrow(run(np.float32), lm_scoring.PARTS))) == 0
