@@ -92,6 +92,32 @@ def standard_code(first: str = "tcag") -> dict[str, str]:
     return {a + b + c: amino[16 * i + 4 * j + k] for i, a in enumerate(first) for j, b in enumerate(first) for k, c in enumerate(first)}
 
 
+def coding_fault(seq: str | Column, table: dict[str, str]) -> Column:
+    """Why a coding sequence is none: empty, length (no multiple of three), letters (others than a, c, g, t), inner_stop (a stop
+    codon before the last one); else empty."""
+    s = col(seq)
+    inner = F.regexp_replace(translate_codons(s, table), r"\*$", "")
+    return F.when(F.coalesce(F.length(s), F.lit(0)) == 0, "empty").when(F.length(s) % 3 != 0, "length").when(s.rlike("[^acgt]"), "letters").when(F.instr(inner, "*") > 0, "inner_stop").otherwise("")
+
+
+def coding_protein(seq: str | Column, at_edge: Column, table: dict[str, str]) -> Column:
+    """The protein of a coding sequence: its first codon is read as M whatever it is, unless the sequence begins ``at_edge`` of its
+    contig; a stop at the end is left out."""
+    p = translate_codons(seq, table)
+    started = F.when(F.coalesce(at_edge, F.lit(False)) | (F.length(p) == 0), p).otherwise(F.concat(F.lit("M"), F.substring(p, 2, 1 << 30)))
+    return F.regexp_replace(started, r"\*$", "")
+
+
+def locate_in(part: str | Column, parent: str | Column) -> tuple[Column, Column]:
+    """(0-based place of a slice in its parent, status): unique, ambiguous (a second place, also one that overlaps the first),
+    absent, or unknown where either is null or the slice is empty. The place is null unless it is unique."""
+    a, b = col(part), col(parent)
+    first = F.instr(b, a)
+    second = F.instr(F.substring(b, first + 1, F.length(b)), a)
+    status = F.when(a.isNull() | b.isNull() | (a == ""), "unknown").when(first == 0, "absent").when(second > 0, "ambiguous").otherwise("unique")
+    return F.when(status == "unique", first - 1), status
+
+
 def verify_slices(occurrences: DataFrame, parents: DataFrame, key: str, seq: str, stored: str) -> DataFrame:
     """Adds ``same``: whether start0 to end0 of the parent, reverse-complemented on '-', has the stored SHA-256; null without a
     parent."""

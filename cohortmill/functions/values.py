@@ -104,3 +104,66 @@ def carriage(qualified: Column, conditions: Sequence[tuple[Column, str]]) -> tup
     missing = reasons([(~F.coalesce(ok, F.lit(False)), name) for ok, name in conditions])
     there = F.coalesce(qualified, F.lit(False))
     return F.when(there, "present").when(missing == "", "absent_assessable").otherwise("unknown"), F.when(there, "").otherwise(missing)
+
+
+def canonical_json(m: str | Column) -> Column:
+    """A map of text as JSON with its keys in order: equal maps give equal text."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(col(m)))))
+
+
+def covariate_fault(text: str | Column, kinds: dict[str, str]) -> Column:
+    """Why a JSON cell does not hold exactly the declared covariates: not an object, keys (missing or more than ``kinds`` names, or
+    one twice), or the names of values that are none of their kind (number, text; null is allowed); else empty."""
+    c = col(text)
+    keys = F.json_object_keys(c)
+    m = F.from_json(c, "map<string, string>")
+    whole = F.array_sort(keys) == F.array(*(F.lit(k) for k in sorted(kinds)))
+    wrong = F.concat_ws(";", *(F.when(m[k].isNotNull() & (m[k] != "null") & m[k].try_cast("double").isNull(), F.lit(k)) for k, kind in sorted(kinds.items()) if kind == "number"))
+    return F.when(keys.isNull() | m.isNull(), "not an object").when(~whole, "keys").otherwise(wrong)
+
+
+def value_fault(status: Column, value: Column, unit: Column) -> Column:
+    """Which rule between a value, its status and its unit is broken, else empty: value_without_assessment, assessed_without_value,
+    not_binary, not_a_count, not_a_fraction, not_finite, unknown_unit."""
+    known = value.isNotNull()
+    finite = ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return ladder([
+        (known & (status != "assessed"), "value_without_assessment"), (~known & (status == "assessed"), "assessed_without_value"), (known & ~finite, "not_finite"),
+        (known & (unit == "binary") & ~value.isin(0.0, 1.0), "not_binary"), (known & (unit == "count") & ((value < 0) | (value != F.floor(value))), "not_a_count"),
+        (known & (unit == "fraction") & ~value.between(0, 1), "not_a_fraction"), (known & ~unit.isin("binary", "count", "fraction", "number"), "unknown_unit")], "")
+
+
+def better_label(a: Column, b: Column, label_a: str, label_b: str, margin: float = 0.0) -> Column:
+    """The label of the greater of two probabilities; unknown where they are no more than ``margin`` apart, or one is no probability."""
+    good = F.coalesce(a.between(0, 1) & b.between(0, 1), F.lit(False))
+    return ladder([(~good, "unknown"), (a - b > margin, label_a), (b - a > margin, label_b)], "unknown")
+
+
+def packed(columns: Sequence[str], suffix: str) -> Column:
+    """The columns that end in ``suffix`` and are not null, as JSON by their names without it, in order; null where there is none."""
+    own = sorted(c for c in columns if c.endswith(suffix))
+    m = F.map_filter(F.create_map(*(x for c in own for x in (F.lit(c.removesuffix(suffix)), F.col(c).cast("string")))), lambda k, v: v.isNotNull())
+    return F.when(F.size(m) > 0, F.to_json(m)) if own else F.lit(None).cast("string")
+
+
+# How traces write units of time (milliseconds) and of size (bytes).
+TIMES = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
+SIZES = {"B": 1, "KB": 1 << 10, "MB": 1 << 20, "GB": 1 << 30, "TB": 1 << 40}
+
+
+def milliseconds(text: str | Column) -> Column:
+    """A duration such as '1h 2m 3.5s' or '250ms' in milliseconds; null where it is none."""
+    t = F.trim(col(text))
+    parts = F.split(t, r"\s+")
+    one = lambda x: F.regexp_extract(x, "^([0-9.]+)", 1).try_cast("double") * _unit(F.regexp_extract(x, "([a-zA-Z]+)$", 1), TIMES)
+    return F.when(t.rlike(r"^([0-9]+(\.[0-9]+)?(ms|s|m|h|d))(\s+[0-9]+(\.[0-9]+)?(ms|s|m|h|d))*$"), F.round(F.aggregate(parts, F.lit(0.0), lambda s, x: s + one(x))).cast("long"))
+
+
+def bytes_of(text: str | Column) -> Column:
+    """A size such as '1.5 GB' in bytes; null where it is none."""
+    t = F.trim(col(text))
+    return F.when(t.rlike(r"^[0-9]+(\.[0-9]+)? ?(B|KB|MB|GB|TB)$"), F.round(F.regexp_extract(t, "^([0-9.]+)", 1).try_cast("double") * _unit(F.regexp_extract(t, "([A-Z]+)$", 1), SIZES)).cast("long"))
+
+
+def _unit(name: Column, table: dict[str, int]) -> Column:
+    return reduce(lambda acc, kv: acc.when(name == kv[0], F.lit(float(kv[1]))), list(table.items())[1:], F.when(name == next(iter(table)), F.lit(float(next(iter(table.values()))))))

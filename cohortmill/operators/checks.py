@@ -64,6 +64,35 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0)).cast("string").alias("digest"))
 
 
+def content_digest(df: DataFrame) -> DataFrame:
+    """(n_rows, digest) of a table of text, whole numbers and booleans, as any engine can compute it: the sum of the first 60 bits of
+    each row's MD5, over its columns by name as text (null as a letter of its own), joined by a unit separator. Rows may come in
+    any order, and a repeated row counts again."""
+    row = F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n")) for c in sorted(df.columns)))
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.conv(F.left(F.md5(row), F.lit(15)), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+
+
+def verify_content(df: DataFrame, n_rows: int, digest: str) -> None:
+    """Stop where a table is not what was recorded of it."""
+    found = content_digest(df).first()
+    if (found.n_rows, found.digest) != (n_rows, digest):
+        raise ValueError(f"the table has changed: {n_rows} rows with digest {digest} were recorded, {found.n_rows} with {found.digest} are there")
+
+
+def violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """key, rule: a row for each named rule that a row breaks; a condition that is null is not broken."""
+    broken = F.filter(F.array(*(F.when(cond, F.lit(name)) for name, cond in rules.items())), lambda x: x.isNotNull())
+    return df.select(key, F.explode(broken).alias("rule"))
+
+
+def run_states(df: DataFrame, key: str, status: str, value: str) -> DataFrame:
+    """key, rule: values that their run's state does not allow. A failed or missing run has none, and a zero, which says that nothing
+    was found, needs a completed run; a completed run has a value."""
+    s, v = F.coalesce(F.col(status), F.lit("missing")), F.col(value)
+    return violations(df, key, {
+        "zero_without_completed_run": (v == 0) & (s != "completed"), "value_without_completed_run": (v != 0) & (s != "completed"), "completed_without_value": v.isNull() & (s == "completed"), "unknown_state": ~s.isin("completed", "failed", "missing")})
+
+
 def report(checks: dict[str, DataFrame]) -> DataFrame:
     """One row per named check: code, n_violations."""
     parts = [df.agg(F.count("*").alias("n_violations")).select(F.lit(code).alias("code"), "n_violations") for code, df in checks.items()]

@@ -14,6 +14,14 @@ def flag_best(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name:
     return df.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)) == 1)
 
 
+def flag_first(df: DataFrame, key: str, order: str, name: str = "is_first") -> DataFrame:
+    """All rows, with true for those of the least ``order`` of their key. The least is aggregated before the shuffle and joined with
+    a second key, so that a key that many rows share is split over tasks."""
+    split = F.pmod(F.xxhash64(key), F.lit(1 << 20))
+    least = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_least")).withColumn("_s", split)
+    return df.withColumn("_s", split).hint("shuffle_merge").join(least, [key, "_s"], "left").withColumn(name, F.coalesce(F.col(order) == F.col("_least"), F.lit(False))).drop("_s", "_least")
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first k rows of each key."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k)

@@ -130,3 +130,22 @@ def matrix(df: DataFrame, row: Sequence[str], column: str, value: str, most: int
     if len(names) > most:
         raise ValueError(f"more than {most} columns")
     return df.groupBy(*row).pivot(column, sorted(names)).agg(F.max(value)) if names else df.select(*row).distinct()
+
+
+def merge_occurrences(df: DataFrame, key: str, least: Sequence[str] = (), most: Sequence[str] = (), single: Sequence[str] = (), conflict: str = "conflict") -> DataFrame:
+    """One row for each key, as careful as its rows allow: the ``least`` columns' minima and the ``most`` columns' maxima, null where
+    any row's is; ``single`` columns' value where all rows that have one agree, else ``conflict``; n_occurrences."""
+    whole = lambda c, f: F.when(F.count("*") == F.count(c), f(c)).alias(c)
+    one = lambda c: F.when(F.count_distinct(c) > 1, conflict).otherwise(F.max(F.col(c).cast("string"))).alias(c)
+    return df.groupBy(key).agg(*(whole(c, F.min) for c in least), *(whole(c, F.max) for c in most), *(one(c) for c in single), F.count("*").alias("n_occurrences"))
+
+
+def evidence_counts(tables: dict[str, tuple[DataFrame, Column, Column]], key: str = "key", category: str = "category") -> DataFrame:
+    """key, category, n_features (distinct) and sources (which tables, in order) of set features from several tables: name to (table,
+    key, feature); the category is the feature's text up to a colon."""
+    rows = [t.select(k.cast("string").alias(key), f.cast("string").alias("_f"), F.lit(name).alias("_source")).where("_f is not null").distinct() for name, (t, k, f) in tables.items()]
+    every = rows[0]
+    for r in rows[1:]:
+        every = every.unionByName(r)
+    g = every.groupBy(key, F.substring_index("_f", ":", 1).alias(category)).agg(F.count_distinct("_f").alias("n_features"), F.array_sort(F.collect_set("_source")).alias("_s"))
+    return g.select(key, category, "n_features", F.array_join("_s", ";").alias("sources"))

@@ -208,3 +208,22 @@ def group_tests(df: DataFrame, feature: str, case: Column, hit: Column, value: s
     out = tests.groupBy(feature).agg(F.any_value("_row").alias("_row"), q("fisher"), q("perm")).select(feature, "_row.*", "fisher_q", "perm_q")
     out._holds = tests._holds
     return out
+
+
+def family_tests(wanted: DataFrame, results: DataFrame, family: Sequence[str], key: str, p: str = "p") -> DataFrame:
+    """Each declared test of a family with its result: family, key, p, status (tested, failed), q, family_status.
+
+    A declared test without a result, or with a null p, has failed: it stays in the family with p = 1, so that a family can't
+    shrink to what worked. A family with results that were not declared, or with two for one test, is not_declared: no q.
+    """
+    both = [*family, key]
+    w, r = wanted.select(*both).distinct(), results.select(*both, F.col(p).alias("_p"))
+    r = r.groupBy(*both).agg(F.count("*").alias("_k"), F.max("_p").alias("_p"))
+    met = w.withColumn("_w", F.lit(1)).hint("shuffle_merge").join(r, both, "full_outer")
+    odd = met.groupBy(*family).agg(F.max(F.when(F.col("_w").isNull() | (F.col("_k") > 1), 1).otherwise(0)).alias("_odd"))
+    met = met.where("_w = 1").hint("shuffle_merge").join(odd, list(family))
+    met = met.select(*both, F.coalesce("_p", F.lit(1.0)).alias("_p"), F.when(F.col("_p").isNull(), "failed").otherwise("tested").alias("status"), F.when(F.col("_odd") == 1, "not_declared").otherwise("complete").alias("family_status"))
+    out = bh_adjust(met, family, "_p")
+    named = out.select(*both, F.col("_p").alias(p), "status", F.when(F.col("family_status") == "complete", F.col("q")).alias("q"), "family_status")
+    named._holds = out._holds
+    return named

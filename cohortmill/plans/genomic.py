@@ -198,7 +198,7 @@ def translate_cds(spark, d):
 @query(with_views("SELECT doc_id, seq_hash, row_number() OVER (PARTITION BY seq_hash ORDER BY doc_id) = 1 AS kept FROM (SELECT doc_id, md5(seq) AS seq_hash FROM seq)", "seq"))
 def exact_dups(spark, d):
     x = view(spark, d, "seq").select("doc_id", F.md5("seq").alias("seq_hash"))
-    return ranking.flag_best(x, ["seq_hash"], [F.asc("doc_id")], "kept")
+    return ranking.flag_first(x, "seq_hash", "doc_id", "kept")
 
 
 @query(with_views("SELECT md5(least(seq, reverse(translate(seq, 'acgt', 'tgca')))) AS grp, count(*) AS n_members, array_to_string(list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))), ';') AS members FROM seq GROUP BY 1", "seq"))
