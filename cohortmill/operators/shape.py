@@ -75,8 +75,8 @@ def divides(owned: DataFrame, required: DataFrame, owner: str, item: str, group:
     """Relational division: (owner, group) where the owner has every required item of the group."""
     need = required.select(group, item).distinct()
     size = need.groupBy(group).agg(F.count("*").alias("n_required"))
-    have = owned.select(owner, item).distinct().join(need, item).groupBy(owner, group).agg(F.count("*").alias("n_owned"))
-    return have.join(size, group).where("n_owned = n_required").select(owner, group)
+    have = owned.select(owner, item).distinct().hint("shuffle_merge").join(need, item).groupBy(owner, group).agg(F.count("*").alias("n_owned"))
+    return have.hint("shuffle_merge").join(size, group).where("n_owned = n_required").select(owner, group)
 
 
 def entity_levels(sheet: DataFrame, levels: Sequence[tuple[str, str, Sequence[str]]]) -> tuple[dict[str, DataFrame], DataFrame]:

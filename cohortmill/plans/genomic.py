@@ -47,7 +47,7 @@ def neighborhood_topk(spark, d):
 def caller_pairs(spark, d):
     loci = view(spark, d, "loci")
     x, y = loci.alias("x"), loci.alias("y")
-    both = x.join(y, (F.col("x.contig") == F.col("y.contig")) & (F.col("x.locus_id") < F.col("y.locus_id")) & (F.col("x.caller") != F.col("y.caller")))
+    both = x.hint("shuffle_merge").join(y, (F.col("x.contig") == F.col("y.contig")) & (F.col("x.locus_id") < F.col("y.locus_id")) & (F.col("x.caller") != F.col("y.caller")))
     rel = S.relation(F.col("x.start0"), F.col("x.end0"), F.col("y.start0"), F.col("y.end0"))
     return both.select(F.col("x.locus_id").alias("a"), F.col("y.locus_id").alias("b"), rel.alias("relation"))
 

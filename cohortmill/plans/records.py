@@ -23,7 +23,7 @@ def depth_feasible(spark, d):
  SELECT contig, CAST(sum(greatest(0, end0 - greatest(start0, coalesce(b, start0)))) AS BIGINT) AS covered, count(*) AS n FROM m GROUP BY 1""", "iv"))
 def depth_donor(spark, d):
     iv = view(spark, d, "iv").where("end0 > start0")
-    return intervals.union_length(iv, ["contig"]).join(iv.groupBy("contig").agg(F.count("*").alias("n")), "contig")
+    return intervals.union_length(iv, ["contig"]).hint("shuffle_merge").join(iv.groupBy("contig").agg(F.count("*").alias("n")), "contig")
 
 
 @query(with_views("""WITH ev AS (SELECT contig, pos, sum(x) AS x FROM (SELECT contig, start0 AS pos, 1 AS x FROM iv WHERE end0 > start0 UNION ALL SELECT contig, end0, -1 FROM iv WHERE end0 > start0) GROUP BY 1, 2),
@@ -35,7 +35,7 @@ def ratio_call(spark, d):
     segs = intervals.depth_segments(view(spark, d, "iv"), ["contig"])
     bg = segs.groupBy("contig").agg((F.sum((F.col("end0") - F.col("start0")) * F.col("depth")) / 100000).alias("background"))
     loci = view(spark, d, "loci")
-    inside = intervals.breadth_in(segs, loci, ["contig"], "locus_id").where("covered > 0").join(loci.select("locus_id", "contig"), "locus_id").join(bg, "contig")
+    inside = intervals.breadth_in(segs, loci, ["contig"], "locus_id").where("covered > 0").hint("shuffle_merge").join(loci.select("locus_id", "contig"), "locus_id").hint("shuffle_merge").join(bg, "contig")
     ratio = F.col("mean_depth") / F.col("background")
     return inside.select("locus_id", r6(ratio, "ratio"), F.when(ratio >= 1.1, "raised").otherwise("level").alias("call"))
 

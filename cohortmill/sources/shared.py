@@ -18,7 +18,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="spark-"))
+    if "dir" not in _LOCAL:
+        _LOCAL["dir"] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL["dir"]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
