@@ -39,6 +39,9 @@ def test_queries_have_the_columns_of_their_contracts(spark):
         "op6_": {"doc_id", "n_lines", "n_dropped", "kept_sha256"},
         "op8_": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"},
         "op9_": {"doc_id", "n_bytes", "n_tokens", "over_limit"},
+        "op11": {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"},
+        "op12": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
+        "op13": {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
     }
     for name, f in registered.queries().items():
         df = f(spark, DATA)
@@ -50,7 +53,7 @@ def test_queries_against_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     for name, sql in registered.oracle_sql().items():
         df = registered.queries()[name](spark, DATA)
@@ -81,3 +84,5 @@ def test_pipeline_stages_on_odd_tables(spark, odd, empty):
         assert out.columns == docs.columns and out.count() <= docs.count()
         docs = out
     assert docs.where("text is null").count() == 0 and docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").count() == 0
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert mixed.count() == docs.where("doc_id is not null").select("doc_id").distinct().count() + docs.where("doc_id is null").count()
