@@ -33,6 +33,7 @@ V, DIM, HIDDEN = 1 << 14, 8, 16
 LEAST_V, MOST_V, WORDS_A_BUCKET = 1 << 12, 1 << 16, 1 << 14
 OFFSETS = (-2, -1, 1, 2)
 BATCH, RATE = 8192, 0.08
+ONES = np.ones(MOST_V, np.float32)
 NAMES = ("E", "W1", "b1", "W2", "b2", "W3", "b3")
 BLOCK, TREE = 1 << 14, (4096, 64)
 PARTS = "task long, block int, width int, part binary"
@@ -78,14 +79,19 @@ class Network:
         self.p["b3"] = np.log(n / held[in_class]).astype(np.float32)
 
     @staticmethod
-    def softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Shares of each output, h @ w.T + b. As no hidden unit is beyond 1, large weights alone can overflow."""
+    def large(w: np.ndarray, b: np.ndarray) -> bool:
+        """Whether h @ w.T + b may be beyond what exp takes. As no hidden unit is beyond 1, large weights alone can overflow."""
+        return bool(np.abs(w).sum(1).max() + np.abs(b).max() > 80)
+
+    @staticmethod
+    def softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, large: bool) -> np.ndarray:
+        """Shares of each output, h @ w.T + b."""
         e = h @ w.T
         e += b
-        if np.abs(w).sum(1).max() + np.abs(b).max() > 80:
+        if large:
             e -= e.max(1, keepdims=True)
         np.exp(e, out=e)
-        e *= (1 / (e @ np.ones(len(w), np.float32)))[:, None]
+        e *= (1 / (e @ ONES[: len(w)]))[:, None]
         return e
 
     def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,7 +100,7 @@ class Network:
         h = x @ self.p["W1"]
         h += self.p["b1"]
         np.tanh(h, out=h)
-        return x, h, self.softmax(h, self.p["W2"], self.p["b2"])
+        return x, h, self.softmax(h, self.p["W2"], self.p["b2"], self.large(self.p["W2"], self.p["b2"]))
 
     def by_class(self, word: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
         """(places, first word, word after the last) of each class of several words among ``word`` (ranks)."""
@@ -104,19 +110,20 @@ class Network:
         for i in np.flatnonzero((np.diff(at) > 0) & (np.diff(self.first) > 1)):
             yield order[at[i] : at[i + 1]], int(self.first[i]), int(self.first[i + 1])
 
-    def within(self, h: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    def within(self, h: np.ndarray, lo: int, hi: int, large: bool) -> np.ndarray:
         """p of each word of a class, given the hidden layer."""
-        return self.softmax(h, self.p["W3"][lo:hi], self.p["b3"][lo:hi])
+        return self.softmax(h, self.p["W3"][lo:hi], self.p["b3"][lo:hi], large)
 
     def log_p(self, padded: np.ndarray, place: np.ndarray) -> np.ndarray:
         out = np.empty(len(place))
+        large = self.large(self.p["W3"], self.p["b3"])  # asked once for all classes
         for i in range(0, len(place), 1 << 15):
             at = place[i : i + (1 << 15)]
             word = self.rank[padded[at]]
             _, h, z = self.forward(np.stack([padded[at + o] for o in OFFSETS], 1))
             p = z[np.arange(len(at)), self.in_class[word]].astype(float)
             for these, lo, hi in self.by_class(word):
-                p[these] *= self.within(h[these], lo, hi)[np.arange(len(these)), word[these] - lo]
+                p[these] *= self.within(h[these], lo, hi, large)[np.arange(len(these)), word[these] - lo]
             out[i : i + len(at)] = np.log(np.maximum(p, 1e-30))
         return out
 
@@ -131,8 +138,9 @@ class Network:
             seen[k][at] += g * g
             self.p[k][at] -= RATE * g / (np.sqrt(seen[k][at]) + 1e-6)
 
+        large = self.large(self.p["W3"], self.p["b3"])
         for these, lo, hi in self.by_class(word):
-            e = self.within(h[these], lo, hi)
+            e = self.within(h[these], lo, hi, large)
             e[np.arange(len(these)), word[these] - lo] -= 1
             dh[these] += e @ self.p["W3"][lo:hi]
             step("W3", e.T @ h[these] / n, slice(lo, hi))
