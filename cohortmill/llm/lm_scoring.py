@@ -33,6 +33,7 @@ V, DIM, HIDDEN = 1 << 14, 8, 16
 LEAST_V, MOST_V, WORDS_A_BUCKET = 1 << 12, 1 << 16, 1 << 14
 OFFSETS = (-2, -1, 1, 2)
 BATCH, RATE = 8192, 0.08
+ROWS = 1024  # of a batch whose outputs are worked on at once, so that they stay in a core's cache
 ONES = np.ones(MOST_V, np.float32)
 NAMES = ("E", "W1", "b1", "W2", "b2", "W3", "b3")
 BLOCK, TREE = 1 << 14, (4096, 64)
@@ -84,74 +85,90 @@ class Network:
         return bool(np.abs(w).sum(1).max() + np.abs(b).max() > 80)
 
     @staticmethod
-    def softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, large: bool) -> np.ndarray:
-        """Shares of each output, h @ w.T + b."""
+    def exps(h: np.ndarray, w: np.ndarray, b: np.ndarray, large: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(exp of each output, h @ w.T + b, up to a factor a row; one over the sum of each row)."""
         e = h @ w.T
         e += b
         if large:
             e -= e.max(1, keepdims=True)
         np.exp(e, out=e)
-        e *= (1 / (e @ ONES[: len(w)]))[:, None]
-        return e
+        return e, 1 / (e @ ONES[: len(w)])
 
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(inputs, hidden, p of each class) for contexts of four buckets."""
-        x = self.p["E"][self.rank[context]].reshape(len(context), -1)
+    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ranks, inputs, hidden layer) for contexts of four buckets."""
+        rank = self.rank[context]
+        x = self.p["E"][rank].reshape(len(context), -1)
         h = x @ self.p["W1"]
         h += self.p["b1"]
-        np.tanh(h, out=h)
-        return x, h, self.softmax(h, self.p["W2"], self.p["b2"], self.large(self.p["W2"], self.p["b2"]))
+        return rank, x, np.tanh(h, out=h)
 
-    def by_class(self, word: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
-        """(places, first word, word after the last) of each class of several words among ``word`` (ranks)."""
-        c = self.in_class[word]
+    def by_class(self, word: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """``word`` (ranks) ordered by class, and of each class of several words that occurs: (first and end in that order,
+        first word and end of the class)."""
+        c = self.in_class[word].astype(np.int16)  # at most 512 classes; short integers are sorted by radix
         order = np.argsort(c, kind="stable")
-        at = np.searchsorted(c[order], np.arange(len(self.first)))
-        for i in np.flatnonzero((np.diff(at) > 0) & (np.diff(self.first) > 1)):
-            yield order[at[i] : at[i + 1]], int(self.first[i]), int(self.first[i + 1])
-
-    def within(self, h: np.ndarray, lo: int, hi: int, large: bool) -> np.ndarray:
-        """p of each word of a class, given the hidden layer."""
-        return self.softmax(h, self.p["W3"][lo:hi], self.p["b3"][lo:hi], large)
+        at = np.concatenate([[0], np.cumsum(np.bincount(c, minlength=len(self.first) - 1))])
+        found = np.flatnonzero((np.diff(at) > 0) & (np.diff(self.first) > 1))
+        return order, list(zip(at[found].tolist(), at[found + 1].tolist(), self.first[found].tolist(), self.first[found + 1].tolist()))
 
     def log_p(self, padded: np.ndarray, place: np.ndarray) -> np.ndarray:
         out = np.empty(len(place))
-        large = self.large(self.p["W3"], self.p["b3"])  # asked once for all classes
+        w2, b2, w3, b3 = (self.p[k] for k in ("W2", "b2", "W3", "b3"))
+        large2, large3 = self.large(w2, b2), self.large(w3, b3)  # asked once for all classes
         for i in range(0, len(place), 1 << 15):
             at = place[i : i + (1 << 15)]
             word = self.rank[padded[at]]
-            _, h, z = self.forward(np.stack([padded[at + o] for o in OFFSETS], 1))
-            p = z[np.arange(len(at)), self.in_class[word]].astype(float)
-            for these, lo, hi in self.by_class(word):
-                p[these] *= self.within(h[these], lo, hi, large)[np.arange(len(these)), word[these] - lo]
-            out[i : i + len(at)] = np.log(np.maximum(p, 1e-30))
+            h = self.hidden(np.stack([padded[at + o] for o in OFFSETS], 1))[2]
+            c, p = self.in_class[word], np.empty(len(at))
+            for j in range(0, len(at), ROWS):
+                e, one_over = self.exps(h[j : j + ROWS], w2, b2, large2)
+                p[j : j + ROWS] = e[np.arange(len(e)), c[j : j + ROWS]] * one_over
+            order, classes = self.by_class(word)
+            h, word, p = h[order], word[order], p[order]
+            for a, z, lo, hi in classes:
+                e, one_over = self.exps(h[a:z], w3[lo:hi], b3[lo:hi], large3)
+                p[a:z] *= e[np.arange(z - a), word[a:z] - lo] * one_over
+            out[i + order] = np.log(np.maximum(p, 1e-30))
         return out
 
     def train(self, context: np.ndarray, word: np.ndarray, seen: dict[str, np.ndarray]) -> None:
         """One Adagrad step; seen: sums of squared gradients, changed in place."""
         n, word = len(word), self.rank[word]
-        x, h, d = self.forward(context)
-        d[np.arange(n), self.in_class[word]] -= 1
-        dh = d @ self.p["W2"]  # divided by n below
-
-        def step(k: str, g: np.ndarray, at: slice = slice(None)) -> None:
-            seen[k][at] += g * g
-            self.p[k][at] -= RATE * g / (np.sqrt(seen[k][at]) + 1e-6)
-
-        large = self.large(self.p["W3"], self.p["b3"])
-        for these, lo, hi in self.by_class(word):
-            e = self.within(h[these], lo, hi, large)
-            e[np.arange(len(these)), word[these] - lo] -= 1
-            dh[these] += e @ self.p["W3"][lo:hi]
-            step("W3", e.T @ h[these] / n, slice(lo, hi))
-            step("b3", e.sum(0) / n, slice(lo, hi))
+        rank, x, h = self.hidden(context)
+        c, dh = self.in_class[word], np.empty_like(h)
+        w2, b2, w3, b3 = (self.p[k] for k in ("W2", "b2", "W3", "b3"))
+        g = {k: np.zeros_like(self.p[k]) for k in ("W2", "b2", "W3", "b3")}  # sums over the batch, divided by n below
+        large2, large3 = self.large(w2, b2), self.large(w3, b3)
+        for j in range(0, n, ROWS):
+            own = h[j : j + ROWS]
+            d, one_over = self.exps(own, w2, b2, large2)
+            d *= one_over[:, None]
+            d[np.arange(len(d)), c[j : j + ROWS]] -= 1
+            np.matmul(d, w2, out=dh[j : j + ROWS])
+            g["W2"] += d.T @ own
+            g["b2"] += ONES[: len(d)] @ d
+        order, classes = self.by_class(word)
+        own_h, own_word, own_dh = h[order], word[order], dh[order]
+        for a, z, lo, hi in classes:
+            e, one_over = self.exps(own_h[a:z], w3[lo:hi], b3[lo:hi], large3)
+            e *= one_over[:, None]
+            e[np.arange(z - a), own_word[a:z] - lo] -= 1
+            own_dh[a:z] += e @ w3[lo:hi]
+            np.matmul(e.T, own_h[a:z], out=g["W3"][lo:hi])
+            np.matmul(ONES[: z - a], e, out=g["b3"][lo:hi])
+        dh[order] = own_dh
         dh *= (1 - h * h) / n
-        dx = (dh @ self.p["W1"].T).reshape(-1, DIM)
-        flat = self.rank[context].ravel()
-        de = np.stack([np.bincount(flat, dx[:, i], self.v + 1) for i in range(DIM)], 1).astype(np.float32)
-        de[self.v] = 0
-        for k, g in (("E", de), ("W1", x.T @ dh), ("b1", dh.sum(0)), ("W2", d.T @ h / n), ("b2", d.sum(0) / n)):
-            step(k, g)
+        for k in g:
+            g[k] /= n
+        dx, flat = (dh @ self.p["W1"].T).reshape(-1, DIM), rank.ravel()
+        g["E"] = np.stack([np.bincount(flat, dx[:, i], self.v + 1) for i in range(DIM)], 1).astype(np.float32)
+        g["E"][self.v] = 0
+        g["W1"], g["b1"] = x.T @ dh, dh.sum(0)
+        for k, by in g.items():
+            seen[k] += by * by
+            by *= RATE
+            by /= np.sqrt(seen[k]) + 1e-6
+            self.p[k] -= by
 
 
 def parts_of(values: np.ndarray) -> pa.RecordBatch:
