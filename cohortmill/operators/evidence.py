@@ -191,3 +191,29 @@ def member_counts(candidates: DataFrame, met: DataFrame, key: str, category: str
     share = hit.groupBy(key, "system").agg((F.count("_in") / F.count("*")).alias("o")).groupBy(key).agg(F.max("o").alias("best_overlap"))
     return out.hint("shuffle_merge").join(share, key, "left").withColumn("best_overlap", F.coalesce("best_overlap", F.lit(0.0)))
 
+
+
+def linked_context(measured: DataFrame, links: DataFrame, labels: DataFrame, abundance: DataFrame, unit: str, key: str, taxon: str = "taxon") -> DataFrame:
+    """A row for each measurement (unit, key and any other columns) and each taxon linked with its key, with n_taxa (of the key),
+    label, resolution, abundance and context_status.
+
+    ``links``: key, taxon, as often as a pair occurs (a null on either side is no link); ``labels``: taxon, label, resolution, one row a taxon; ``abundance``:
+    unit, label, abundance, one row a cell. context_status: measured; unmeasured (the label has no row in this unit, or a null); no_label (the taxon has none). A missing
+    abundance stays null and is never zero. Measurements of keys without links have no row: nothing is said of them.
+    """
+    pairs = links.where(F.col(key).isNotNull() & F.col(taxon).isNotNull()).select(key, taxon).distinct()
+    n = pairs.groupBy(key).agg(F.count("*").alias("n_taxa"))
+    named = pairs.hint("shuffle_merge").join(n, key).hint("shuffle_merge").join(labels.select(taxon, "label", "resolution"), taxon, "left")
+    cells = measured.hint("shuffle_merge").join(named, key).hint("shuffle_merge").join(abundance.select(unit, "label", "abundance"), [unit, "label"], "left")
+    status = V.ladder([(F.col("label").isNull(), "no_label"), (F.col("abundance").isNull(), "unmeasured")], "measured")
+    return cells.withColumn("context_status", status)
+
+
+def context_summary(context: DataFrame, unit: str, key: str, detected: Column, taxon: str = "taxon") -> DataFrame:
+    """taxon, n_keys, n_detected (cells of unit and key with a detection), n_units, n_positive (units with an abundance above zero; null
+    where one of the taxon's units is not measured). Units and cells are made distinct before they are counted."""
+    cells = context.groupBy(taxon, unit, key).agg(F.max(F.when(detected, 1).otherwise(0)).alias("_d"), F.max("abundance").alias("_a"))
+    by_unit = cells.groupBy(taxon, unit).agg(F.max("_a").alias("_a"))
+    units = by_unit.groupBy(taxon).agg(F.count("*").alias("n_units"), F.when(F.count("*") == F.count("_a"), F.sum(F.when(F.col("_a") > 0, 1).otherwise(0))).alias("n_positive"))
+    keys = cells.groupBy(taxon, key).agg(F.sum("_d").alias("_d")).groupBy(taxon).agg(F.count("*").alias("n_keys"), F.sum("_d").alias("n_detected"))
+    return keys.hint("shuffle_merge").join(units, taxon)

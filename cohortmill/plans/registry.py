@@ -27,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import calls, contracts, core, coverage, further, genomic, loci, more, policies, records, rules, study  # noqa: F401
+    from . import calls, context, contracts, core, coverage, further, genomic, loci, more, policies, records, rules, study  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cohortmill.functions import sequences as S
 from cohortmill.functions import values as V
-from cohortmill.operators import checks, graph, intervals, ranking, shape, stats
+from cohortmill.operators import checks, elements, evidence, execution, graph, intervals, ranking, shape, stats
 
 
 def test_published_statistics(spark):
@@ -353,3 +353,45 @@ def test_a_genus_entry_comes_before_a_longer_name(spark):
     queried = spark.createDataFrame([(1, "g"), (1, "s"), (2, "g"), (2, "s")], "id long, key string")
     got = {r.id: (r.key, r.how) for r in selection.scope_keys(records, queried, scope, "id", "name", "label").collect()}
     assert got == {1: ("g", "specific"), 2: ("s", "exact"), 3: ("d", "legacy")}
+
+
+def test_states_of_a_trace(spark):
+    stages = {"CALL": "call", "CHECK": "check"}
+    rows = [
+        (1, "flow:CALL (a)", "COMPLETED", "0"), (2, "flow:CHECK (a)", "CACHED", "7"), (3, "CALL (b)", "FAILED", "1"), (4, "CALL (b)", "COMPLETED", "0"), (5, "CHECK (b)", "COMPLETED", "0"),
+        (6, "CALL (c)", None, "-"), (7, "CALL (z)", "COMPLETED", "0"), (8, "OTHER (a)", "FAILED", "1"), (9, "summary", "FAILED", "1"), (10, None, "FAILED", "1"), (11, "flow:CALL (e)", "COMPLETED", ""), (12, "CHECK (e)", "completed", None),
+    ]
+    units = spark.createDataFrame([(x,) for x in "aabcde"], "u string")
+    met = execution.tasks(spark.createDataFrame(rows, "task_id long, name string, status string, exit string"), stages)
+    published = spark.createDataFrame([("a", 4), ("b", 2), ("c", 0), ("e", 0)], "u string, n long")
+    got = {r.u: (r.call_status, r.check_status, r.failed_tasks, r.execution_status, r.n_published) for r in execution.unit_states(units, met, "u", stages, "check", "call", published).collect()}
+    assert got == {
+        "a": ("completed", "cached", "", "completed", 4), "b": ("completed", "completed", "CALL", "failed", 2), "c": ("unfinished", "not_run", "", "incomplete", None), "d": ("not_run", "not_run", "", "not_run", None),
+        "e": ("completed", "completed", "", "completed_zero", 0),
+    }
+    assert [tuple(r) for r in execution.strangers(units, met, "u").collect()] == [("z", 1)]
+    assert {r.execution_status for r in execution.unit_states(units, met.limit(0), "u", stages, "check", traced=False).collect()} == {"unknown"}
+
+
+def test_classes_need_searches_and_support(spark):
+    rows = [(1, 5, 1, "done"), (2, 5, 0, "done"), (3, 0, 0, "done"), (4, 5, 1, None), (5, None, None, "done"), (6, 9, 0, "done")]
+    df = spark.createDataFrame(rows, "id int, n int, head int, state string")
+    out = elements.classify(df, [(F.col("n") > 8, "large", F.concat(F.lit("n="), "n"))], ("plain", "default"), F.col("n") > 0, ["state"], ["done"], {"plain": F.col("head") > 0})
+    got = {r.id: (r.preliminary_class, r.element_class, r.evidence, r.classification_status) for r in out.collect()}
+    assert got == {
+        1: ("plain", "plain", "default", "assessed"), 2: ("plain", "unclassified", "no_positive_evidence", "assessed"), 3: ("plain", "not_assessed", "incomplete;preliminary=plain", "not_assessed"),
+        4: ("plain", "not_assessed", "incomplete;preliminary=plain", "not_assessed"), 5: ("plain", "not_assessed", "incomplete;preliminary=plain", "not_assessed"), 6: ("large", "large", "n=9", "assessed"),
+    }
+
+
+def test_context_keeps_what_is_not_measured_apart_from_zero(spark):
+    measured = spark.createDataFrame([("s", "v", True), ("t", "v", False), ("s", "w", True), (None, "v", True)], "unit string, key string, detected boolean")
+    links = spark.createDataFrame([("v", "A"), ("v", "A"), ("v", "B"), ("v", None), (None, "A"), ("x", "A")], "key string, taxon string")
+    labels = spark.createDataFrame([("A", "a", "species")], "taxon string, label string, resolution string")
+    abundance = spark.createDataFrame([("s", "a", 0.0)], "unit string, label string, abundance double")
+    context = evidence.linked_context(measured, links, labels, abundance, "unit", "key")
+    got = sorted((str(r.unit), r.key, r.taxon, r.n_taxa, r.abundance, r.context_status) for r in context.collect())
+    assert got == [
+        ("None", "v", "A", 2, None, "unmeasured"), ("None", "v", "B", 2, None, "no_label"), ("s", "v", "A", 2, 0.0, "measured"), ("s", "v", "B", 2, None, "no_label"), ("t", "v", "A", 2, None, "unmeasured"), ("t", "v", "B", 2, None, "no_label")]
+    found = {r.taxon: (r.n_keys, r.n_detected, r.n_units, r.n_positive) for r in evidence.context_summary(context.where("unit is not null"), "unit", "key", F.col("detected")).collect()}
+    assert found == {"A": (1, 1, 2, None), "B": (1, 1, 2, None)}
