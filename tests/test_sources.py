@@ -127,3 +127,27 @@ def test_of_two_runs_one_publishes(spark, tmp_path):
     with pytest.raises(ValueError):
         T.write_once(other, f"{tmp_path}/b", "v1")
     assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"] and not list((tmp_path / "b").glob("_*"))
+
+
+def test_alignments_against_their_sequences(spark, tmp_path):
+    from cohortmill.sources import alignments as A
+
+    sequences = spark.createDataFrame([("a", "ACGTRACGTT"), ("b", "ttacgtyaaa")], "id string, seq string")
+    std = lambda q, s, *at: f"{q}\t{s}\t99.5\t4\t0\t0\t" + "\t".join(map(str, at)) + "\t1e-5\t50"
+    rows = {
+        "": std("a", "b", 1, 4, 3, 6) + "\t10\t10\tACG-T\tacg-t\r", "back": std("a", "b", 1, 5, 7, 3) + "\t10\t10\tACGTR\tRACGT", "letters": std("a", "b", 1, 4, 3, 6) + "\t10\t10\tACGT\tACGA",
+        "length": std("a", "b", 1, 4, 3, 6) + "\t11\t10\tACGT\tACGT", "outside": std("a", "b", 8, 11, 3, 6) + "\t10\t10\tGTT\tACGT", "low": std("a", "b", 0, 4, 3, 6) + "\t10\t10\tACGT\tACGT",
+        "query": std("z", "b", 1, 4, 3, 6) + "\t10\t10\tACGT\tACGT", "subject": std("a", "z", 1, 4, 3, 6) + "\t10\t10\tACGT\tACGT", "number": std("a", "b", 1, "x", 3, 6) + "\t10\t10\tACGT\tACGT", "columns": std("a", "b", 1, 4, 3, 6),
+    }
+    (tmp_path / "x.tsv").write_text("# note\n\n" + "\n".join(rows.values()) + "\n")
+    got = sorted(r.wrong for r in A.read_alignments(spark, str(tmp_path / "x.tsv"), sequences, A.ALIGNED).collect())
+    assert got == sorted(["" if k == "back" else "outside" if k == "low" else k for k in rows])
+    (tmp_path / "y.tsv").write_text("\n".join([std("a", "b", 1, 4, 6, 3), std("a", "b", 1, 4, 7, 11), std("a", "b", 1, 4, 3, 6) + "\tmore", std("a", "b", 1, 4, 3, 6).replace("99.5", "nan")]) + "\n")
+    twelve = A.read_alignments(spark, str(tmp_path / "y.tsv"), sequences)
+    assert sorted(r.wrong for r in twelve.collect()) == ["", "columns", "number", "outside"]
+    lengths = sequences.selectExpr("id", "length(seq) AS length")
+    assert [tuple(r) for r in A.placed(twelve, lengths, 3).collect()] == [("a", "b", 99.5, 0, 4, 2, 6, "-", True)]
+    (tmp_path / "z.tsv").write_text("a\tb\t90\t4\t1\t4\t3\t6\n")
+    assert [(r.send, r.wrong) for r in A.read_alignments(spark, str(tmp_path / "z.tsv"), sequences, A.SHORT).collect()] == [(6, "")]
+    (tmp_path / "none.tsv").write_text("")
+    assert A.read_alignments(spark, str(tmp_path / "none.tsv"), sequences, A.ALIGNED).count() == 0
