@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -171,30 +173,67 @@ def aligned_columns(cells: DataFrame, name: str, place: str, letter: str, names:
     return per.crossJoin(F.broadcast(all_)).groupBy("n_names").agg(F.count("*").alias("n_columns"), F.count_if(F.col("n") == F.col("n_names")).alias("n_shared"), F.count_if(F.col("k") > 1).alias("n_variable"))
 
 
+def _longest(x: str, y: str, start: int, end: int, apart: int, least: int, most: int, entropy_min: float) -> tuple[int, int, int] | None:
+    """(length, i, j) of the repeat that ``boundary_repeat`` gives for windows x and y; ``start`` and ``end`` are the ends' places in
+    them, ``apart`` is how far y begins behind x."""
+    a, b = (np.array(["ACGT".find(c) for c in t], np.int64) for t in (x, y))
+    if min(len(a), len(b)) < least:
+        return None
+    seeds = [np.lib.stride_tricks.sliding_window_view(t, least) for t in (a, b)]
+    code, other = (np.where((s >= 0).all(1), 0, -1 - n).astype(object if least > 31 else np.int64) for n, s in enumerate(seeds))
+    for c, s in ((code, seeds[0]), (other, seeds[1])):
+        for column in s.T:
+            c[:] = np.where(c < 0, c, c * 4 + column)
+    i, j = np.nonzero(code[:, None] == other[None, :])
+    room = np.minimum(np.minimum(len(a) - i, len(b) - j), np.minimum(most, apart + j - i))
+    i, j, room = i[room >= least], j[room >= least], room[room >= least]
+    if not len(i):
+        return None
+    length, alive = np.full(len(i), least), np.arange(len(i))
+    while len(alive := alive[length[alive] < room[alive]]):
+        p, q = a[i[alive] + length[alive]], b[j[alive] + length[alive]]
+        alive = alive[(p == q) & (p >= 0)]
+        length[alive] += 1
+    sizes = np.arange(least, most + 1)
+    firsts, at = np.unique(i, return_inverse=True)
+    ends = np.minimum(firsts[:, None] + sizes, len(a))
+    bits = np.zeros(ends.shape)
+    for letter in range(4):
+        seen = np.concatenate([[0], np.cumsum(a == letter)])
+        share = (seen[ends] - seen[firsts][:, None]) / sizes
+        bits -= share * np.log2(np.where(share > 0, share, 1))
+    fit = np.maximum.accumulate(np.where(bits >= entropy_min, sizes, 0), axis=1)  # the longest of enough bits, up to each length
+    length = fit[at, length - least]
+    some = length > 0
+    if not some.any():
+        return None
+    i, j, length = i[some], j[some], length[some]
+    best = np.lexsort((j, i, np.abs(i - start) + np.abs(j + length - end), -length))[0]
+    return int(length[best]), int(i[best]), int(j[best])
+
+
 def boundary_repeat(loci: DataFrame, locus: str, seq: str, reach: int = 250, least: int = 15, most: int = 60, entropy_min: float = 1.5) -> DataFrame:
     """locus, status, length, left0, right0, repeat: the longest exact repeat in one direction between the windows of ``reach``
     letters around a locus's two ends (``loci``: locus, seq, start0, end0); of equal ones that nearest to the ends, then the
     leftmost. Only a, c, g, t of either case; repeats have ``least`` to ``most`` letters and an entropy of ``entropy_min`` bits.
 
-    not_assessed_overlapping_windows where the windows meet. Seeds of ``least`` letters of one locus meet by join and are
-    lengthened as far as they go.
+    not_assessed_overlapping_windows where the windows meet. The two windows of a locus are of fixed size and lie in its own
+    row, so rows are worked on where they are, without a shuffle (``_longest``).
     """
     n = F.length(seq)
     x0, x1 = F.greatest(F.lit(0), F.col("start0") - reach), F.least(n, F.col("start0") + reach)
     y0, y1 = F.greatest(F.lit(0), F.col("end0") - reach), F.least(n, F.col("end0") + reach)
     part = lambda a, b: F.upper(F.substring(seq, (F.col(a) + 1).cast("int"), F.greatest(F.lit(0), F.col(b) - F.col(a)).cast("int")))
-    rows = loci.select(locus, seq, "start0", "end0", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
-    rows = rows.select(locus, "start0", "end0", "x0", "y0", (F.col("x1") > F.col("y0")).alias("_meet"), part("x0", "x1").alias("x"), part("y0", "y1").alias("y"))
-    apart = rows.where("not _meet")
-    tile = lambda w, i: apart.where(F.length(w) >= least).select(locus, w, F.explode(F.sequence(F.lit(0), F.length(w) - least)).alias(i)).select(locus, i, F.col(w).substr(F.col(i) + 1, F.lit(least)).alias("t")).where(~F.col("t").rlike("[^ACGT]"))
-    met = tile("x", "i").hint("shuffle_merge").join(tile("y", "j"), [locus, "t"]).drop("t").hint("shuffle_merge").join(apart, locus)
-    a, b = (lambda k: F.col("x").substr(F.col("i") + 1, k)), (lambda k: F.col("y").substr(F.col("j") + 1, k))
-    room = F.least(F.lit(most), F.length("x") - F.col("i"), F.length("y") - F.col("j"), F.col("y0") + F.col("j") - F.col("x0") - F.col("i"))
-    fits = F.filter(F.sequence(F.lit(least), F.greatest(F.lit(least), room)), lambda k: (k <= room) & (a(k) == b(k)) & ~a(k).rlike("[^ACGT]") & (S.entropy(F.lower(a(k))) >= entropy_min))
-    met = met.withColumn("length", F.array_max(fits)).where("length is not null")
-    left, right = F.col("x0") + F.col("i"), F.col("y0") + F.col("j")
-    best = F.min(F.struct((-F.col("length")).alias("l"), (F.abs(left - F.col("start0")) + F.abs(right + F.col("length") - F.col("end0"))).alias("off"), left.alias("left0"), right.alias("right0"), a(F.col("length")).alias("repeat")))
-    found = met.groupBy(locus).agg(best.alias("b"))
-    out = rows.select(locus, "_meet").hint("shuffle_merge").join(found, locus, "left")
-    status = F.when(F.col("_meet"), "not_assessed_overlapping_windows").when(F.col("b").isNull(), "no_repeat").otherwise("direct_repeat_candidate")
-    return out.select(locus, status.alias("status"), (-F.col("b.l")).cast("long").alias("length"), F.col("b.left0").cast("long").alias("left0"), F.col("b.right0").cast("long").alias("right0"), F.col("b.repeat").alias("repeat"))
+    rows = loci.select(F.col(locus).alias("_locus"), seq, "start0", "end0", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
+    places = [F.col(c).cast("long").alias(c) for c in ("start0", "end0", "x0", "y0")]
+    rows = rows.select("_locus", (F.col("x1") > F.col("y0")).alias("_meet"), part("x0", "x1").alias("x"), part("y0", "y1").alias("y"), *places)
+    kind = dict(rows.dtypes)["_locus"]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [None if r["_meet"] or r["x"] is None or r["y"] is None else _longest(r["x"], r["y"], r["start0"] - r["x0"], r["end0"] - r["y0"], r["y0"] - r["x0"], least, most, entropy_min) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("_locus", "_meet", "x", "x0", "y0")), *(pa.array([f and f[c] for f in found], pa.int64()) for c in range(3))], ["_locus", "_meet", "x", "x0", "y0", "length", "i", "j"])
+
+    out = rows.mapInArrow(find, f"_locus {kind}, _meet boolean, x string, x0 long, y0 long, length long, i long, j long")
+    status = F.when(F.col("_meet"), "not_assessed_overlapping_windows").when(F.col("length").isNull(), "no_repeat").otherwise("direct_repeat_candidate")
+    return out.select(F.col("_locus").alias(locus), status.alias("status"), "length", (F.col("x0") + F.col("i")).alias("left0"), (F.col("y0") + F.col("j")).alias("right0"), F.col("x").substr((F.col("i") + 1).cast("int"), F.col("length").cast("int")).alias("repeat"))
