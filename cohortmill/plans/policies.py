@@ -57,7 +57,7 @@ def in_engine(sql: str, text: str) -> str:
 KINDS = "r(relation, pu, mu, physical) AS (VALUES ('votu_member', 'votu', 'candidate', FALSE), ('candidate_gene', 'candidate', 'gene', TRUE), ('system_gene', 'system', 'gene', TRUE), ('quant_group_member', 'quantification_group', 'votu', FALSE), ('locus_candidate', 'locus', 'candidate', TRUE))"
 
 
-def built(spark, d):
+def built(spark, d, once=True):
     """(features, links) of the tables, by the operators; the SQL builds the same rows by itself."""
     part, line, c = table(spark, d, "part"), table(spark, d, "lineitem"), F.col
     cand = lambda k: F.concat(F.lit("cand_"), c(k).cast("string"))
@@ -67,12 +67,12 @@ def built(spark, d):
     feats = feature_graph.features(
         (part, "candidate", {"feature_id": cand("p_partkey"), "genome_id": genome("p_partkey"), "contig_id": F.when(c("p_partkey") % 43 != 0, "s1"), "start0": c("p_size"), "end0": F.when(c("p_partkey") % 47 != 0, c("p_size") + 100), "strand": F.lit("+"), "source": F.lit("part")}),
         (line, "gene", {"feature_id": gene, "genome_id": F.when(c("l_orderkey") % 1009 == 0, "G_other").otherwise(genome("l_partkey")), "contig_id": F.lit("s1"), "start0": c("l_linenumber"), "end0": c("l_linenumber") + 9, "strand": F.when(c("l_linestatus") == "O", "+").otherwise("-"), "source": F.lit("lineitem")}),
-        (part, "votu", {"feature_id": c("p_brand"), "source": F.lit("part")}), (part.where("CAST(floor(p_partkey / 2) AS BIGINT) % 61 <> 0"), "locus", {"feature_id": locus, "source": F.lit("part")}))
+        (part, "votu", {"feature_id": c("p_brand"), "source": F.lit("part")}), (part.where("CAST(floor(p_partkey / 2) AS BIGINT) % 61 <> 0"), "locus", {"feature_id": locus, "source": F.lit("part")}), once=once)
     odd, other = c("p_partkey") % 53 == 0, c("l_orderkey") % 71 == 0
     rows = feature_graph.links(
         (part.where(~odd), "votu_member", c("p_brand"), cand("p_partkey")), (part.where(odd), "made_up", c("p_brand"), cand("p_partkey")), (line.where(~other), "candidate_gene", cand("l_partkey"), gene), (line.where(other), "system_gene", cand("l_partkey"), gene),
         (part, "locus_candidate", locus, F.when(c("p_partkey") % 59 == 0, "cand_none").otherwise(cand("p_partkey"))))
-    return stage(feats, "features"), rows
+    return (stage(feats, "features") if once else feats), rows
 
 
 @query(in_engine(f"WITH {FEATURES}", "VARCHAR") + """ SELECT feature_id, 'collision' AS fault FROM f GROUP BY 1 HAVING count(*) > 1 UNION SELECT feature_id, 'genome' FROM f WHERE genome_id = 'G_other'
@@ -94,7 +94,7 @@ def feature_faults(spark, d):
  UNION SELECT parent, member, relation, 'units' FROM m WHERE pu IS NOT NULL AND (ua <> pu OR ub <> mu) UNION SELECT parent, member, relation, 'genomes' FROM t WHERE differ
  UNION SELECT parent, member, relation, 'duplicate' FROM l GROUP BY ALL HAVING count(*) > 1 UNION SELECT parent, member, relation, 'chain' FROM home WHERE NOT differ AND root IN (SELECT root FROM mixed))""")
 def link_faults(spark, d):
-    feats, rows = built(spark, d)
+    feats, rows = built(spark, d, once=False)  # only the least unit and genome of an id are asked for
     return feature_graph.link_faults(feats, rows, spark.createDataFrame(feature_graph.RELATIONS, feature_graph.RELATION))
 
 
