@@ -81,7 +81,7 @@ def gff_lines(spark, d):
  kids AS (SELECT g.*, CASE WHEN ov.id IS NOT NULL THEN 'overlap' WHEN partial THEN 'partial' WHEN odd THEN 'phase' WHEN length % 3 <> 0 THEN 'length' ELSE '' END AS fault FROM g LEFT JOIN ov ON ov.id = g.id)
  SELECT id, concat('s', o % 50) AS seqid, strand, parent, start0, end0, n_parts, CAST(length AS BIGINT) AS length, parts, fault, CASE WHEN o % 29 = 0 THEN parent ELSE concat('g', o) END AS root, CAST(CASE WHEN o % 29 = 0 THEN 1 ELSE 2 END AS BIGINT) AS depth, CASE WHEN o % 29 = 0 THEN 'orphan' ELSE 'child' END AS status FROM kids""")
 def gff_cds(spark, d):
-    rows = gff.records(gff_lines(spark, d))
+    rows = stage(gff.records(gff_lines(spark, d)).select("type", "seqid", "start0", "end0", "strand", "phase", "id", "parents", "wrong"), "records")  # parsed once
     found, up = gff.coding_sequences(rows), gff.ancestors(rows)
     parts = F.array_join(F.transform("parts", lambda x: F.concat_ws("-", x["start0"].cast("string"), x["end0"].cast("string"))), ",")
     out = found.hint("shuffle_merge").join(up, "id")

@@ -14,13 +14,12 @@ def records(lines: DataFrame, text: str = "value") -> DataFrame:
     """seqid, source, type, start0, end0, score, strand, phase, id, parents (array), attributes (map), wrong: why a line is no
     record (fields, interval, strand, phase, attributes: none or a key twice), else empty. Comments and blank lines go; what
     stands under ``##FASTA`` has no tabs and comes out as wrong."""
-    f = F.split(text, "\t")
+    f = F.col("_f")
     at = lambda i: F.get(f, F.lit(i))
     cell = lambda i: F.when(~at(i).isin(".", ""), at(i))
-    pairs = F.filter(F.split(F.coalesce(cell(8), F.lit("")), ";"), lambda x: F.trim(x) != "")
+    pairs, keys, good = F.col("_pairs"), F.col("_keys"), F.col("_good")
     k, v = (lambda x: F.trim(F.substring_index(x, "=", 1))), (lambda x: F.expr("substring(x, instr(x, '=') + 1)"))
-    keys = F.transform(pairs, k)
-    good = F.forall(pairs, lambda x: F.instr(x, "=") > 1) & (F.size(F.array_distinct(keys)) == F.size(keys))
+    sound = F.forall(pairs, lambda x: F.instr(x, "=") > 1) & (F.size(F.array_distinct(keys)) == F.size(keys))
     plain = F.transform(pairs, lambda x: F.struct(k(x).alias("k"), F.substring(x, F.instr(x, "=") + 1, F.length(x)).alias("v")))
     start, end = at(3).try_cast("bigint"), at(4).try_cast("bigint")
     phase = cell(7).try_cast("int")
@@ -28,8 +27,12 @@ def records(lines: DataFrame, text: str = "value") -> DataFrame:
         F.when(F.size(f) != 9, "fields").when(start.isNull() | end.isNull() | (start < 1) | (end < start), "interval").when(~at(6).isin("+", "-", ".", "?"), "strand")
         .when((at(7) != ".") & ~F.coalesce(phase.isin(0, 1, 2), F.lit(False)) | ((at(2) == "CDS") & phase.isNull()), "phase").when(~good, "attributes").otherwise("")
     )
-    rows = lines.where(~F.startswith(text, F.lit("#")) & (F.trim(text) != ""))
-    rows = rows.select("*", wrong.alias("wrong"), F.when((F.size(f) == 9) & good, F.map_from_entries(plain)).alias("attributes"), at(0).alias("seqid"), cell(1).alias("source"), at(2).alias("type"), (start - 1).alias("start0"), end.alias("end0"), cell(5).try_cast("double").alias("score"), at(6).alias("strand"), phase.alias("phase"))
+    # fields, pairs and keys are columns of their own, so that each is cut once a line
+    rows = lines.where(~F.startswith(text, F.lit("#")) & (F.trim(text) != "")).select(F.split(text, "\t").alias("_f"))
+    rows = rows.select("_f", F.filter(F.split(F.coalesce(cell(8), F.lit("")), ";"), lambda x: F.trim(x) != "").alias("_pairs"))
+    rows = rows.select("_f", "_pairs", F.transform("_pairs", k).alias("_keys"))
+    rows = rows.select("_f", "_pairs", sound.alias("_good"))
+    rows = rows.select(wrong.alias("wrong"), F.when((F.size(f) == 9) & good, F.map_from_entries(plain)).alias("attributes"), at(0).alias("seqid"), cell(1).alias("source"), at(2).alias("type"), (start - 1).alias("start0"), end.alias("end0"), cell(5).try_cast("double").alias("score"), at(6).alias("strand"), phase.alias("phase"))
 
     def plain_text(c):
         for code, letter in CODES.items():
@@ -50,10 +53,11 @@ def ancestors(features: DataFrame, most_rounds: int = 20) -> DataFrame:
     Pointers double each round (an ancestor's ancestor), so a chain of 2^k levels takes k rounds. status: root, child, orphan
     (an ancestor is missing), cycle (no root within 2^``most_rounds`` levels).
     """
-    one = features.where("id is not null").groupBy("id").agg(F.min(F.get("parents", F.lit(0))).alias("parent"))
+    one = stage(features.where("id is not null").groupBy("id").agg(F.min(F.get("parents", F.lit(0))).alias("parent")), "ids")  # read twice
     known = one.select(F.col("id").alias("_known"))
     now = one.hint("shuffle_merge").join(known, F.col("parent") == F.col("_known"), "left")
     now = stage(now.select("id", F.when(F.col("_known").isNotNull(), F.col("parent")).alias("up"), F.when(F.col("_known").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), (F.col("parent").isNotNull() & F.col("_known").isNull()).alias("lost"), F.coalesce("_known", "id").alias("root")), "ancestors", left="count_if(up is not null)")
+    drop(one)
     for _ in range(most_rounds):
         if not now._observed["left"]:
             break

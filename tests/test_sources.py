@@ -151,3 +151,14 @@ def test_alignments_against_their_sequences(spark, tmp_path):
     assert [(r.send, r.wrong) for r in A.read_alignments(spark, str(tmp_path / "z.tsv"), sequences, A.SHORT).collect()] == [(6, "")]
     (tmp_path / "none.tsv").write_text("")
     assert A.read_alignments(spark, str(tmp_path / "none.tsv"), sequences, A.ALIGNED).count() == 0
+
+
+def test_a_feature_line_is_cut_once(spark):
+    """Fields are cut in a projection of their own: a cut written into every column is done for every column."""
+    from cohortmill.sources import gff
+
+    lines = spark.createDataFrame([("s1\tx\tCDS\t11\t40\t.\t-\t0\tID=c%3B1;Parent=m1,m%2C2;Note=a",), ("s1\tx\tgene\t5\t4\t.\t+\t.\tID=g",), ("s1\tx\tgene\t1\t4\t.\t+\t.\tID=g;ID=h",), ("# x",), ("",)], "value string")
+    out = gff.records(lines)
+    assert [(r.id, r.parents, r.start0, r.end0, r.wrong) for r in out.collect()] == [("c;1", ["m1", "m,2"], 10, 40, ""), ("g", [], 4, 4, "interval"), (None, [], 0, 4, "attributes")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(value") == 1
