@@ -217,3 +217,23 @@ def context_summary(context: DataFrame, unit: str, key: str, detected: Column, t
     units = by_unit.groupBy(taxon).agg(F.count("*").alias("n_units"), F.when(F.count("*") == F.count("_a"), F.sum(F.when(F.col("_a") > 0, 1).otherwise(0))).alias("n_positive"))
     keys = cells.groupBy(taxon, key).agg(F.sum("_d").alias("_d")).groupBy(taxon).agg(F.count("*").alias("n_keys"), F.sum("_d").alias("n_detected"))
     return keys.hint("shuffle_merge").join(units, taxon)
+
+
+def linked_summary(measured: DataFrame, links: DataFrame, labels: DataFrame, abundance: DataFrame, unit: str, key: str, detected: Column, taxon: str = "taxon") -> DataFrame:
+    """``context_summary`` of ``linked_context`` over the same tables, without a row for each measurement and linked taxon.
+
+    Detected cells are counted per key before keys meet their taxa. A key's taxa go with its units as one list, equal lists of a
+    unit are one, and only then is a row made for each unit and taxon.
+    """
+    pairs = links.where(F.col(key).isNotNull() & F.col(taxon).isNotNull()).select(key, taxon).distinct()
+    named = pairs.hint("shuffle_merge").join(labels.select(taxon, "label"), taxon, "left")
+    lists = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(taxon, "label"))).alias("_taxa"))
+    # dealt by key, so that cells are made distinct, counted and joined where they lie
+    cells = measured.where(F.col(key).isNotNull()).select(key, unit, F.when(detected, 1).otherwise(0).alias("_d")).repartition(key).groupBy(key, unit).agg(F.max("_d").alias("_d"))
+    counts = cells.groupBy(key).agg(F.sum("_d").alias("_d"))
+    keys = counts.hint("shuffle_merge").join(pairs, key).groupBy(taxon).agg(F.count("*").alias("n_keys"), F.sum("_d").alias("n_detected"))
+    met = cells.select(key, unit).hint("shuffle_merge").join(lists, key).select(unit, "_taxa").repartition(unit).distinct()
+    by_unit = met.select(unit, F.explode("_taxa").alias("_t")).select(unit, "_t.*").distinct()
+    by_unit = by_unit.hint("shuffle_merge").join(abundance.select(unit, "label", F.col("abundance").alias("_a")), [unit, "label"], "left")
+    units = by_unit.groupBy(taxon).agg(F.count("*").alias("n_units"), F.when(F.count("*") == F.count("_a"), F.sum(F.when(F.col("_a") > 0, 1).otherwise(0))).alias("n_positive"))
+    return keys.hint("shuffle_merge").join(units, taxon)

@@ -76,7 +76,7 @@ LINKED = """l AS (SELECT *, count(*) OVER (PARTITION BY key) AS n_taxa FROM (SEL
 PROFILED = ("economy", "small")
 
 
-def _context(spark, d):
+def _tables(spark, d):
     """Lines as measurements of suppliers in orders; types of large parts as linked taxa; quantities of an order's first lines as abundance."""
     line, part = table(spark, d, "lineitem"), table(spark, d, "part")
     sold = line.hint("shuffle_merge").join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -89,15 +89,15 @@ def _context(spark, d):
     profile = sold.groupBy(F.col("l_orderkey").alias("unit")).agg(*each).unpivot("unit", list(PROFILED), "label", "abundance")
     abundance = abundance.unionByName(profile)
     measured = line.select(F.col("l_orderkey").alias("unit"), F.col("l_suppkey").alias("key"), F.col("l_linenumber").alias("line"), (F.col("l_returnflag") == "R").alias("detected"))
-    return evidence.linked_context(measured, links, labels, abundance, "unit", "key")
+    return measured, links, labels, abundance
 
 
 @query(f"""WITH {LINKED} SELECT unit, line, key, taxon, n_taxa, label, round(CAST(abundance AS DOUBLE), 6) AS abundance, CASE WHEN label IS NULL THEN 'no_label' WHEN abundance IS NULL THEN 'unmeasured' ELSE 'measured' END AS context_status FROM c""")
 def linked_context(spark, d):
-    return _context(spark, d).select("unit", "line", "key", "taxon", "n_taxa", "label", r6(F.col("abundance").cast("double"), "abundance"), "context_status")
+    return evidence.linked_context(*_tables(spark, d), "unit", "key").select("unit", "line", "key", "taxon", "n_taxa", "label", r6(F.col("abundance").cast("double"), "abundance"), "context_status")
 
 
 @query(f"""WITH {LINKED}, u AS (SELECT taxon, unit, max(abundance) AS abundance FROM c GROUP BY 1, 2), p AS (SELECT taxon, count(*) AS n_units, CASE WHEN bool_and(abundance IS NOT NULL) THEN count(*) FILTER (WHERE abundance > 0) END AS n_positive FROM u GROUP BY 1)
  SELECT p.taxon, count(DISTINCT key) AS n_keys, count(DISTINCT (unit, key)) FILTER (WHERE detected) AS n_detected, any_value(n_units) AS n_units, any_value(n_positive) AS n_positive FROM c JOIN p ON p.taxon = c.taxon GROUP BY 1""")
 def context_summary(spark, d):
-    return evidence.context_summary(_context(spark, d), "unit", "key", F.col("detected"))
+    return evidence.linked_summary(*_tables(spark, d), "unit", "key", F.col("detected"))
