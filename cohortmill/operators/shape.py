@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import dealt
 
 def rectangle(df: DataFrame, row: Sequence[str], column: Sequence[str], status: str = "status") -> DataFrame:
     """Every row key with every column key; absent cells become rows with status ``not_assessed`` and null values.
@@ -79,24 +80,28 @@ def divides(owned: DataFrame, required: DataFrame, owner: str, item: str, group:
     return have.hint("shuffle_merge").join(size, group).where("n_owned = n_required").select(owner, group)
 
 
-def entity_levels(sheet: DataFrame, levels: Sequence[tuple[str, str, Sequence[str]]]) -> tuple[dict[str, DataFrame], DataFrame]:
+def entity_levels(sheet: DataFrame, levels: Sequence[tuple[str, str, Sequence[str]]], rows: int | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
     """(one table per level of a flat sheet: id, parent id, attributes; the conflicts: level, id, column, n_values).
 
     ``levels``: (name, id column, attribute columns) from the outermost inwards, such as sample, library, readset; the id of
     the level before is the parent. An id with several parents or several values of an attribute (null is a value) is a
     conflict, and its smallest value stands in the table. Rows with a null id make no entity; a conflict is a row, so a
-    caller may refuse the sheet or set those ids aside.
+    caller may refuse the sheet or set those ids aside. ``rows``: of the sheet, where they are known; a level is then dealt over
+    tasks by its id, so that a task holds no more of a larger sheet.
     """
-    tables, wrong, parent = {}, None, None
+    tables, wrong, parent, nested = {}, None, None, {c for c, t in sheet.dtypes if t.startswith(("array", "map", "struct"))}
+    text = lambda c: F.to_json(F.struct(F.col(c).alias("v"))) if c in nested else F.col(c).cast("string")
     for name, key, attributes in levels:
         columns = ([parent] if parent else []) + list(attributes)
-        # null as a value of its own: the cell as an array, empty where it is null
-        several = {c: F.count_distinct(F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit(""))) for c in columns}
-        g = sheet.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"), *(F.min(c).alias(c) for c in columns), *(n.alias(f"_n_{c}") for c, n in several.items()))
-        tables[name] = g.select(key, *columns)
-        for c in columns:
-            bad = g.where(F.col(f"_n_{c}") > 1).select(F.lit(name).alias("level"), F.col(key).cast("string").alias("id"), F.lit(c).alias("column"), F.col(f"_n_{c}").alias("n_values"))
-            wrong = bad if wrong is None else wrong.unionByName(bad)
+        own = sheet.where(F.col(key).isNotNull())
+        if rows is not None:
+            own = dealt(own.select(key, *columns), rows, key)
+        tables[name] = own.groupBy(key).agg(*(F.min(c).alias(c) for c in columns))
+        # cells made distinct: a row for each value of an id, null being one
+        cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), text(c).alias("v")) for c in columns)))
+        values = own.select(key, cells.alias("_c")).select(key, "_c.*").distinct().groupBy(key, "column").agg(F.count("*").alias("n_values")).where("n_values > 1")
+        bad = values.select(F.lit(name).alias("level"), F.col(key).cast("string").alias("id"), "column", "n_values")
+        wrong = bad if wrong is None else wrong.unionByName(bad)
         parent = key
     return tables, wrong
 
