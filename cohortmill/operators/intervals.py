@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..sources.shared import stage
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], width: int = 4096, slack: int = 0) -> DataFrame:
@@ -150,20 +151,24 @@ def gaps(df: DataFrame, contigs: DataFrame, keys: Sequence[str], length: str = "
     return full.select(*keys, F.col("end0").alias("start0"), after.alias("end0")).where("end0 > start0")
 
 
-def depth_profile(segments: DataFrame, regions: DataFrame, keys: Sequence[str], region: str) -> DataFrame:
+def depth_profile(segments: DataFrame, regions: DataFrame, keys: Sequence[str], region: str | Sequence[str]) -> DataFrame:
     """bp, mean, median, sd (population) and breadth of depth per ``region``, which may have several disjoint intervals.
 
-    Bases without a segment have depth 0. Pieces are summed per depth first, so the median is weighted by bases and only
-    distinct depths meet in one row.
+    ``region``: one column or several. Bases without a segment have depth 0. Pieces are summed per depth first, so the median is
+    weighted by bases and only distinct depths meet in one row. Segments and regions are read once.
     """
-    size = regions.where("end0 > start0").groupBy(region).agg(F.sum(F.col("end0") - F.col("start0")).alias("bp"))
-    part = overlap_join(regions.select(*dict.fromkeys([*keys, region, "start0", "end0"])), segments, keys).groupBy(F.col(f"l.{region}").alias(region), F.col("r.depth").alias("depth")).agg(F.sum("overlap").alias("n"))
-    bare = size.hint("shuffle_merge").join(part.groupBy(region).agg(F.sum("n").alias("n")), region, "left").select(region, F.lit(0).cast("long").alias("depth"), (F.col("bp") - F.coalesce("n", F.lit(0))).alias("n"))
+    names = [region] if isinstance(region, str) else list(region)
+    regions = regions.where("end0 > start0").select(*dict.fromkeys([*keys, *names, "start0", "end0"]))
+    zero = F.lit(0).cast("long")
+    # every base counts at depth 0 until a segment takes it away
+    taken = F.explode(F.array(F.struct(F.col("r.depth").cast("long").alias("depth"), F.col("overlap").cast("long").alias("n")), F.struct(zero.alias("depth"), (-F.col("overlap").cast("long")).alias("n"))))
+    met = overlap_join(regions, segments, keys).select(*(F.col(f"l.{c}").alias(c) for c in names), taken.alias("_t")).select(*names, "_t.*")
+    bare = regions.select(*names, zero.alias("depth"), (F.col("end0") - F.col("start0")).cast("long").alias("n"))
+    full = met.unionByName(bare).groupBy(*names, "depth").agg(F.sum("n").alias("n")).where("n > 0")
     d = F.col("depth").cast("double")
-    full = part.select(region, F.col("depth").cast("long").alias("depth"), "n").unionByName(bare).where("n > 0")
-    g = full.groupBy(region).agg(F.sum("n").alias("bp"), F.sum(d * F.col("n")).alias("s"), F.sum(d * d * F.col("n")).alias("s2"), F.percentile("depth", 0.5, F.col("n")).alias("median"), F.sum(F.when(d >= 1, F.col("n")).otherwise(0)).alias("b"))
+    g = full.groupBy(*names).agg(F.sum("n").alias("bp"), F.sum(d * F.col("n")).alias("s"), F.sum(d * d * F.col("n")).alias("s2"), F.percentile("depth", 0.5, F.col("n")).alias("median"), F.sum(F.when(d >= 1, F.col("n")).otherwise(0)).alias("b"))
     mean = F.col("s") / F.col("bp")
-    return g.select(region, "bp", mean.alias("mean"), "median", F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("bp") - mean * mean)).alias("sd"), (F.col("b") / F.col("bp")).alias("breadth"))
+    return g.select(*names, "bp", mean.alias("mean"), "median", F.sqrt(F.greatest(F.lit(0.0), F.col("s2") / F.col("bp") - mean * mean)).alias("sd"), (F.col("b") / F.col("bp")).alias("breadth"))
 
 
 def elevation(segments: DataFrame, strict: DataFrame, loci: DataFrame, contigs: DataFrame, keys: Sequence[str], locus: str, ends: int = 150, least: int = 1000, beside: int = 5000, ratio: float = 2.0, effect: float = 0.7) -> DataFrame:
@@ -175,15 +180,23 @@ def elevation(segments: DataFrame, strict: DataFrame, loci: DataFrame, contigs:
     either cannot be told. ``keys`` is one contig column.
     """
     key = keys[0]
+    contigs = contigs.hint("shuffle_merge").join(loci.select(*keys).distinct(), list(keys), "left_semi")  # others have no locus to hold against
     inside = loci.hint("shuffle_merge").join(contigs.select(*keys, F.col("length").alias("_n")), list(keys))
     inside = inside.select(*keys, locus, F.greatest("start0", F.lit(ends)).alias("start0"), F.least(F.col("end0"), F.col("_n") - ends).alias("end0"), (F.col("end0") - F.col("start0")).alias("_bp"))
     free = gaps(loci, contigs, keys, ends=ends)
     near = overlap_join(inside.select(*keys, locus, "start0", "end0"), free, keys, slack=beside)
     near = near.select(*keys, F.col(f"l.{locus}").alias(locus), F.greatest(F.col("r.start0"), F.col("l.start0") - beside).alias("start0"), F.least(F.col("r.end0"), F.col("l.end0") + beside).alias("end0"))
+    # all kinds of regions of one set of segments meet them together: of a locus, of its contig's rest, of what is beside it
+    none, whole = F.lit(None).cast(dict(loci.dtypes)[locus]), F.lit(None).cast(dict(contigs.dtypes)[key])
+    kind = lambda df, name, at, of: df.select(*keys, F.lit(name).alias("_kind"), at.alias("_locus"), of.alias("_contig"), F.col("start0").cast("long").alias("start0"), F.col("end0").cast("long").alias("end0"))
+    both = kind(inside, "p", F.col(locus), whole).unionByName(kind(free, "h", none, F.col(key)))
+    each = both.unionByName(kind(near, "l", F.col(locus), whole))
+    of = ["_kind", "_locus", "_contig"]
+    plain, narrow = (stage(depth_profile(s, r, keys, of), "profile") for s, r in ((segments, each), (strict, both)))
     out = inside.select(*keys, locus, "_bp")
-    named = lambda df, id_, p: df.select(id_, *(F.col(c).alias(f"{p}_{c}") for c in df.columns if c != id_))
-    for name, segs, where, id_ in (("p", segments, inside, locus), ("h", segments, free, key), ("sp", strict, inside, locus), ("sh", strict, free, key), ("l", segments, near, locus)):
-        out = out.hint("shuffle_merge").join(named(depth_profile(segs, where, keys, id_), id_, name), id_, "left")
+    for name, profile, sort, id_, at in (("p", plain, "p", locus, "_locus"), ("h", plain, "h", key, "_contig"), ("sp", narrow, "p", locus, "_locus"), ("sh", narrow, "h", key, "_contig"), ("l", plain, "l", locus, "_locus")):
+        own = profile.where(F.col("_kind") == sort).select(F.col(at).alias(id_), *(F.col(x).alias(f"{name}_{x}") for x in profile.columns if x not in of))
+        out = out.hint("shuffle_merge").join(own, id_, "left")
     c = F.col
     short, host = c("_bp") < least, F.coalesce("h_bp", F.lit(0))
     reasons = V.reasons([
@@ -195,7 +208,9 @@ def elevation(segments: DataFrame, strict: DataFrame, loci: DataFrame, contigs:
     also = F.coalesce((c("sp_mean") / F.nullif(c("sh_mean"), F.lit(0.0)) >= ratio) & (F.abs(V.cohen_d("sp_mean", "sp_sd", "sh_mean", "sh_sd")) >= effect) & (c("sp_mean") >= 1) & (c("sp_breadth") >= 0.5), F.lit(False))
     agrees = F.when(good & (c("sh_mean") > 0) & (c("l_bp") >= least) & (c("l_mean") > 0), (up == also) & ((c("local_ratio") >= ratio) == (c("ratio") >= ratio)))
     call = F.when(~good, "not_evaluable").when(up, "raised").otherwise("level")
-    return out.select(locus, F.when(good, "evaluable").otherwise("not_evaluable").alias("status"), "reasons", call.alias("call"), "ratio", "effect", "local_ratio", agrees.alias("agrees"))
+    out = out.select(locus, F.when(good, "evaluable").otherwise("not_evaluable").alias("status"), "reasons", call.alias("call"), "ratio", "effect", "local_ratio", agrees.alias("agrees"))
+    out._holds = (plain, narrow)
+    return out
 
 
 def member_relation(systems: DataFrame, members: DataFrame, places: DataFrame, keys: Sequence[str], system: str, member: str) -> DataFrame:
