@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..sources.shared import dealt
 
 
 def count_if(cond: Column) -> Column:
@@ -65,17 +66,27 @@ def systems(hits: DataFrame, parts: DataFrame, needs: DataFrame, unit: str, clus
     return g.hint("shuffle_merge").join(needs.select(model, "min_mandatory", "min_genes"), model).select(model, unit, cluster, "n_mandatory", "n_genes", "n_forbidden", ok.alias("accepted"))
 
 
-def required_members(members: DataFrame, needs: DataFrame, system: str = "system", member: str = "member", family: str = "family", role: str = "role") -> tuple[DataFrame, DataFrame]:
+def _apart(df: DataFrame, *columns: str) -> Column:
+    """A struct for each of ``columns`` that holds this column only: distinct values of several columns in one grouping."""
+    kinds = dict(df.dtypes)
+    return F.array(*(F.struct(*((F.col(c) if c == own else F.lit(None).cast(kinds[c])).alias(c) for c in columns)) for own in columns))
+
+
+def required_members(members: DataFrame, needs: DataFrame, system: str = "system", member: str = "member", family: str = "family", role: str = "role", rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(system, rule, n_required; the members required of each system).
 
     Mandatory members are required. Accessory ones are only if the system has exactly as many accessory families as its quorum
     lacks: of more, no choice is made. ``needs``: system, min_mandatory, min_genes. A null role leaves the system unresolved.
+    Members are shuffled once, by system, over more tasks the more ``rows`` there are.
     """
     mandatory, accessory = F.col(role) == "mandatory", F.col(role) == "accessory"
-    odd = F.coalesce(F.max(F.when(F.coalesce(mandatory | accessory, F.lit(False)), 0).otherwise(1)) == 1, F.lit(False))
-    g = members.groupBy(system).agg(
-        odd.alias("odd"), F.count_distinct(F.when(mandatory, F.col(family))).alias("m"), F.count_distinct(F.when(accessory, F.col(family))).alias("a"),
-        F.count_distinct(F.when(mandatory, F.col(member))).alias("nm"), F.count_distinct(F.when(mandatory | accessory, F.col(member))).alias("nb"))
+    flag = lambda c: F.when(c, 1).otherwise(0)
+    own = members.select(system, member, family, flag(mandatory).alias("_m"), flag(accessory).alias("_a"))
+    own = own.repartition(system) if rows is None else dealt(own, rows, system)
+    # families and members of a system are made distinct where its rows lie
+    each = own.select(system, "_m", "_a", F.explode(_apart(own, family, member)).alias("_v")).groupBy(system, "_v").agg(F.max("_m").alias("m"), F.max("_a").alias("a"), F.max(F.greatest("_m", "_a")).alias("b"), F.min(F.greatest("_m", "_a")).alias("known"))
+    of = lambda c, k: F.sum(F.when(F.col(f"_v.{c}").isNotNull(), F.col(k)).otherwise(0))
+    g = each.groupBy(system).agg((F.min("known") == 0).alias("odd"), of(family, "m").alias("m"), of(family, "a").alias("a"), of(member, "m").alias("nm"), of(member, "b").alias("nb"))
     g = g.hint("shuffle_merge").join(needs.select(system, "min_mandatory", "min_genes"), system)
     lack = F.greatest(F.lit(0), F.col("min_genes") - F.col("m"))
     bad = F.col("odd") | (F.col("m") < F.col("min_mandatory"))
@@ -182,16 +193,22 @@ def member_counts(candidates: DataFrame, met: DataFrame, key: str, category: str
     ``met``: key, gene, inside, category, marker. Candidates without members have zeros, and a null share.
     """
     inside = met.where("inside")
-    g = inside.groupBy(key).agg(F.count_distinct(gene).alias("n_inside"), F.count_distinct(category).alias("n_categories"), F.count_distinct(F.when(F.col(marker), F.col(gene))).alias("n_markers"))
+    each = inside.select(key, F.when(F.col(marker), 1).otherwise(0).alias("_k"), F.explode(_apart(inside, gene, category)).alias("_v")).groupBy(key, "_v").agg(F.max("_k").alias("_k"))
+    g = each.groupBy(key).agg(F.count(f"_v.{gene}").alias("n_inside"), F.count(f"_v.{category}").alias("n_categories"), F.sum(F.when(F.col(f"_v.{gene}").isNotNull(), F.col("_k")).otherwise(0)).alias("n_markers"))
     out = candidates.select(key).distinct().hint("shuffle_merge").join(g, key, "left").na.fill(0, ["n_inside", "n_categories", "n_markers"])
     out = out.withColumn("marker_share", F.col("n_markers") / F.nullif(F.col("n_inside"), F.lit(0)))
     if systems is None:
         return out
-    hit = systems.select(key, "system", gene).distinct().hint("shuffle_merge").join(inside.select(key, gene, F.lit(1).alias("_in")).distinct(), [key, gene], "left")
-    share = hit.groupBy(key, "system").agg((F.count("_in") / F.count("*")).alias("o")).groupBy(key).agg(F.max("o").alias("best_overlap"))
+    share = best_overlap(systems, inside, key, gene)
     return out.hint("shuffle_merge").join(share, key, "left").withColumn("best_overlap", F.coalesce("best_overlap", F.lit(0.0)))
 
 
+def best_overlap(systems: DataFrame, inside: DataFrame, key: str, gene: str = "gene") -> DataFrame:
+    """key, best_overlap of each key with systems (key, system, gene): the largest share of a system's genes among those of
+    ``inside`` (key, gene)."""
+    hit = systems.select(key, "system", gene).distinct().hint("shuffle_merge").join(inside.select(key, gene, F.lit(1).alias("_in")).distinct(), [key, gene], "left")
+    return hit.groupBy(key, "system").agg((F.count("_in") / F.count("*")).alias("o")).groupBy(key).agg(F.max("o").alias("best_overlap"))
+
 
 def linked_context(measured: DataFrame, links: DataFrame, labels: DataFrame, abundance: DataFrame, unit: str, key: str, taxon: str = "taxon") -> DataFrame:
     """A row for each measurement (unit, key and any other columns) and each taxon linked with its key, with n_taxa (of the key),
