@@ -167,8 +167,11 @@ def spanning_reads(records: DataFrame, boundaries: DataFrame, name: str, boundar
 
 def aligned_columns(cells: DataFrame, name: str, place: str, letter: str, names: DataFrame) -> DataFrame:
     """One row: n_names, n_columns, n_shared (columns in which every one of ``names`` has a letter) and n_variable (columns with
-    several letters); a null letter is a gap."""
-    per = cells.groupBy(place).agg(F.count_distinct(F.when(F.col(letter).isNotNull(), F.col(name))).alias("n"), F.count_distinct(letter).alias("k"))
+    several letters); a null letter is a gap. Cells that are dealt by place need no shuffle."""
+    kinds = dict(cells.dtypes)
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    each = F.explode(F.array(F.struct(F.when(F.col(letter).isNotNull(), F.col(name)).alias(name), none(letter)), F.struct(none(name), F.col(letter).alias(letter)))).alias("_v")
+    per = cells.select(place, each).distinct().groupBy(place).agg(F.count(f"_v.{name}").alias("n"), F.count(f"_v.{letter}").alias("k"))
     all_ = names.select(name).distinct().agg(F.count("*").alias("n_names"))
     return per.crossJoin(F.broadcast(all_)).groupBy("n_names").agg(F.count("*").alias("n_columns"), F.count_if(F.col("n") == F.col("n_names")).alias("n_shared"), F.count_if(F.col("k") > 1).alias("n_variable"))
 
