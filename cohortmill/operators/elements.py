@@ -14,8 +14,8 @@ from ..functions import values as V
 def category_measures(elements: DataFrame, members: DataFrame, key: str, member: str, category: str, named: dict[str, Sequence]) -> DataFrame:
     """key, n_members and, for each name of ``named``, the number of distinct members whose category is one of its list. Elements
     without members have zeros; a member of several rows counts once a category."""
-    each = [F.count_distinct(F.when(F.col(category).isin(*own), F.col(member))).alias(n) for n, own in named.items()]
-    g = members.groupBy(key).agg(F.count_distinct(member).alias("n_members"), *each)
+    each = members.where(F.col(member).isNotNull()).groupBy(key, member).agg(*(F.max(F.when(F.col(category).isin(*own), 1).otherwise(0)).alias(n) for n, own in named.items()))
+    g = each.groupBy(key).agg(F.count("*").alias("n_members"), *(F.sum(n).alias(n) for n in named))
     return elements.select(key).distinct().hint("shuffle_merge").join(g, key, "left").na.fill(0, ["n_members", *named])
 
 

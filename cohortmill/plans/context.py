@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import elements, evidence, execution
-from ..sources.shared import stage
+from ..sources.shared import dealt, observed, stage
 from .core import r6
 from .registry import query
 from .views import table, view, with_views
@@ -48,17 +48,19 @@ ENDED = ("completed_with_hits", "completed_zero_hits")
  WHEN c IN ('mobile', 'ambiguous') THEN 'overlap' WHEN c = 'satellite' THEN 'short' WHEN c = 'cluster' THEN 'markers' WHEN c = 'incomplete' THEN 'no_structure' ELSE 'default' END AS evidence, CASE WHEN NOT done OR n = 0 THEN 'not_assessed' ELSE 'assessed' END AS classification_status FROM p""", "gene"))
 def element_classes(spark, d):
     """Orders as elements, their first five lines as members; systems are the odd and the even lines, met by lines of one type."""
-    gene, orders = stage(view(spark, d, "gene").withColumnRenamed("gene_id", "gene"), "genes"), table(spark, d, "orders").withColumnRenamed("o_orderkey", "contig")
+    gene, orders = stage(view(spark, d, "gene").withColumnRenamed("gene_id", "gene"), "genes", n="count(1)"), table(spark, d, "orders").withColumnRenamed("o_orderkey", "contig")
+    gene = dealt(gene, observed(gene, "n"), "contig")
     inside = gene.where("gene_order <= 5")
     met = inside.select("contig", "gene", F.lit(True).alias("inside"), "category", F.col("family").endswith("1").alias("marker"))
     counts = elements.category_measures(orders, inside, "contig", "gene", "category", {"head": ["ECONOMY"], "tail": ["PROMO"], "int": ["SMALL", "MEDIUM"]})
     shares = evidence.member_counts(orders, met, "contig", "category", "marker").select("contig", "marker_share")
     systems = gene.select("contig", (F.col("gene_order") % 2).alias("system"), "gene")
-    overlap = evidence.member_counts(orders, met.where("category = 'STANDARD'"), "contig", "category", "marker", systems).select("contig", "best_overlap")
+    overlap = evidence.best_overlap(systems, met.where("category = 'STANDARD'"), "contig")
     state = orders.select("contig", F.when(F.col("contig") % 9 != 0, F.when(F.col("contig") % 2 == 0, ENDED[0]).otherwise(ENDED[1])).alias("families"), F.when(F.col("contig") % 11 == 0, "failed").otherwise(ENDED[0]).alias("markers"))
     rows = counts
-    for more in (shares, overlap, state):
-        rows = rows.hint("shuffle_merge").join(more, "contig")
+    for more, how in ((shares, "inner"), (overlap, "left"), (state, "inner")):
+        rows = rows.hint("shuffle_merge").join(more, "contig", how)
+    rows = rows.na.fill(0.0, ["best_overlap"])
     n, head, tail, own, o = (F.col(x) for x in ("n_members", "head", "tail", "int", "best_overlap"))
     rules = [
         (o >= 0.8, "mobile", "overlap"), ((o >= 0.5) & (n >= 3), "ambiguous", "overlap"), ((n < 4) & (own > 0) & (head > 0) & (tail == 0), "satellite", "short"),
