@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import coverage, fragments, intervals
-from ..sources.shared import drop, stage
+from ..sources.shared import dealt, drop, stage
 from .core import r6
 from .registry import query
 from .study import CLASSES
-from .views import table, view, with_views
+from .views import VIEWS, table, with_views
 
 LENGTH, ENDS, QUALITY = 6000, 50, 20
 # every base by itself: the records are <clip>S80M<gap>D15M
@@ -24,8 +24,10 @@ def references(spark, d):
 
 
 def assigned(spark, d):
-    """(records, whether a record passes, classes) of the alignment view with qualities."""
-    records, ok = fragments.alignment(view(spark, d, "samq")), fragments.passes(0.9, 0.9)
+    """(records, whether a record passes, classes) of the alignment view with qualities. Programs are read once, by all tasks."""
+    events = table(spark, d, "events")
+    records = fragments.alignment(spark.sql(VIEWS["samq"], events=dealt(events, events.count())))
+    records, ok = stage(records.withColumn("passes", fragments.passes(0.9, 0.9)), "records"), F.col("passes")
     return records, ok, fragments.outcomes(records, ok, mapq_min=10, report_k=10, insert_min=200, insert_max=600)
 
 
@@ -33,7 +35,9 @@ def assigned(spark, d):
  SELECT rname, min(p) AS start0, max(p) + 1 AS end0, depth FROM (SELECT *, p - row_number() OVER (PARTITION BY rname, depth ORDER BY p) AS k FROM dep) GROUP BY rname, depth, k""", "samq"))
 def fragment_depth(spark, d):
     records, _, classes = assigned(spark, d)
-    return coverage.fragment_depth(coverage.fragment_cover(records, classes, references(spark, d), QUALITY, ENDS))
+    out = coverage.fragment_depth(coverage.fragment_cover(records, classes, references(spark, d), QUALITY, ENDS))
+    out._holds = (records,)
+    return out
 
 
 @query(with_views(f"""WITH {BASES}, n AS (SELECT qname, count(*) AS n FROM px GROUP BY 1),
@@ -42,7 +46,9 @@ def fragment_depth(spark, d):
 def fragment_positions(spark, d):
     records, ok, classes = assigned(spark, d)
     cover = coverage.fragment_cover(records, classes, references(spark, d), QUALITY, ENDS)
-    return coverage.fragment_table(records, ok, classes, cover)
+    out = coverage.fragment_table(records, ok, classes, cover)
+    out._holds = (records,)
+    return out
 
 
 @query(with_views(f"""WITH {BASES}, dep AS (SELECT rname, p, count(*) AS depth FROM px GROUP BY 1, 2),
@@ -52,6 +58,7 @@ def readset_union(spark, d):
     """Four readsets are added one after the other, each to the sum of those before; breadth comes from the sum."""
     records, _, classes = assigned(spark, d)
     cover = stage(coverage.fragment_cover(records, classes, references(spark, d), QUALITY, ENDS), "cover")
+    drop(records)
     total = None
     for readset in range(4):
         new = intervals.depth_events(cover.where(F.col("qname") % 4 == readset), ["rname"])
