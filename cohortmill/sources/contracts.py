@@ -103,7 +103,8 @@ def contract_rows(lines: DataFrame, header: Sequence[str], kinds: dict[str, str]
             faults.append(F.when(~ragged & (at[c] == ""), F.struct(F.lit(c).alias("column"), F.lit("empty").alias("reason"))))
     marked = rows.withColumn("_faults", F.filter(F.array(*faults), lambda x: x.isNotNull()))
     good = marked.where(F.size("_faults") == 0).select(line, *(read[c][0].alias(c) for c in kinds))
-    bad = marked.select(line, F.explode("_faults").alias("f")).select(line, "f.column", "f.reason")
+    # the outer form, since of the other Spark asks beforehand, by reading all cells once more, whether there is any fault
+    bad = marked.select(line, F.explode_outer("_faults").alias("f")).where(F.col("f").isNotNull()).select(line, "f.column", "f.reason")
     return good, bad
 
 

@@ -78,3 +78,20 @@ def test_later_parts_have_the_phase_that_the_first_ones_leave(spark):
     lines = [line("ok", 1, 10, 0), line("ok", 20, 30, 2), line("ok", 40, 48, 0), line("odd", 1, 10, 0), line("odd", 20, 30, 1), line("part", 1, 10, 1), line("over", 1, 10, 0), line("over", 5, 9, 0), line("far", 1, 9, 0), line("far", 20, 28, 0, "-")]
     rows = gff.records(spark.createDataFrame(lines, "value string"))
     assert {r.id: r.fault for r in gff.coding_sequences(rows).select("id", F.col("fault")).collect()} == {"ok": "", "odd": "phase", "part": "partial", "over": "overlap", "far": "places"}
+
+
+def test_rejects_read_each_cell_once(spark):
+    """Small tables are dealt to all tasks before their cells are read, and no filter reads the cells on the way."""
+    from cohortmill.plans import contracts as plans
+
+    out = plans.contract_rejects(spark, "/root/testdata/sf0.001")
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    below = text[text.index("Repartition"):]
+    assert "RLIKE" in text[:text.index("Repartition")] and "RLIKE" not in below
+
+
+def test_alignment_programs_are_read_once(spark):
+    from cohortmill.plans import coverage as plans
+
+    out = plans.fragment_positions(spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("nm_contradicts_cigar") == 0  # no fault is worked out again
