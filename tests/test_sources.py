@@ -162,3 +162,27 @@ def test_a_feature_line_is_cut_once(spark):
     assert [(r.id, r.parents, r.start0, r.end0, r.wrong) for r in out.collect()] == [("c;1", ["m1", "m,2"], 10, 40, ""), ("g", [], 4, 4, "interval"), (None, [], 0, 4, "attributes")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(value") == 1
+
+
+def test_stage_leaves_no_shuffle_files(spark):
+    """However large the driver's heap and whoever still holds the table's plan; the session's own setting comes back."""
+    import time
+    from pathlib import Path
+
+    from pyspark.sql import functions as F
+
+    from cohortmill.sources.shared import stage
+
+    def files():
+        return {p for p in Path(spark.conf.get("spark.local.dir")).rglob("shuffle_*.data")}
+
+    key, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    own = spark.conf.get(key)
+    rows = spark.range(20_000).withColumn("x", F.xxhash64("id")).repartition(4, "x").groupBy("x").count()
+    out = stage(rows, "rows", n="count(1)")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(key) == own and out.count() == 20_000
+    rows.write.format("noop").mode("overwrite").save()
+    assert rows.count() == 20_000
